@@ -80,7 +80,7 @@ def country_means(
     return (
         rows.where(F.col(country_col).isNotNull() & F.col(value_col).isNotNull())
         .groupBy(*group_cols, country_col)
-        .agg(F.avg(value_col).alias("mean_value"))
+        .agg(F.avg(value_col).alias("mean_value"), F.count(value_col).alias("n_values"))
     )
 
 
@@ -109,3 +109,81 @@ def choropleth_scale(
         F.when(span > 0, (F.col(value_col) - F.col("__min")) / span).alias("scaled_value"),
         "has_data",
     )
+
+
+def profile(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    text_cols: Sequence[str],
+    numeric_cols: Sequence[str],
+    approx_percentiles: bool = False,
+) -> DataFrame:
+    """A ``describe(include="all")`` profile per group, one row per column.
+
+    Text columns get ``count, unique, top, freq``; numeric columns get
+    ``count, mean, std, min, p25, p50, p75, max`` (sample std, linearly
+    interpolated percentiles); the other statistics are NULL.  ``top`` breaks
+    count ties by the smallest value.
+
+    Plan: columns are unpivoted to long form; text statistics are two
+    aggregations (per value, then per column), so a frequent value is counted
+    with map-side partial aggregation instead of in one task.  Exact
+    percentiles keep one count per distinct value and group; pass
+    ``approx_percentiles=True`` for very wide value domains.
+    """
+    group_cols = list(group_cols)
+    parts = []
+    if text_cols:
+        t = df.select(*group_cols, *[F.col(c).cast("string").alias(c) for c in text_cols]).unpivot(
+            group_cols, list(text_cols), "column_name", "v"
+        )
+        per_value = t.where(F.col("v").isNotNull()).groupBy(*group_cols, "column_name", "v").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        # Columns that are entirely NULL still get a row with count 0.
+        names = t.select(*group_cols, "column_name").distinct()
+        text_stats = per_value.groupBy(*group_cols, "column_name").agg(
+            F.sum("n").alias("count"),
+            F.count(F.lit(1)).alias("unique"),
+            F.min_by(F.struct(F.col("v"), F.col("n")), F.struct(-F.col("n"), F.col("v"))).alias("__top"),
+        )
+        text_stats = names.join(text_stats, group_cols + ["column_name"], "left").select(
+            *group_cols,
+            "column_name",
+            F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
+            F.col("unique").cast("long").alias("unique"),
+            F.col("__top.v").alias("top"),
+            F.col("__top.n").cast("long").alias("freq"),
+        )
+        parts.append(text_stats)
+    if numeric_cols:
+        n = df.select(*group_cols, *[F.col(c).cast("double").alias(c) for c in numeric_cols]).unpivot(
+            group_cols, list(numeric_cols), "column_name", "v"
+        )
+        q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        pct = F.percentile_approx("v", q, 10000) if approx_percentiles else F.percentile(F.col("v"), q)
+        num_stats = n.groupBy(*group_cols, "column_name").agg(
+            F.count("v").cast("long").alias("count"),
+            F.avg("v").alias("mean"),
+            F.stddev_samp("v").alias("std"),
+            F.min("v").alias("min"),
+            pct.alias("__p"),
+            F.max("v").alias("max"),
+        )
+        parts.append(
+            num_stats.select(
+                *group_cols, "column_name", "count", "mean", "std", "min",
+                F.col("__p")[0].alias("p25"), F.col("__p")[1].alias("p50"), F.col("__p")[2].alias("p75"),
+                "max",
+            )
+        )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    cols = group_cols + ["column_name", "count", "unique", "top", "freq",
+                         "mean", "std", "min", "p25", "p50", "p75", "max"]
+    for c in cols:
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("double" if c not in ("unique", "freq", "top") else
+                                                  ("string" if c == "top" else "long")))
+    return out.select(*cols)

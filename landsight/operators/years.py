@@ -75,14 +75,16 @@ def available_years_list(indicator: DataFrame, by: str = "dataset") -> DataFrame
     )
 
 
-def last_two_years(rows: DataFrame, by: str = "dataset") -> DataFrame:
-    """The two largest distinct coerced years per dataset (``prev_year``,
-    ``last_year``); datasets with fewer than two years are absent."""
-    distinct_years = rows.where(F.col("year_number").isNotNull()).select(by, "year_number").distinct()
-    w = Window.partitionBy(by).orderBy(F.col("year_number").desc())
+def last_two_years(rows: DataFrame, by="dataset") -> DataFrame:
+    """The two largest distinct coerced years per group (``prev_year``,
+    ``last_year``); groups with fewer than two years are absent.  ``by`` is a
+    column name or a list of them."""
+    by = [by] if isinstance(by, str) else list(by)
+    distinct_years = rows.where(F.col("year_number").isNotNull()).select(*by, "year_number").distinct()
+    w = Window.partitionBy(*by).orderBy(F.col("year_number").desc())
     ranked = distinct_years.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 2)
     return (
-        ranked.groupBy(by)
+        ranked.groupBy(*by)
         .agg(
             F.max(F.when(F.col("__r") == 2, F.col("year_number"))).alias("prev_year"),
             F.max(F.when(F.col("__r") == 1, F.col("year_number"))).alias("last_year"),

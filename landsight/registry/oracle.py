@@ -79,6 +79,11 @@ avail_ranked AS (
 """
 
 
+def _mean(sum_expr: str, n_expr: str) -> str:
+    """Canonical mean (see ``exact_mean`` on the Spark side)."""
+    return f"(CASE WHEN {n_expr} > 0 THEN round({sum_expr}, 2) / {n_expr} END)"
+
+
 def _q(body: str) -> str:
     return "WITH " + ADAPTERS.strip() + "\n" + body.strip()
 
@@ -114,11 +119,11 @@ LEFT JOIN (
 )
 
 ORACLE["d5_kpis"] = _q(
-    """
+    f"""
 SELECT g.dataset, g.year,
        CAST(count(*) AS BIGINT) AS countries,
        CAST(count(c.value) AS BIGINT) AS with_data,
-       round(avg(c.value), 4) AS mean_value,
+       {_mean('sum(c.value)', 'count(c.value)')} AS mean_value,
        max(c.value) AS max_value,
        min(c.value) AS min_value
 FROM avail g CROSS JOIN boundary b
@@ -127,3 +132,178 @@ LEFT JOIN clean c
 GROUP BY g.dataset, g.year
 """
 )
+
+_MATCHED = f"""
+m AS (SELECT c.*, b.ISO_A3, b.ADMIN FROM clean c JOIN boundary b ON c.code = b.ISO_A3),
+yrs AS (
+  SELECT dataset, metric, year_number,
+         row_number() OVER (PARTITION BY dataset, metric ORDER BY year_number DESC) AS r
+  FROM (SELECT DISTINCT dataset, metric, year_number FROM m WHERE year_number IS NOT NULL)
+),
+two AS (
+  SELECT dataset, metric, max(CASE WHEN r = 2 THEN year_number END) AS prev_year,
+         max(CASE WHEN r = 1 THEN year_number END) AS last_year
+  FROM yrs WHERE r <= 2 GROUP BY dataset, metric HAVING max(CASE WHEN r = 2 THEN year_number END) IS NOT NULL
+),
+piv AS (
+  SELECT m.dataset, m.metric, m.ADMIN, t.prev_year, t.last_year,
+         avg(CASE WHEN m.year_number = t.prev_year THEN m.value END) AS prev_mean,
+         avg(CASE WHEN m.year_number = t.last_year THEN m.value END) AS last_mean,
+         sum(CASE WHEN m.year_number = t.prev_year THEN m.value END) AS prev_sum,
+         sum(CASE WHEN m.year_number = t.last_year THEN m.value END) AS last_sum,
+         count(CASE WHEN m.year_number = t.prev_year THEN m.value END) AS prev_n,
+         count(CASE WHEN m.year_number = t.last_year THEN m.value END) AS last_n
+  FROM m JOIN two t ON m.dataset = t.dataset AND m.metric = t.metric
+  WHERE m.year_number IN (t.prev_year, t.last_year) AND m.ADMIN IS NOT NULL AND m.value IS NOT NULL
+  GROUP BY m.dataset, m.metric, m.ADMIN, t.prev_year, t.last_year
+),
+chg AS (
+  SELECT dataset, metric, ADMIN, last_mean - prev_mean AS value,
+         {_mean('last_sum', 'last_n')} - {_mean('prev_sum', 'prev_n')} AS canon,
+         'Annual Change in ' || metric || ' (' || CAST(CAST(trunc(prev_year) AS BIGINT) AS VARCHAR)
+           || ' → ' || CAST(CAST(trunc(last_year) AS BIGINT) AS VARCHAR) || ')' AS label
+  FROM piv WHERE prev_mean IS NOT NULL AND last_mean IS NOT NULL
+),
+series AS (
+  SELECT * FROM chg
+  UNION ALL
+  SELECT dataset, metric, ADMIN, avg(value) AS value, {_mean('sum(value)', 'count(value)')} AS canon,
+         metric AS label
+  FROM m
+  WHERE ADMIN IS NOT NULL AND value IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM chg WHERE chg.dataset = m.dataset AND chg.metric = m.metric)
+  GROUP BY dataset, metric, ADMIN
+),
+means AS (
+  SELECT dataset, year, ADMIN, avg(value) AS mean_value, {_mean('sum(value)', 'count(value)')} AS canon
+  FROM m WHERE ADMIN IS NOT NULL AND value IS NOT NULL AND year IS NOT NULL
+  GROUP BY dataset, year, ADMIN
+),
+lm AS (
+  SELECT d.dataset, b.ISO_A3, b.ADMIN, c.metric, c.entity, c.code, c.year_number, c.year, c.value
+  FROM datasets d CROSS JOIN boundary b
+  LEFT JOIN (
+    SELECT c.* FROM clean c JOIN latest l
+      ON c.dataset = l.dataset AND c.year_number = CAST(l.latest_year AS DOUBLE)
+  ) c ON c.dataset = d.dataset AND c.code = b.ISO_A3
+)
+"""
+
+
+def _qm(body: str) -> str:
+    return "WITH " + ADAPTERS.strip() + ",\n" + _MATCHED.strip() + "\n" + body.strip()
+
+
+# Bodies that start with ", name AS (...)" extend the CTE list.
+
+ORACLE["a6_country_mean"] = _qm("SELECT dataset, year, ADMIN, canon AS mean_value FROM means")
+
+ORACLE["a7_year_pivot"] = _qm(
+    f"""
+SELECT dataset, metric, ADMIN, prev_year, last_year,
+       {_mean('prev_sum', 'prev_n')} AS prev_mean, {_mean('last_sum', 'last_n')} AS last_mean,
+       prev_n, last_n
+FROM piv
+"""
+)
+
+ORACLE["i1_yoy_change"] = _qm("SELECT dataset, metric, ADMIN, label, canon AS value FROM chg")
+
+ORACLE["i2_insight_series"] = _qm("SELECT dataset, metric, ADMIN, label, canon AS value FROM series")
+
+ORACLE["i3_top_bottom"] = _qm(
+    """
+, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset, year ORDER BY mean_value DESC, ADMIN ASC) AS rt,
+            row_number() OVER (PARTITION BY dataset, year ORDER BY mean_value ASC, ADMIN ASC) AS rb
+  FROM means
+)
+SELECT dataset, year, ADMIN, 'top' AS side, rt AS rank, canon AS mean_value FROM ranked WHERE rt <= 5
+UNION ALL
+SELECT dataset, year, ADMIN, 'bottom' AS side, rb AS rank, canon AS mean_value FROM ranked WHERE rb <= 5
+"""
+)
+
+ORACLE["i3_insight_top_bottom"] = _qm(
+    """
+, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset, metric, label ORDER BY value DESC, ADMIN ASC) AS rt,
+            row_number() OVER (PARTITION BY dataset, metric, label ORDER BY value ASC, ADMIN ASC) AS rb
+  FROM series
+)
+SELECT dataset, metric, label, ADMIN, 'top' AS side, rt AS rank, canon AS value FROM ranked WHERE rt <= 5
+UNION ALL
+SELECT dataset, metric, label, ADMIN, 'bottom' AS side, rb AS rank, canon AS value FROM ranked WHERE rb <= 5
+"""
+)
+
+ORACLE["i4_preview"] = _qm(
+    """
+, ranked AS (
+  SELECT dataset, year, ADMIN, value,
+         row_number() OVER (PARTITION BY dataset, year ORDER BY ADMIN, value) AS "row"
+  FROM m WHERE ADMIN IS NOT NULL AND value IS NOT NULL AND year IS NOT NULL
+)
+SELECT * FROM ranked WHERE "row" <= 20
+"""
+)
+
+ORACLE["d4_choropleth"] = _qm(
+    """
+, ext AS (SELECT dataset, min(value) AS mn, max(value) AS mx, bool_or(value IS NOT NULL) AS has_data
+          FROM lm GROUP BY dataset)
+SELECT lm.dataset, ISO_A3, ADMIN, year_number, value, value IS NULL AS no_data,
+       round(CASE WHEN mx - mn > 0 THEN (value - mn) / (mx - mn) END, 6) AS scaled_value, has_data
+FROM lm JOIN ext ON lm.dataset = ext.dataset
+"""
+)
+
+ORACLE["a8_profile"] = _qm(
+    """
+, t AS (
+  SELECT dataset, 'ISO_A3' AS column_name, ISO_A3 AS v FROM lm
+  UNION ALL SELECT dataset, 'ADMIN', ADMIN FROM lm
+  UNION ALL SELECT dataset, 'entity', entity FROM lm
+  UNION ALL SELECT dataset, 'code', code FROM lm
+),
+tv AS (SELECT dataset, column_name, v, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL),
+tr AS (SELECT *, row_number() OVER (PARTITION BY dataset, column_name ORDER BY n DESC, v ASC) AS r FROM tv),
+ts AS (
+  SELECT n.dataset, n.column_name,
+         CAST(coalesce((SELECT sum(n) FROM tv WHERE tv.dataset = n.dataset AND tv.column_name = n.column_name), 0) AS BIGINT) AS count,
+         (SELECT count(*) FROM tv WHERE tv.dataset = n.dataset AND tv.column_name = n.column_name) AS cnt_unique,
+         tr.v AS top, tr.n AS freq
+  FROM (SELECT DISTINCT dataset, column_name FROM t) n
+  LEFT JOIN tr ON tr.dataset = n.dataset AND tr.column_name = n.column_name AND tr.r = 1
+),
+nl AS (
+  SELECT dataset, 'year_number' AS column_name, year_number AS v FROM lm
+  UNION ALL SELECT dataset, 'value', value FROM lm
+)
+SELECT dataset, column_name, count, CAST(CASE WHEN count > 0 THEN cnt_unique END AS DOUBLE) AS "unique", top,
+       CAST(freq AS DOUBLE) AS freq,
+       CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min,
+       CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75,
+       CAST(NULL AS DOUBLE) AS max
+FROM ts
+UNION ALL
+SELECT dataset, column_name, CAST(count(v) AS BIGINT), NULL, NULL, NULL,
+       round(avg(v), 4), round(stddev_samp(v), 4), round(min(v), 4),
+       round(quantile_cont(v, 0.25), 4), round(quantile_cont(v, 0.5), 4), round(quantile_cont(v, 0.75), 4),
+       round(max(v), 4)
+FROM nl GROUP BY dataset, column_name
+"""
+)
+
+ORACLE["p10_metric_profile"] = _q(
+    f"""
+, t AS (
+  SELECT 'dataset' AS column_name, dataset AS v FROM observation
+  UNION ALL SELECT 'Entity', Entity FROM observation
+  UNION ALL SELECT 'Code', Code FROM observation
+  UNION ALL SELECT 'Year', Year FROM observation
+  UNION ALL SELECT 'value', value FROM observation
+)
+SELECT column_name, count(v) AS non_null, count({_num('v')}) AS numeric FROM t GROUP BY column_name
+"""
+)

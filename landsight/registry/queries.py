@@ -43,6 +43,18 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 LONG_COLS = ["metric", "entity", "code", "year_number", "year", "value"]
 
 
+def exact_mean(mean, n):
+    """Canonical form of a mean for the cross-engine compare.
+
+    The test values are prices with two decimals, so ``mean * n`` recovers the
+    exact sum, and dividing that by ``n`` gives the same double in every
+    engine whatever the summation order.  (Rounding the mean itself is not
+    enough: exact means like ``x.xxxx5`` sit on the rounding boundary.)
+    """
+    mean, n = (F.col(mean) if isinstance(mean, str) else mean), (F.col(n) if isinstance(n, str) else n)
+    return F.when(n > 0, F.round(mean * n, 2) / n)
+
+
 def nullable_ints_as_double(df: DataFrame, *cols: str) -> DataFrame:
     """Integer columns that can be NULL leave Spark as float64 and DuckDB as a
     nullable integer; registered outputs carry them as DOUBLE on both sides."""
@@ -98,4 +110,127 @@ def q_kpis(spark, sf_dir):
     # ``year`` is set only for integral coerced years, so grouping by it is the
     # P7 comparison ``to_number(Year) == selected_year``.
     k = S.merged_kpis(boundary(spark, sf_dir), ind, groups)
-    return k.withColumn("mean_value", F.round("mean_value", 4))
+    return k.withColumn("mean_value", exact_mean("mean_value", "with_data"))
+
+
+def matched(spark, sf_dir) -> DataFrame:
+    """Indicator rows with their boundary country (the matched side of J1)."""
+    from ..operators.insights import matched_rows
+
+    return matched_rows(boundary(spark, sf_dir), indicator(spark, sf_dir))
+
+
+def selectable(spark, sf_dir) -> DataFrame:
+    """Matched rows of a year that can be selected (an integral year); the
+    per-year page forms group by it."""
+    return matched(spark, sf_dir).where(F.col("year").isNotNull())
+
+
+def latest_merged(spark, sf_dir) -> DataFrame:
+    ind = indicator(spark, sf_dir)
+    datasets = ind.select("dataset").distinct()
+    return M.merge_boundaries(
+        boundary(spark, sf_dir), Y.filter_latest(ind), code_col="code",
+        group_cols=["dataset"], groups=datasets,
+    )
+
+
+def canonical_series_value(df: DataFrame):
+    """Insight value in canonical form: a change of two exact means, or one mean."""
+    change = exact_mean("last_mean", "last_n") - exact_mean("prev_mean", "prev_n")
+    if "n_values" not in df.columns:
+        return change
+    return F.coalesce(change, exact_mean("value", "n_values"))
+
+
+@register("a6_country_mean")
+def q_country_mean(spark, sf_dir):
+    """Per dataset, year and country, the mean value (the page's series for
+    a selected year)."""
+    out = S.country_means(selectable(spark, sf_dir), ["dataset", "year"])
+    return out.select("dataset", "year", "ADMIN", exact_mean("mean_value", "n_values").alias("mean_value"))
+
+
+@register("a7_year_pivot")
+def q_year_pivot(spark, sf_dir):
+    """Country x {previous, last year} mean pivot per dataset."""
+    from ..operators.insights import year_pivot
+
+    out = year_pivot(matched(spark, sf_dir))
+    return out.withColumns({"prev_mean": exact_mean("prev_mean", "prev_n"),
+                            "last_mean": exact_mean("last_mean", "last_n")})
+
+
+@register("i1_yoy_change")
+def q_yoy_change(spark, sf_dir):
+    """Year-on-year change per country with its label."""
+    from ..operators.insights import yoy_change
+
+    out = yoy_change(matched(spark, sf_dir))
+    return out.select("dataset", "metric", "ADMIN", "label", canonical_series_value(out).alias("value"))
+
+
+@register("i2_insight_series")
+def q_insight_series(spark, sf_dir):
+    """The insight series per dataset (change if available, else mean)."""
+    from ..operators.insights import insight_series
+
+    out = insight_series(matched(spark, sf_dir))
+    return out.select("dataset", "metric", "ADMIN", "label", canonical_series_value(out).alias("value"))
+
+
+@register("i3_top_bottom")
+def q_top_bottom(spark, sf_dir):
+    """Top and bottom 5 countries per dataset and year (page form)."""
+    from ..operators.insights import top_bottom
+
+    means = S.country_means(selectable(spark, sf_dir), ["dataset", "year"])
+    out = top_bottom(means, ["dataset", "year"], value_col="mean_value")
+    return out.select("dataset", "year", "ADMIN", "side", F.col("rank").cast("long").alias("rank"),
+                      exact_mean("mean_value", "n_values").alias("mean_value"))
+
+
+@register("i3_insight_top_bottom")
+def q_insight_top_bottom(spark, sf_dir):
+    """I2 + I3: top and bottom 5 of each dataset's insight series."""
+    from ..operators.insights import insight_series, top_bottom
+
+    out = top_bottom(insight_series(matched(spark, sf_dir)), ["dataset", "metric", "label"])
+    return out.select("dataset", "metric", "label", "ADMIN", "side", F.col("rank").cast("long").alias("rank"),
+                      canonical_series_value(out).alias("value"))
+
+
+@register("i4_preview")
+def q_preview(spark, sf_dir):
+    """First 20 non-missing (country, value) rows per dataset and year."""
+    from ..operators.insights import preview_rows
+
+    out = preview_rows(selectable(spark, sf_dir), ["dataset", "year"])
+    return out.withColumn("row", F.col("row").cast("long"))
+
+
+@register("d4_choropleth")
+def q_choropleth(spark, sf_dir):
+    """Map feed of every dataset at its latest year."""
+    out = S.choropleth_scale(latest_merged(spark, sf_dir), ["dataset"])
+    return out.select(
+        "dataset", "ISO_A3", "ADMIN", "year_number", "value", "no_data",
+        F.round("scaled_value", 6).alias("scaled_value"), "has_data",
+    )
+
+
+@register("a8_profile")
+def q_profile(spark, sf_dir):
+    """describe(include="all") of each dataset's latest merged frame."""
+    out = S.profile(
+        latest_merged(spark, sf_dir), ["dataset"],
+        text_cols=["ISO_A3", "ADMIN", "entity", "code"], numeric_cols=["year_number", "value"],
+    )
+    out = out.withColumns({c: F.round(c, 4) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]})
+    return nullable_ints_as_double(out, "unique", "freq")
+
+
+@register("p10_metric_profile")
+def q_metric_profile(spark, sf_dir):
+    """P10: per raw column, non-null and numeric-parsable counts."""
+    return I.metric_profile(T.observation(spark, sf_dir))

@@ -145,13 +145,13 @@ def country_column(columns: Sequence[str]) -> str:
 
 
 def metric_profile(raw: DataFrame) -> DataFrame:
-    """P10 as a table: per raw column, non-NULL count and how many parse as numbers."""
-    stacked = raw.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in raw.columns])
-        ).alias("s")
-    ).select("s.*")
-    return stacked.groupBy("column_name").agg(
+    """P10 as a table: per raw column, the non-NULL count and how many values
+    parse as numbers (one aggregation over the unpivoted text)."""
+    cols = raw.columns
+    long = raw.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        [], cols, "column_name", "v"
+    )
+    return long.groupBy("column_name").agg(
         F.count("v").alias("non_null"),
         F.count(to_number(F.col("v"))).alias("numeric"),
     )
