@@ -307,3 +307,274 @@ ORACLE["p10_metric_profile"] = _q(
 SELECT column_name, count(v) AS non_null, count({_num('v')}) AS numeric FROM t GROUP BY column_name
 """
 )
+
+
+# ---- tiles, verdicts, history, cache, workflow -------------------------------------------
+
+_LOG = """
+log AS (
+  SELECT event_id AS id, ts AS timestamp,
+         CAST(((event_id % 400) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+         CAST(((event_id % 400) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
+         CAST(1 + (event_id % 400) % 20 AS INTEGER) AS zoom,
+         event_type || ' ' || props AS image_description,
+         'llava:7b' AS image_model,
+         event_type AS text_description,
+         'mistral:7b' AS text_model,
+         CASE event_type WHEN 'error' THEN 'Y' WHEN 'purchase' THEN 'YES'
+              WHEN 'signup' THEN NULL ELSE 'N' END AS danger
+  FROM events
+),
+request AS (
+  SELECT event_id AS request_id,
+         CAST(((event_id % 800) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+         CAST(((event_id % 800) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
+         CAST(1 + (event_id % 800) % 20 AS INTEGER) AS zoom
+  FROM events
+),
+reply AS (
+  SELECT doc_id, CASE doc_id % 8
+         WHEN 0 THEN '{"danger": "y", "justification": "J' || CAST(doc_id AS VARCHAR) || '"}'
+         WHEN 1 THEN '```json' || chr(10) || '{"danger": "N"}' || chr(10) || '```'
+         WHEN 2 THEN '{"danger": null, "justification": "x"}'
+         WHEN 3 THEN '{"danger": "Y"} extra'
+         WHEN 4 THEN 'Some concern about soil in ' || lang
+         WHEN 5 THEN 'all calm in ' || lang
+         WHEN 6 THEN '{"justification": "only"}'
+         ELSE text END AS raw
+  FROM documents
+)
+"""
+
+
+def _tile_cte(name: str, source: str, cols: str) -> str:
+    """Tile x, y (F1) of every row of ``source``: truncation, clamps, +-90 clamp."""
+    latc = "greatest(-90.0, least(90.0, latitude))"
+    return f"""
+{name} AS (
+  SELECT {cols}, zoom AS z,
+         CAST(greatest(0, least(CAST(pow(2, zoom) AS BIGINT) - 1,
+              CAST(trunc((longitude + 180) / 360 * pow(2, zoom)) AS BIGINT))) AS INTEGER) AS x,
+         CAST(greatest(0, least(CAST(pow(2, zoom) AS BIGINT) - 1,
+              CAST(trunc((1 - ln(tan(radians({latc})) + 1 / cos(radians({latc}))) / pi()) / 2 * pow(2, zoom))
+                   AS BIGINT))) AS INTEGER) AS y
+  FROM {source}
+)"""
+
+
+def _tile_file(alias: str = "") -> str:
+    p = f"{alias}." if alias else ""
+    return (f"'esri_' || CAST({p}z AS VARCHAR) || '_' || CAST({p}x AS VARCHAR) || '_' "
+            f"|| CAST({p}y AS VARCHAR) || '.png'")
+
+
+_URL = ("'https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/' "
+        "|| CAST(z AS VARCHAR) || '/' || CAST(y AS VARCHAR) || '/' || CAST(x AS VARCHAR)")
+
+
+def _label(expr: str, pos: str, neg: str, decimals: int) -> str:
+    return (f"(CASE WHEN {expr} >= 0 THEN '{pos}' ELSE '{neg}' END || ' ' || "
+            f"printf('%.{decimals}f', abs({expr})) || '°')")
+
+
+def _ql(body: str, *ctes: str) -> str:
+    extra = "".join("," + c for c in ctes)
+    return "WITH " + _LOG.strip() + extra + "\n" + body.strip()
+
+
+ORACLE["f1_tiles"] = _ql(
+    f"SELECT request_id, z, x, y, {_tile_file()} AS file_name, {_URL} AS url FROM rt",
+    _tile_cte("rt", "request", "request_id, latitude, longitude, zoom"),
+)
+
+_ZOOM_LABEL = """CASE WHEN zoom BETWEEN 1 AND 4 THEN 'Continental view'
+  WHEN zoom BETWEEN 5 AND 8 THEN 'Country / region' WHEN zoom BETWEEN 9 AND 11 THEN 'City level'
+  WHEN zoom BETWEEN 12 AND 14 THEN 'District level' WHEN zoom BETWEEN 15 AND 17 THEN 'Neighbourhood'
+  WHEN zoom BETWEEN 18 AND 20 THEN 'Building level' ELSE '' END"""
+
+_RING = ", ".join(
+    f"round({lo}, 9) AS ring{i}_lon, round({la}, 9) AS ring{i}_lat"
+    for i, (lo, la) in enumerate(
+        [("lon_min", "lat_min"), ("lon_max", "lat_min"), ("lon_max", "lat_max"), ("lon_min", "lat_max"),
+         ("lon_min", "lat_min")]
+    )
+)
+
+ORACLE["d6_tile_preview"] = _ql(
+    f"""
+, b AS (
+  SELECT *, x / pow(2, zoom) * 360 - 180 AS lon_min, (x + 1) / pow(2, zoom) * 360 - 180 AS lon_max,
+         degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2, zoom))))) AS lat_min,
+         degrees(atan(sinh(pi() * (1 - 2 * y / pow(2, zoom))))) AS lat_max
+  FROM rt
+)
+SELECT request_id, z, x, y, round(lon_min, 9) AS lon_min, round(lat_min, 9) AS lat_min,
+       round(lon_max, 9) AS lon_max, round(lat_max, 9) AS lat_max,
+       round((lat_min + lat_max) / 2, 9) AS center_lat, round((lon_min + lon_max) / 2, 9) AS center_lon,
+       {_RING},
+       {_ZOOM_LABEL} AS zoom_label, greatest(0, zoom - 2) AS preview_zoom,
+       {_label('latitude', 'N', 'S', 5)} AS lat_label, {_label('longitude', 'E', 'W', 5)} AS lon_label
+FROM b
+""",
+    _tile_cte("rt", "request", "request_id, latitude, longitude, zoom"),
+)
+
+_STEMS = "risk|danger|deforest|erosion|pollut|degrad|threat|alarm|concern"
+
+ORACLE["f22_verdicts"] = _ql(
+    f"""
+, s AS (SELECT doc_id, {_strip('raw')} AS stripped FROM reply),
+c AS (
+  SELECT doc_id, stripped,
+         CASE WHEN contains(stripped, '```')
+              THEN regexp_replace(split_part(stripped, '```', 2), '^json', '') ELSE stripped END AS cleaned
+  FROM s
+),
+v0 AS (
+  SELECT *, coalesce(CASE WHEN json_valid(cleaned) THEN json_type(cleaned) = 'OBJECT' END, false) AS ok,
+         CASE WHEN regexp_matches(lower(stripped), '{_STEMS}') THEN 'Y' ELSE 'N' END AS kw
+  FROM c
+),
+v AS (SELECT doc_id, stripped, ok, kw, CASE WHEN ok THEN cleaned END AS cleaned FROM v0)
+SELECT doc_id,
+  CASE WHEN NOT ok THEN kw
+       WHEN NOT json_exists(cleaned, '$.danger') THEN 'N'
+       WHEN json_type(cleaned, '$.danger') = 'NULL' THEN 'NONE'
+       WHEN json_type(cleaned, '$.danger') = 'VARCHAR' THEN upper(json_extract_string(cleaned, '$.danger'))
+       ELSE upper(CAST(json_extract(cleaned, '$.danger') AS VARCHAR)) END AS danger,
+  CASE WHEN NOT ok THEN stripped
+       WHEN NOT json_exists(cleaned, '$.justification') THEN stripped
+       WHEN json_type(cleaned, '$.justification') = 'NULL' THEN NULL
+       WHEN json_type(cleaned, '$.justification') = 'VARCHAR' THEN json_extract_string(cleaned, '$.justification')
+       ELSE CAST(json_extract(cleaned, '$.justification') AS VARCHAR) END AS justification
+FROM v
+"""
+)
+
+ORACLE["a9_risk_kpis"] = _ql(
+    """
+, k AS (SELECT count(*) AS total, count(*) FILTER (WHERE danger = 'Y') AS y,
+               count(*) FILTER (WHERE danger = 'N') AS n FROM log)
+SELECT total AS total_analyses, y AS at_risk, total - y AS safe,
+       CAST(CASE WHEN total = 0 THEN 0 ELSE round_even(y / total * 100, 0) END AS BIGINT) AS risk_rate_pct,
+       y AS showing_at_risk, n AS showing_safe
+FROM k
+"""
+)
+
+
+def _history(where: str) -> str:
+    return _ql(
+        f"""
+SELECT strftime(timestamp, '%Y-%m-%d %H:%M UTC') AS "Timestamp",
+       {_label('latitude', 'N', 'S', 4)} AS "Latitude", {_label('longitude', 'E', 'W', 4)} AS "Longitude",
+       zoom AS "Zoom", CASE WHEN danger = 'Y' THEN '🚨 At Risk' ELSE '✅ Safe' END AS "Risk",
+       image_model AS "Vision Model", text_model AS "Text Model"
+FROM log {where}
+"""
+    )
+
+
+ORACLE["d1_history_table"] = _history("")
+ORACLE["p14_history_at_risk"] = _history("WHERE danger = 'Y'")
+ORACLE["p14_history_safe"] = _history("WHERE danger = 'N'")
+
+ORACLE["d2_risk_points"] = _ql(
+    """
+SELECT latitude AS lat, longitude AS lon, danger,
+       CASE WHEN danger = 'Y' THEN 220 ELSE 22 END AS color_r,
+       CASE WHEN danger = 'Y' THEN 38 ELSE 163 END AS color_g,
+       CASE WHEN danger = 'Y' THEN 38 ELSE 74 END AS color_b,
+       200 AS color_a
+FROM log
+"""
+)
+
+ORACLE["d3_detail_records"] = _ql(
+    f"""
+, inv AS (SELECT DISTINCT {_tile_file()} AS f FROM rt)
+SELECT id,
+       CASE WHEN danger = 'Y' THEN '🚨' ELSE '✅' END || ' ' || strftime(timestamp, '%Y-%m-%d %H:%M UTC')
+         || '  ·  ' || {_label('latitude', 'N', 'S', 4)} || ', ' || {_label('longitude', 'E', 'W', 4)}
+         || '  ·  Zoom ' || CAST(zoom AS VARCHAR) AS headline,
+       coalesce(danger = 'Y', false) AS at_risk,
+       {_tile_file('lt')} AS tile_file,
+       {_tile_file('lt')} IN (SELECT f FROM inv) AS tile_cached,
+       text_description AS justification, image_model, text_model, image_description
+FROM lt
+""",
+    _tile_cte("rt", "request", "request_id, latitude, longitude, zoom"),
+    _tile_cte("lt", "log", "*"),
+)
+
+_FIRST = """
+first AS (
+  SELECT latitude, longitude, zoom, image_description, danger, text_description FROM (
+    SELECT *, row_number() OVER (PARTITION BY latitude, longitude, zoom
+                                 ORDER BY timestamp IS NULL, timestamp, id) AS r
+    FROM log) WHERE r = 1
+)"""
+
+ORACLE["j2_cache_lookup"] = _ql(
+    """
+SELECT q.request_id, q.latitude, q.longitude, q.zoom, f.latitude IS NOT NULL AS hit,
+       f.image_description, f.danger, f.text_description
+FROM request q LEFT JOIN first f
+  ON q.latitude = f.latitude AND q.longitude = f.longitude AND q.zoom = f.zoom
+""",
+    _FIRST,
+)
+
+ORACLE["j3_tile_worklist"] = _ql(
+    f"""
+SELECT DISTINCT z, x, y, {_tile_file()} AS file_name, {_URL} AS url FROM rt
+WHERE {_tile_file()} NOT IN (SELECT DISTINCT {_tile_file('lt')} FROM lt)
+""",
+    _tile_cte("rt", "request", "request_id, latitude, longitude, zoom"),
+    _tile_cte("lt", "log", "latitude, longitude"),
+)
+
+ORACLE["w1_process_requests"] = _ql(
+    f"""
+SELECT q.request_id, q.latitude, q.longitude, q.zoom,
+       CASE WHEN f.latitude IS NOT NULL THEN 'cache' ELSE 'model' END AS source,
+       CASE WHEN f.latitude IS NOT NULL THEN f.image_description ELSE 'tile ' || {_tile_file('q')} END
+         AS image_description,
+       CASE WHEN f.latitude IS NOT NULL THEN f.danger WHEN q.x % 2 = 0 THEN 'Y' ELSE 'N' END AS danger,
+       CASE WHEN f.latitude IS NOT NULL THEN f.text_description
+            WHEN q.x % 2 = 0 THEN 'eroded banks near ' || {_tile_file('q')}
+            ELSE 'no visible change near ' || {_tile_file('q')} END AS justification,
+       CAST(NULL AS VARCHAR) AS error
+FROM rt q LEFT JOIN first f
+  ON q.latitude = f.latitude AND q.longitude = f.longitude AND q.zoom = f.zoom
+""",
+    _FIRST,
+    _tile_cte("rt", "request", "request_id, latitude, longitude, zoom"),
+)
+
+ORACLE["s1_catalogue"] = _q(
+    """
+, cat(seq, display_name, file_name, dataset, slug) AS (VALUES
+  (0, 'Annual Change in Forest Area', 'annual_change_forest_area.csv', 'annual_change_forest_area', 'annual-change-forest-area'),
+  (1, 'Annual Deforestation', 'annual_deforestation.csv', 'annual_deforestation', 'annual-deforestation'),
+  (2, 'Share of Protected Land', 'share_protected_land.csv', 'share_protected_land', 'terrestrial-protected-areas'),
+  (3, 'Share of Degraded Land', 'share_degraded_land.csv', 'share_degraded_land', 'share-degraded-land'),
+  (4, 'Share of Forest-Covered Land', 'share_covered_forest_land.csv', 'share_covered_forest_land', 'forest-area-as-share-of-land-area')
+)
+SELECT c.seq, c.display_name, c.file_name, c.dataset, c.slug,
+       'https://ourworldindata.org/grapher/' || c.slug || '.csv?v=1' AS url,
+       coalesce(o.n, 0) AS observed_rows
+FROM cat c LEFT JOIN (SELECT dataset, count(*) AS n FROM observation GROUP BY dataset) o ON c.dataset = o.dataset
+"""
+)
+
+ORACLE["p7_default_selection"] = _q(
+    """
+, newest AS (SELECT dataset, year FROM avail_ranked WHERE year_rank = 1)
+SELECT d.dataset, b.ISO_A3, b.ADMIN, c.metric, c.entity, c.code, c.year_number,
+       CAST(c.year AS DOUBLE) AS year, c.value
+FROM datasets d CROSS JOIN boundary b
+LEFT JOIN (SELECT c.* FROM clean c JOIN newest n ON c.dataset = n.dataset AND c.year = n.year) c
+  ON c.dataset = d.dataset AND c.code = b.ISO_A3
+"""
+)

@@ -234,3 +234,170 @@ def q_profile(spark, sf_dir):
 def q_metric_profile(spark, sf_dir):
     """P10: per raw column, non-null and numeric-parsable counts."""
     return I.metric_profile(T.observation(spark, sf_dir))
+
+
+# ---- tiles, verdicts, history, cache, workflow -------------------------------------------
+
+
+def _ring_columns(ring):
+    cols = []
+    for i in range(5):
+        cols += [F.round(ring[i][0], 9).alias(f"ring{i}_lon"), F.round(ring[i][1], 9).alias(f"ring{i}_lat")]
+    return cols
+
+
+@register("f1_tiles")
+def q_tiles(spark, sf_dir):
+    """tile key, file name and URL of every request."""
+    from ..functions import tiles as TL
+
+    req = T.request(spark, sf_dir).withColumn("t", TL.tile_xyz("latitude", "longitude", "zoom"))
+    return req.select(
+        "request_id", "t.z", "t.x", "t.y",
+        TL.tile_file_name(F.col("t")).alias("file_name"), TL.tile_url(F.col("t")).alias("url"),
+    )
+
+
+@register("d6_tile_preview")
+def q_tile_preview(spark, sf_dir):
+    """The preview of every request's tile."""
+    from ..plans.preview import tile_preview
+
+    p = tile_preview(T.request(spark, sf_dir))
+    return p.select(
+        "request_id", "tile.z", "tile.x", "tile.y",
+        *[F.round(F.col("bounds")[c], 9).alias(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")],
+        F.round("center.lat", 9).alias("center_lat"), F.round("center.lon", 9).alias("center_lon"),
+        *_ring_columns(F.col("ring")),
+        "zoom_label", "preview_zoom", "lat_label", "lon_label",
+    )
+
+
+@register("f22_verdicts")
+def q_verdicts(spark, sf_dir):
+    """Verdict of every reply (whole texts)."""
+    from ..functions.verdict import parse_verdict
+
+    r = T.reply(spark, sf_dir)
+    v = parse_verdict("raw")
+    return r.select("doc_id", v["danger"].alias("danger"), v["justification"].alias("justification"))
+
+
+@register("a9_risk_kpis")
+def q_risk_kpis(spark, sf_dir):
+    """Risk KPIs of the whole log."""
+    from ..operators.history import risk_kpis
+
+    return risk_kpis(T.analysis_log(spark, sf_dir))
+
+
+@register("d1_history_table")
+def q_history_table(spark, sf_dir):
+    """The History table, all records, newest first."""
+    from ..operators.history import history_table
+
+    return history_table(T.analysis_log(spark, sf_dir), "All", "Newest first")
+
+
+@register("p14_history_at_risk")
+def q_history_at_risk(spark, sf_dir):
+    """The History table filtered to at-risk records, oldest first."""
+    from ..operators.history import history_table
+
+    return history_table(T.analysis_log(spark, sf_dir), "At Risk", "Oldest first")
+
+
+@register("p14_history_safe")
+def q_history_safe(spark, sf_dir):
+    """The History table filtered to safe (``N``) records."""
+    from ..operators.history import history_table
+
+    return history_table(T.analysis_log(spark, sf_dir), "Safe", "Newest first")
+
+
+@register("d2_risk_points")
+def q_risk_points(spark, sf_dir):
+    """The risk map feed (colour as four channels)."""
+    from ..operators.history import risk_points
+
+    p = risk_points(T.analysis_log(spark, sf_dir))
+    return p.select("lat", "lon", "danger", *[p["color"][i].alias(f"color_{c}") for i, c in enumerate("rgba")])
+
+
+def _request_tile_inventory(spark, sf_dir):
+    """Tile inventory fixture: the tiles of every request were fetched."""
+    from ..operators.cache import tile_keys
+
+    return tile_keys(T.request(spark, sf_dir))
+
+
+def _log_tile_inventory(spark, sf_dir):
+    """Tile inventory fixture: the tiles of every logged analysis were fetched."""
+    from ..operators.cache import tile_keys
+
+    return tile_keys(T.analysis_log(spark, sf_dir))
+
+
+@register("d3_detail_records")
+def q_detail_records(spark, sf_dir):
+    """One detail record per log row with its tile and cache flag."""
+    from ..operators.history import detail_records
+
+    out = detail_records(T.analysis_log(spark, sf_dir), _request_tile_inventory(spark, sf_dir))
+    return out.drop("timestamp")
+
+
+@register("j2_cache_lookup")
+def q_cache_lookup(spark, sf_dir):
+    """Every request with the first stored result for its key."""
+    from ..operators.cache import lookup_requests
+
+    return lookup_requests(T.request(spark, sf_dir), T.analysis_log(spark, sf_dir))
+
+
+@register("j3_tile_worklist")
+def q_tile_worklist(spark, sf_dir):
+    """Tiles requests need that are not cached yet (inventory: the
+    tiles of logged analyses)."""
+    from ..operators.cache import tile_work_list
+
+    return tile_work_list(T.request(spark, sf_dir), _log_tile_inventory(spark, sf_dir))
+
+
+@register("w1_process_requests")
+def q_process_requests(spark, sf_dir):
+    """Every request answered from the log or by the (stub)
+    models; the new log rows are not written here."""
+    from ..plans.workflow import StubModelClient, process_requests
+
+    results, _ = process_requests(
+        T.request(spark, sf_dir), T.analysis_log(spark, sf_dir), StubModelClient, "/tiles"
+    )
+    return results
+
+
+@register("s1_catalogue")
+def q_catalogue(spark, sf_dir):
+    """The dataset catalogue with the number of observed rows."""
+    from ..sources.fetch import dataset_catalogue
+
+    counts = T.observation(spark, sf_dir).groupBy("dataset").agg(F.count(F.lit(1)).alias("observed_rows"))
+    cat = dataset_catalogue(spark)
+    out = cat.join(counts, "dataset", "left")
+    return out.select(
+        "seq", "display_name", "file_name", "dataset", "slug", "url",
+        F.coalesce("observed_rows", F.lit(0)).alias("observed_rows"),
+    )
+
+
+@register("p7_default_selection")
+def q_default_selection(spark, sf_dir):
+    """Each dataset at its default (newest available) year, merged."""
+    ind = indicator(spark, sf_dir)
+    newest = Y.available_years(ind).where(F.col("year_rank") == 1).select("dataset", "year")
+    rows = ind.join(F.broadcast(newest), ["dataset", "year"], "left_semi")
+    out = M.merge_boundaries(
+        boundary(spark, sf_dir), rows, code_col="code", group_cols=["dataset"],
+        groups=ind.select("dataset").distinct(),
+    )
+    return nullable_ints_as_double(out, "year")
