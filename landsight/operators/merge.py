@@ -42,9 +42,16 @@ def require_columns(boundary: DataFrame, indicator: DataFrame, code_col: str = "
         raise ValueError(MISSING_CODE_MESSAGE)
 
 
-def clean_indicator_codes(indicator: DataFrame, code_col: str = "Code") -> DataFrame:
-    """Strip the code and keep only three-letter, non-aggregate codes."""
-    out = indicator.withColumn(code_col, clean_code(F.col(code_col)))
+def clean_indicator_codes(
+    indicator: DataFrame, code_col: str = "Code", already_stripped: bool | None = None
+) -> DataFrame:
+    """Strip the code and keep only three-letter, non-aggregate codes.
+
+    The long table's ``code`` is stripped already (``already_stripped``
+    defaults to True for a column named ``code``)."""
+    if already_stripped is None:
+        already_stripped = code_col == "code"
+    out = indicator if already_stripped else indicator.withColumn(code_col, clean_code(F.col(code_col)))
     return out.where(is_valid_code(F.col(code_col)))
 
 
@@ -77,11 +84,18 @@ def merge_boundaries(
     """
     require_columns(boundary, indicator, code_col)
     group_cols = list(group_cols)
-    if group_cols and groups is None:
-        groups = indicator.select(*group_cols).distinct()
     ind = clean_indicator_codes(indicator, code_col)
+    # One distinct-keys aggregate serves both the default groups and the codes
+    # present per group (Spark reuses its exchange), so the large input is
+    # scanned once for keys and once for the matched rows.
+    code = F.col(code_col) if code_col == "code" else clean_code(F.col(code_col))
+    keys = indicator.select(*group_cols, code.alias("__code")).distinct()
     if group_cols:
-        ind = ind.join(F.broadcast(groups), group_cols, "left_semi")
+        if groups is None:
+            groups = keys.select(*group_cols).distinct()
+        else:
+            ind = ind.join(F.broadcast(groups), group_cols, "left_semi")
+            keys = keys.join(F.broadcast(groups), group_cols, "left_semi")
     overlap = (set(boundary.columns) & set(ind.columns)) - set(group_cols)
     if overlap:
         raise ValueError(f"boundary and indicator share columns {sorted(overlap)}; rename first")
@@ -91,13 +105,13 @@ def merge_boundaries(
     left = boundary_per_group(boundary, groups) if group_cols else boundary
 
     if not fits_broadcast(boundary, max_broadcast_rows):
-        keys = [left[c] == ind[c] for c in group_cols] + [left["ISO_A3"] == ind[code_col]]
-        joined = left.join(ind, keys, "left")
+        keys_ = [left[c] == ind[c] for c in group_cols] + [left["ISO_A3"] == ind[code_col]]
+        joined = left.join(ind, keys_, "left")
         return joined.select(*[left[c] for c in group_cols + boundary.columns], *[ind[c] for c in ind_cols])
 
     matched = ind.join(F.broadcast(boundary), ind[code_col] == boundary["ISO_A3"], "inner")
     matched = matched.select(*out_cols)
-    present = ind.select(*group_cols, F.col(code_col).alias("__code")).distinct()
+    present = keys.where(is_valid_code(F.col("__code")))
     anti_keys = [left[c] == present[c] for c in group_cols] + [left["ISO_A3"] == present["__code"]]
     unmatched = left.join(present, anti_keys, "left_anti")
     unmatched = unmatched.select(

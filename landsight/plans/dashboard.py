@@ -39,8 +39,7 @@ class Dashboard:
     def latest_merged(self) -> DataFrame:
         """Every dataset at its latest year, merged with the boundaries."""
         return M.merge_boundaries(
-            self.boundary, Y.filter_latest(self.indicator), code_col="code",
-            group_cols=["dataset"], groups=self.datasets(),
+            self.boundary, Y.filter_latest(self.indicator), code_col="code", group_cols=["dataset"]
         )
 
     def selection_merged(self, dataset: str, year: int | None) -> DataFrame:

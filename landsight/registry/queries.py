@@ -92,12 +92,8 @@ def q_available_years(spark, sf_dir):
 @register("s6_latest_merged")
 def q_latest_merged(spark, sf_dir):
     """Every dataset at its latest year, merged with the boundaries."""
-    ind = indicator(spark, sf_dir)
-    datasets = ind.select("dataset").distinct()
-    latest_rows = Y.filter_latest(ind)
-    out = M.merge_boundaries(
-        boundary(spark, sf_dir), latest_rows, code_col="code", group_cols=["dataset"], groups=datasets
-    )
+    latest_rows = Y.filter_latest(indicator(spark, sf_dir))
+    out = M.merge_boundaries(boundary(spark, sf_dir), latest_rows, code_col="code", group_cols=["dataset"])
     return nullable_ints_as_double(out, "year")
 
 
@@ -127,11 +123,10 @@ def selectable(spark, sf_dir) -> DataFrame:
 
 
 def latest_merged(spark, sf_dir) -> DataFrame:
-    ind = indicator(spark, sf_dir)
-    datasets = ind.select("dataset").distinct()
+    """Every dataset at its latest year, merged (groups: the datasets present)."""
     return M.merge_boundaries(
-        boundary(spark, sf_dir), Y.filter_latest(ind), code_col="code",
-        group_cols=["dataset"], groups=datasets,
+        boundary(spark, sf_dir), Y.filter_latest(indicator(spark, sf_dir)), code_col="code",
+        group_cols=["dataset"],
     )
 
 
