@@ -18,6 +18,7 @@ object) and as ``{"r": text}`` (rejects a trailing ``]``) -- with single quotes
 disallowed.  Duplicate keys keep their last value (struct parse), and key
 presence is read from the map parse.  Replies that are JSON but not objects
 (``[1]``, ``5``, ``null``) fall back to step 4 instead of failing the job.
+A NULL reply (the model call failed) gives a NULL verdict.
 """
 
 from __future__ import annotations
@@ -85,7 +86,10 @@ def parse_verdict(raw) -> Column:
     justification = F.when(~F.map_contains_key(obj, "justification"), stripped).otherwise(
         rec["justification"]
     )
+    ok = F.coalesce(valid, F.lit(False))
+    missing = stripped.isNull()  # no reply at all (failed call): no verdict
     return F.struct(
-        F.when(F.coalesce(valid, F.lit(False)), danger).otherwise(keyword_danger(stripped)).alias("danger"),
-        F.when(F.coalesce(valid, F.lit(False)), justification).otherwise(stripped).alias("justification"),
+        F.when(missing, F.lit(None).cast("string")).when(ok, danger).otherwise(keyword_danger(stripped))
+        .alias("danger"),
+        F.when(ok, justification).otherwise(stripped).alias("justification"),
     )

@@ -105,9 +105,13 @@ def merge_boundaries(
     left = boundary_per_group(boundary, groups) if group_cols else boundary
 
     if not fits_broadcast(boundary, max_broadcast_rows):
-        keys_ = [left[c] == ind[c] for c in group_cols] + [left["ISO_A3"] == ind[code_col]]
-        joined = left.join(ind, keys_, "left")
-        return joined.select(*[left[c] for c in group_cols + boundary.columns], *[ind[c] for c in ind_cols])
+        lhs, rhs = left.alias("__l"), ind.alias("__r")
+        cond = [F.col(f"__l.{c}") == F.col(f"__r.{c}") for c in group_cols]
+        cond.append(F.col("__l.ISO_A3") == F.col(f"__r.{code_col}"))
+        joined = lhs.join(rhs, cond, "left")
+        return joined.select(
+            *[F.col(f"__l.{c}") for c in group_cols + boundary.columns], *[F.col(f"__r.{c}") for c in ind_cols]
+        )
 
     matched = ind.join(F.broadcast(boundary), ind[code_col] == boundary["ISO_A3"], "inner")
     matched = matched.select(*out_cols)

@@ -156,7 +156,11 @@ def process_requests(
     )
     from_model = analysed.select(
         *KEY,
-        F.when(F.col("danger").isNotNull(), F.lit("model")).alias("source"),
+        F.when(
+            F.col("danger").isNotNull() & F.col("image_description_error").isNull()
+            & F.col("raw_reply_error").isNull(),
+            F.lit("model"),
+        ).alias("source"),
         "image_description", "danger", "justification",
         F.coalesce("image_description_error", "raw_reply_error").alias("error"),
     )

@@ -19,12 +19,18 @@ def read_boundaries_geojson(
     spark: SparkSession, path: str, properties: Sequence[str] = ("ISO_A3", "ADMIN")
 ) -> DataFrame:
     """GeoJSON FeatureCollection -> one row per feature with the requested
-    properties and ``geometry`` as GeoJSON text."""
-    doc = spark.read.option("multiLine", True).json(path)
+    properties (as text) and ``geometry`` as GeoJSON text.
+
+    Read with a fixed schema, never inferred: properties as a text map and the
+    geometry as a string field, which keeps its raw JSON whatever the geometry
+    type (inference fails on mixed Polygon / MultiPolygon / Point coordinates).
+    """
+    schema = "features array<struct<properties: map<string,string>, geometry: string>>"
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
     feats = doc.select(F.explode("features").alias("f"))
     return feats.select(
         *[F.col("f.properties")[p].alias(p) for p in properties],
-        F.to_json(F.col("f.geometry")).alias("geometry"),
+        F.col("f.geometry").alias("geometry"),
     )
 
 

@@ -76,13 +76,14 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def read_indicator_csvs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str | None = None) -> DataFrame:
     """S4 + U3: every indicator CSV -> one long table, in one scan per header layout.
 
     Read with an explicit all-text schema (never inferred) taken from each file's
     header; the dataset id comes from ``_metadata.file_name``.  The metric column
     is the last numeric-looking column other than ``Year`` (P10), decided per
-    layout by one aggregate job over the text values.
+    layout by one aggregate job over the text values; ``metric`` names it
+    explicitly instead.
     """
     layouts: dict[tuple, list[str]] = {}
     for p in paths:
@@ -99,12 +100,12 @@ def read_indicator_csvs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             .withColumn("__file", F.col("_metadata.file_name"))
         )
         raw = null_na_tokens(raw, header)
-        metric = choose_metric_column(raw.drop("__file"))
-        if metric is None:
+        chosen = metric if metric in header else choose_metric_column(raw.drop("__file"))
+        if chosen is None:
             raise ValueError(f"no numeric metric column in {list(files)}")
         ds = F.regexp_replace(F.col("__file"), r"\.csv$", "")
         parts.append(
-            to_long(raw.withColumn("__dataset", ds), metric, dataset_col="__dataset")
+            to_long(raw.withColumn("__dataset", ds), chosen, dataset_col="__dataset")
         )
     out = parts[0]
     for p in parts[1:]:

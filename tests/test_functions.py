@@ -120,6 +120,11 @@ REPLIES = [
 ]
 
 
+def test_verdict_of_missing_reply_is_null(spark):
+    v = spark.createDataFrame([(None,)], "raw string").select(verdict.parse_verdict("raw").alias("v")).first().v
+    assert (v.danger, v.justification) == (None, None)
+
+
 def test_verdict_edge_table(spark):
     df = spark.createDataFrame([(r,) for r, _, _ in REPLIES], "raw string")
     got = df.select(verdict.parse_verdict("raw").alias("v")).collect()
