@@ -8,6 +8,8 @@ ranks), not the aggregated plans the Spark side uses.
 
 from __future__ import annotations
 
+from ..config import DEFAULT_MODEL_CONFIG
+
 # Python whitespace set (str.isspace) as an RE2 class.
 _WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -578,3 +580,30 @@ LEFT JOIN (SELECT c.* FROM clean c JOIN newest n ON c.dataset = n.dataset AND c.
   ON c.dataset = d.dataset AND c.code = b.ISO_A3
 """
 )
+
+ORACLE["s4_csv_scan"] = _q(
+    "SELECT dataset, metric, entity, code, year_number, CAST(year AS DOUBLE) AS year, value FROM indicator"
+)
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_LOG_FULL = f"""
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp,
+       CAST(((event_id % 400) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+       CAST(((event_id % 400) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
+       CAST(1 + (event_id % 400) % 20 AS INTEGER) AS zoom,
+       event_type || ' ' || props AS image_description,
+       {_sql_text(DEFAULT_MODEL_CONFIG.image_prompt.strip())} AS image_prompt,
+       'llava:7b' AS image_model,
+       event_type AS text_description,
+       {_sql_text(DEFAULT_MODEL_CONFIG.text_prompt.strip())} AS text_prompt,
+       'mistral:7b' AS text_model,
+       CASE event_type WHEN 'error' THEN 'Y' WHEN 'purchase' THEN 'YES'
+            WHEN 'signup' THEN NULL ELSE 'N' END AS danger
+FROM events
+"""
+
+ORACLE["k1_log_append_read"] = _LOG_FULL.strip()
+ORACLE["k3_log_csv_export_read"] = _LOG_FULL.strip()

@@ -405,3 +405,50 @@ def q_default_selection(spark, sf_dir):
         groups=ind.select("dataset").distinct(),
     )
     return nullable_ints_as_double(out, "year")
+
+
+# ---- sources and sinks, round trips through the shared folder ------------------------------
+
+
+@register("s4_csv_scan")
+def q_csv_scan(spark, sf_dir):
+    """The observations written as CSV (one folder per dataset) and
+    scanned back into the long table in one job."""
+    from ..sources.store import table_path
+
+    path = table_path(spark.range(0), "observation-csv")
+    obs = T.observation(spark, sf_dir)
+    obs.write.partitionBy("dataset").option("header", True).csv(path)
+    long = I.read_indicator_csvs(spark, [path], metric="value")
+    return nullable_ints_as_double(long.select("dataset", *LONG_COLS), "year")
+
+
+@register("k1_log_append_read")
+def q_log_append_read(spark, sf_dir):
+    """The log appended in two batches to a date-partitioned
+    Parquet table and read back with the fixed schema."""
+    from ..sources import log as L
+    from ..sources.store import table_path
+
+    path = table_path(spark.range(0), "log")
+    src = T.analysis_log(spark, sf_dir)
+    L.append_log(src.where(F.col("id") % 2 == 0), path)
+    L.append_log(src.where(F.col("id") % 2 == 1), path)
+    return _timestamp_text(L.read_log(spark, path))
+
+
+@register("k3_log_csv_export_read")
+def q_log_csv_export_read(spark, sf_dir):
+    """The log exported as CSV with a header and parsed back
+    (timestamps by ``try_to_timestamp``)."""
+    from ..sources import log as L
+    from ..sources.store import table_path
+
+    path = table_path(spark.range(0), "log-csv")
+    L.export_log_csv(T.analysis_log(spark, sf_dir), path)
+    return _timestamp_text(L.read_log_csv(spark, path))
+
+
+def _timestamp_text(log: DataFrame) -> DataFrame:
+    """Timestamps as ISO text with microseconds for the cross-engine compare."""
+    return log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -80,7 +80,8 @@ def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str |
     """S4 + U3: every indicator CSV -> one long table, in one scan per header layout.
 
     Read with an explicit all-text schema (never inferred) taken from each file's
-    header; the dataset id comes from ``_metadata.file_name``.  The metric column
+    header; the dataset id comes from a ``dataset=...`` partition folder when
+    there is one, else from ``_metadata.file_name`` (``{dataset}.csv``).  The metric column
     is the last numeric-looking column other than ``Year`` (P10), decided per
     layout by one aggregate job over the text values; ``metric`` names it
     explicitly instead.
@@ -100,10 +101,13 @@ def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str |
             .withColumn("__file", F.col("_metadata.file_name"))
         )
         raw = null_na_tokens(raw, header)
-        chosen = metric if metric in header else choose_metric_column(raw.drop("__file"))
+        chosen = metric if metric in header else choose_metric_column(raw.drop("__file", "dataset"))
         if chosen is None:
             raise ValueError(f"no numeric metric column in {list(files)}")
-        ds = F.regexp_replace(F.col("__file"), r"\.csv$", "")
+        if "dataset" in header:
+            ds = F.col("dataset")
+        else:
+            ds = F.regexp_replace(F.col("__file"), r"\.csv$", "")
         parts.append(
             to_long(raw.withColumn("__dataset", ds), chosen, dataset_col="__dataset")
         )

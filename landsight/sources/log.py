@@ -106,7 +106,13 @@ def append_log(rows: DataFrame, path: str) -> None:
 def export_log_csv(log: DataFrame, path: str) -> None:
     """K3: CSV export with a header line (one per part file), fields quoted
     as needed so multi-line descriptions survive the round trip."""
-    conform(log).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (
+        conform(log).write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        .csv(path)
+    )
 
 
 def log_path_is_empty(path: str) -> bool:
