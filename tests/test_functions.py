@@ -143,3 +143,9 @@ def test_labels(spark):
     assert (r[1].la, r[1].lo5, r[1].rl, list(r[1].rc)) == ("N 0.0000°", "E 38.67989°", "✅ Safe", [22, 163, 74, 200])
     big = spark.createDataFrame([(1234567.891,)], "v double").select(text.number_text("v").alias("t")).first().t
     assert big == "1,234,567.89"
+
+
+def test_signed_degrees(spark):
+    df = spark.createDataFrame([(38.5, "N"), (38.5, "S"), (9.3, "E"), (9.3, "W")], "v double, d string")
+    got = [r.s for r in df.select(tiles.signed_degrees("v", "d").alias("s")).collect()]
+    assert got == [38.5, -38.5, 9.3, -9.3]
