@@ -13,3 +13,22 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _pickle_by_value() -> None:
+    """Ship this package's functions and classes to Python workers by value.
+
+    ``mapInPandas`` callables defined here (model calls, fetches) would
+    otherwise be pickled by reference, and every executor would need the
+    package installed; by value, only PySpark, pandas and pyarrow are needed
+    there."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - PySpark is a hard dependency
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_pickle_by_value()

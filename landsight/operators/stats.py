@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merge import clean_indicator_codes
+from .quantiles import exact_percentiles
 
 
 def merged_kpis(
@@ -127,9 +128,10 @@ def profile(
 
     Plan: columns are unpivoted to long form; text statistics are two
     aggregations (per value, then per column), so a frequent value is counted
-    with map-side partial aggregation instead of in one task.  Exact
-    percentiles keep one count per distinct value and group; pass
-    ``approx_percentiles=True`` for very wide value domains.
+    with map-side partial aggregation instead of in one task.  Percentiles are
+    exact and computed by a distributed sort (``quantiles.exact_percentiles``),
+    so no task holds a whole group; ``approx_percentiles=True`` trades exactness
+    for one pass.
     """
     group_cols = list(group_cols)
     parts = []
@@ -160,22 +162,24 @@ def profile(
         n = df.select(*group_cols, *[F.col(c).cast("double").alias(c) for c in numeric_cols]).unpivot(
             group_cols, list(numeric_cols), "column_name", "v"
         )
-        q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        pct = F.percentile_approx("v", q, 10000) if approx_percentiles else F.percentile(F.col("v"), q)
         num_stats = n.groupBy(*group_cols, "column_name").agg(
             F.count("v").cast("long").alias("count"),
             F.avg("v").alias("mean"),
             F.stddev_samp("v").alias("std"),
             F.min("v").alias("min"),
-            pct.alias("__p"),
             F.max("v").alias("max"),
         )
+        if approx_percentiles:
+            q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+            pct = n.groupBy(*group_cols, "column_name").agg(F.percentile_approx("v", q, 10000).alias("__p"))
+            pct = pct.select(*group_cols, "column_name", *[F.col("__p")[i].alias(c) for i, c in
+                                                           enumerate(("p25", "p50", "p75"))])
+        else:
+            pct = exact_percentiles(n, group_cols + ["column_name"], "v")
+        keys = group_cols + ["column_name"]
+        num_stats = num_stats.join(pct, keys, "left")
         parts.append(
-            num_stats.select(
-                *group_cols, "column_name", "count", "mean", "std", "min",
-                F.col("__p")[0].alias("p25"), F.col("__p")[1].alias("p50"), F.col("__p")[2].alias("p75"),
-                "max",
-            )
+            num_stats.select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
         )
     out = parts[0]
     for p in parts[1:]:

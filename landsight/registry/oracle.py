@@ -607,3 +607,24 @@ FROM events
 
 ORACLE["k1_log_append_read"] = _LOG_FULL.strip()
 ORACLE["k3_log_csv_export_read"] = _LOG_FULL.strip()
+
+ORACLE["s9_tile_fetch"] = _ql(
+    f"""
+, w AS (
+  SELECT DISTINCT z, x, y, {_tile_file()} AS file_name, {_URL} AS url FROM rt
+  WHERE {_tile_file()} NOT IN (SELECT DISTINCT {_tile_file('lt')} FROM lt)
+)
+SELECT file_name, z, x, y, CAST(octet_length(encode(url)) AS BIGINT) AS length FROM w
+""",
+    _tile_cte("rt", "request", "request_id, latitude, longitude, zoom"),
+    _tile_cte("lt", "log", "latitude, longitude, zoom"),
+)
+
+ORACLE["s5_boundaries_geojson"] = _q(
+    """
+SELECT b.ISO_A3, b.ADMIN,
+       '{"coordinates":[' || CAST(n.n_nationkey AS VARCHAR) || ',' || CAST(n.n_regionkey AS VARCHAR)
+         || '],"type":"Point"}' AS geometry
+FROM boundary b JOIN nation n ON b.ADMIN = n.n_name
+"""
+)

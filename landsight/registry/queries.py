@@ -452,3 +452,43 @@ def q_log_csv_export_read(spark, sf_dir):
 def _timestamp_text(log: DataFrame) -> DataFrame:
     """Timestamps as ISO text with microseconds for the cross-engine compare."""
     return log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def _echo_fetch(url: str) -> bytes:
+    """Stand-in for the tile service: the bytes of the URL itself."""
+    return url.encode("utf-8")
+
+
+@register("s9_tile_fetch")
+def q_tile_fetch(spark, sf_dir):
+    """The tile work list fetched (stand-in service) into a
+    folder of the shared checkpoint area, then listed back as the inventory."""
+    from ..operators.cache import tile_work_list
+    from ..sources.fetch import run_fetch, tile_fetch_plan
+    from ..sources.store import table_path
+    from ..sources.tiles import read_tile_inventory
+
+    folder = table_path(spark.range(0), "tiles")
+    work = tile_work_list(T.request(spark, sf_dir), _log_tile_inventory(spark, sf_dir))
+    done = run_fetch(tile_fetch_plan(work, folder), _echo_fetch)
+    failed = done.agg(F.count(F.col("error")).alias("n")).first()["n"]
+    if failed:
+        raise RuntimeError(f"{failed} tile fetches failed")
+    return read_tile_inventory(spark, folder).select("file_name", "z", "x", "y", "length")
+
+
+@register("s5_boundaries_geojson")
+def q_boundaries_geojson(spark, sf_dir):
+    """Boundaries (with a point geometry per nation) written as a GeoJSON
+    text sequence and read back."""
+    from ..sources.boundaries import read_boundaries_geojsonseq, write_boundaries_geojsonseq
+    from ..sources.store import table_path
+
+    n = T.table(spark, sf_dir, "nation")
+    geom = F.format_string('{"type":"Point","coordinates":[%d,%d]}', "n_nationkey", "n_regionkey")
+    b = T.boundary(spark, sf_dir).join(
+        n.select(F.col("n_name").alias("ADMIN"), geom.alias("geometry")), "ADMIN"
+    )
+    path = table_path(spark.range(0), "boundaries-geojsonseq")
+    write_boundaries_geojsonseq(b, path)
+    return read_boundaries_geojsonseq(spark, path)

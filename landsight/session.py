@@ -56,10 +56,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     so that ``DataFrame.checkpoint()`` works everywhere.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect sessions have no SparkContext
+        sc = None
+    if not configured and sc is not None:
+        configured = sc.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="landsight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
     return configured

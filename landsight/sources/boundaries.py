@@ -34,6 +34,31 @@ def read_boundaries_geojson(
     )
 
 
+_FEATURE_SCHEMA = "properties map<string,string>, geometry string"
+
+
+def read_boundaries_geojsonseq(
+    spark: SparkSession, path: str, properties: Sequence[str] = ("ISO_A3", "ADMIN")
+) -> DataFrame:
+    """GeoJSON text sequence (one Feature per line) -> boundary rows.  Unlike a
+    FeatureCollection, which is one document and so one task, the lines are
+    split across tasks."""
+    feats = spark.read.schema(_FEATURE_SCHEMA).json(path)
+    return feats.select(*[F.col("properties")[p].alias(p) for p in properties], "geometry")
+
+
+def write_boundaries_geojsonseq(boundary: DataFrame, path: str, geometry_col: str = "geometry") -> None:
+    """Boundary rows -> GeoJSON text sequence, written in parallel.  The
+    geometry column holds GeoJSON text; properties are all other columns."""
+    props = [c for c in boundary.columns if c != geometry_col]
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.create_map(*[x for c in props for x in (F.lit(c), F.col(c).cast("string"))]).alias("properties"),
+        F.parse_json(F.col(geometry_col)).alias("geometry"),
+    )
+    boundary.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_boundaries_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Boundaries stored as Parquet (``geometry`` as WKB bytes or text)."""
     return spark.read.parquet(path)

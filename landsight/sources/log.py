@@ -8,8 +8,6 @@ interchange.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,8 +111,3 @@ def export_log_csv(log: DataFrame, path: str) -> None:
         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         .csv(path)
     )
-
-
-def log_path_is_empty(path: str) -> bool:
-    """The History page's "no analyses yet" test for a local path."""
-    return not os.path.exists(path) or (os.path.isfile(path) and os.path.getsize(path) == 0)

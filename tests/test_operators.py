@@ -179,3 +179,21 @@ def test_history_sort_and_filter(spark):
     assert ts == sorted(ts)
     with pytest.raises(ValueError):
         history.filter_risk(log, "Maybe")
+
+
+def test_exact_percentiles_match_pandas(spark):
+    import random
+
+    from landsight.operators.quantiles import exact_percentiles
+
+    rnd = random.Random(7)
+    rows = [("hot", float(rnd.choice([1, 2, 2, 3, 50]))) for _ in range(3000)]
+    rows += [("wide", rnd.uniform(-100, 100)) for _ in range(2000)]
+    rows += [("one", 4.5), ("nulls", None), ("nulls", 2.0), ("nulls", 8.0), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", num_partitions=7).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    for g, part in pdf.groupby("g"):
+        for q, col in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]:
+            assert got[g][col] == pytest.approx(part["v"].quantile(q)), (g, q)
+    assert set(got) == {"hot", "wide", "one", "nulls", "two"}
