@@ -464,16 +464,13 @@ def q_tile_fetch(spark, sf_dir):
     """The tile work list fetched (stand-in service) into a
     folder of the shared checkpoint area, then listed back as the inventory."""
     from ..operators.cache import tile_work_list
-    from ..sources.fetch import run_fetch, tile_fetch_plan
+    from ..sources.fetch import fetch_all, tile_fetch_plan
     from ..sources.store import table_path
     from ..sources.tiles import read_tile_inventory
 
     folder = table_path(spark.range(0), "tiles")
     work = tile_work_list(T.request(spark, sf_dir), _log_tile_inventory(spark, sf_dir))
-    done = run_fetch(tile_fetch_plan(work, folder), _echo_fetch)
-    failed = done.agg(F.count(F.col("error")).alias("n")).first()["n"]
-    if failed:
-        raise RuntimeError(f"{failed} tile fetches failed")
+    fetch_all(tile_fetch_plan(work, folder), _echo_fetch)
     return read_tile_inventory(spark, folder).select("file_name", "z", "x", "y", "length")
 
 

@@ -115,19 +115,25 @@ def run_fetch(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
 
 
 def fetch_all(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
-              skip_landed: DataFrame | None = None) -> list:
-    """Run the plan and raise ``RuntimeError`` naming the failed URLs if any
-    fetch failed; returns the per-file results (small: one row per file)."""
-    results = run_fetch(plan, fetch, parallelism, skip_landed).orderBy("seq", "target_path").collect()
-    failed = [r for r in results if r.error is not None]
+              skip_landed: DataFrame | None = None) -> DataFrame:
+    """Run the plan once and raise ``RuntimeError`` naming (up to ten of) the
+    failed URLs if any fetch failed.  The per-file results are checkpointed
+    into the shared folder -- nothing is fetched twice, and nothing but the
+    failure sample reaches the driver -- and returned as a DataFrame."""
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(plan.sparkSession)
+    results = run_fetch(plan, fetch, parallelism, skip_landed).checkpoint(eager=True)
+    failed = results.where(F.col("error").isNotNull()).limit(10).collect()
     if failed:
-        raise RuntimeError("fetch failed: " + "; ".join(f"{r.url}: {r.error}" for r in failed[:10]))
+        raise RuntimeError("fetch failed: " + "; ".join(f"{r.url}: {r.error}" for r in failed))
     return results
 
 
 def download_datasets(spark: SparkSession, fetch: FetchFn, download_dir: str = "downloads") -> list:
-    """S2 + S3 end to end: every dataset CSV and the boundary archive."""
-    return fetch_all(download_plan(spark, download_dir), fetch)
+    """S2 + S3 end to end: every dataset CSV and the boundary archive; returns
+    the six result rows in catalogue order."""
+    return fetch_all(download_plan(spark, download_dir), fetch).orderBy("seq").collect()
 
 
 def plan_targets(results: Sequence) -> list[str]:
