@@ -35,7 +35,7 @@ MISSING_CODE_MESSAGE = "df doesn't have 'Code' (ISO-3)"
 
 
 def require_columns(boundary: DataFrame, indicator: DataFrame, code_col: str = "Code") -> None:
-    """Plan-time guards with the reference messages."""
+    """Plan-time guards with the fixed messages."""
     if "ISO_A3" not in boundary.columns:
         raise ValueError(MISSING_ISO_MESSAGE)
     if code_col not in indicator.columns:

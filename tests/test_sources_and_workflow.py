@@ -183,3 +183,54 @@ def test_materialize_round_trip(spark):
     df = Q.indicator(spark, SF_SMALL, stored=False)
     m = store.materialize(df, "t", ["dataset"])
     assert m.columns == df.columns and m.count() == df.count()
+
+
+def test_csv_na_tokens_and_fractional_years(spark, tmp_path):
+    p = tmp_path / "ind.csv"
+    p.write_text(
+        "Entity,Code,Year,Metric\n"
+        "A,NA,2020,1\n"          # pandas reads NA as missing: code NULL, dropped by the merge
+        "B,BBB,2020.5,2\n"       # fractional year: listed truncated, matches no selection
+        "C,CCC,2020,nan\n"       # missing value
+        "D,DDD,2019,4\n"
+    )
+    long = indicators.read_indicator_csvs(spark, [str(p)])
+    rows = {r.entity: r for r in long.collect()}
+    assert rows["A"].code is None
+    assert (rows["B"].year_number, rows["B"].year) == (2020.5, None)
+    assert rows["C"].value is None
+    from landsight.operators import years
+
+    avail = sorted((r.year, r.year_rank) for r in years.available_years(long).collect())
+    assert avail == [(2019, 2), (2020, 1)]
+    assert years.filter_year(long, 2020).count() == 2  # A and C, not B
+
+
+def test_log_csv_timestamps_with_and_without_fraction(spark, tmp_path):
+    p = tmp_path / "log.csv"
+    header = ",".join(L.LOG_FIELDS)
+    p.write_text(
+        header + "\n"
+        + '2024-05-01T10:00:00+00:00,1.5,2.5,3,"multi\nline ""desc""",ip,vm,just,tp,tm,Y\n'
+        + "2024-05-01T10:00:00.123456+00:00,1.5,2.5,3,d,ip,vm,just,tp,tm,N\n"
+        + "not a time,1.5,2.5,3,d,ip,vm,just,tp,tm,N\n"
+    )
+    got = L.read_log_csv(spark, str(p)).collect()
+    assert got[0].image_description == 'multi\nline "desc"'
+    assert got[0].timestamp is not None and got[1].timestamp.microsecond == 123456
+    assert got[2].timestamp is None
+
+
+def test_cache_key_is_exact(spark):
+    from landsight.operators import cache
+
+    log = spark.createDataFrame(
+        [(1, None, 38.67989, -9.32563, 15, "d", "Y", "j")],
+        "id long, timestamp timestamp, latitude double, longitude double, zoom int, "
+        "image_description string, danger string, text_description string",
+    )
+    req = spark.createDataFrame([(1, 38.67989, -9.32563, 15), (2, 38.679890001, -9.32563, 15),
+                                 (3, 38.67989, -9.32563, 16)],
+                                "request_id long, latitude double, longitude double, zoom int")
+    got = {r.request_id: r.hit for r in cache.lookup_requests(req, log).collect()}
+    assert got == {1: True, 2: False, 3: False}
