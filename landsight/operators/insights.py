@@ -112,18 +112,26 @@ def top_bottom(
 
     Ties keep the alphabetically first countries (the series index is sorted by
     country).  ``side`` is ``top`` or ``bottom``; ``rank`` 1 is the most extreme.
-    The ``row_number() <= k`` filter is planned as a window group limit, so each
-    task keeps only k rows per group before the shuffle.
+    One pass over the series: both ranks come from two windows over the same
+    partitioning (one shuffle), and a row is emitted once per side it is on.
+    The series holds one row per country and group, so the windows are small.
     """
     by = list(by)
     v, c = F.col(value_col), F.col(country_col)
     s = series.where(v.isNotNull())
-    top = s.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(v.desc(), c.asc())))
-    bot = s.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(v.asc(), c.asc())))
-    return (
-        top.where(F.col("rank") <= k).withColumn("side", F.lit("top"))
-        .unionByName(bot.where(F.col("rank") <= k).withColumn("side", F.lit("bottom")))
+    ranked = (
+        s.withColumn("__rt", F.row_number().over(Window.partitionBy(*by).orderBy(v.desc(), c.asc())))
+        .withColumn("__rb", F.row_number().over(Window.partitionBy(*by).orderBy(v.asc(), c.asc())))
+        .where((F.col("__rt") <= k) | (F.col("__rb") <= k))
+    )
+    sides = F.filter(
+        F.array(
+            F.struct(F.lit("top").alias("side"), F.col("__rt").alias("rank")),
+            F.struct(F.lit("bottom").alias("side"), F.col("__rb").alias("rank")),
+        ),
+        lambda x: x["rank"] <= k,
     )
+    return ranked.select(*series.columns, F.inline(sides))
 
 
 def preview_rows(
