@@ -164,3 +164,33 @@ def metric_profile(raw: DataFrame) -> DataFrame:
 
 def datasets_of(files: Sequence[str]) -> list[str]:
     return [dataset_id(f) for f in files]
+
+
+def write_indicator_table(indicator: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Ingest: store the long table as Parquet partitioned by dataset.
+
+    Built once (e.g. after ``read_indicator_csvs``), it is what every dashboard
+    plan should read: per-dataset work prunes to its folders, the typed columns
+    take pushed-down filters, and no plan re-parses the raw text.  With
+    ``spark.sql.sources.partitionOverwriteMode=dynamic``, ``mode="overwrite"``
+    replaces only the datasets present in ``indicator``."""
+    indicator.write.mode(mode).partitionBy("dataset").parquet(path)
+
+
+LONG_SCHEMA = T.StructType(
+    [
+        T.StructField("metric", T.StringType()),
+        T.StructField("entity", T.StringType()),
+        T.StructField("code", T.StringType()),
+        T.StructField("year_number", T.DoubleType()),
+        T.StructField("year", T.IntegerType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("dataset", T.StringType()),
+    ]
+)
+
+
+def read_indicator_table(spark: SparkSession, path: str) -> DataFrame:
+    """The stored long table (fixed schema, dataset partition column)."""
+    df = spark.read.schema(LONG_SCHEMA).parquet(path)
+    return df.select("dataset", "metric", "entity", "code", "year_number", "year", "value")

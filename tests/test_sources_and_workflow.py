@@ -234,3 +234,14 @@ def test_cache_key_is_exact(spark):
                                 "request_id long, latitude double, longitude double, zoom int")
     got = {r.request_id: r.hit for r in cache.lookup_requests(req, log).collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_indicator_table_ingest(spark, tmp_path):
+    long = Q.indicator(spark, SF_SMALL, stored=False)
+    path = str(tmp_path / "indicator")
+    indicators.write_indicator_table(long, path)
+    back = indicators.read_indicator_table(spark, path)
+    assert back.columns == long.columns
+    assert back.count() == long.count()
+    one = back.where(F.col("dataset") == "share_degraded_land")
+    assert "PartitionFilters: [isnotnull(dataset" in one._jdf.queryExecution().executedPlan().toString()
