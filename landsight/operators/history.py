@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.tiles import tile_file_name, tile_xyz
+from .cache import tiles_cached
 
 # Filter and sort choices of the History page.
 FILTERS = ("All", "At Risk", "Safe")
@@ -99,18 +99,12 @@ def detail_records(
     """D3: one detail record per log row -- headline, tile file, whether that
     tile is cached (J3, a left join against the distinct inventory names),
     justification, models and description.  One join, no per-row loop."""
-    rows = filter_risk(log, choice).withColumn(
-        "tile_file", tile_file_name(tile_xyz("latitude", "longitude", "zoom"))
-    )
-    have = tile_inventory.select(F.col("file_name").alias("tile_file")).distinct().withColumn(
-        "tile_cached", F.lit(True)
-    )
-    out = rows.join(have, "tile_file", "left").select(
+    out = tiles_cached(filter_risk(log, choice), tile_inventory).select(
         *[c for c in ["id"] if c in log.columns],
         X.record_headline("danger", "timestamp", "latitude", "longitude", "zoom").alias("headline"),
         X.is_at_risk("danger").alias("at_risk"),
         "tile_file",
-        F.coalesce(F.col("tile_cached"), F.lit(False)).alias("tile_cached"),
+        "tile_cached",
         F.col("text_description").alias("justification"),
         "image_model",
         "text_model",

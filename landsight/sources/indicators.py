@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import dataset_id
 from ..functions.clean import clean_code, integral_year, to_number
 
 # Candidate country columns, in order of preference.
@@ -162,10 +161,6 @@ def metric_profile(raw: DataFrame) -> DataFrame:
     )
 
 
-def datasets_of(files: Sequence[str]) -> list[str]:
-    return [dataset_id(f) for f in files]
-
-
 def write_indicator_table(indicator: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Ingest: store the long table as Parquet partitioned by dataset.
 
