@@ -6,7 +6,8 @@ longitude, zoom``) in a folder.  Each micro-batch runs the batch workflow
 appends the per-request results.  Progress is tracked in the checkpoint
 location; a re-delivered batch is harmless because its keys are looked up in
 the log first -- rows appended before a crash turn into cache hits on replay,
-so nothing is analysed or logged twice.
+so nothing is analysed or logged twice -- and its results overwrite only that
+epoch's folder.
 """
 
 from __future__ import annotations
@@ -61,8 +62,13 @@ def start_request_stream(
             batch, log, client_factory, image_root, config, model_parallelism=model_parallelism
         )
         append_log(new_rows, log_path)
-        results.withColumn("epoch", F.lit(epoch_id)).write.mode("append").partitionBy("epoch").parquet(
-            results_path
+        # A replayed epoch rewrites only its own folder: no duplicate results.
+        (
+            results.withColumn("epoch", F.lit(epoch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("epoch")
+            .parquet(results_path)
         )
 
     writer = (

@@ -245,3 +245,31 @@ def test_indicator_table_ingest(spark, tmp_path):
     assert back.count() == long.count()
     one = back.where(F.col("dataset") == "share_degraded_land")
     assert "PartitionFilters: [isnotnull(dataset" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streaming_history_reports(spark, tmp_path):
+    from landsight.operators.history import risk_kpis
+    from landsight.streaming import history as SH
+
+    log_path = str(tmp_path / "log")
+    src = T.analysis_log(spark, SF_SMALL)
+    L.append_log(src.where("id % 2 = 0"), log_path)
+    L.append_log(src.where("id % 2 = 1"), log_path)
+    batch_log = L.read_log(spark, log_path)
+
+    q = (SH.running_risk_kpis(SH.log_stream(spark, log_path)).writeStream.outputMode("complete")
+         .format("memory").queryName("running_kpis").option("checkpointLocation", str(tmp_path / "c1"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert spark.table("running_kpis").collect()[0].asDict() == risk_kpis(batch_log).collect()[0].asDict()
+
+    out = str(tmp_path / "daily")
+    q2 = SH.start_daily_risk_kpis(spark, log_path, out, str(tmp_path / "c2"), lateness="1 hour",
+                                  available_now=True)
+    q2.awaitTermination(300)
+    daily = {r.day: r for r in spark.read.parquet(out).collect()}
+    by_day = (batch_log.groupBy(F.to_date("timestamp").alias("day"))
+              .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("danger") == "Y").alias("y")).collect())
+    last_day = max(r.day for r in by_day)
+    expected = {r.day: (r.n, r.y) for r in by_day if r.day < last_day}
+    assert {d: (r.total_analyses, r.at_risk) for d, r in daily.items()} == expected
