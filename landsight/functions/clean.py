@@ -29,9 +29,13 @@ def _col(c) -> Column:
 def strip_text(c) -> Column:
     """Strip leading and trailing whitespace (Python ``str.strip`` semantics).
 
-    ``btrim`` with a character set: one pass over the ends of the string, no
-    regular expression, so it stays cheap however often a plan repeats it."""
-    return F.btrim(_col(c).cast("string"), F.lit(WHITESPACE_CHARS))
+    ``btrim`` with a character set (no regular expression), run only when the
+    first or last character is whitespace -- most values need no trimming, and
+    the two one-character tests are much cheaper than the trim itself."""
+    text = _col(c).cast("string")
+    ws = list(WHITESPACE_CHARS)
+    at_edge = F.substring(text, 1, 1).isin(ws) | F.substring(text, -1, 1).isin(ws)
+    return F.when(at_edge, F.btrim(text, F.lit(WHITESPACE_CHARS))).otherwise(text)
 
 
 def clean_code(c) -> Column:
