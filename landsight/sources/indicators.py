@@ -44,8 +44,15 @@ def to_long(
 
     ``metric`` is the column holding the metric values; its name becomes the
     ``metric`` value unless ``metric_name_col`` names a column carrying it.
+    Without a ``Year`` column every row has no year (no years are available);
+    without a ``Code`` column the merge's guard message is raised.
     """
-    year_number = to_number(F.col(year_col))
+    from ..operators.merge import MISSING_CODE_MESSAGE
+
+    if code_col not in raw.columns:
+        raise ValueError(MISSING_CODE_MESSAGE)
+    year_text = F.col(year_col) if year_col in raw.columns else F.lit(None).cast("string")
+    year_number = to_number(year_text)
     metric_name = F.col(metric_name_col) if metric_name_col else F.lit(metric)
     return raw.select(
         F.col(dataset_col).cast("string").alias("dataset"),

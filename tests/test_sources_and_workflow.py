@@ -273,3 +273,16 @@ def test_streaming_history_reports(spark, tmp_path):
     last_day = max(r.day for r in by_day)
     expected = {r.day: (r.n, r.y) for r in by_day if r.day < last_day}
     assert {d: (r.total_analyses, r.at_risk) for d, r in daily.items()} == expected
+
+
+def test_csv_without_year_or_code(spark, tmp_path):
+    from landsight.operators import years
+
+    p = tmp_path / "noyear.csv"
+    p.write_text("Entity,Code,Metric\nA,AAA,1.5\nB,BBB,2\n")
+    long = indicators.read_indicator_csvs(spark, [str(p)])
+    assert long.count() == 2 and years.available_years(long).count() == 0
+    q = tmp_path / "nocode.csv"
+    q.write_text("Entity,Year,Metric\nA,2020,1.5\n")
+    with pytest.raises(ValueError, match=r"df doesn't have 'Code' \(ISO-3\)"):
+        indicators.read_indicator_csvs(spark, [str(q)])
