@@ -82,41 +82,67 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
+def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Header of every CSV file under ``paths``, in one distributed job.
+
+    Lines are read as text with the file path and split start from
+    ``_metadata``; within a split, ``monotonically_increasing_id`` follows the
+    reading order, so each file's first line is its smallest id in the split
+    that starts at byte 0.  Only one line per file reaches the driver."""
+    import csv
+
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        "value",
+        F.monotonically_increasing_id().alias("i"),
+    )
+    first = lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "i").alias("header"))
+    return {r.file: next(csv.reader([r.header])) for r in first.collect()}
+
+
 def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str | None = None) -> DataFrame:
-    """S4 + U3: every indicator CSV -> one long table, in one scan per header layout.
-
-    Read with an explicit all-text schema (never inferred) taken from each file's
-    header; the dataset id comes from a ``dataset=...`` partition folder when
-    there is one, else from ``_metadata.file_name`` (``{dataset}.csv``).  The metric column
-    is the last numeric-looking column other than ``Year`` (P10), decided per
-    layout by one aggregate job over the text values; ``metric`` names it
-    explicitly instead.
+    """S4 + U3: every indicator CSV -> one long table, one scan per header layout.
+
+    Headers come from one job over all files (``csv_headers``); each layout is
+    then read with an explicit all-text schema (never inferred).  The dataset
+    id comes from a ``dataset=...`` partition folder when there is one, else
+    from ``_metadata.file_name`` (``{dataset}.csv``).  The metric column is the
+    last numeric-looking column other than ``Year`` (P10), decided per layout
+    by one aggregate job over the text values; ``metric`` names it explicitly
+    instead.
     """
+    headers = csv_headers(spark, paths)
     layouts: dict[tuple, list[str]] = {}
-    for p in paths:
-        layouts.setdefault(tuple(csv_header(spark, p)), []).append(p)
+    for file, header in headers.items():
+        layouts.setdefault(tuple(header), []).append(file)
     parts = []
     for header, files in layouts.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        # One layout: read the given paths (keeps partition discovery); several:
+        # each layout's own files.
+        sources = list(paths) if len(layouts) == 1 else files
+        cols = list(header)
+        discovered = [] if len(layouts) > 1 else [
+            c for c in spark.read.option("header", True).csv(list(paths)).columns if c not in cols
+        ]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols + discovered])
         raw = (
             spark.read.schema(schema)
             .option("header", True)
             .option("multiLine", True)
             .option("escape", '"')
-            .csv(list(files))
+            .csv(sources)
             .withColumn("__file", F.col("_metadata.file_name"))
         )
-        raw = null_na_tokens(raw, header)
-        chosen = metric if metric in header else choose_metric_column(raw.drop("__file", "dataset"))
+        raw = null_na_tokens(raw, cols)
+        chosen = metric if metric in cols else choose_metric_column(raw.select(*cols))
         if chosen is None:
-            raise ValueError(f"no numeric metric column in {list(files)}")
-        if "dataset" in header:
+            raise ValueError(f"no numeric metric column in {files[:5]}")
+        if "dataset" in raw.columns:
             ds = F.col("dataset")
         else:
             ds = F.regexp_replace(F.col("__file"), r"\.csv$", "")
-        parts.append(
-            to_long(raw.withColumn("__dataset", ds), chosen, dataset_col="__dataset")
-        )
+        parts.append(to_long(raw.withColumn("__dataset", ds), chosen, dataset_col="__dataset"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
