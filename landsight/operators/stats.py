@@ -37,8 +37,9 @@ def merged_kpis(
     ``b * n`` matched ones.
     """
     group_cols = list(group_cols)
-    n_boundary = boundary.count()
     bcount = boundary.groupBy("ISO_A3").agg(F.count(F.lit(1)).alias("__b"))
+    # all boundary rows, as an uncorrelated scalar subquery (no driver action)
+    n_boundary = boundary.select(F.count(F.lit(1))).scalar()
     per_code = (
         clean_indicator_codes(indicator, code_col)
         .groupBy(*group_cols, code_col)
@@ -62,7 +63,7 @@ def merged_kpis(
     with_data = F.coalesce(F.col("__nv"), F.lit(0)).cast("long")
     return out.select(
         *group_cols,
-        (F.lit(n_boundary) + F.coalesce(F.col("__extra"), F.lit(0))).cast("long").alias("countries"),
+        (n_boundary + F.coalesce(F.col("__extra"), F.lit(0))).cast("long").alias("countries"),
         with_data.alias("with_data"),
         F.when(with_data > 0, F.col("__s") / with_data).alias("mean_value"),
         "max_value",
