@@ -13,11 +13,13 @@ a distributed sort:
 3. rank = rows of the group in earlier partitions (a small per-partition,
    per-group table) + running count inside the partition;
 4. the two ranks around each requested position (``q * (n - 1)``) are picked
-   by a broadcast equi-join with the few target positions per group, then
+   by an equi-join with the few target positions per group, then
    interpolated.
 
-No step holds more than one range partition or one group's handful of target
-rows.
+The offset and target tables grow with the number of groups, so they carry no
+broadcast hint: AQE broadcasts them when their run-time size is small (the
+usual case) and otherwise plans a shuffle join whose skewed partitions it
+splits.  No step holds more than one range partition of the data.
 """
 
 from __future__ import annotations
@@ -58,9 +60,7 @@ def exact_percentiles(
     totals = per_part.groupBy(*g).agg(F.sum("__pc").alias("__n"))
     # running count inside a range partition (bounded by the partition size)
     w_run = Window.partitionBy("__pid", *g).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.withColumn("__run", F.sum("__c").over(w_run)).join(
-        F.broadcast(offsets), g + ["__pid"], "inner"
-    )
+    ranked = ranged.withColumn("__run", F.sum("__c").over(w_run)).join(offsets, g + ["__pid"], "inner")
     # 0-based rank interval of each distinct value: [hi - c, hi)
     ranked = ranked.select(
         *g, "__v", (F.col("__off") + F.col("__run")).alias("__hi"), "__c"
@@ -74,7 +74,7 @@ def exact_percentiles(
         *g, "__q", "__pos",
         F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos")))).alias("__k"),
     )
-    hit = ranked.join(F.broadcast(targets), g, "inner").where(
+    hit = ranked.join(targets, g, "inner").where(
         (F.col("__k") >= F.col("__hi") - F.col("__c")) & (F.col("__k") < F.col("__hi"))
     )
     picked = hit.groupBy(*g, "__q", "__pos").agg(

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .broadcast import fits_broadcast
 from .merge import clean_indicator_codes
 from .quantiles import exact_percentiles
 
@@ -51,7 +52,8 @@ def merged_kpis(
             F.min("value").alias("__mn"),
         )
     )
-    joined = per_code.join(F.broadcast(bcount), per_code[code_col] == bcount["ISO_A3"], "inner")
+    small = fits_broadcast(boundary)  # boundary codes: broadcast only after the size check
+    joined = per_code.join(F.broadcast(bcount) if small else bcount, per_code[code_col] == bcount["ISO_A3"], "inner")
     per_group = joined.groupBy(*group_cols).agg(
         F.sum(F.col("__b") * (F.col("__n") - 1)).alias("__extra"),
         F.sum(F.col("__b") * F.col("__nv")).alias("__nv"),
