@@ -50,11 +50,8 @@ def is_valid_code(code) -> Column:
     it is kept as the documented intent.  NULL codes are not valid.
     """
     code = _col(code)
-    return (
-        code.isNotNull()
-        & (F.length(code) == ISO3_LENGTH)
-        & ~code.startswith(AGGREGATE_CODE_PREFIX)
-    )
+    # ``length(NULL) = 3`` is NULL, so NULL codes fail without a third reference.
+    return (F.length(code) == ISO3_LENGTH) & ~code.startswith(AGGREGATE_CODE_PREFIX)
 
 
 # The number grammar pandas accepts -- optional sign, digits with an
