@@ -16,7 +16,10 @@ therefore written as
     result    = matched UNION ALL unmatched
 
 which gives exactly the left-join rows.  When the boundary fails the size check
-it falls back to an ordinary left join (AQE splits skewed partitions there).
+the same decomposition runs with a shuffled inner join instead of a broadcast:
+for an inner join AQE can split a skewed partition of either side, whereas a
+plain left join lets it split only the preserved (boundary) side -- not the
+indicator side, where the hot codes are.
 """
 
 from __future__ import annotations
@@ -104,16 +107,8 @@ def merge_boundaries(
 
     left = boundary_per_group(boundary, groups) if group_cols else boundary
 
-    if not fits_broadcast(boundary, max_broadcast_rows):
-        lhs, rhs = left.alias("__l"), ind.alias("__r")
-        cond = [F.col(f"__l.{c}") == F.col(f"__r.{c}") for c in group_cols]
-        cond.append(F.col("__l.ISO_A3") == F.col(f"__r.{code_col}"))
-        joined = lhs.join(rhs, cond, "left")
-        return joined.select(
-            *[F.col(f"__l.{c}") for c in group_cols + boundary.columns], *[F.col(f"__r.{c}") for c in ind_cols]
-        )
-
-    matched = ind.join(F.broadcast(boundary), ind[code_col] == boundary["ISO_A3"], "inner")
+    b = F.broadcast(boundary) if fits_broadcast(boundary, max_broadcast_rows) else boundary
+    matched = ind.join(b, ind[code_col] == b["ISO_A3"], "inner")
     matched = matched.select(*out_cols)
     present = keys.where(is_valid_code(F.col("__code")))
     anti_keys = [left[c] == present[c] for c in group_cols] + [left["ISO_A3"] == present["__code"]]

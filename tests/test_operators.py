@@ -51,6 +51,15 @@ def test_merge_per_group_and_fallback_agree(spark):
     fast = merge.merge_boundaries(b, latest, code_col="code", group_cols=["dataset"])
     slow = merge.merge_boundaries(b, latest, code_col="code", group_cols=["dataset"], max_broadcast_rows=1)
     assert _merge_rows(fast) == _merge_rows(slow)
+    # both equal a plain per-dataset left join on the cleaned codes
+    datasets = latest.select("dataset").distinct()
+    valid = latest.where(F.length("code") == 3)
+    plain = b.crossJoin(datasets).alias("l").join(
+        valid.alias("r"),
+        (F.col("l.dataset") == F.col("r.dataset")) & (F.col("l.ISO_A3") == F.col("r.code")),
+        "left",
+    ).select("l.dataset", "l.ISO_A3", "l.ADMIN", *[F.col(f"r.{c}") for c in latest.columns if c != "dataset"])
+    assert _merge_rows(fast) == _merge_rows(plain)
     # every boundary row appears in every dataset
     per = fast.groupBy("dataset").agg(F.countDistinct("ISO_A3", "ADMIN").alias("n")).collect()
     assert {r.n for r in per} == {b.count()}
