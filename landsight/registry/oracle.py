@@ -622,9 +622,11 @@ SELECT file_name, z, x, y, CAST(octet_length(encode(url)) AS BIGINT) AS length F
 
 ORACLE["s5_boundaries_geojson"] = _q(
     """
-SELECT b.ISO_A3, b.ADMIN,
-       '{"coordinates":[' || CAST(n.n_nationkey AS VARCHAR) || ',' || CAST(n.n_regionkey AS VARCHAR)
+SELECT CASE WHEN s_nationkey >= 23 THEN '-99'
+            ELSE 'N' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') END AS ISO_A3,
+       s_name AS ADMIN,
+       '{"coordinates":[' || CAST(s_suppkey AS VARCHAR) || ',' || CAST(s_nationkey AS VARCHAR)
          || '],"type":"Point"}' AS geometry
-FROM boundary b JOIN nation n ON b.ADMIN = n.n_name
+FROM supplier
 """
 )

@@ -476,15 +476,18 @@ def q_tile_fetch(spark, sf_dir):
 
 @register("s5_boundaries_geojson")
 def q_boundaries_geojson(spark, sf_dir):
-    """Boundaries (with a point geometry per nation) written as a GeoJSON
-    text sequence and read back."""
+    """Site-level boundary features -- one per supplier, coded by its
+    nation, with a point geometry -- written as a GeoJSON text sequence and
+    read back (the feature count grows with the data)."""
     from ..sources.boundaries import read_boundaries_geojsonseq, write_boundaries_geojsonseq
     from ..sources.store import table_path
 
-    n = T.table(spark, sf_dir, "nation")
-    geom = F.format_string('{"type":"Point","coordinates":[%d,%d]}', "n_nationkey", "n_regionkey")
-    b = T.boundary(spark, sf_dir).join(
-        n.select(F.col("n_name").alias("ADMIN"), geom.alias("geometry")), "ADMIN"
+    su = T.table(spark, sf_dir, "supplier")
+    geom = F.format_string('{"type":"Point","coordinates":[%d,%d]}', "s_suppkey", "s_nationkey")
+    b = su.select(
+        T.boundary_code(F.col("s_nationkey")).alias("ISO_A3"),
+        F.col("s_name").alias("ADMIN"),
+        geom.alias("geometry"),
     )
     path = table_path(spark.range(0), "boundaries-geojsonseq")
     write_boundaries_geojsonseq(b, path)

@@ -58,13 +58,16 @@ def _nation_code(nationkey) -> F.Column:
     return F.concat(F.lit("N"), F.lpad(nationkey.cast("string"), 2, "0"))
 
 
+def boundary_code(nationkey) -> F.Column:
+    """The boundary code of a nation; nations 23+ share the unmatched ``-99``."""
+    return F.when(nationkey >= 23, F.lit("-99")).otherwise(_nation_code(nationkey))
+
+
 def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries: one row per nation; nations 23+ share the unmatched code ``-99``."""
+    """Boundaries: one row per nation (``ISO_A3``, ``ADMIN``)."""
     n = table(spark, sf_dir, "nation")
     return n.select(
-        F.when(F.col("n_nationkey") >= 23, F.lit("-99"))
-        .otherwise(_nation_code(F.col("n_nationkey")))
-        .alias("ISO_A3"),
+        boundary_code(F.col("n_nationkey")).alias("ISO_A3"),
         F.col("n_name").alias("ADMIN"),
     )
 
