@@ -34,8 +34,21 @@ def coordinate_label(value, axis: str, decimals: int = 4) -> Column:
 
 
 def number_text(value, decimals: int = 2) -> Column:
-    """``1,234.56`` -- thousands separators, fixed decimals."""
-    return F.format_number(_c(value), decimals)
+    """``1,234.56`` -- thousands separators, fixed decimals, ties
+    to even on the exact binary value (as Python's format).  Infinities and
+    NaN print as Python prints them (``inf``, ``-inf``, ``nan``), not ``∞``."""
+    v = _c(value).cast("double")
+    return (
+        F.when(F.isnan(v), F.lit("nan"))
+        .when(v == F.lit(float("inf")), F.lit("inf"))
+        .when(v == F.lit(float("-inf")), F.lit("-inf"))
+        .otherwise(F.format_number(v, decimals))
+    )
+
+
+def count_text(value) -> Column:
+    """``{:,}`` of a count: ``1,234``."""
+    return F.format_number(_c(value).cast("long"), 0)
 
 
 def timestamp_text(ts) -> Column:

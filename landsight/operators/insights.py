@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import number_text
 from .broadcast import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast
 from .merge import clean_indicator_codes
 from .stats import country_means
@@ -134,6 +135,12 @@ def top_bottom(
     return ranked.select(*series.columns, F.inline(sides))
 
 
+def bar_labels(ranked: DataFrame, value_col: str = "value") -> DataFrame:
+    """the text printed next to each top/bottom bar -- one decimal with
+    thousands separators."""
+    return ranked.withColumn("bar_label", number_text(value_col, 1))
+
+
 def preview_rows(
     rows: DataFrame,
     by: Sequence[str],

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import count_text, number_text
 from .broadcast import fits_broadcast
 from .merge import clean_indicator_codes
 from .quantiles import exact_percentiles
@@ -73,6 +74,22 @@ def merged_kpis(
     )
 
 
+KPI_COLUMNS = ("countries", "with_data", "mean_value", "max_value", "min_value")
+
+
+def kpi_text(kpis: DataFrame) -> DataFrame:
+    """F11 on D5: the KPI row as the dashboard shows it -- counts as ``1,234``;
+    mean, max and min as ``1,234.56``, present only when some row has data."""
+    keys = [c for c in kpis.columns if c not in KPI_COLUMNS]
+    shown = F.col("with_data") > 0
+    return kpis.select(
+        *keys,
+        count_text("countries").alias("countries_text"),
+        count_text("with_data").alias("with_data_text"),
+        *[F.when(shown, number_text(c)).alias(f"{c}_text") for c in ("mean_value", "max_value", "min_value")],
+    )
+
+
 def country_means(
     rows: DataFrame,
     group_cols: Sequence[str],

@@ -52,6 +52,10 @@ class Dashboard:
         groups = self.available_years().select("dataset", "year")
         return S.merged_kpis(self.boundary, self.indicator, groups)
 
+    def kpi_text(self) -> DataFrame:
+        """the KPI row as display text."""
+        return S.kpi_text(self.kpis())
+
     def choropleth(self) -> DataFrame:
         """Map feed of every dataset at its latest year."""
         return S.choropleth_scale(self.latest_merged(), ["dataset"])
@@ -71,4 +75,4 @@ class Dashboard:
         """I3 page form: top and bottom ``k`` country means per dataset and year."""
         rows = self.matched().where(F.col("year").isNotNull())
         means = S.country_means(rows, ["dataset", "year"])
-        return N.top_bottom(means, ["dataset", "year"], value_col="mean_value", k=k)
+        return N.bar_labels(N.top_bottom(means, ["dataset", "year"], value_col="mean_value", k=k), "mean_value")

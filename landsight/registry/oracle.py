@@ -630,3 +630,36 @@ SELECT CASE WHEN s_nationkey >= 23 THEN '-99'
 FROM supplier
 """
 )
+
+# ---- display text (F5, F11, F12) -----------------------------------------------------------
+
+ORACLE["f11_kpi_text"] = (
+    "SELECT dataset, year, format('{:,}', countries) AS countries_text, "
+    "format('{:,}', with_data) AS with_data_text, "
+    "CASE WHEN with_data > 0 THEN format('{:,.2f}', mean_value) END AS mean_value_text, "
+    "CASE WHEN with_data > 0 THEN format('{:,.2f}', max_value) END AS max_value_text, "
+    "CASE WHEN with_data > 0 THEN format('{:,.2f}', min_value) END AS min_value_text\n"
+    "FROM (" + ORACLE["d5_kpis"] + ") k"
+)
+
+ORACLE["f12_bar_labels"] = (
+    "SELECT *, format('{:,.1f}', mean_value) AS bar_label\nFROM (" + ORACLE["i3_top_bottom"] + ") t"
+)
+
+ORACLE["f5_coordinate_entry"] = _ql(
+    f"""
+, e AS (
+  SELECT request_id, abs(latitude) AS lat_abs, CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END AS lat_dir,
+         abs(longitude) AS lon_abs, CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END AS lon_dir, zoom
+  FROM request
+), s AS (
+  SELECT request_id, lat_dir, lon_dir, zoom,
+         CASE WHEN lat_dir = 'N' THEN lat_abs ELSE -lat_abs END AS latitude,
+         CASE WHEN lon_dir = 'E' THEN lon_abs ELSE -lon_abs END AS longitude
+  FROM e
+)
+SELECT request_id, lat_dir, lon_dir, latitude, longitude, zoom,
+       {_label('latitude', 'N', 'S', 5)} AS lat_label, {_label('longitude', 'E', 'W', 5)} AS lon_label
+FROM s
+"""
+)

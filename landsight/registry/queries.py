@@ -240,6 +240,20 @@ def q_metric_profile(spark, sf_dir):
     return I.metric_profile(T.observation(spark, sf_dir))
 
 
+@register("f11_kpi_text")
+def q_kpi_text(spark, sf_dir):
+    """F11 on D5: the KPI row as display text."""
+    return S.kpi_text(q_kpis(spark, sf_dir))
+
+
+@register("f12_bar_labels")
+def q_bar_labels(spark, sf_dir):
+    """F12 on I3: the top and bottom bars per dataset and year with their labels."""
+    from ..operators.insights import bar_labels
+
+    return bar_labels(q_top_bottom(spark, sf_dir), "mean_value")
+
+
 # ---- tiles, verdicts, history, cache, workflow -------------------------------------------
 
 
@@ -277,6 +291,23 @@ def q_tile_preview(spark, sf_dir):
     )
 
 
+@register("f5_coordinate_entry")
+def q_coordinate_entry(spark, sf_dir):
+    """form entries (magnitude and hemisphere) -> signed degrees and the
+    five-decimal labels of the workflow page."""
+    from ..functions import text as X
+    from ..functions import tiles as TL
+
+    e = T.coordinate_entry(spark, sf_dir)
+    lat = TL.signed_degrees("lat_abs", "lat_dir")
+    lon = TL.signed_degrees("lon_abs", "lon_dir")
+    return e.select(
+        "request_id", "lat_dir", "lon_dir", lat.alias("latitude"), lon.alias("longitude"), "zoom",
+        X.coordinate_label(lat, "lat", 5).alias("lat_label"),
+        X.coordinate_label(lon, "lon", 5).alias("lon_label"),
+    )
+
+
 @register("f22_verdicts")
 def q_verdicts(spark, sf_dir):
     """Verdict of every reply (whole texts)."""

@@ -156,6 +156,21 @@ def request(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def coordinate_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests as the workflow form takes them: a magnitude and a
+    hemisphere letter per axis."""
+    r = request(spark, sf_dir)
+    lat, lon = F.col("latitude"), F.col("longitude")
+    return r.select(
+        "request_id",
+        F.abs(lat).alias("lat_abs"),
+        F.when(lat >= 0, F.lit("N")).otherwise(F.lit("S")).alias("lat_dir"),
+        F.abs(lon).alias("lon_abs"),
+        F.when(lon >= 0, F.lit("E")).otherwise(F.lit("W")).alias("lon_dir"),
+        "zoom",
+    )
+
+
 def reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw model replies of eight kinds; kind 7 is a whole document text."""
     d = table(spark, sf_dir, "documents")

@@ -143,6 +143,10 @@ def test_labels(spark):
     assert (r[1].la, r[1].lo5, r[1].rl, list(r[1].rc)) == ("N 0.0000°", "E 38.67989°", "✅ Safe", [22, 163, 74, 200])
     big = spark.createDataFrame([(1234567.891,)], "v double").select(text.number_text("v").alias("t")).first().t
     assert big == "1,234,567.89"
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (0.125,), (-1234.565,)], "v double")
+    got = [(r.t2, r.t1) for r in odd.select(text.number_text("v").alias("t2"), text.number_text("v", 1).alias("t1")).collect()]
+    assert got == [(f"{v:,.2f}", f"{v:,.1f}") for v in (float("inf"), float("-inf"), float("nan"), 0.125, -1234.565)]
+    assert spark.range(1).select(text.count_text(F.lit(1234567)).alias("c")).first().c == "1,234,567"
 
 
 def test_signed_degrees(spark):
