@@ -52,8 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster).  Only when it is
-    unset -- local runs and tests -- a private folder is created and registered,
-    so that ``DataFrame.checkpoint()`` works everywhere.
+    unset on a ``local`` master -- local runs and tests -- a private folder is
+    created and registered; on a cluster an unset folder is an error, since a
+    driver-local folder is not shared with the executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -63,6 +64,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getCheckpointDir()
     if not configured:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            # a folder on the driver's disk is not visible to executors
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder every executor shares")
         configured = tempfile.mkdtemp(prefix="landsight-ckpt-")
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", configured)
