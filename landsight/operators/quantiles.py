@@ -7,7 +7,7 @@ interpolated percentiles (pandas ``quantile``, DuckDB ``quantile_cont``) with
 a distributed sort:
 
 1. count rows per (group, value) -- map-side combined, so a frequent value is
-   one row whatever its count;
+   one row whatever its count (or take such counts as input);
 2. range-partition the distinct (group, value) pairs and sort them inside each
    partition: a big group spreads over many partitions;
 3. rank = rows of the group in earlier partitions (a small per-partition,
@@ -36,15 +36,22 @@ def exact_percentiles(
     value_col: str,
     quantiles: Sequence[float] = (0.25, 0.5, 0.75),
     num_partitions: int | None = None,
+    count_col: str | None = None,
 ) -> DataFrame:
     """Per group: ``p{q}`` columns (e.g. ``p25, p50, p75``) of ``value_col``,
-    NULL values ignored, NULL when the group has no value."""
+    NULL values ignored, NULL when the group has no value.  With ``count_col``
+    the input is already one row per (group, value) with its row count."""
     g = list(group_cols)
-    counts = (
-        df.where(F.col(value_col).isNotNull())
-        .groupBy(*g, F.col(value_col).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
+    if count_col:
+        counts = df.where(F.col(value_col).isNotNull()).select(
+            *g, F.col(value_col).alias("__v"), F.col(count_col).alias("__c")
+        )
+    else:
+        counts = (
+            df.where(F.col(value_col).isNotNull())
+            .groupBy(*g, F.col(value_col).alias("__v"))
+            .agg(F.count(F.lit(1)).alias("__c"))
+        )
     n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         counts.repartitionByRange(n_parts, *[F.col(c) for c in g], F.col("__v"))

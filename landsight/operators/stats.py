@@ -144,70 +144,75 @@ def profile(
     Text columns get ``count, unique, top, freq``; numeric columns get
     ``count, mean, std, min, p25, p50, p75, max`` (sample std, linearly
     interpolated percentiles); the other statistics are NULL.  ``top`` breaks
-    count ties by the smallest value.
-
-    Plan: columns are unpivoted to long form; text statistics are two
-    aggregations (per value, then per column), so a frequent value is counted
-    with map-side partial aggregation instead of in one task.  Percentiles are
-    exact and computed by a distributed sort (``quantiles.exact_percentiles``),
-    so no task holds a whole group; ``approx_percentiles=True`` trades exactness
-    for one pass.
+    count ties by the smallest value.  NaN counts as missing.
+
+    Plan: one pass over the input.  Every column is unpivoted and counted per
+    (group, column, value) -- a partial + final aggregation, so a frequent value
+    is one row per task across the shuffle.  Those counts are stored once in the
+    shared folder, and every statistic derives from them: text statistics and
+    numeric sums, extremes and counts in one aggregation; the standard deviation
+    in a second pass around the mean (numerically stable); exact percentiles by
+    a distributed sort of the distinct values (``quantiles.exact_percentiles``),
+    so no task holds a whole group.  ``approx_percentiles=True`` uses
+    ``percentile_approx`` instead.
     """
-    group_cols = list(group_cols)
-    parts = []
-    if text_cols:
-        t = df.select(*group_cols, *[F.col(c).cast("string").alias(c) for c in text_cols]).unpivot(
-            group_cols, list(text_cols), "column_name", "v"
-        )
-        per_value = t.where(F.col("v").isNotNull()).groupBy(*group_cols, "column_name", "v").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        # Columns that are entirely NULL still get a row with count 0.
-        names = t.select(*group_cols, "column_name").distinct()
-        text_stats = per_value.groupBy(*group_cols, "column_name").agg(
-            F.sum("n").alias("count"),
-            F.count(F.lit(1)).alias("unique"),
-            F.min_by(F.struct(F.col("v"), F.col("n")), F.struct(-F.col("n"), F.col("v"))).alias("__top"),
-        )
-        text_stats = names.join(text_stats, group_cols + ["column_name"], "left").select(
-            *group_cols,
-            "column_name",
-            F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
-            F.col("unique").cast("long").alias("unique"),
-            F.col("__top.v").alias("top"),
-            F.col("__top.n").cast("long").alias("freq"),
-        )
-        parts.append(text_stats)
-    if numeric_cols:
-        n = df.select(*group_cols, *[F.col(c).cast("double").alias(c) for c in numeric_cols]).unpivot(
-            group_cols, list(numeric_cols), "column_name", "v"
-        )
-        num_stats = n.groupBy(*group_cols, "column_name").agg(
-            F.count("v").cast("long").alias("count"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-        )
-        if approx_percentiles:
-            q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-            pct = n.groupBy(*group_cols, "column_name").agg(F.percentile_approx("v", q, 10000).alias("__p"))
-            pct = pct.select(*group_cols, "column_name", *[F.col("__p")[i].alias(c) for i, c in
-                                                           enumerate(("p25", "p50", "p75"))])
-        else:
-            pct = exact_percentiles(n, group_cols + ["column_name"], "v")
-        keys = group_cols + ["column_name"]
-        num_stats = num_stats.join(pct, keys, "left")
-        parts.append(
-            num_stats.select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    from ..sources.store import materialize
+
+    g = list(group_cols)
+    keys = g + ["column_name"]
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("t"), no_number.alias("x"))
+        for c in text_cols
+    ] + [
+        F.struct(F.lit(c).alias("column_name"), no_text.alias("t"),
+                 F.nanvl(F.col(c).cast("double"), no_number).alias("x"))
+        for c in numeric_cols
+    ]
+    stacked = df.select(*g, F.inline(F.array(*entries)))
+    counts = materialize(
+        stacked.groupBy(*keys, "t", "x").agg(F.count(F.lit(1)).alias("n")), "profile-counts"
+    )
+
+    t, x, n = F.col("t"), F.col("x"), F.col("n")
+    is_text = F.col("column_name").isin(list(text_cols)) if text_cols else F.lit(False)
+    stats = counts.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(t.isNotNull() | x.isNotNull(), n)), F.lit(0)).cast("long").alias("count"),
+        F.count(t).cast("long").alias("__unique"),
+        F.min_by(F.struct(t.alias("v"), n.alias("c")), F.when(t.isNotNull(), F.struct(-n, t))).alias("__top"),
+        F.sum(x * n).alias("__sum"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+    )
+    stats = stats.withColumn("mean", F.when(F.col("count") > 0, F.col("__sum") / F.col("count")))
+    # second pass around the mean: sum of squared deviations per group
+    dev = (
+        counts.where(x.isNotNull())
+        .join(stats.select(*keys, F.col("mean").alias("__mean")), keys, "inner")
+        .groupBy(*keys)
+        .agg(F.sum(n * (x - F.col("__mean")) * (x - F.col("__mean"))).alias("__ss"))
+    )
+    if approx_percentiles:
+        q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        raw = stacked.where(x.isNotNull())
+        pct = raw.groupBy(*keys).agg(F.percentile_approx("x", q, 10000).alias("__p")).select(
+            *keys, *[F.col("__p")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))]
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    cols = group_cols + ["column_name", "count", "unique", "top", "freq",
-                         "mean", "std", "min", "p25", "p50", "p75", "max"]
-    for c in cols:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("double" if c not in ("unique", "freq", "top") else
-                                                  ("string" if c == "top" else "long")))
-    return out.select(*cols)
+    else:
+        pct = exact_percentiles(counts.where(x.isNotNull()), keys, "x", count_col="n")
+    out = stats.join(dev, keys, "left").join(pct, keys, "left")
+    numeric = ~is_text
+    return out.select(
+        *keys,
+        "count",
+        F.when(is_text, F.col("__unique")).alias("unique"),
+        F.when(is_text, F.col("__top.v")).alias("top"),
+        F.when(is_text, F.col("__top.c")).cast("long").alias("freq"),
+        F.when(numeric, F.col("mean")).alias("mean"),
+        F.when(numeric & (F.col("count") > 1), F.sqrt(F.col("__ss") / (F.col("count") - 1))).alias("std"),
+        F.when(numeric, F.col("min")).alias("min"),
+        F.when(numeric, F.col("p25")).alias("p25"),
+        F.when(numeric, F.col("p50")).alias("p50"),
+        F.when(numeric, F.col("p75")).alias("p75"),
+        F.when(numeric, F.col("max")).alias("max"),
+    )

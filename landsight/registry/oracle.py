@@ -282,7 +282,7 @@ nl AS (
   SELECT dataset, 'year_number' AS column_name, year_number AS v FROM lm
   UNION ALL SELECT dataset, 'value', value FROM lm
 )
-SELECT dataset, column_name, count, CAST(CASE WHEN count > 0 THEN cnt_unique END AS DOUBLE) AS "unique", top,
+SELECT dataset, column_name, count, CAST(cnt_unique AS DOUBLE) AS "unique", top,
        CAST(freq AS DOUBLE) AS freq,
        CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min,
        CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75,

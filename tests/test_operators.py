@@ -125,6 +125,17 @@ def test_profile_matches_pandas_describe(spark):
         assert out["v"][col] == pytest.approx(d.loc[stat, "v"])
 
 
+def test_profile_empty_and_constant_columns(spark):
+    """All-NULL text and numeric columns and a one-value column, as pandas describes them."""
+    pdf = pd.DataFrame({"g": ["x"] * 3, "s": pd.Series([None] * 3, dtype=object),
+                        "v": [None, None, None], "w": [7.0, None, None]})
+    df = spark.createDataFrame(pdf, "g string, s string, v double, w double")
+    out = {r.column_name: r for r in stats.profile(df, ["g"], ["s"], ["v", "w"]).collect()}
+    assert (out["s"]["count"], out["s"]["unique"], out["s"]["top"], out["s"]["freq"]) == (0, 0, None, None)
+    assert out["v"]["count"] == 0 and out["v"]["mean"] is None and out["v"]["p50"] is None
+    assert (out["w"]["count"], out["w"]["mean"], out["w"]["std"], out["w"]["p25"]) == (1, 7.0, None, 7.0)
+
+
 def test_choropleth_scale(spark):
     m = spark.createDataFrame(
         [("d", "A", 1.0), ("d", "B", 3.0), ("d", "C", None), ("e", "A", 2.0), ("f", "A", None)],
