@@ -55,6 +55,11 @@ def _map_model(df: DataFrame, in_col: str, out_col: str, call: Callable, client_
                 client = client_factory()
             outs, errs = [], []
             for value in pdf[in_col]:
+                if value is None or (isinstance(value, float) and value != value):
+                    # no input (an earlier step failed): no call, no new error
+                    outs.append(None)
+                    errs.append(None)
+                    continue
                 try:
                     outs.append(call(client, value))
                     errs.append(None)
@@ -113,16 +118,15 @@ def analyse_keys(
     config: ModelConfig = DEFAULT_MODEL_CONFIG,
     model_parallelism: int | None = None,
 ) -> DataFrame:
-    """Tile, describe and assess every distinct key (one model pass per key)."""
+    """Tile, describe and assess every distinct key (each model called at
+    most once per key)."""
     work = keys.withColumn("tile_file", tile_file_name(tile_xyz("latitude", "longitude", "zoom")))
     work = work.withColumn("image_path", F.concat(F.lit(image_root.rstrip("/") + "/"), F.col("tile_file")))
     if model_parallelism:
         work = work.repartition(model_parallelism)
-    described = describe_images(work, client_factory, config)
-    ok = described.where(F.col("image_description_error").isNull())
-    return assess_descriptions(ok, client_factory, config).unionByName(
-        described.where(F.col("image_description_error").isNotNull()), allowMissingColumns=True
-    )
+    # One linear pass: a row whose description failed has no prompt, so the
+    # text model skips it -- each model is called at most once per key.
+    return assess_descriptions(describe_images(work, client_factory, config), client_factory, config)
 
 
 def process_requests(

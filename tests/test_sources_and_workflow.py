@@ -163,6 +163,34 @@ def test_workflow_model_errors_are_rows(spark):
     assert new_rows.where(F.col("danger").isNull()).count() == 0
 
 
+def test_each_model_called_once_per_missing_key(spark, tmp_path):
+    """Every call is recorded in a file (one line per call, from any worker)."""
+    calls = str(tmp_path / "calls.txt")
+
+    class _Counting(StubModelClient):  # local: shipped to the workers by value
+        def describe(self, image_path, config):
+            with open(calls, "a") as f:
+                f.write("describe\n")
+            if image_path.endswith("_1.png"):
+                raise RuntimeError("no tile")
+            return super().describe(image_path, config)
+
+        def assess(self, prompt, config):
+            with open(calls, "a") as f:
+                f.write("assess\n")
+            return super().assess(prompt, config)
+
+    req = T.request(spark, SF_SMALL)
+    results, new_rows = process_requests(req, L.empty_log(spark), _Counting, "/tiles")
+    results.collect()
+    new_rows.collect()
+    n_keys = req.select("latitude", "longitude", "zoom").distinct().count()
+    lines = open(calls).read().split()
+    failed = results.where(F.col("error").isNotNull()).select("latitude", "longitude", "zoom").distinct().count()
+    assert lines.count("describe") == n_keys
+    assert lines.count("assess") == n_keys - failed and failed > 0
+
+
 def test_streaming_requests(spark, tmp_path):
     src = tmp_path / "requests"
     req = T.request(spark, SF_SMALL)
