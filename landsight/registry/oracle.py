@@ -465,6 +465,18 @@ FROM k
 )
 
 
+ORACLE["a9_daily_risk_kpis"] = _ql(
+    """
+, k AS (SELECT CAST(timestamp AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE danger = 'Y') AS y,
+               count(*) FILTER (WHERE danger = 'N') AS n FROM log GROUP BY 1)
+SELECT strftime(day, '%Y-%m-%d') AS day, total AS total_analyses, y AS at_risk, total - y AS safe,
+       CAST(round_even(y / total * 100, 0) AS BIGINT) AS risk_rate_pct,
+       y AS showing_at_risk, n AS showing_safe
+FROM k
+"""
+)
+
+
 def _history(where: str) -> str:
     return _ql(
         f"""

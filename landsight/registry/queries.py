@@ -326,6 +326,16 @@ def q_risk_kpis(spark, sf_dir):
     return risk_kpis(T.analysis_log(spark, sf_dir))
 
 
+@register("a9_daily_risk_kpis")
+def q_daily_risk_kpis(spark, sf_dir):
+    """A9, A10 per analysis day: the report the streaming query emits as days
+    close (``streaming.history.daily_risk_kpis``), over the whole log at once."""
+    from ..streaming.history import daily_risk_kpis
+
+    out = daily_risk_kpis(T.analysis_log(spark, sf_dir))
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))  # text: engines type dates differently
+
+
 @register("d1_history_table")
 def q_history_table(spark, sf_dir):
     """The History table, all records, newest first."""
