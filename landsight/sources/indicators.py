@@ -82,16 +82,37 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Header of every CSV file under ``paths``, in one distributed job.
+# Up to this many files, large files' headers are read file by file.
+HEADER_READS_MAX = 64
 
-    Lines are read as text with the file path and split start from
+
+def csv_headers(
+    spark: SparkSession, paths: Sequence[str], per_file: bool | None = None
+) -> dict[str, list[str]]:
+    """Header of every CSV file under ``paths``; one line per file reaches the driver.
+
+    Few large files (more splits than files; ``per_file=None`` decides from
+    Spark's split planning, no job): ``first()`` on each file's text is a
+    limit-1 job that reads the first split only and stops after one line, so
+    the data is not read at all.  Otherwise (many or small files): one
+    distributed job over the lines with the file path and split start from
     ``_metadata``; within a split, ``monotonically_increasing_id`` follows the
     reading order, so each file's first line is its smallest id in the split
-    that starts at byte 0.  Only one line per file reaches the driver."""
+    that starts at byte 0."""
     import csv
 
-    lines = spark.read.text(list(paths)).select(
+    text = spark.read.text(list(paths))
+    files = text.inputFiles()
+    if per_file is None:
+        per_file = len(files) <= HEADER_READS_MAX and text.rdd.getNumPartitions() > len(files)
+    if per_file:
+        headers = {}
+        for f in files:
+            row = spark.read.text(f).first()
+            if row is not None:
+                headers[f] = next(csv.reader([row.value]))
+        return headers
+    lines = text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         "value",
@@ -104,7 +125,7 @@ def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str
 def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str | None = None) -> DataFrame:
     """S4 + U3: every indicator CSV -> one long table, one scan per header layout.
 
-    Headers come from one job over all files (``csv_headers``); each layout is
+    Headers come from ``csv_headers`` (one line per file); each layout is
     then read with an explicit all-text schema (never inferred).  The dataset
     id comes from a ``dataset=...`` partition folder when there is one, else
     from ``_metadata.file_name`` (``{dataset}.csv``).  The metric column is the

@@ -44,6 +44,21 @@ def test_indicator_csv_scan_round_trip(spark, tmp_path):
     assert metrics == METRIC_NAMES
 
 
+def test_csv_headers_per_file_and_distributed_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Entity,Code,Year,Forest\nX,AAA,2000,1\n" + "Y,BBB,2001,2\n" * 50)
+    (tmp_path / "b.csv").write_text('Entity,Code,Year,"Share (%)"\nX,AAA,2000,1\n')
+    (tmp_path / "c.csv").write_text("")
+    paths = [str(tmp_path / n) for n in ("a.csv", "b.csv", "c.csv")]
+
+    def by_name(h):
+        return {k.rsplit("/", 1)[-1]: v for k, v in h.items()}
+
+    want = {"a.csv": ["Entity", "Code", "Year", "Forest"], "b.csv": ["Entity", "Code", "Year", "Share (%)"]}
+    assert by_name(indicators.csv_headers(spark, paths, per_file=True)) == want
+    assert by_name(indicators.csv_headers(spark, paths, per_file=False)) == want
+    assert by_name(indicators.csv_headers(spark, paths)) == want
+
+
 def test_indicator_csv_metric_falls_back_like_pandas(spark, tmp_path):
     """A metric column holding text ("abc") is not numeric: the first numeric
     column (Year) is chosen, as pandas' dtype rule does."""
