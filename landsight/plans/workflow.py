@@ -33,7 +33,7 @@ from ..functions.clean import strip_text
 from ..functions.text import assessment_prompt
 from ..functions.tiles import tile_file_name, tile_xyz
 from ..functions.verdict import parse_verdict
-from ..operators.cache import KEY, first_per_key
+from ..operators.cache import KEY, first_for_keys
 from ..session import checkpoint_dir
 
 ClientFactory = Callable[[], object]
@@ -145,9 +145,7 @@ def process_requests(
     ``new_log_rows``: the rows to append (K1) -- successful model results only.
     """
     keys = requests.select(*KEY).distinct()
-    cached = first_per_key(
-        log.join(keys, KEY, "left_semi"), ("image_description", "danger", "text_description")
-    )
+    cached = first_for_keys(log, keys, ("image_description", "danger", "text_description"))
     misses = keys.join(cached.select(*KEY), KEY, "left_anti")
     checkpoint_dir(requests.sparkSession)
     analysed = analyse_keys(misses, client_factory, image_root, config, model_parallelism).checkpoint(eager=True)

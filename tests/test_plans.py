@@ -105,3 +105,20 @@ def test_no_row_at_a_time_python(spark):
         df.collect()
         plan = _plan(df)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_lookup_paths_agree_on_a_hot_key(spark):
+    log = spark.createDataFrame(
+        [(i, datetime(2024, 1, 1) + timedelta(seconds=(i * 7) % 3000), 1.0 if i % 3 else float(i % 50), 2.0, 5,
+          f"d{i}", "N", "t") for i in range(3000)],
+        "id long, timestamp timestamp, latitude double, longitude double, zoom int, "
+        "image_description string, danger string, text_description string",
+    )
+    wanted = spark.createDataFrame([(1.0, 2.0, 5), (3.0, 2.0, 5), (9.5, 2.0, 5)], "latitude double, longitude double, zoom int")
+    small = cache.first_for_keys(log, wanted)
+    large = cache.first_for_keys(log, wanted, max_broadcast_rows=0)
+    assert _rows(small) == _rows(large) and len(_rows(small)) == 2
+    large.collect()
+    plan = _plan(large).split("== Initial Plan ==")[0]
+    # the aggregate runs before the join: its partial step reads log rows directly
+    assert "partial_min" in plan and plan.index("LeftSemi") < plan.index("partial_min")
