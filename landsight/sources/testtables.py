@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_MODEL_CONFIG, ModelConfig
+from ..session import default_parallelism, scan_splits
 
 
 # Unique keys of the driver's fact tables.  Hashing a unique key spreads rows
@@ -48,8 +49,8 @@ def spread_small_scan(df: DataFrame, keys: list[str]) -> DataFrame:
     shuffle.  A large input already has at least as many splits as cores and
     is returned unchanged -- no shuffle is added at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    target, splits = default_parallelism(df.sparkSession), scan_splits(df)
+    if target is None or splits is None or splits >= target:
         return df
     return df.repartition(target, *[F.col(k) for k in keys])
 
