@@ -12,9 +12,10 @@ a distributed sort:
    partition: a big group spreads over many partitions;
 3. rank = rows of the group in earlier partitions (a small per-partition,
    per-group table) + running count inside the partition;
-4. the two ranks around each requested position (``q * (n - 1)``) are picked
-   by an equi-join with the few target positions per group, then
-   interpolated.
+4. each requested position (floor and ceil of ``q * (n - 1)``) is located in
+   its range partition via the small offset table, and the values at those
+   ranks are picked by an equi-join on (group, partition) -- so a hot group's
+   values stay spread over its partitions -- then interpolated.
 
 The offset and target tables grow with the number of groups, so they carry no
 broadcast hint: AQE broadcasts them when their run-time size is small (the
@@ -57,20 +58,29 @@ def exact_percentiles(
         counts.repartitionByRange(n_parts, *[F.col(c) for c in g], F.col("__v"))
         .withColumn("__pid", F.spark_partition_id())
     )
+    # Several branches read ``ranged``; their partition ids agree because Spark
+    # runs the one range exchange once and reuses it.  A session with exchange
+    # reuse turned off gets the ids stored first instead.
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        from ..sources.store import materialize
+
+        ranged = materialize(ranged, "percentile-ranges")
     # rows of each group per range partition, and the offset of each partition
     per_part = ranged.groupBy(*g, "__pid").agg(F.sum("__c").alias("__pc"))
     w_off = Window.partitionBy(*g).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(
-        *g, "__pid",
+        *g, "__pid", "__pc",
         F.coalesce(F.sum("__pc").over(w_off), F.lit(0)).alias("__off"),
     )
     totals = per_part.groupBy(*g).agg(F.sum("__pc").alias("__n"))
     # running count inside a range partition (bounded by the partition size)
     w_run = Window.partitionBy("__pid", *g).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.withColumn("__run", F.sum("__c").over(w_run)).join(offsets, g + ["__pid"], "inner")
+    ranked = ranged.withColumn("__run", F.sum("__c").over(w_run)).join(
+        offsets.drop("__pc"), g + ["__pid"], "inner"
+    )
     # 0-based rank interval of each distinct value: [hi - c, hi)
     ranked = ranked.select(
-        *g, "__v", (F.col("__off") + F.col("__run")).alias("__hi"), "__c"
+        *g, "__pid", "__v", (F.col("__off") + F.col("__run")).alias("__hi"), "__c"
     )
     # target positions: floor and ceil of q * (n - 1) for each requested q
     targets = totals.select(
@@ -81,7 +91,14 @@ def exact_percentiles(
         *g, "__q", "__pos",
         F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos")))).alias("__k"),
     )
-    hit = ranked.join(targets, g, "inner").where(
+    # the range partition holding each target rank (small x small: per group,
+    # a few targets against one row per partition)
+    located = targets.join(offsets, g, "inner").where(
+        (F.col("__k") >= F.col("__off")) & (F.col("__k") < F.col("__off") + F.col("__pc"))
+    ).select(*g, "__pid", "__q", "__pos", "__k")
+    # joined on (group, partition): a hot group stays spread over its range
+    # partitions instead of meeting its targets in one task
+    hit = ranked.join(located, g + ["__pid"], "inner").where(
         (F.col("__k") >= F.col("__hi") - F.col("__c")) & (F.col("__k") < F.col("__hi"))
     )
     picked = hit.groupBy(*g, "__q", "__pos").agg(

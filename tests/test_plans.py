@@ -88,6 +88,12 @@ def test_exact_percentiles_with_a_hot_group(spark):
         for q, c in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
             assert out[g][c] == grp["v"].quantile(q)
     assert "rangepartitioning" in _plan(quantiles.exact_percentiles(df, ["g"], "v", num_partitions=6))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        again = {r.g: r for r in quantiles.exact_percentiles(df, ["g"], "v", num_partitions=6).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert again == out
 
 
 def test_indicator_scan_is_pruned_and_pushes_filters(spark):
