@@ -112,27 +112,22 @@ def top_bottom(
     """The ``k`` largest and ``k`` smallest values per group.
 
     Ties keep the alphabetically first countries (the series index is sorted by
-    country).  ``side`` is ``top`` or ``bottom``; ``rank`` 1 is the most extreme.
-    One pass over the series: both ranks come from two windows over the same
-    partitioning (one shuffle), and a row is emitted once per side it is on.
-    The series holds one row per country and group, so the windows are small.
+    country).  ``side`` is ``top`` or ``bottom``; ``rank`` 1 is the most extreme;
+    a row on both sides (a small group) appears once per side.  Each side is a
+    ``row_number() <= k`` window, which Spark runs as a per-task group limit
+    before the shuffle, so no group -- however large -- is gathered in one
+    task; the series itself is computed once and read by both sides.
     """
     by = list(by)
     v, c = F.col(value_col), F.col(country_col)
     s = series.where(v.isNotNull())
-    ranked = (
-        s.withColumn("__rt", F.row_number().over(Window.partitionBy(*by).orderBy(v.desc(), c.asc())))
-        .withColumn("__rb", F.row_number().over(Window.partitionBy(*by).orderBy(v.asc(), c.asc())))
-        .where((F.col("__rt") <= k) | (F.col("__rb") <= k))
-    )
-    sides = F.filter(
-        F.array(
-            F.struct(F.lit("top").alias("side"), F.col("__rt").alias("rank")),
-            F.struct(F.lit("bottom").alias("side"), F.col("__rb").alias("rank")),
-        ),
-        lambda x: x["rank"] <= k,
-    )
-    return ranked.select(*series.columns, F.inline(sides))
+
+    def side(name: str, order) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(order, c.asc())
+        ranked = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return ranked.select(*series.columns, F.lit(name).alias("side"), "rank")
+
+    return side("top", v.desc()).unionByName(side("bottom", v.asc()))
 
 
 def bar_labels(ranked: DataFrame, value_col: str = "value") -> DataFrame:

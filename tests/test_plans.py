@@ -77,6 +77,10 @@ def test_per_group_top_k_is_limited_before_the_shuffle(spark):
     assert [r.ADMIN for r in out.orderBy("row").collect()] == [f"c{i // 10:03d}" for i in range(20)]
     out.collect()
     assert "WindowGroupLimit" in _plan(out)
+    tb = insights.top_bottom(rows, ["dataset", "year"])
+    got = {(r.side, r.rank): (r.ADMIN, r.value) for r in tb.collect()}
+    assert got[("top", 1)] == ("c499", 4999.0) and got[("bottom", 1)] == ("c000", 0.0) and len(got) == 10
+    assert _plan(tb).count("WindowGroupLimit") >= 2
 
 
 def test_exact_percentiles_with_a_hot_group(spark):
