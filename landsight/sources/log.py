@@ -98,6 +98,10 @@ def append_log(rows: DataFrame, path: str) -> None:
     Spark's commit protocol makes the append atomic per job: a failed or
     retried task leaves no partial rows, unlike an unlocked file append."""
     out = conform(rows).withColumn(PARTITION_COL, F.to_date("timestamp"))
+    # rebalance by day: AQE sizes the write partitions -- small days share a
+    # task, a hot day is split over several -- so a bulk append spanning many
+    # days writes right-sized files instead of one per task and day
+    out = out.hint("rebalance", PARTITION_COL)
     out.write.mode("append").partitionBy(PARTITION_COL).parquet(path)
 
 
