@@ -225,7 +225,9 @@ def write_indicator_table(indicator: DataFrame, path: str, mode: str = "overwrit
     take pushed-down filters, and no plan re-parses the raw text.  With
     ``spark.sql.sources.partitionOverwriteMode=dynamic``, ``mode="overwrite"``
     replaces only the datasets present in ``indicator``."""
-    indicator.write.mode(mode).partitionBy("dataset").parquet(path)
+    # rebalance by dataset: AQE splits a large dataset over several writers and
+    # lets small ones share one, so file sizes follow the data, not the tasks
+    indicator.hint("rebalance", "dataset").write.mode(mode).partitionBy("dataset").parquet(path)
 
 
 LONG_SCHEMA = T.StructType(
