@@ -675,3 +675,6 @@ SELECT request_id, lat_dir, lon_dir, latitude, longitude, zoom,
 FROM s
 """
 )
+
+# The streaming workflow gives the batch workflow's answers.
+ORACLE["w1_request_stream"] = ORACLE["w1_process_requests"]

@@ -421,6 +421,28 @@ def q_process_requests(spark, sf_dir):
     return results
 
 
+@register("w1_request_stream")
+def q_request_stream(spark, sf_dir):
+    """W1 incremental: every request lands as files in a folder; the streaming
+    query (``foreachBatch``, ``availableNow``) answers them against the stored
+    log, appends the new log rows and writes the per-request results, which are
+    read back.  Same answers as the batch workflow."""
+    from ..plans.workflow import StubModelClient
+    from ..sources import log as L
+    from ..sources.store import table_path
+    from ..streaming.requests import start_request_stream
+
+    root = table_path(spark.range(0), "request-stream")
+    T.request(spark, sf_dir).write.parquet(f"{root}/requests")
+    L.append_log(T.analysis_log(spark, sf_dir), f"{root}/log")
+    query = start_request_stream(
+        spark, f"{root}/requests", f"{root}/log", f"{root}/results", f"{root}/checkpoint",
+        StubModelClient, "/tiles", available_now=True,
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/results").drop("epoch")
+
+
 @register("s1_catalogue")
 def q_catalogue(spark, sf_dir):
     """The dataset catalogue with the number of observed rows."""
