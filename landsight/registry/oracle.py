@@ -678,3 +678,16 @@ FROM s
 
 # The streaming workflow gives the batch workflow's answers.
 ORACLE["w1_request_stream"] = ORACLE["w1_process_requests"]
+
+# Days the 1-day watermark has closed: window end <= latest timestamp - 1 day.
+ORACLE["a9_daily_risk_stream"] = _ql(
+    """
+, k AS (SELECT CAST(timestamp AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE danger = 'Y') AS y,
+               count(*) FILTER (WHERE danger = 'N') AS n FROM log GROUP BY 1)
+SELECT strftime(day, '%Y-%m-%d') AS day, total AS total_analyses, y AS at_risk, total - y AS safe,
+       CAST(round_even(y / total * 100, 0) AS BIGINT) AS risk_rate_pct,
+       y AS showing_at_risk, n AS showing_safe
+FROM k
+WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(timestamp) FROM log) - INTERVAL 1 DAY
+"""
+)

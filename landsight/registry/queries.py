@@ -336,6 +336,25 @@ def q_daily_risk_kpis(spark, sf_dir):
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))  # text: engines type dates differently
 
 
+@register("a9_daily_risk_stream")
+def q_daily_risk_stream(spark, sf_dir):
+    """A9, A10 incremental: the log is stored, read as a stream, and the per-day
+    report (event-time day windows, 1-day watermark, append mode) is written as
+    days close and read back -- every day that ends at least a day before the
+    latest analysis."""
+    from ..sources import log as L
+    from ..sources.store import table_path
+    from ..streaming.history import start_daily_risk_kpis
+
+    root = table_path(spark.range(0), "daily-risk-stream")
+    L.append_log(T.analysis_log(spark, sf_dir), f"{root}/log")
+    query = start_daily_risk_kpis(spark, f"{root}/log", f"{root}/daily", f"{root}/checkpoint",
+                                  lateness="1 day", available_now=True)
+    query.awaitTermination()
+    out = spark.read.parquet(f"{root}/daily")
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @register("d1_history_table")
 def q_history_table(spark, sf_dir):
     """The History table, all records, newest first."""
