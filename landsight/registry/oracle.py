@@ -316,9 +316,9 @@ SELECT column_name, count(v) AS non_null, count({_num('v')}) AS numeric FROM t G
 _LOG = """
 log AS (
   SELECT event_id AS id, ts AS timestamp,
-         CAST(((event_id % 400) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
-         CAST(((event_id % 400) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
-         CAST(1 + (event_id % 400) % 20 AS INTEGER) AS zoom,
+         CAST(((event_id // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+         CAST(((event_id // 25) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
+         CAST(1 + (event_id // 25) % 20 AS INTEGER) AS zoom,
          event_type || ' ' || props AS image_description,
          'llava:7b' AS image_model,
          event_type AS text_description,
@@ -329,9 +329,9 @@ log AS (
 ),
 request AS (
   SELECT event_id AS request_id,
-         CAST(((event_id % 800) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
-         CAST(((event_id % 800) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
-         CAST(1 + (event_id % 800) % 20 AS INTEGER) AS zoom
+         CAST((((event_id * 2) // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+         CAST((((event_id * 2) // 25) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
+         CAST(1 + ((event_id * 2) // 25) % 20 AS INTEGER) AS zoom
   FROM events
 ),
 reply AS (
@@ -603,9 +603,9 @@ def _sql_text(value: str) -> str:
 
 _LOG_FULL = f"""
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp,
-       CAST(((event_id % 400) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
-       CAST(((event_id % 400) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
-       CAST(1 + (event_id % 400) % 20 AS INTEGER) AS zoom,
+       CAST(((event_id // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+       CAST(((event_id // 25) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
+       CAST(1 + (event_id // 25) % 20 AS INTEGER) AS zoom,
        event_type || ' ' || props AS image_description,
        {_sql_text(DEFAULT_MODEL_CONFIG.image_prompt.strip())} AS image_prompt,
        'llava:7b' AS image_model,

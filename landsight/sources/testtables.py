@@ -116,6 +116,12 @@ def observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Consecutive events share a location: 25 log entries per location, and the
+# requests cover twice as many locations (half of them in the log).  The number
+# of locations grows with the events table.
+LOG_ENTRIES_PER_KEY = 25
+
+
 def _key_coordinates(key) -> list:
     lat = ((key * 37) % 17000).cast("double") / 100.0 - 85.0
     lon = ((key * 91) % 36000).cast("double") / 100.0 - 180.0
@@ -126,7 +132,7 @@ def _key_coordinates(key) -> list:
 def analysis_log(
     spark: SparkSession, sf_dir: str, config: ModelConfig = DEFAULT_MODEL_CONFIG
 ) -> DataFrame:
-    """The analysis log: 400 distinct coordinate keys, many entries each."""
+    """The analysis log: one location per 25 consecutive events."""
     ev = table(spark, sf_dir, "events")
     et = F.col("event_type")
     danger = (
@@ -138,7 +144,7 @@ def analysis_log(
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("timestamp"),
-        *_key_coordinates(F.col("event_id") % 400),
+        *_key_coordinates(F.floor(F.col("event_id") / LOG_ENTRIES_PER_KEY)),
         F.concat(et, F.lit(" "), F.col("props")).alias("image_description"),
         F.lit(config.image_prompt.strip()).alias("image_prompt"),
         F.lit(config.image_model).alias("image_model"),
@@ -150,10 +156,12 @@ def analysis_log(
 
 
 def request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinate requests: every event is one; 800 keys, half of them in the log."""
+    """Coordinate requests: every event is one; twice as many locations as the
+    log, half of them in the log."""
     ev = table(spark, sf_dir, "events")
     return ev.select(
-        F.col("event_id").alias("request_id"), *_key_coordinates(F.col("event_id") % 800)
+        F.col("event_id").alias("request_id"),
+        *_key_coordinates(F.floor(F.col("event_id") * 2 / LOG_ENTRIES_PER_KEY)),
     )
 
 
