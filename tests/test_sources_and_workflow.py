@@ -167,15 +167,18 @@ def test_workflow_then_cache_hits(spark, tmp_path):
 def test_workflow_model_errors_are_rows(spark):
     class _Flaky(StubModelClient):  # local: shipped to the workers by value
         def assess(self, prompt, config):
-            if "_0.png" in prompt:
+            name = prompt.rsplit("tile ", 1)[-1].strip()
+            if int(name.split("_")[2]) % 2 == 0:  # tiles in even columns: the model is down
                 raise RuntimeError("model down")
-            return "no visible change near " + prompt.rsplit("tile ", 1)[-1].strip()
+            return "no visible change near " + name
 
     req = T.request(spark, SF_SMALL)
     results, new_rows = process_requests(req, L.empty_log(spark), _Flaky, "/tiles")
     errs = results.where(F.col("error").isNotNull())
     assert errs.count() > 0 and errs.where(F.col("source").isNotNull()).count() == 0
+    assert results.where(F.col("source") == "model").count() > 0
     assert new_rows.where(F.col("danger").isNull()).count() == 0
+    assert new_rows.count() == results.where(F.col("source") == "model").select("latitude", "longitude", "zoom").distinct().count()
 
 
 def test_each_model_called_once_per_missing_key(spark, tmp_path):
