@@ -55,15 +55,22 @@ def filter_risk(log: DataFrame, choice: str = "All") -> DataFrame:
     return log
 
 
+# Tie-break of the log sort when there is no id column: the location.
+LOCATION_TIE = ("latitude", "longitude", "zoom")
+
+
 def sort_log(log: DataFrame, choice: str = "Newest first", tie_col: str = "id") -> DataFrame:
     """O2: by timestamp, newest or oldest first, missing timestamps last; ties
-    by ``tie_col`` so the order is stable.  A distributed range sort."""
+    by ``tie_col`` -- or, when the log has no such column, by location -- so
+    the order is stable.  A distributed range sort: every row of one workflow
+    batch carries the same timestamp, and the tie-break keeps such a batch
+    spread over many range partitions instead of one."""
     if choice not in SORTS:
         raise ValueError(f"sort must be one of {SORTS}")
     ts = F.col("timestamp")
     first = ts.desc_nulls_last() if choice == "Newest first" else ts.asc_nulls_last()
-    keys = [first] + ([F.col(tie_col).asc()] if tie_col in log.columns else [])
-    return log.orderBy(*keys)
+    ties = [tie_col] if tie_col in log.columns else [c for c in LOCATION_TIE if c in log.columns]
+    return log.orderBy(first, *[F.col(c).asc() for c in ties])
 
 
 def history_table(log: DataFrame, choice: str = "All", order: str = "Newest first") -> DataFrame:

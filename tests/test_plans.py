@@ -132,3 +132,28 @@ def test_lookup_paths_agree_on_a_hot_key(spark):
     plan = _plan(large).split("== Initial Plan ==")[0]
     # the aggregate runs before the join: its partial step reads log rows directly
     assert "partial_min" in plan and plan.index("LeftSemi") < plan.index("partial_min")
+
+
+def test_log_sort_spreads_one_timestamp(spark):
+    """A stored log has no id and a workflow batch shares one timestamp."""
+    from landsight.operators import history
+
+    stamp = datetime(2024, 5, 1, 12, 0)
+    log = spark.createDataFrame(
+        [(stamp, float(i % 170) - 85.0, float(i // 170), 1 + i % 20, "N", "m1", "m2") for i in range(4000)],
+        "timestamp timestamp, latitude double, longitude double, zoom int, danger string, "
+        "image_model string, text_model string",
+    ).repartition(4)
+    ordered = history.sort_log(log)
+    rows = [(r.latitude, r.longitude, r.zoom) for r in ordered.collect()]
+    assert rows == sorted(rows) and len(rows) == 4000
+    # the range partitioner's bounds include the location, so one timestamp's
+    # rows can fall into many ranges (AQE merges them again when small)
+    plan = _plan(ordered)
+    assert re.search(r"rangepartitioning\(timestamp#\d+ DESC NULLS LAST, latitude#\d+ ASC", plan), plan
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = history.sort_log(log).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 4000 and max(sizes) < 4000 // 2, sizes
