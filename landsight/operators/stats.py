@@ -53,7 +53,7 @@ def merged_kpis(
             F.min("value").alias("__mn"),
         )
     )
-    small = fits_broadcast(boundary)  # boundary codes: broadcast only after the size check
+    small = fits_broadcast(bcount)  # boundary code counts: broadcast only after the size check
     joined = per_code.join(F.broadcast(bcount) if small else bcount, per_code[code_col] == bcount["ISO_A3"], "inner")
     per_group = joined.groupBy(*group_cols).agg(
         F.sum(F.col("__b") * (F.col("__n") - 1)).alias("__extra"),

@@ -157,3 +157,14 @@ def test_log_sort_spreads_one_timestamp(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sum(sizes) == 4000 and max(sizes) < 4000 // 2, sizes
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from landsight.operators.broadcast import fits_broadcast
+
+    wide = spark.createDataFrame([(i, "x" * 100_000) for i in range(20)], "id int, geometry string")
+    assert fits_broadcast(wide, max_rows=100, max_bytes=10_000_000)
+    assert not fits_broadcast(wide, max_rows=100, max_bytes=1_000_000)  # 2 MB of geometry
+    assert not fits_broadcast(wide, max_rows=10)
+    nested = spark.createDataFrame([([[1.0, 2.0]] * 1000,)], "ring array<array<double>>")
+    assert not fits_broadcast(nested, max_bytes=1000) and fits_broadcast(nested, max_bytes=100_000)
