@@ -34,7 +34,7 @@ from ..functions.text import assessment_prompt
 from ..functions.tiles import tile_file_name, tile_xyz
 from ..functions.verdict import parse_verdict
 from ..operators.cache import KEY, first_for_keys
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, default_parallelism
 
 ClientFactory = Callable[[], object]
 
@@ -122,8 +122,15 @@ def analyse_keys(
     most once per key)."""
     work = keys.withColumn("tile_file", tile_file_name(tile_xyz("latitude", "longitude", "zoom")))
     work = work.withColumn("image_path", F.concat(F.lit(image_root.rstrip("/") + "/"), F.col("tile_file")))
-    if model_parallelism:
-        work = work.repartition(model_parallelism)
+    # Each row is an expensive external call but only a few bytes, so AQE would
+    # coalesce the key shuffle into very few tasks.  A round-robin repartition
+    # to a set number is kept as given (a hash repartition on the keys would be
+    # dropped as redundant after the distinct).  Default: the session's
+    # parallelism.
+    n = model_parallelism or default_parallelism(keys.sparkSession) or int(
+        keys.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    )
+    work = work.repartition(n)
     # One linear pass: a row whose description failed has no prompt, so the
     # text model skips it -- each model is called at most once per key.
     return assess_descriptions(describe_images(work, client_factory, config), client_factory, config)

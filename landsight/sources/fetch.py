@@ -93,8 +93,15 @@ def run_fetch(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
     if skip_landed is not None:
         plan = plan.join(skip_landed.select("target_path").distinct(), "target_path", "left_anti")
     plan = plan.select(*[f.name for f in PLAN_SCHEMA.fields])
-    if parallelism:
-        plan = plan.repartition(parallelism)
+    # one row = one download but a few bytes: AQE would pack a work list into
+    # very few tasks, so it is spread round-robin over a set number of tasks
+    # (default: the session's parallelism)
+    from ..session import default_parallelism
+
+    n = parallelism or default_parallelism(plan.sparkSession) or int(
+        plan.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    )
+    plan = plan.repartition(n)
     names = [f.name for f in RESULT_SCHEMA.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

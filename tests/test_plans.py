@@ -168,3 +168,16 @@ def test_broadcast_check_bounds_rows_and_bytes(spark):
     assert not fits_broadcast(wide, max_rows=10)
     nested = spark.createDataFrame([([[1.0, 2.0]] * 1000,)], "ring array<array<double>>")
     assert not fits_broadcast(nested, max_bytes=1000) and fits_broadcast(nested, max_bytes=100_000)
+
+
+def test_model_calls_use_all_cores(spark):
+    """Key rows are tiny, so AQE would coalesce them into one task; the model
+    step keeps the session's parallelism."""
+    from landsight.operators.cache import KEY
+    from landsight.plans.workflow import StubModelClient, analyse_keys
+    from landsight.sources import testtables as T
+
+    keys = T.request(spark, SF_SMALL).select(*KEY).distinct()
+    sizes = analyse_keys(keys, StubModelClient, "/tiles").rdd.glom().map(len).collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and min(sizes) > 0, sizes
+    assert sum(sizes) == keys.count()
