@@ -332,3 +332,37 @@ def test_csv_without_year_or_code(spark, tmp_path):
     q.write_text("Entity,Year,Metric\nA,2020,1.5\n")
     with pytest.raises(ValueError, match=r"df doesn't have 'Code' \(ISO-3\)"):
         indicators.read_indicator_csvs(spark, [str(q)])
+
+
+class _Conf:
+    def __init__(self, values):
+        self.values = dict(values)
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+    def set(self, key, value):
+        self.values[key] = value
+
+
+class _Session:
+    """Stand-in for a session without a SparkContext (as under Spark Connect)."""
+
+    def __init__(self, values):
+        self.conf = _Conf(values)
+
+    @property
+    def sparkContext(self):
+        raise RuntimeError("no SparkContext")
+
+
+def test_checkpoint_folder_comes_from_the_session():
+    from landsight.session import checkpoint_dir
+
+    assert checkpoint_dir(_Session({"spark.checkpoint.dir": "s3://shared/ckpt", "spark.master": "yarn"})) == \
+        "s3://shared/ckpt"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir is not set"):
+        checkpoint_dir(_Session({"spark.master": "spark://cluster:7077"}))
+    local = _Session({"spark.master": "local[2]"})
+    folder = checkpoint_dir(local)
+    assert local.conf.get("spark.checkpoint.dir") == folder
