@@ -217,3 +217,16 @@ def test_exact_percentiles_match_pandas(spark):
         for q, col in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]:
             assert got[g][col] == pytest.approx(part["v"].quantile(q)), (g, q)
     assert set(got) == {"hot", "wide", "one", "nulls", "two"}
+
+
+def test_kpi_text_hides_statistics_without_data(spark):
+    k = spark.createDataFrame(
+        [("d", 2020, 1234, 2, 1234.565, 2000.0, 469.13), ("d", 2021, 25, 0, None, None, None)],
+        "dataset string, year int, countries long, with_data long, mean_value double, max_value double, "
+        "min_value double",
+    )
+    got = {r.year: r for r in stats.kpi_text(k).collect()}
+    assert (got[2020].countries_text, got[2020].with_data_text) == ("1,234", "2")
+    assert (got[2020].mean_value_text, got[2020].max_value_text) == (f"{1234.565:,.2f}", "2,000.00")
+    assert (got[2021].countries_text, got[2021].with_data_text) == ("25", "0")
+    assert got[2021].mean_value_text is None and got[2021].min_value_text is None
