@@ -16,12 +16,15 @@ from landsight.llm import exact_dedup, langid
 from landsight.llm.util import table, written
 
 
+MIN_CERTAINTY = 0.5
+
+
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, and texts whose language is a guess, go."""
     names = docs.columns
     model = langid.fit(docs, F.lit(True))
-    judged = langid.predict(docs, model)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*names)
+    judged = langid.predict(docs, model, "_language", "_certainty")
+    return judged.where((F.col("_language") != langid.UNKNOWN) & (F.col("_certainty") >= MIN_CERTAINTY)).select(*names)
 
 
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

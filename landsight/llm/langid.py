@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .util import mix64, process_cache, text_slices
 
@@ -110,8 +111,8 @@ def fit(docs: DataFrame, may_learn, train_docs: int = TRAIN_DOCS) -> LanguageMod
     share = 1 << 20
     threshold = share if total <= train_docs else max(1, share * train_docs // total)
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < threshold).select(F.col("lang").cast("string").alias("lang"), "text")
-    # the sample is bounded, so are these few partial counts
-    parts = sample.coalesce(16).mapInArrow(_sum_batches, "lang string, n long, counts binary").collect()
+    # the scan keeps its own parallelism; the sample is bounded, so are its partial counts
+    parts = sample.repartition(16).mapInArrow(_sum_batches, "lang string, n long, counts binary").collect()
     langs = sorted({p["lang"] for p in parts})
     counts = np.zeros((len(langs), BUCKETS))
     docs_of = np.zeros(len(langs))
@@ -122,12 +123,14 @@ def fit(docs: DataFrame, may_learn, train_docs: int = TRAIN_DOCS) -> LanguageMod
     return LanguageModel(langs, np.log(smooth / smooth.sum(1, keepdims=True)), np.log(docs_of / max(docs_of.sum(), 1)))
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` in place of equally named columns."""
+def predict(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its probability in two columns,
+    in place of equally named ones."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.langs, model.log_probs, model.priors))
-    base = docs.drop("lang_pred", "score").withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    schema = docs.drop("lang_pred", "score").schema.add("lang_pred", "string").add("score", "double")
+    kept = docs.drop(lang_col, score_col)
+    base = kept.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    schema = T.StructType([*kept.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
         model = LanguageModel(*shared.value)
@@ -136,7 +139,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             at = batch.schema.get_field_index("_text")
             cols = [c for i, c in enumerate(batch.columns) if i != at]
             names = [c for i, c in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, lang_col, score_col])
 
     return base.mapInArrow(run, schema)
 

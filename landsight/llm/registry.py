@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, quality, toxicity
+from . import bpe, exact_dedup, langid, packing, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_packing": packing.op3_packing,
+    "op7_bpe": bpe.op7_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": langid.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
