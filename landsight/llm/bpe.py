@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import Source, load, with_ids
-from .util import keyed_texts, process_cache, table
+from .util import keyed_texts, process_cache, schema_with, table
 
 # Pre-tokens whose ids a worker remembers; the oldest half goes when it is full.
 REMEMBERED = 400_000
@@ -115,18 +115,18 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     base = encoded.drop("decoded")
 
     def run(batches):
-        strings = process_cache("bpe_strings", lambda: pa.array(shared.value, pa.large_string()))
+        strings = process_cache("bpe_strings", lambda: pa.array(shared.value, pa.string()))
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 lists = part.column("ids")
                 tokens = strings.take(lists.flatten())
                 sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-                text = pc.binary_join(pa.LargeListArray.from_arrays(offsets, tokens), " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], names=[*part.schema.names, "decoded"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                text = pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
+                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, "decoded"])
 
-    return base.mapInArrow(run, base.schema.add("decoded", "string"))
+    return base.mapInArrow(run, schema_with(base, decoded="string"))
 
 
 def op7_bpe(spark, sf_dir):

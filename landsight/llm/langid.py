@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .util import mix64, process_cache, text_slices
+from .util import mix64, process_cache, schema_with, text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -130,7 +129,7 @@ def predict(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred",
     shared = spark.sparkContext.broadcast((model.langs, model.log_probs, model.priors))
     kept = docs.drop(lang_col, score_col)
     base = kept.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    schema = T.StructType([*kept.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    schema = schema_with(kept, **{lang_col: "string", score_col: "double"})
 
     def run(batches):
         model = LanguageModel(*shared.value)

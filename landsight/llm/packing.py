@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import library_encoder, load, text_ids
-from .util import keyed_texts, table, text_slices, written
+from .util import keyed_texts, schema_with, table, text_slices, written
 
 WINDOW = 4096
 CLOSING_ID = 2
@@ -130,7 +130,7 @@ def pack(parts: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WIND
         where, offset = best_fit(pdf["length"].to_numpy(), window)
         return pdf.assign(sequence_id=(pdf["shard"].to_numpy() << 32) + where, offset=offset).drop(columns="shard")
 
-    return dealt.groupBy("shard").applyInPandas(run, parts.schema.add("sequence_id", "long").add("offset", "long"))
+    return dealt.groupBy("shard").applyInPandas(run, schema_with(parts, sequence_id="long", offset="long"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
