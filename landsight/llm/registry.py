@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, packing, quality, toxicity
+from . import bpe, exact_dedup, langid, near_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_packing": packing.op3_packing,
+    "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": langid.op9_language_id,
