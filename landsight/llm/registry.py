@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, near_dedup, packing, quality, toxicity
+from . import bpe, exact_dedup, langid, near_dedup, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_packing": packing.op3_packing,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_bpe": bpe.op7_bpe,
