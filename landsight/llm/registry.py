@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, near_dedup, packing, quality, suffix_dedup, toxicity
+from . import bpe, exact_dedup, langid, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_packing": packing.op3_packing,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_warc": warc.op5_warc,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -17,5 +19,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op5_warc": warc.OP5_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
