@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsight.llm import exact_dedup, langid
+from landsight.llm import exact_dedup, langid, near_dedup, packing, suffix_dedup
 from landsight.llm.util import table, written
 
 
@@ -32,9 +32,30 @@ def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (the smallest id)."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def passage_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the texts; the first place stays."""
+    cut = suffix_dedup.cut_documents(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens and their places in the sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("language ID", language_stage),
     ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("suffix-array dedup", passage_stage),
+    ("packing", packing_stage),
 ]
 
 # MinHash candidates and tokenisation have no SQL form.

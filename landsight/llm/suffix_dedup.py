@@ -277,22 +277,24 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, batches: int = BATC
     return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # one text's ranges
 
 
+def _without(raw: bytes, spans: list[dict]) -> tuple[bytes, int]:
+    """The bytes outside all spans, and the number of runs removed."""
+    at, kept, runs = 0, [], 0
+    for s in sorted(spans, key=lambda s: s["begin"]):
+        if not runs or s["begin"] > at:
+            kept.append(raw[at : s["begin"]])
+            runs += 1
+        at = max(at, s["end"])
+    kept.append(raw[at:])
+    return b"".join(kept), runs
+
+
 def _cut(batches):
     for batch in text_slices(batches):
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            raw, at, kept, runs = text.encode(), 0, [], 0
-            end = None
-            for s in sorted(spans or [], key=lambda s: s["begin"]):
-                if end is None or s["begin"] > end:
-                    kept.append(raw[at : s["begin"]])
-                    runs += 1
-                    end = s["end"]
-                else:
-                    end = max(end, s["end"])
-                at = end
-            kept.append(raw[at:])
-            left = b"".join(kept)
+            raw = text.encode()
+            left, runs = _without(raw, spans or [])
             out["n_bytes"].append(len(raw))
             out["n_removed"].append(len(raw) - len(left))
             out["n_spans"].append(runs)
@@ -311,6 +313,27 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, batches: int = BATC
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def cut_documents(docs: DataFrame, length: int = MIN_BYTES, batches: int = BATCHES) -> DataFrame:
+    """``docs`` with all columns, the repeats cut out of ``text``.  A character
+    of which only some bytes are left goes."""
+    spans = repeated_spans(docs, length, batches).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    names = docs.columns
+    joined = docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
+    at = names.index("text")
+
+    def run(batches):
+        for batch in text_slices(batches):
+            texts = [
+                t if not s else _without((t or "").encode(), s)[0].decode(errors="ignore")
+                for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())
+            ]
+            columns = [batch.column(n) for n in names]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+
+
 def op2_suffix_dedup(spark, sf_dir):
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

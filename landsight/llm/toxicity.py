@@ -30,7 +30,7 @@ from .langid import crc_remainder
 from .util import keyed_texts, text_slices, written
 
 HELD_OUT = 2  # remainder of crc32(id) mod 4 that is never learned from
-TRAIN_DOCS = 40_000  # about so many labelled documents, taken by a hash of the id
+TRAIN_DOCS = 8000  # about so many labelled documents, taken by a hash of the id
 MAX_TERMS = 5000  # the lexicon's size bound: it is broadcast
 MAX_EXCEPTIONS = 5000
 MIN_DOCS = 3  # toxic documents that must hold a term
