@@ -1,9 +1,9 @@
 """Removal of repeated byte strings with a logarithmic family of suffix arrays.
 
-Only sampled suffixes are indexed: of every 100-byte window the 16-byte string
+Only sampled suffixes are indexed: of every 100-byte window the 24-byte string
 with the least hash is chosen, so two equal windows choose the same place in
 them.  An entry stands for the run of neighbouring windows that chose one place;
-it holds the fingerprint of the 16 bytes that the sampled suffix begins with
+it holds the fingerprint of the 24 bytes that the sampled suffix begins with
 (the sort key: only equality of long strings matters, never their alphabetic
 order), a fingerprint of the run's bytes, and its place.
 
@@ -12,10 +12,10 @@ Documents arrive in batches.  A batch's entries are sorted into a suffix array
 level of the index -- joins of sorted buckets, without a shuffle -- and added as
 a new level; two levels of equal weight are merged into one of twice the weight.
 
-A scan reports entries whose key occurs elsewhere.  Equal runs are compared
-whole; where runs with one key differ, the first of each is also compared
-window by window.  Both comparisons use 128-bit digests of the bytes, and the
-first place of each string stays.
+A scan reports runs that equal an earlier run (key and run fingerprint, 128 bits
+together): all their windows repeat.  Where different runs have one key, the
+first of each is compared with the others window by window: windows that choose
+equal places have one key, so the comparison stays inside the key's runs.
 
 Defined results: a null text counts as empty; rows that repeat an id are taken
 as the same document and get the same result; rows without an id stay whole;
@@ -32,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tokens import ragged
 from .util import keyed_texts, mix64, string_bytes, table, text_slices, written
 
 MIN_BYTES = 100
-SEED_BYTES = 16
+SEED_BYTES = 24
+COMPARE_BYTES = 4 << 20  # of runs that are compared at once
 BATCHES = 3
 PLACE_BITS = 24  # of a position in the part of a text handled at once
 PART_BYTES = 8 << 20
@@ -43,12 +45,16 @@ RUN_BITS = 7  # a run has fewer windows than 2 ** RUN_BITS
 
 
 def _seed_keys(data: np.ndarray) -> np.ndarray:
-    """Fingerprint of the 16 bytes from each position on."""
+    """Fingerprint of the SEED_BYTES bytes from each position on."""
     x = data.astype(np.uint64)
     for bits in (8, 16, 32):
         step = bits // 8
         x = x[:-step] | x[step:] << np.uint64(bits)
-    return mix64(x[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix64(x[8:]))
+    n = len(data) - SEED_BYTES + 1
+    key = np.zeros(n, np.uint64)
+    for at in range(0, SEED_BYTES, 8):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + x[at : at + n])
+    return key
 
 
 def _least_of(v: np.ndarray, width: int) -> np.ndarray:
@@ -151,31 +157,34 @@ class SuffixIndex:
             self._drop(name)
 
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
-        """Matches of the batch's entries: ``doc_id``, ``place`` and whether
-        the run's windows must be compared one by one.  ``keep`` adds the
-        batch to the index for later ones."""
+        """What the batch's scan finds: ``doc_id``, ``place``, ``key``, and
+        ``sure`` (the run repeats an earlier one; else its windows must be
+        compared).  ``keep`` adds the batch to the index for later ones."""
         array = self._store(batch.repartition(self.buckets, "key"))
         rows = self.spark.table(array)
         of_key = Window.partitionBy("key")
-        nth = F.row_number().over(Window.partitionBy("key", "tag").orderBy("doc_id", "place"))
+        # equal places of repeated rows share a rank
+        nth = F.rank().over(Window.partitionBy("key", "tag").orderBy("doc_id", "place"))
         scan = rows.select(
-            "key", "doc_id", "place", nth.alias("nth"), F.min("tag").over(of_key).alias("lo"), F.max("tag").over(of_key).alias("hi"), F.count(F.lit(1)).over(of_key).alias("n")
+            "key", "tag", "doc_id", "place", nth.alias("nth"), F.min("tag").over(of_key).alias("lo"), F.max("tag").over(of_key).alias("hi")
         )
         heads = rows.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.min(F.struct("doc_id", "place")).alias("first"))
-        old = []
+        sure = F.col("nth") > 1
+        lo, hi = [F.col("lo")], [F.col("hi")]
         reports = []
         for i, (_, name) in enumerate(self.levels):
             level = self.spark.table(name)
             scan = scan.join(level.select("key", F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")), "key", "left")
-            old.append(i)
-            # the level's own first entry, now that its key occurs again
+            old_lo, old_hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+            lo.append(old_lo)
+            hi.append(old_hi)
+            sure = sure | F.coalesce((old_lo == F.col("tag")) & (old_hi == F.col("tag")), F.lit(False))
+            # a level's only run so far, now that its key has another one
             again = level.alias("l").join(heads.alias("b"), "key")
-            mixed = F.least("l.lo", "b.lo") != F.greatest("l.hi", "b.hi")
-            reports.append(again.select("l.doc_id", "l.place", mixed.alias("by_window")))
-        lo = F.least("lo", *(f"lo{i}" for i in old)) if old else F.col("lo")
-        hi = F.greatest("hi", *(f"hi{i}" for i in old)) if old else F.col("hi")
-        known = F.coalesce(*(F.col(f"lo{i}") for i in old)).isNotNull() if old else F.lit(False)
-        found = scan.where((F.col("n") > 1) | known).select("doc_id", "place", ((lo != hi) & (F.col("nth") == 1)).alias("by_window"))
+            mixed = (F.col("l.lo") == F.col("l.hi")) & ((F.col("b.lo") != F.col("l.lo")) | (F.col("b.hi") != F.col("l.lo")))
+            reports.append(again.where(mixed).select("l.doc_id", "l.place", "key", F.lit(False).alias("sure")))
+        mixed = (F.least(*lo) != F.greatest(*hi)) if self.levels else F.col("lo") != F.col("hi")
+        found = scan.where(sure | mixed).select("doc_id", "place", "key", sure.alias("sure"))
         for more in reports:
             found = found.unionByName(more)
         found = written(found, "suffix-matches")
@@ -202,48 +211,89 @@ class SuffixIndex:
         self._drop(new)
 
 
-def _digests(length: int):
-    """Matched runs and windows of each text: digest and byte range.  Where a
-    string repeats within the slice, only its first place needs the others;
-    the rest is removed for sure."""
+def _run_bytes(length: int):
+    """The bytes of each text's runs that must be compared."""
 
     def run(batches):
         for batch in text_slices(batches):
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            doc, begin, end, digest = [], [], [], []
-            for row, (d, found) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("matches").to_pylist())):
-                text = raw[row]
+            key, doc, begin, data = [], [], [], []
+            for d, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+                raw = text.encode()
                 for m in found:
                     a, n = m["place"] >> RUN_BITS, m["place"] & (1 << RUN_BITS) - 1
-                    ranges = [(a, a + n + length - 1)]
-                    if m["by_window"] and n > 1:
-                        ranges += [(s, s + length) for s in range(a, a + n)]
-                    for s, e in ranges:
-                        doc.append(d)
-                        begin.append(s)
-                        end.append(e)
-                        digest.append(xxhash.xxh3_128_digest(text[s:e]))
-            if not doc:
-                continue
-            doc, begin, end = np.array(doc, np.int64), np.array(begin, np.int64), np.array(end, np.int64)
-            pair = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            order = np.lexsort((begin, doc, pair[:, 1], pair[:, 0]))
-            doc, begin, end, pair = doc[order], begin[order], end[order], pair[order]
-            same = np.zeros(len(doc), bool)
-            same[1:] = (pair[1:] == pair[:-1]).all(1)
-            # equal to the first of its group in id and place: a repeated row
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-            tie = same & (doc == doc[head]) & (begin == begin[head])
-            sure = same & ~tie
-            doc, begin, end, pair, sure = (x[~tie] for x in (doc, begin, end, pair, sure))
+                    key.append(m["key"])
+                    doc.append(d)
+                    begin.append(a)
+                    data.append(raw[a : a + n + length - 1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(doc), pa.array(begin), pa.array(end), pa.array(sure)],
-                names=["d1", "d2", "doc_id", "begin", "end", "sure"],
+                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(data, pa.binary())],
+                names=["key", "doc_id", "begin", "data"],
             )
 
     return run
 
 
+def _windows(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, document and start of every window of the runs."""
+    digests = [xxhash.xxh3_128_digest(r[3][i : i + length]) for r in rows for i in range(len(r[3]) - length + 1)]
+    sizes = np.array([len(r[3]) - length + 1 for r in rows], np.int64)
+    doc = np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
+    start = np.repeat(np.array([r[2] for r in rows], np.int64), sizes) + ragged(np.zeros(len(sizes), np.int64), sizes)
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), doc, start
+
+
+def _compared(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """Byte ranges of the windows that repeat, of keys that are all here."""
+    pair, doc, start = _windows(rows, length)
+    order = np.lexsort((start, doc, pair[:, 1], pair[:, 0]))
+    pair, doc, start = pair[order], doc[order], start[order]
+    same = np.zeros(len(doc), bool)
+    same[1:] = (pair[1:] == pair[:-1]).all(1)
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
+    later = same & ((doc != doc[head]) | (start != start[head]))
+    doc, start = doc[later], start[later]
+    # neighbouring windows become one range
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    none = pa.nulls(len(first), pa.int64())
+    return _ranges(none, none, doc[first], start[first], start[last] + length)
+
+
+def _ranges(d1, d2, doc, begin, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([d1, d2, pa.array(doc), pa.array(begin), pa.array(end)], names=["d1", "d2", "doc_id", "begin", "end"])
+
+
+def _compare(length: int):
+    """Runs in order of their key.  Keys are compared whole; a key with more
+    bytes than fit sends its windows on with their digests."""
+
+    def spread(rows):
+        pair, doc, start = _windows(rows, length)
+        return _ranges(pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), doc, start, start + length)
+
+    def run(batches):
+        held, size, large = [], 0, None  # large: the key whose first runs are gone already
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "doc_id", "begin", "data"))):
+                if held and row[0] != held[-1][0] and (size > COMPARE_BYTES or large is not None):
+                    yield _compared(held, length) if large is None else spread(held)
+                    held, size, large = [], 0, None
+                elif size > COMPARE_BYTES and row[0] == held[0][0]:
+                    large = row[0]
+                    yield spread(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield _compared(held, length) if large is None else spread(held)
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, batches: int = BATCHES) -> DataFrame:
     """``doc_id`` and ``spans``: the byte ranges of each text that also start
     earlier, as strings of ``length`` bytes (ranges may overlap)."""
@@ -261,19 +311,25 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, batches: int = BATC
             matches = found if matches is None else matches.unionByName(found)
     finally:
         index.close()
-    by_doc = (
-        matches.groupBy("doc_id", "place").agg(F.max("by_window").alias("by_window"))
-        .groupBy("doc_id").agg(F.collect_list(F.struct("place", "by_window")).alias("matches"))  # one text's places
+    again = matches.where("sure").select(
+        "doc_id",
+        F.shiftright("place", RUN_BITS).alias("begin"),
+        (F.shiftright("place", RUN_BITS) + F.col("place").bitwiseAND((1 << RUN_BITS) - 1) + (length - 1)).alias("end"),
     )
-    strings = written(
-        texts.join(by_doc, "doc_id").select("doc_id", "text", "matches").mapInArrow(
-            _digests(length), "d1 long, d2 long, doc_id long, begin long, end long, sure boolean"
-        ),
-        "suffix-strings",
+    runs = matches.where(~F.col("sure")).groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("runs"))  # one text's runs
+    compared = (
+        texts.join(runs, "doc_id")
+        .select("doc_id", "text", "runs")
+        .mapInArrow(_run_bytes(length), "key long, doc_id long, begin long, data binary")
+        .repartition("key")
+        .sortWithinPartitions("key")
+        .mapInArrow(_compare(length), "d1 long, d2 long, doc_id long, begin long, end long")
     )
-    rank = F.rank().over(Window.partitionBy("d1", "d2").orderBy("doc_id", "begin"))
-    later = strings.where(~F.col("sure")).withColumn("nth", rank).where("nth > 1")
-    ranges = strings.where("sure").select("doc_id", "begin", "end").unionByName(later.select("doc_id", "begin", "end"))
+    compared = written(compared, "suffix-windows")
+    nth = F.rank().over(Window.partitionBy("d1", "d2").orderBy("doc_id", "begin"))
+    spread = compared.where("d1 IS NOT NULL").withColumn("nth", nth).where("nth > 1")
+    names = ["doc_id", "begin", "end"]
+    ranges = again.unionByName(compared.where("d1 IS NULL").select(*names)).unionByName(spread.select(*names))
     return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # one text's ranges
 
 
