@@ -52,8 +52,13 @@ def count_text(value) -> Column:
 
 
 def timestamp_text(ts) -> Column:
-    """``2024-01-01 10:11 UTC``."""
-    return F.date_format(_c(ts), TIMESTAMP_PATTERN)
+    """``2024-01-01 10:11 UTC``, whatever the session's time zone."""
+    return F.date_format(utc_time(ts), TIMESTAMP_PATTERN)
+
+
+def utc_time(ts) -> Column:
+    """The instant's clock time in UTC."""
+    return F.to_utc_timestamp(_c(ts).cast("timestamp"), F.current_timezone())
 
 
 def is_at_risk(danger) -> Column:

@@ -49,7 +49,7 @@ def tile_xyz(lat, lon, zoom) -> Column:
     """``struct(z, x, y)`` of the tile holding (lat, lon) at ``zoom``.
 
     Latitude is clamped to +-90; x and y are truncated toward zero and clamped
-    to ``[0, 2^z - 1]``.  At the south pole the logarithm's argument is 0 (the
+    to ``[0, 2^z - 1]``.  A NULL or NaN coordinate or a NULL zoom gives NULL.  At the south pole the logarithm's argument is 0 (the
     formula is undefined there); Spark's ``ln`` gives NULL, mapped to the last
     row ``2^z - 1``.  The north pole gives row 0 through the clamp.
     """
@@ -57,7 +57,14 @@ def tile_xyz(lat, lon, zoom) -> Column:
     lat_c = F.greatest(F.lit(-MAX_LATITUDE), F.least(F.lit(MAX_LATITUDE), _c(lat).cast("double")))
     x = _clamp_index(_tile_x(lon, n), n)
     y = _clamp_index(F.coalesce(_mercator_row(lat_c, n), (n - 1).cast("long")), n)
-    return F.struct(_c(zoom).cast("int").alias("z"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    tile = F.struct(_c(zoom).cast("int").alias("z"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    return F.when(_placed(lat, lon, zoom), tile)
+
+
+def _placed(lat, lon, zoom) -> Column:
+    """All three are given (``least`` and ``greatest`` would skip a NULL)."""
+    lat, lon = _c(lat).cast("double"), _c(lon).cast("double")
+    return lat.isNotNull() & ~F.isnan(lat) & lon.isNotNull() & ~F.isnan(lon) & _c(zoom).isNotNull()
 
 
 def _mercator_row(lat, n) -> Column:
@@ -69,7 +76,7 @@ def _mercator_row(lat, n) -> Column:
 def tile_bounds(lat, lon, zoom) -> Column:
     """``struct(lon_min, lat_min, lon_max, lat_max)`` of the tile at the
     coordinates, by the inverse Mercator projection.  Unlike F1 the latitude is
-    not clamped (as in the preview)."""
+    not clamped (as in the preview).  A missing coordinate or zoom gives NULL."""
     n = _tile_count(zoom)
     x = _clamp_index(_tile_x(lon, n), n).cast("double")
     y = _clamp_index(F.coalesce(_mercator_row(_c(lat).cast("double"), n), (n - 1).cast("long")), n).cast("double")
@@ -77,12 +84,13 @@ def tile_bounds(lat, lon, zoom) -> Column:
     def lat_of(row: Column) -> Column:
         return F.degrees(F.atan(F.sinh(F.pi() * (F.lit(1.0) - 2.0 * row / n))))
 
-    return F.struct(
+    bounds = F.struct(
         (x / n * 360.0 - 180.0).alias("lon_min"),
         lat_of(y + 1.0).alias("lat_min"),
         ((x + 1.0) / n * 360.0 - 180.0).alias("lon_max"),
         lat_of(y).alias("lat_max"),
     )
+    return F.when(_placed(lat, lon, zoom), bounds)
 
 
 def bounds_center(bounds) -> Column:
@@ -129,13 +137,13 @@ def preview_zoom(zoom) -> Column:
 def tile_file_name(tile) -> Column:
     """``esri_{z}_{x}_{y}.png`` of a tile struct."""
     t = _c(tile)
-    return F.format_string(TILE_FILE_FORMAT, t["z"], t["x"], t["y"])
+    return F.when(t.isNotNull(), F.format_string(TILE_FILE_FORMAT, t["z"], t["x"], t["y"]))
 
 
 def tile_url(tile) -> Column:
     """tile service URL of a tile struct -- note the z/y/x order."""
     t = _c(tile)
-    return F.format_string(TILE_URL_FORMAT, t["z"], t["y"], t["x"])
+    return F.when(t.isNotNull(), F.format_string(TILE_URL_FORMAT, t["z"], t["y"], t["x"]))
 
 
 def tile_from_path(path) -> Column:

@@ -32,15 +32,12 @@ def fits_broadcast(
     """True when ``df`` has at most ``max_rows`` rows holding at most
     ``max_bytes`` bytes.
 
-    One job over at most ``max_rows + 1`` rows counts them and sums their
-    value sizes, so the check stays cheap whatever the size.  Meant for
-    dimension tables read from storage, not for plans whose evaluation is
-    expensive.
+    One aggregation (partial sums per task, one row each) counts the rows and
+    sums their value sizes.  Meant for dimension tables read from storage, not
+    for plans whose evaluation is expensive.
     """
     size = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0))
-    row = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")
-    ).first()
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     return row["n"] <= max_rows and row["b"] <= max_bytes
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiles import tile_file_name, tile_url, tile_xyz
-from .broadcast import DEFAULT_MAX_BROADCAST_ROWS, fits_broadcast
 
 KEY = ["latitude", "longitude", "zoom"]
 
@@ -44,19 +43,14 @@ def first_for_keys(
     wanted: DataFrame,
     payload: Sequence[str] = ("image_description", "danger", "text_description"),
     key: Sequence[str] = KEY,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """O5 restricted to the keys of ``wanted`` (distinct keys).
 
-    Few wanted keys (size-checked): they are broadcast and the log is filtered
-    map-side before the partial aggregation -- no shuffle of log rows.  Many:
-    the whole log is aggregated first (a hot key becomes one row per task) and
-    only then semi-joined, so no join ever sees a hot key's raw rows (a
-    shuffled semi join followed by the aggregate would keep such a key in one
-    task: AQE does not split a partition the next operator needs whole)."""
+    The log is aggregated first (a hot key becomes one row per task) and only
+    then semi-joined, so no join sees a hot key's raw rows: a shuffled semi join
+    followed by the aggregate would keep such a key in one task, since AQE does
+    not split a partition that the next operator needs whole."""
     key = list(key)
-    if fits_broadcast(wanted, max_broadcast_rows):
-        return first_per_key(log.join(F.broadcast(wanted), key, "left_semi"), payload, key)
     return first_per_key(log, payload, key).join(wanted, key, "left_semi")
 
 
@@ -65,7 +59,6 @@ def lookup_requests(
     log: DataFrame,
     payload: Sequence[str] = ("image_description", "danger", "text_description"),
     key: Sequence[str] = KEY,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Every request with ``hit`` and the first stored entry's payload (NULL
     on a miss).
@@ -75,7 +68,7 @@ def lookup_requests(
     request key on the preserved requests side."""
     key = list(key)
     wanted = requests.select(*key).distinct()
-    first = first_for_keys(log, wanted, payload, key, max_broadcast_rows).withColumn("hit", F.lit(True))
+    first = first_for_keys(log, wanted, payload, key).withColumn("hit", F.lit(True))
     out = requests.join(first, key, "left")
     return out.withColumn("hit", F.coalesce(F.col("hit"), F.lit(False)))
 

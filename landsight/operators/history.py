@@ -65,12 +65,17 @@ def sort_log(log: DataFrame, choice: str = "Newest first", tie_col: str = "id")
     the order is stable.  A distributed range sort: every row of one workflow
     batch carries the same timestamp, and the tie-break keeps such a batch
     spread over many range partitions instead of one."""
+    return log.orderBy(*sort_keys(log, choice, tie_col))
+
+
+def sort_keys(log: DataFrame, choice: str = "Newest first", tie_col: str = "id") -> list:
+    """The sort expressions of ``sort_log``."""
     if choice not in SORTS:
         raise ValueError(f"sort must be one of {SORTS}")
     ts = F.col("timestamp")
     first = ts.desc_nulls_last() if choice == "Newest first" else ts.asc_nulls_last()
     ties = [tie_col] if tie_col in log.columns else [c for c in LOCATION_TIE if c in log.columns]
-    return log.orderBy(first, *[F.col(c).asc() for c in ties])
+    return [first, *[F.col(c).asc() for c in ties]]
 
 
 def history_table(log: DataFrame, choice: str = "All", order: str = "Newest first") -> DataFrame:

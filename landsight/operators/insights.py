@@ -47,7 +47,7 @@ def year_pivot(
     two latest years (``prev_mean``, ``last_mean``; NULL when absent)."""
     by = list(by)
     years = last_two_years(rows, by)
-    r = rows.join(F.broadcast(years), by, "inner").where(
+    r = rows.join(years, by, "inner").where(
         F.col("year_number").isin(F.col("prev_year"), F.col("last_year"))
         & F.col(country_col).isNotNull()
         & F.col("value").isNotNull()
@@ -94,7 +94,7 @@ def insight_series(
     by = list(by)
     change = yoy_change(rows, country_col, by)
     have_change = change.select(*by).distinct()
-    means = country_means(rows, by, country_col).join(F.broadcast(have_change), by, "left_anti")
+    means = country_means(rows, by, country_col).join(have_change, by, "left_anti")
     metric = F.col("metric") if "metric" in by else F.lit("value")
     means = means.select(
         *by, country_col, F.col("mean_value").alias("value"), metric.alias("label"), "n_values"

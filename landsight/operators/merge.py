@@ -97,8 +97,8 @@ def merge_boundaries(
         if groups is None:
             groups = keys.select(*group_cols).distinct()
         else:
-            ind = ind.join(F.broadcast(groups), group_cols, "left_semi")
-            keys = keys.join(F.broadcast(groups), group_cols, "left_semi")
+            ind = ind.join(groups, group_cols, "left_semi")
+            keys = keys.join(groups, group_cols, "left_semi")
     overlap = (set(boundary.columns) & set(ind.columns)) - set(group_cols)
     if overlap:
         raise ValueError(f"boundary and indicator share columns {sorted(overlap)}; rename first")

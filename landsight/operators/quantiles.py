@@ -58,13 +58,11 @@ def exact_percentiles(
         counts.repartitionByRange(n_parts, *[F.col(c) for c in g], F.col("__v"))
         .withColumn("__pid", F.spark_partition_id())
     )
-    # Several branches read ``ranged``; their partition ids agree because Spark
-    # runs the one range exchange once and reuses it.  A session with exchange
-    # reuse turned off gets the ids stored first instead.
-    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        from ..sources.store import materialize
+    # Several branches read the partition ids, so they are stored: two runs of
+    # the range exchange could sample other bounds.
+    from ..sources.store import materialize
 
-        ranged = materialize(ranged, "percentile-ranges")
+    ranged = materialize(ranged, "percentile-ranges")
     # rows of each group per range partition, and the offset of each partition
     per_part = ranged.groupBy(*g, "__pid").agg(F.sum("__c").alias("__pc"))
     w_off = Window.partitionBy(*g).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

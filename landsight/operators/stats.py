@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_text, number_text
-from .broadcast import fits_broadcast
 from .merge import clean_indicator_codes
 from .quantiles import exact_percentiles
 
@@ -53,8 +52,7 @@ def merged_kpis(
             F.min("value").alias("__mn"),
         )
     )
-    small = fits_broadcast(bcount)  # boundary code counts: broadcast only after the size check
-    joined = per_code.join(F.broadcast(bcount) if small else bcount, per_code[code_col] == bcount["ISO_A3"], "inner")
+    joined = per_code.join(bcount, per_code[code_col] == bcount["ISO_A3"], "inner")
     per_group = joined.groupBy(*group_cols).agg(
         F.sum(F.col("__b") * (F.col("__n") - 1)).alias("__extra"),
         F.sum(F.col("__b") * F.col("__nv")).alias("__nv"),
@@ -62,7 +60,10 @@ def merged_kpis(
         F.max("__mx").alias("max_value"),
         F.min("__mn").alias("min_value"),
     )
-    out = groups.join(per_group, group_cols, "left")
+    # a NULL group value (no year) is a group like any other
+    named = per_group.withColumnsRenamed({c: f"__{c}" for c in group_cols})
+    same = [groups[c].eqNullSafe(named[f"__{c}"]) for c in group_cols]
+    out = groups.join(named, same, "left").drop(*[f"__{c}" for c in group_cols])
     with_data = F.coalesce(F.col("__nv"), F.lit(0)).cast("long")
     return out.select(
         *group_cols,
@@ -114,15 +115,15 @@ def choropleth_scale(
     [0, 1] by the group's min and max (NULL when min = max or no value); per
     group, ``has_data`` tells a coloured map from a plain one.
 
-    Group extremes come from one partial aggregation and join back by broadcast
-    (one row per group)."""
+    Group extremes come from one partial aggregation and join back (one row per
+    group)."""
     group_cols = list(group_cols)
     ext = merged.groupBy(*group_cols).agg(
         F.min(value_col).alias("__min"),
         F.max(value_col).alias("__max"),
         F.max(F.col(value_col).isNotNull()).alias("has_data"),
     )
-    j = merged.join(F.broadcast(ext), group_cols, "inner")
+    j = merged.join(ext, group_cols, "inner")
     span = F.col("__max") - F.col("__min")
     return j.select(
         *[c for c in merged.columns],

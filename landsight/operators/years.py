@@ -2,8 +2,7 @@
 
 All of them aggregate per dataset first (partial + final hash aggregation, so a
 dataset holding most rows costs one pre-aggregated row per task), and join the
-result -- bounded by the number of datasets times the number of years -- back
-with a broadcast.
+result -- bounded by the number of datasets times the number of years -- back.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ def filter_latest(indicator: DataFrame, by: str = "dataset") -> DataFrame:
     """Only the rows of each dataset's latest year (coerced comparison)."""
     latest = latest_year(indicator, by)
     return indicator.join(
-        F.broadcast(latest),
+        latest,
         (indicator[by] == latest[by])
         & (indicator["year_number"] == latest["latest_year"].cast("double")),
         "left_semi",
@@ -93,6 +92,18 @@ def last_two_years(rows: DataFrame, by="dataset") -> DataFrame:
     )
 
 
-def in_years(col: str, prev_col: str = "prev_year", last_col: str = "last_year"):
-    """The two-year in-list as a column predicate."""
-    return F.col(col).isin(F.col(prev_col), F.col(last_col))
+def selections(indicator: DataFrame, by: str = "dataset") -> DataFrame:
+    """Every selectable (dataset, year): the available years, and for a dataset
+    without any a NULL year, which selects all its rows."""
+    years = available_years(indicator, by).select(by, "year")
+    none = indicator.select(by).distinct().join(years.select(by), by, "left_anti")
+    return years.unionByName(none.withColumn("year", F.lit(None).cast("int")))
+
+
+def selection_rows(indicator: DataFrame, by: str = "dataset") -> DataFrame:
+    """The rows by the selection they belong to: ``year`` is NULL for all rows of
+    a dataset without a usable year; other rows without a year are in none."""
+    dated = available_years(indicator, by).select(by).distinct().withColumn("__dated", F.lit(True))
+    rows = indicator.join(dated, by, "left")
+    rows = rows.where(F.col("__dated").isNull() | F.col("year").isNotNull())
+    return rows.withColumn("year", F.when(F.col("__dated"), F.col("year"))).select(*indicator.columns)

@@ -1,7 +1,7 @@
 """The risk workflow for a whole batch of coordinate requests.
 
-For every request: look the key up in the log (J2); for keys not analysed yet,
-find the tile (F1, F9), describe the image with a vision model (M1), assess
+For every request: look the key up in the log (J2) and fetch its tile (S9); for
+keys not analysed yet, describe the image with a vision model (M1), assess
 the description with a text model (M2), parse the reply natively (F22),
 assemble log rows (K2) -- and return one result per request.
 
@@ -136,6 +136,30 @@ def analyse_keys(
     return assess_descriptions(describe_images(work, client_factory, config), client_factory, config)
 
 
+def whole_key(df: DataFrame):
+    """All three key columns are given (a NaN coordinate is missing too)."""
+    ok = F.lit(True)
+    for c in KEY:
+        ok = ok & F.col(c).isNotNull()
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            ok = ok & ~F.isnan(c)
+    return ok
+
+
+def fetch_tiles(keys: DataFrame, image_root: str, fetch) -> DataFrame:
+    """S9 for the workflow: fetch the tiles of ``keys`` that are not landed yet;
+    returns the ``tile_file`` names that are there afterwards."""
+    from ..operators.cache import tile_work_list
+    from ..sources.fetch import run_fetch, tile_fetch_plan
+    from ..sources.tiles import read_tile_inventory
+
+    spark = keys.sparkSession
+    landed = read_tile_inventory(spark, image_root).select("file_name")
+    results = run_fetch(tile_fetch_plan(tile_work_list(keys, landed), image_root), fetch).checkpoint(eager=True)
+    new = results.where(F.col("error").isNull()).select(F.regexp_extract("target_path", r"[^/]+$", 0).alias("file_name"))
+    return landed.unionByName(new).select(F.col("file_name").alias("tile_file")).distinct()
+
+
 def process_requests(
     requests: DataFrame,
     log: DataFrame,
@@ -144,22 +168,32 @@ def process_requests(
     config: ModelConfig = DEFAULT_MODEL_CONFIG,
     clock=None,
     model_parallelism: int | None = None,
+    fetch=None,
 ):
     """Returns ``(results, new_log_rows)``.
 
     ``results``: every request with ``source`` (``cache`` or ``model``, NULL when
-    the model failed), ``image_description``, ``danger``, ``justification``.
+    the model failed), ``image_description``, ``danger``, ``justification``,
+    ``error``, ``tile_file``, ``image_path`` and ``tile_fetched``.  A request
+    without a whole key has an error and reaches no model and no log.
     ``new_log_rows``: the rows to append (K1) -- successful model results only.
+    With ``fetch`` (``url -> bytes``) the tiles of all keys, hits and misses,
+    are fetched first; without it ``tile_fetched`` is NULL.
     """
-    keys = requests.select(*KEY).distinct()
-    cached = first_for_keys(log, keys, ("image_description", "danger", "text_description"))
-    misses = keys.join(cached.select(*KEY), KEY, "left_anti")
+    from ..sources.store import materialize
+
+    keys = requests.where(whole_key(requests)).select(*KEY).distinct()
+    first = first_for_keys(log, keys, ("image_description", "danger", "text_description"))
+    # the lookup is written once: hits, misses and results derive from it
+    looked = materialize(keys.join(first.withColumn("hit", F.lit(True)), KEY, "left"), "lookup")
     checkpoint_dir(requests.sparkSession)
+    tiles = fetch_tiles(looked, image_root, fetch) if fetch is not None else None
+    misses = looked.where("hit IS NULL").select(*KEY)
     analysed = analyse_keys(misses, client_factory, image_root, config, model_parallelism).checkpoint(eager=True)
     good = analysed.where(F.col("danger").isNotNull() & F.col("raw_reply_error").isNull())
     new_rows = log_rows(good, config, clock)
 
-    from_cache = cached.select(
+    from_cache = looked.where("hit").select(
         *KEY, F.lit("cache").alias("source"), "image_description", "danger",
         F.col("text_description").alias("justification"), F.lit(None).cast("string").alias("error"),
     )
@@ -174,19 +208,28 @@ def process_requests(
         F.coalesce("image_description_error", "raw_reply_error").alias("error"),
     )
     per_key = from_cache.unionByName(from_model)
+    per_key = per_key.withColumn("tile_file", tile_file_name(tile_xyz("latitude", "longitude", "zoom")))
+    if tiles is None:
+        per_key = per_key.withColumn("tile_fetched", F.lit(None).cast("boolean"))
+    else:
+        per_key = per_key.join(tiles.withColumn("tile_fetched", F.lit(True)), "tile_file", "left")
+        per_key = per_key.withColumn("tile_fetched", F.coalesce("tile_fetched", F.lit(False)))
+    per_key = per_key.withColumn("image_path", F.concat(F.lit(image_root.rstrip("/") + "/"), "tile_file"))
     results = requests.join(per_key, KEY, "left")
-    return results, new_rows
+    incomplete = F.when(~whole_key(requests), F.lit("coordinates or zoom missing"))
+    return results.withColumn("error", F.coalesce("error", incomplete)), new_rows
 
 
 def run_requests(requests: DataFrame, log_path: str, client_factory: ClientFactory, image_root: str,
-                 config: ModelConfig = DEFAULT_MODEL_CONFIG, model_parallelism: int | None = None) -> DataFrame:
+                 config: ModelConfig = DEFAULT_MODEL_CONFIG, model_parallelism: int | None = None,
+                 fetch=None) -> DataFrame:
     """W1 + K1: process a batch against the stored log and append the new rows."""
     from ..sources.log import append_log, read_log
 
     spark = requests.sparkSession
     results, new_rows = process_requests(
-        requests, read_log(spark, log_path), client_factory, image_root, config,
-        model_parallelism=model_parallelism,
+        requests, read_log(spark, log_path, with_id=True), client_factory, image_root, config,
+        model_parallelism=model_parallelism, fetch=fetch,
     )
     append_log(new_rows, log_path)
     return results
@@ -194,15 +237,20 @@ def run_requests(requests: DataFrame, log_path: str, client_factory: ClientFacto
 
 class StubModelClient:
     """A deterministic stand-in for the two models (tests and the registered
-    query).  The description names the tile file; the reply is a JSON verdict
-    for tiles with an even column and plain text otherwise."""
+    query).  The description names the tile file and the size of its image,
+    which it reads; the reply is a JSON verdict for images with an even number
+    of bytes and plain text otherwise."""
 
     def describe(self, image_path: str, config: ModelConfig) -> str:
-        return "tile " + image_path.rsplit("/", 1)[-1] + "\n"
+        from ..sources.fetch import file_system
+
+        system, where = file_system(image_path)
+        with system.open_input_stream(where) as image:
+            size = len(image.read())
+        return f"tile {image_path.rsplit('/', 1)[-1]} of {size} bytes\n"
 
     def assess(self, prompt: str, config: ModelConfig) -> str:
-        name = prompt.rsplit("tile ", 1)[-1].strip()
-        x = int(name.split("_")[2])
-        if x % 2 == 0:
+        name, _, size = prompt.rsplit("tile ", 1)[-1].strip().removesuffix(" bytes").partition(" of ")
+        if int(size) % 2 == 0:
             return '```json\n{"danger": "Y", "justification": "eroded banks near ' + name + '"}\n```'
         return "no visible change near " + name

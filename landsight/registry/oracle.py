@@ -316,7 +316,8 @@ SELECT column_name, count(v) AS non_null, count({_num('v')}) AS numeric FROM t G
 _LOG = """
 log AS (
   SELECT event_id AS id, ts AS timestamp,
-         CAST(((event_id // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+         CAST(((event_id // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE)
+           + CAST((event_id // 25) // 612000 AS DOUBLE) / CAST((event_id // 25) // 612000 + 1 AS DOUBLE) / CAST(100 AS DOUBLE) AS latitude,
          CAST(((event_id // 25) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
          CAST(1 + (event_id // 25) % 20 AS INTEGER) AS zoom,
          event_type || ' ' || props AS image_description,
@@ -329,22 +330,24 @@ log AS (
 ),
 request AS (
   SELECT event_id AS request_id,
-         CAST((((event_id * 2) // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+         CAST((((event_id * 2) // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE)
+           + CAST(((event_id * 2) // 25) // 612000 AS DOUBLE) / CAST(((event_id * 2) // 25) // 612000 + 1 AS DOUBLE) / CAST(100 AS DOUBLE) AS latitude,
          CAST((((event_id * 2) // 25) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
          CAST(1 + ((event_id * 2) // 25) % 20 AS INTEGER) AS zoom
   FROM events
 ),
 reply AS (
   SELECT doc_id, CASE doc_id % 8
-         WHEN 0 THEN '{"danger": "y", "justification": "J' || CAST(doc_id AS VARCHAR) || '"}'
-         WHEN 1 THEN '```json' || chr(10) || '{"danger": "N"}' || chr(10) || '```'
-         WHEN 2 THEN '{"danger": null, "justification": "x"}'
-         WHEN 3 THEN '{"danger": "Y"} extra'
-         WHEN 4 THEN 'Some concern about soil in ' || lang
-         WHEN 5 THEN 'all calm in ' || lang
-         WHEN 6 THEN '{"justification": "only"}'
+         WHEN 0 THEN '{"danger": "y", "justification": ' || quoted || '}'
+         WHEN 1 THEN '```json' || chr(10) || '{"danger": "N", "justification": ' || quoted || '}' || chr(10) || '```'
+         WHEN 2 THEN '{"danger": null, "justification": ' || quoted || '}'
+         WHEN 3 THEN '{"danger": "Y"} ' || text
+         WHEN 4 THEN 'Some concern about soil in ' || text
+         WHEN 5 THEN 'all calm in ' || text
+         WHEN 6 THEN '{"justification": ' || quoted || '}'
          ELSE text END AS raw
-  FROM documents
+  FROM (SELECT doc_id, text, '"' || regexp_replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), '[\\x00-\\x1F]', ' ', 'g') || '"' AS quoted
+        FROM documents) d
 )
 """
 
@@ -548,22 +551,30 @@ WHERE {_tile_file()} NOT IN (SELECT DISTINCT {_tile_file('lt')} FROM lt)
     _tile_cte("lt", "log", "latitude, longitude"),
 )
 
-ORACLE["w1_process_requests"] = _ql(
-    f"""
-SELECT q.request_id, q.latitude, q.longitude, q.zoom,
-       CASE WHEN f.latitude IS NOT NULL THEN 'cache' ELSE 'model' END AS source,
-       CASE WHEN f.latitude IS NOT NULL THEN f.image_description ELSE 'tile ' || {_tile_file('q')} END
-         AS image_description,
-       CASE WHEN f.latitude IS NOT NULL THEN f.danger WHEN q.x % 2 = 0 THEN 'Y' ELSE 'N' END AS danger,
-       CASE WHEN f.latitude IS NOT NULL THEN f.text_description
-            WHEN q.x % 2 = 0 THEN 'eroded banks near ' || {_tile_file('q')}
-            ELSE 'no visible change near ' || {_tile_file('q')} END AS justification,
-       CAST(NULL AS VARCHAR) AS error
-FROM rt q LEFT JOIN first f
-  ON q.latitude = f.latitude AND q.longitude = f.longitude AND q.zoom = f.zoom
-""",
-    _FIRST,
-    _tile_cte("rt", "request", "request_id, latitude, longitude, zoom"),
+_MODEL = f"""
+w AS (
+  SELECT q.request_id, q.latitude, q.longitude, q.zoom, f.latitude IS NOT NULL AS hit, f.image_description, f.danger, f.text_description,
+         {_tile_file('q')} AS tile_file, length({_URL}) AS n
+  FROM rt q LEFT JOIN first f
+    ON q.latitude = f.latitude AND q.longitude = f.longitude AND q.zoom = f.zoom
+),
+answered AS (
+  SELECT request_id, latitude, longitude, zoom, hit,
+         CASE WHEN hit THEN 'cache' ELSE 'model' END AS source,
+         CASE WHEN hit THEN image_description ELSE 'tile ' || tile_file || ' of ' || n || ' bytes' END AS image_description,
+         CASE WHEN hit THEN danger WHEN n % 2 = 0 THEN 'Y' ELSE 'N' END AS danger,
+         CASE WHEN hit THEN text_description WHEN n % 2 = 0 THEN 'eroded banks near ' || tile_file
+              ELSE 'no visible change near ' || tile_file END AS justification,
+         CAST(NULL AS VARCHAR) AS error, tile_file, true AS tile_fetched
+  FROM w
+)"""
+
+_WORKFLOW = [_FIRST, _tile_cte("rt", "request", "request_id, latitude, longitude, zoom"), _MODEL]
+
+ORACLE["w1_process_requests"] = _ql("SELECT * EXCLUDE (hit) FROM answered", *_WORKFLOW)
+
+ORACLE["j2_stored_lookup"] = ORACLE["j2_cache_lookup"].replace(
+    "ORDER BY timestamp IS NULL, timestamp, id", "ORDER BY id"
 )
 
 ORACLE["s1_catalogue"] = _q(
@@ -594,7 +605,13 @@ LEFT JOIN (SELECT c.* FROM clean c JOIN newest n ON c.dataset = n.dataset AND c.
 )
 
 ORACLE["s4_csv_scan"] = _q(
-    "SELECT dataset, metric, entity, code, year_number, CAST(year AS DOUBLE) AS year, value FROM indicator"
+    """
+SELECT dataset,
+  CASE dataset WHEN 'annual_deforestation' THEN 'Deforestation (ha)'
+    WHEN 'share_degraded_land' THEN 'Degraded land, share' ELSE 'Protected' END AS metric,
+  entity, code, year_number, CAST(year AS DOUBLE) AS year, value
+FROM indicator
+"""
 )
 
 def _sql_text(value: str) -> str:
@@ -603,7 +620,8 @@ def _sql_text(value: str) -> str:
 
 _LOG_FULL = f"""
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp,
-       CAST(((event_id // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE) AS latitude,
+       CAST(((event_id // 25) * 37) % 17000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE)
+           + CAST((event_id // 25) // 612000 AS DOUBLE) / CAST((event_id // 25) // 612000 + 1 AS DOUBLE) / CAST(100 AS DOUBLE) AS latitude,
        CAST(((event_id // 25) * 91) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS longitude,
        CAST(1 + (event_id // 25) % 20 AS INTEGER) AS zoom,
        event_type || ' ' || props AS image_description,
@@ -679,15 +697,31 @@ FROM s
 # The streaming workflow gives the batch workflow's answers.
 ORACLE["w1_request_stream"] = ORACLE["w1_process_requests"]
 
-# Days the 1-day watermark has closed: window end <= latest timestamp - 1 day.
-ORACLE["a9_daily_risk_stream"] = _ql(
-    """
-, k AS (SELECT CAST(timestamp AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE danger = 'Y') AS y,
-               count(*) FILTER (WHERE danger = 'N') AS n FROM log GROUP BY 1)
-SELECT strftime(day, '%Y-%m-%d') AS day, total AS total_analyses, y AS at_risk, total - y AS safe,
-       CAST(round_even(y / total * 100, 0) AS BIGINT) AS risk_rate_pct,
-       y AS showing_at_risk, n AS showing_safe
-FROM k
-WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(timestamp) FROM log) - INTERVAL 1 DAY
-"""
+# The streaming report holds every day, late rows included.
+ORACLE["a9_daily_risk_stream"] = ORACLE["a9_daily_risk_kpis"]
+
+ORACLE["k2_new_log_rows"] = _ql(
+    f"""
+SELECT DISTINCT '2024-06-01 12:00:00.000000' AS timestamp, latitude, longitude, zoom, image_description,
+       {_sql_text(DEFAULT_MODEL_CONFIG.image_prompt.strip())} AS image_prompt, 'llava:7b' AS image_model,
+       justification AS text_description, {_sql_text(DEFAULT_MODEL_CONFIG.text_prompt.strip())} AS text_prompt,
+       'mistral:7b' AS text_model, danger
+FROM answered WHERE NOT hit
+""",
+    *_WORKFLOW,
 )
+
+ORACLE["f18_prompts"] = f"""
+SELECT event_id AS id, {_sql_text(DEFAULT_MODEL_CONFIG.text_prompt)} || chr(10) || chr(10) || 'Image description:' || chr(10)
+       || event_type || ' ' || props AS prompt
+FROM events
+""".strip()
+
+ORACLE["o2_ranked_history"] = """
+SELECT event_id AS id,
+       row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id) AS newest_in_day,
+       row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS oldest_in_day
+FROM events
+""".strip()
+
+ORACLE["p11_country_means"] = ORACLE["a6_country_mean"]

@@ -49,6 +49,13 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.boundary(spark, sf_dir)
 
 
+# value columns of the CSV fixture: every dataset has its own header
+CSV_VALUE_COLUMNS = {
+    "annual_deforestation": "Deforestation (ha)",
+    "share_degraded_land": "Degraded land, share",
+    "share_protected_land": "Protected",
+}
+
 LONG_COLS = ["metric", "entity", "code", "year_number", "year", "value"]
 
 
@@ -73,7 +80,7 @@ def nullable_ints_as_double(df: DataFrame, *cols: str) -> DataFrame:
 @register("p2_clean_indicator")
 def q_clean_indicator(spark, sf_dir):
     """Cleaned codes, coerced years and values, valid codes only."""
-    ind = indicator(spark, sf_dir)
+    ind = indicator(spark, sf_dir, stored=False)
     out = M.clean_indicator_codes(ind, "code").select("dataset", *LONG_COLS)
     return nullable_ints_as_double(out, "year")
 
@@ -95,7 +102,7 @@ def q_latest_year(spark, sf_dir):
 @register("a2_available_years")
 def q_available_years(spark, sf_dir):
     """Years with data per dataset, newest first."""
-    return Y.available_years(indicator(spark, sf_dir)).withColumn("year_rank", F.col("year_rank").cast("long"))
+    return Y.available_years(indicator(spark, sf_dir, stored=False)).withColumn("year_rank", F.col("year_rank").cast("long"))
 
 
 @register("s6_latest_merged")
@@ -110,25 +117,25 @@ def q_latest_merged(spark, sf_dir):
 def q_kpis(spark, sf_dir):
     """D5 (A3-A5): countries, with data, mean, max, min for every dataset and
     available year."""
-    ind = indicator(spark, sf_dir)
-    groups = Y.available_years(ind).select("dataset", "year")
+    from ..plans.dashboard import Dashboard
+
     # ``year`` is set only for integral coerced years, so grouping by it is the
     # P7 comparison ``to_number(Year) == selected_year``.
-    k = S.merged_kpis(boundary(spark, sf_dir), ind, groups)
+    k = Dashboard(indicator(spark, sf_dir), boundary(spark, sf_dir)).kpis()
     return k.withColumn("mean_value", exact_mean("mean_value", "with_data"))
 
 
-def matched(spark, sf_dir) -> DataFrame:
+def matched(spark, sf_dir, stored: bool = True) -> DataFrame:
     """Indicator rows with their boundary country (the matched side of J1)."""
     from ..operators.insights import matched_rows
 
-    return matched_rows(boundary(spark, sf_dir), indicator(spark, sf_dir))
+    return matched_rows(boundary(spark, sf_dir), indicator(spark, sf_dir, stored))
 
 
 def selectable(spark, sf_dir) -> DataFrame:
     """Matched rows of a year that can be selected (an integral year); the
     per-year page forms group by it."""
-    return matched(spark, sf_dir).where(F.col("year").isNotNull())
+    return matched(spark, sf_dir, stored=False).where(F.col("year").isNotNull())
 
 
 def latest_merged(spark, sf_dir) -> DataFrame:
@@ -328,8 +335,7 @@ def q_risk_kpis(spark, sf_dir):
 
 @register("a9_daily_risk_kpis")
 def q_daily_risk_kpis(spark, sf_dir):
-    """A9, A10 per analysis day: the report the streaming query emits as days
-    close (``streaming.history.daily_risk_kpis``), over the whole log at once."""
+    """A9, A10 per analysis day over the whole log at once."""
     from ..streaming.history import daily_risk_kpis
 
     out = daily_risk_kpis(T.analysis_log(spark, sf_dir))
@@ -338,21 +344,17 @@ def q_daily_risk_kpis(spark, sf_dir):
 
 @register("a9_daily_risk_stream")
 def q_daily_risk_stream(spark, sf_dir):
-    """A9, A10 incremental: the log is stored, read as a stream, and the per-day
-    report (event-time day windows, 1-day watermark, append mode) is written as
-    days close and read back -- every day that ends at least a day before the
-    latest analysis."""
+    """A9, A10 incremental: the log is stored, read as a stream in several
+    micro-batches, and the per-day report is read back -- every day with all
+    its rows."""
     from ..sources import log as L
     from ..sources.store import table_path
-    from ..streaming.history import start_daily_risk_kpis
+    from ..streaming.history import read_daily_risk_kpis, start_daily_risk_kpis
 
     root = table_path(spark.range(0), "daily-risk-stream")
     L.append_log(T.analysis_log(spark, sf_dir), f"{root}/log")
-    query = start_daily_risk_kpis(spark, f"{root}/log", f"{root}/daily", f"{root}/checkpoint",
-                                  lateness="1 day", available_now=True)
-    query.awaitTermination()
-    out = spark.read.parquet(f"{root}/daily")
-    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    start_daily_risk_kpis(spark, f"{root}/log", f"{root}/daily", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return read_daily_risk_kpis(spark, f"{root}/daily").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @register("d1_history_table")
@@ -435,9 +437,78 @@ def q_process_requests(spark, sf_dir):
     from ..plans.workflow import StubModelClient, process_requests
 
     results, _ = process_requests(
-        T.request(spark, sf_dir), T.analysis_log(spark, sf_dir), StubModelClient, "/tiles"
+        T.request(spark, sf_dir), T.analysis_log(spark, sf_dir), StubModelClient, _tile_folder(spark), fetch=_echo_fetch
+    )
+    return results.drop("image_path")
+
+
+def _tile_folder(spark) -> str:
+    from ..sources.store import table_path
+
+    return table_path(spark.range(0), "tiles")
+
+
+@register("k2_new_log_rows")
+def q_new_log_rows(spark, sf_dir):
+    """The log rows of a batch, with a fixed clock."""
+    from ..plans.workflow import StubModelClient, process_requests
+
+    clock = T.utc_instant(F.lit("2024-06-01 12:00:00").cast("timestamp_ntz"))
+    _, rows = process_requests(
+        T.request(spark, sf_dir), T.analysis_log(spark, sf_dir), StubModelClient, _tile_folder(spark), clock=clock, fetch=_echo_fetch
     )
-    return results
+    return _timestamp_text(rows)
+
+
+@register("f18_prompts")
+def q_prompts(spark, sf_dir):
+    """the text model's whole input for every logged description."""
+    from ..config import DEFAULT_MODEL_CONFIG
+    from ..functions.text import assessment_prompt
+
+    log = T.analysis_log(spark, sf_dir)
+    return log.select("id", assessment_prompt(DEFAULT_MODEL_CONFIG.text_prompt, F.col("image_description")).alias("prompt"))
+
+
+@register("o2_ranked_history")
+def q_ranked_history(spark, sf_dir):
+    """O2: the place of every record in the History page's two orders."""
+    from pyspark.sql import Window
+
+    from ..operators.history import sort_keys
+
+    log = T.analysis_log(spark, sf_dir)
+    orders = {"newest": "Newest first", "oldest": "Oldest first"}
+    by_day = {
+        k: F.row_number().over(Window.partitionBy("day").orderBy(*sort_keys(log, v))).cast("long").alias(f"{k}_in_day") for k, v in orders.items()
+    }
+    return log.withColumn("day", F.to_date("timestamp")).select("id", *by_day.values())
+
+
+@register("p11_country_means")
+def q_country_column(spark, sf_dir):
+    """Boundaries whose country column is called ``NAME``."""
+    from ..plans.dashboard import Dashboard
+
+    named = boundary(spark, sf_dir).withColumnRenamed("ADMIN", "NAME")
+    dash = Dashboard(indicator(spark, sf_dir, stored=False), named)
+    rows = dash.matched().where(F.col("year").isNotNull())
+    out = S.country_means(rows, ["dataset", "year"])
+    return out.select("dataset", "year", "ADMIN", exact_mean("mean_value", "n_values").alias("mean_value"))
+
+
+@register("j2_stored_lookup")
+def q_stored_lookup(spark, sf_dir):
+    """The lookup on a log written and read by the library; all entries
+    share one timestamp, so the order of storage decides."""
+    from ..operators.cache import lookup_requests
+    from ..sources import log as L
+    from ..sources.store import table_path
+
+    path = table_path(spark.range(0), "log")
+    src = T.analysis_log(spark, sf_dir).withColumn("timestamp", T.utc_instant(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    L.append_log(src, path)
+    return lookup_requests(T.request(spark, sf_dir), L.read_log(spark, path, with_id=True))
 
 
 @register("w1_request_stream")
@@ -456,10 +527,10 @@ def q_request_stream(spark, sf_dir):
     L.append_log(T.analysis_log(spark, sf_dir), f"{root}/log")
     query = start_request_stream(
         spark, f"{root}/requests", f"{root}/log", f"{root}/results", f"{root}/checkpoint",
-        StubModelClient, "/tiles", available_now=True,
+        StubModelClient, f"{root}/tiles", available_now=True, fetch=_echo_fetch,
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/results").drop("epoch")
+    return spark.read.parquet(f"{root}/results").drop("query", "epoch", "image_path")
 
 
 @register("s1_catalogue")
@@ -479,14 +550,9 @@ def q_catalogue(spark, sf_dir):
 @register("p7_default_selection")
 def q_default_selection(spark, sf_dir):
     """Each dataset at its default (newest available) year, merged."""
-    ind = indicator(spark, sf_dir)
-    newest = Y.available_years(ind).where(F.col("year_rank") == 1).select("dataset", "year")
-    rows = ind.join(F.broadcast(newest), ["dataset", "year"], "left_semi")
-    out = M.merge_boundaries(
-        boundary(spark, sf_dir), rows, code_col="code", group_cols=["dataset"],
-        groups=ind.select("dataset").distinct(),
-    )
-    return nullable_ints_as_double(out, "year")
+    from ..plans.dashboard import Dashboard
+
+    return nullable_ints_as_double(Dashboard(indicator(spark, sf_dir), boundary(spark, sf_dir)).default_selection(), "year")
 
 
 # ---- sources and sinks, round trips through the shared folder ------------------------------
@@ -494,14 +560,21 @@ def q_default_selection(spark, sf_dir):
 
 @register("s4_csv_scan")
 def q_csv_scan(spark, sf_dir):
-    """The observations written as CSV (one folder per dataset) and
-    scanned back into the long table in one job."""
+    """The observations written as CSV -- one folder per dataset,
+    each with its own value column and a text column that must not be taken for
+    the metric -- and scanned back into the long table."""
     from ..sources.store import table_path
 
     path = table_path(spark.range(0), "observation-csv")
     obs = T.observation(spark, sf_dir)
-    obs.write.partitionBy("dataset").option("header", True).csv(path)
-    long = I.read_indicator_csvs(spark, [path], metric="value")
+    # "abc" would make the value column text; it goes into the note here
+    number = F.when(F.col("value") != "abc", F.col("value"))
+    for dataset, name in CSV_VALUE_COLUMNS.items():
+        rows = obs.where(F.col("dataset") == dataset)
+        rows.select("Entity", "Code", "Year", number.alias(name), F.concat(F.lit("note "), F.coalesce("value", F.lit("-"))).alias("note")).write.option(
+            "header", True
+        ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/dataset={dataset}")
+    long = I.read_indicator_csvs(spark, [path])
     return nullable_ints_as_double(long.select("dataset", *LONG_COLS), "year")
 
 
@@ -550,7 +623,9 @@ def q_tile_fetch(spark, sf_dir):
     from ..sources.store import table_path
     from ..sources.tiles import read_tile_inventory
 
+    # a URI: the folder need not be a local path
     folder = table_path(spark.range(0), "tiles")
+    folder = folder if ":" in folder else f"file://{folder}"
     work = tile_work_list(T.request(spark, sf_dir), _log_tile_inventory(spark, sf_dir))
     fetch_all(tile_fetch_plan(work, folder), _echo_fetch)
     return read_tile_inventory(spark, folder).select("file_name", "z", "x", "y", "length")

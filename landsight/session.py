@@ -76,15 +76,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def scan_splits(df) -> int | None:
-    """Number of partitions Spark plans for ``df`` (planning only, no job);
-    None where the session offers no RDD view (Spark Connect)."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- Connect DataFrames have no .rdd
-        return None
-
-
 def default_parallelism(spark: SparkSession) -> int | None:
     try:
         return spark.sparkContext.defaultParallelism

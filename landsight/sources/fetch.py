@@ -8,7 +8,10 @@ and renamed into place (K4), so a retried task never leaves a half file.  Each
 row reports its byte count or its error; ``fetch_all`` fails when any error
 remains, after all rows were tried.
 
-``target_path`` must be on storage every executor mounts at the same path.
+``target_path`` is a path or a URI (``file:``, ``s3://``, ``gs://``, ``hdfs://``:
+what pyarrow's file systems reach) on storage that every executor shares; a
+scheme that cannot be written is an error on its row.  The size of every file
+is checked after it has landed.
 """
 
 from __future__ import annotations
@@ -66,6 +69,11 @@ def tile_fetch_plan(work_list: DataFrame, tile_dir: str) -> DataFrame:
     )
 
 
+def plain_path(path):
+    """One spelling for local files: ``file:/x``, ``file:///x`` and ``/x`` are ``/x``."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def landed_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Paths already present in ``folder`` (metadata only, no bytes read)."""
     try:
@@ -74,16 +82,30 @@ def landed_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], "target_path string")
         raise
-    return files.select(F.regexp_replace("path", r"^file:", "").alias("target_path"))
+    return files.select(plain_path(F.col("path")).alias("target_path"))
+
+
+def file_system(path: str):
+    """The file system of a path or URI, and the path inside it."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        if path.startswith("file:") and not path.startswith("file://"):
+            path = "file://" + path[len("file:") :]
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
 
 
 def _write_atomically(path: str, data: bytes) -> None:
-    folder = os.path.dirname(path) or "."
-    os.makedirs(folder, exist_ok=True)
-    tmp = os.path.join(folder, f".{os.path.basename(path)}.{uuid.uuid4().hex}.part")
-    with open(tmp, "wb") as fh:
-        fh.write(data)
-    os.replace(tmp, path)
+    system, where = file_system(path)
+    folder, _, name = where.rpartition("/")
+    system.create_dir(folder, recursive=True)
+    hidden = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(hidden) as out:
+        out.write(data)
+    system.move(hidden, where)
+    if system.get_file_info(where).size != len(data):
+        raise OSError(f"{path} did not land whole")
 
 
 def run_fetch(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
@@ -91,7 +113,8 @@ def run_fetch(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
     """Fetch every plan row (minus ``skip_landed`` target paths); returns the
     plan with ``bytes`` written and ``error`` (NULL on success)."""
     if skip_landed is not None:
-        plan = plan.join(skip_landed.select("target_path").distinct(), "target_path", "left_anti")
+        landed = skip_landed.select(plain_path(F.col("target_path")).alias("landed")).distinct()
+        plan = plan.join(landed, plain_path(F.col("target_path")) == F.col("landed"), "left_anti")
     plan = plan.select(*[f.name for f in PLAN_SCHEMA.fields])
     # one row = one download but a few bytes: AQE would pack a work list into
     # very few tasks, so it is spread round-robin over a set number of tasks
@@ -121,19 +144,26 @@ def run_fetch(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
     return plan.mapInPandas(run, RESULT_SCHEMA)
 
 
+class FetchError(RuntimeError):
+    """Some fetches failed; ``results`` is the full result table."""
+
+    def __init__(self, message: str, results: DataFrame):
+        super().__init__(message)
+        self.results = results
+
+
 def fetch_all(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
               skip_landed: DataFrame | None = None) -> DataFrame:
-    """Run the plan once and raise ``RuntimeError`` naming (up to ten of) the
-    failed URLs if any fetch failed.  The per-file results are checkpointed
-    into the shared folder -- nothing is fetched twice, and nothing but the
-    failure sample reaches the driver -- and returned as a DataFrame."""
+    """Run the plan once; if any fetch failed, raise ``FetchError`` that names
+    some of the failed URLs and holds the whole result table.  The results are
+    checkpointed into the shared folder, so nothing is fetched twice."""
     from ..session import checkpoint_dir
 
     checkpoint_dir(plan.sparkSession)
     results = run_fetch(plan, fetch, parallelism, skip_landed).checkpoint(eager=True)
     failed = results.where(F.col("error").isNotNull()).limit(10).collect()
     if failed:
-        raise RuntimeError("fetch failed: " + "; ".join(f"{r.url}: {r.error}" for r in failed))
+        raise FetchError("fetch failed: " + "; ".join(f"{r.url}: {r.error}" for r in failed), results)
     return results
 
 

@@ -13,14 +13,15 @@ the coerced ``Year``; ``year`` is set only when that number is integral;
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import clean_code, integral_year, to_number
-from ..session import scan_splits
 
 # Candidate country columns, in order of preference.
 COUNTRY_COLUMN_CANDIDATES = ["ADMIN", "Name", "NAME", "Entity", "Country", "ISO_A3"]
@@ -83,125 +84,130 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-# Up to this many files, large files' headers are read file by file.
-HEADER_READS_MAX = 64
-
-
-def csv_headers(
-    spark: SparkSession, paths: Sequence[str], per_file: bool | None = None
-) -> dict[str, list[str]]:
-    """Header of every CSV file under ``paths``; one line per file reaches the driver.
-
-    Few large files (more splits than files; ``per_file=None`` decides from
-    Spark's split planning, no job): ``first()`` on each file's text is a
-    limit-1 job that reads the first split only and stops after one line, so
-    the data is not read at all.  Otherwise (many or small files): one
-    distributed job over the lines with the file path and split start from
-    ``_metadata``; within a split, ``monotonically_increasing_id`` follows the
-    reading order, so each file's first line is its smallest id in the split
-    that starts at byte 0."""
-    import csv
-
-    text = spark.read.text(list(paths))
-    files = text.inputFiles()
-    if per_file is None:
-        splits = scan_splits(text)
-        per_file = len(files) <= HEADER_READS_MAX and splits is not None and splits > len(files)
-    if per_file:
-        headers = {}
-        for f in files:
-            row = spark.read.text(f).first()
-            if row is not None:
-                headers[f] = next(csv.reader([row.value]))
-        return headers
-    lines = text.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        "value",
-        F.monotonically_increasing_id().alias("i"),
-    )
-    first = lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "i").alias("header"))
-    return {r.file: next(csv.reader([r.header])) for r in first.collect()}
+def _dataset_of(uri: str) -> str:
+    """The dataset a file belongs to: its ``dataset=...`` folder, else its name
+    without ``.csv``."""
+    path = unquote(uri)
+    folder = re.search(r"(?:^|/)dataset=([^/]*)/", path)
+    return folder[1] if folder else re.sub(r"\.csv$", "", path.rsplit("/", 1)[-1])
+
+
+def csv_layouts(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header.  Datasets are few; the header is read from the first
+    file of each -- one line, at any file size and count -- and Spark checks
+    the others against it as it reads them."""
+    by_dataset: dict[str, list[str]] = {}
+    for uri in sorted(spark.read.text(list(paths)).inputFiles()):
+        by_dataset.setdefault(_dataset_of(uri), []).append(unquote(uri))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for files in by_dataset.values():
+        header = next((h for h in (csv_header(spark, f) for f in files) if h), None)
+        if header:
+            layouts.setdefault(tuple(header), []).extend(files)
+    return layouts
 
 
 def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str | None = None) -> DataFrame:
     """S4 + U3: every indicator CSV -> one long table, one scan per header layout.
 
-    Headers come from ``csv_headers`` (one line per file); each layout is
-    then read with an explicit all-text schema (never inferred).  The dataset
-    id comes from a ``dataset=...`` partition folder when there is one, else
-    from ``_metadata.file_name`` (``{dataset}.csv``).  The metric column is the
-    last numeric-looking column other than ``Year`` (P10), decided per layout
-    by one aggregate job over the text values; ``metric`` names it explicitly
-    instead.
+    Each layout is read with an explicit all-text schema (never inferred).
+    Records are lines, so a large file is split over many tasks.  The dataset
+    id comes from the file's path.  The metric column is the last
+    numeric-looking column other than ``Year`` (P10), decided per dataset by
+    one aggregate job per layout; ``metric`` names it instead, and a name that
+    a layout lacks is an error.  A dataset without any numeric column keeps its
+    rows, with neither metric nor value.
     """
-    headers = csv_headers(spark, paths)
-    layouts: dict[tuple, list[str]] = {}
-    for file, header in headers.items():
-        layouts.setdefault(tuple(header), []).append(file)
     parts = []
-    for header, files in layouts.items():
-        # One layout: read the given paths (keeps partition discovery); several:
-        # each layout's own files.
-        sources = list(paths) if len(layouts) == 1 else files
+    for header, files in csv_layouts(spark, paths).items():
         cols = list(header)
-        discovered = [] if len(layouts) > 1 else [
-            c for c in spark.read.option("header", True).csv(list(paths)).columns if c not in cols
-        ]
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols + discovered])
+        if metric is not None and metric not in cols:
+            raise ValueError(f"no column {metric!r} in {files[0]}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
         raw = (
             spark.read.schema(schema)
             .option("header", True)
-            .option("multiLine", True)
+            .option("enforceSchema", False)
             .option("escape", '"')
-            .csv(sources)
-            .withColumn("__file", F.col("_metadata.file_name"))
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(files)
+            .withColumn("__dataset", dataset_of_path(F.col("_metadata.file_path")))
         )
         raw = null_na_tokens(raw, cols)
-        chosen = metric if metric in cols else choose_metric_column(raw.select(*cols))
-        if chosen is None:
-            raise ValueError(f"no numeric metric column in {files[:5]}")
-        if "dataset" in raw.columns:
-            ds = F.col("dataset")
-        else:
-            ds = F.regexp_replace(F.col("__file"), r"\.csv$", "")
-        parts.append(to_long(raw.withColumn("__dataset", ds), chosen, dataset_col="__dataset"))
+        if metric is not None:
+            parts.append(to_long(raw, metric, dataset_col="__dataset"))
+            continue
+        # datasets that share a layout but not the metric are told apart
+        chosen = choose_metric_columns(raw, cols, "__dataset")
+        for name in sorted(set(chosen.values()), key=str):
+            mine = raw.where(F.col("__dataset").isin([d for d, m in chosen.items() if m == name]))
+            if name is None:
+                mine = mine.withColumn("__none", F.lit(None).cast("string"))
+                parts.append(to_long(mine, "__none", dataset_col="__dataset", metric_name_col="__none"))
+            else:
+                parts.append(to_long(mine, name, dataset_col="__dataset"))
+    if not parts:
+        return spark.createDataFrame([], LONG_SCHEMA).select("dataset", *LONG_SCHEMA.fieldNames()[:-1])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def numeric_columns(raw: DataFrame) -> list[str]:
-    """Columns whose every non-NULL text value parses as a number or boolean
-    (pandas' dtype rule after CSV inference).  One aggregate job for all columns.
-    An all-NULL column counts as numeric (pandas makes it float)."""
-    bool_text = ["True", "False", "TRUE", "FALSE", "true", "false"]
+def dataset_of_path(path) -> F.Column:
+    """``_dataset_of`` as a column expression over a file URI."""
+    # a plus sign is itself in a path, not a space
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(plain, r"(?:^|/)dataset=([^/]*)/", 1)
+    name = F.regexp_replace(F.element_at(F.split(plain, "/"), -1), r"\.csv$", "")
+    return F.when(folder != "", folder).otherwise(name)
+
+
+# The texts pandas' CSV reader takes as booleans.
+TRUTH_TEXTS = ["True", "False", "TRUE", "FALSE", "true", "false"]
+
+
+def numeric_columns(raw: DataFrame, cols: Sequence[str], by: str) -> dict[str, list[str]]:
+    """Per dataset, the columns that pandas would make numeric: every value a
+    number (missing ones allowed), or every value a boolean and none missing.
+    One aggregate job for all columns and datasets of a layout."""
     aggs = []
-    for c in raw.columns:
-        bad = F.col(c).isNotNull() & to_number(F.col(c)).isNull() & ~F.col(c).isin(bool_text)
-        bad = bad & ~F.lower(F.col(c)).isin("nan", "inf", "-inf", "+inf")
-        aggs.append(F.max(bad.cast("int")).alias(c))
-    row = raw.agg(*aggs).first()
-    return [c for c in raw.columns if not row[c]]
+    for c in cols:
+        v = F.col(f"`{c}`")
+        truth = v.isin(TRUTH_TEXTS)
+        number = to_number(v).isNotNull() | F.lower(v).isin("nan", "inf", "-inf", "+inf")
+        aggs.append(
+            F.struct(
+                F.count_if(v.isNull()).alias("missing"),
+                F.count_if(truth).alias("truths"),
+                F.count_if(v.isNotNull() & ~truth & number).alias("numbers"),
+                F.count_if(v.isNotNull() & ~truth & ~number).alias("texts"),
+            ).alias(f"c{len(aggs)}")
+        )
+    out = {}
+    for row in raw.groupBy(by).agg(*aggs).collect():  # one row per dataset
+        kinds = [(c, row[f"c{i}"]) for i, c in enumerate(cols)]
+        out[row[by]] = [
+            c for c, k in kinds if not k["texts"] and (not k["truths"] or not (k["numbers"] or k["missing"]))
+        ]
+    return out
 
 
-def choose_metric_column(raw: DataFrame) -> str | None:
-    """P10: the last numeric column other than ``Year``, else the first numeric
-    column, else None."""
-    nums = numeric_columns(raw)
-    others = [c for c in nums if c != "Year"]
-    if others:
-        return others[-1]
-    return nums[0] if nums else None
+def choose_metric_columns(raw: DataFrame, cols: Sequence[str], by: str) -> dict[str, str | None]:
+    """P10 per dataset: the last numeric column other than ``Year``, else the
+    first numeric column, else None."""
+    chosen = {}
+    for dataset, numeric in numeric_columns(raw, cols, by).items():
+        others = [c for c in numeric if c != "Year"]
+        chosen[dataset] = others[-1] if others else next(iter(numeric), None)
+    return chosen
 
 
 def country_column(columns: Sequence[str]) -> str:
-    """First candidate present (case-sensitive), else ``ISO_A3``, else the first column."""
-    for c in COUNTRY_COLUMN_CANDIDATES:
-        if c in columns:
-            return c
-    return "ISO_A3" if "ISO_A3" in columns else columns[0]
+    """The preferred candidate among the columns, else the first column."""
+    present = set(columns).intersection(COUNTRY_COLUMN_CANDIDATES)
+    return min(present, key=COUNTRY_COLUMN_CANDIDATES.index) if present else columns[0]
 
 
 def metric_profile(raw: DataFrame) -> DataFrame:

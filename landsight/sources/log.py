@@ -12,13 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The log's columns, in order.
-LOG_FIELDS = [
-    "timestamp", "latitude", "longitude", "zoom",
-    "image_description", "image_prompt", "image_model",
-    "text_description", "text_prompt", "text_model", "danger",
-]
+from ..functions.text import utc_time
 
+# The log's columns, in order.
 LOG_SCHEMA = T.StructType(
     [
         T.StructField("timestamp", T.TimestampType()),
@@ -34,9 +30,15 @@ LOG_SCHEMA = T.StructType(
         T.StructField("danger", T.StringType()),
     ]
 )
+LOG_FIELDS = LOG_SCHEMA.fieldNames()
 
 PARTITION_COL = "analysis_date"
 
+# Order of storage: given with the rows, else the time of the append (a batch
+# holds a key once).  Kept beside the log's own columns.
+ID_FIELD = T.StructField("id", T.LongType())
+STORED_SCHEMA = T.StructType(LOG_SCHEMA.fields + [ID_FIELD, T.StructField(PARTITION_COL, T.DateType())])
+
 
 def empty_log(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LOG_SCHEMA)
@@ -47,16 +49,17 @@ def _missing(e: Exception) -> bool:
     return "PATH_NOT_FOUND" in msg or "does not exist" in msg
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet log; a missing table reads as no rows (fixed schema)."""
-    stored = T.StructType(LOG_SCHEMA.fields + [T.StructField(PARTITION_COL, T.DateType())])
+def read_log(spark: SparkSession, path: str, with_id: bool = False) -> DataFrame:
+    """The Parquet log; a missing table reads as no rows (fixed schema).
+    ``with_id`` adds the order of storage, which lookups need."""
+    names = [*LOG_FIELDS, "id"] if with_id else LOG_FIELDS
     try:
-        df = spark.read.schema(stored).parquet(path)
+        df = spark.read.schema(STORED_SCHEMA).parquet(path)
     except Exception as e:  # noqa: BLE001
         if _missing(e):
-            return empty_log(spark)
+            return spark.createDataFrame([], STORED_SCHEMA).select(*names)
         raise
-    return df.select(*LOG_FIELDS)
+    return df.select(*names)
 
 
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -82,13 +85,14 @@ def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def conform(rows: DataFrame) -> DataFrame:
+def conform(rows: DataFrame, *more) -> DataFrame:
     """Cast and order a frame to the log schema (missing columns are NULL)."""
     return rows.select(
         *[
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in LOG_SCHEMA.fields
-        ]
+        ],
+        *more,
     )
 
 
@@ -97,7 +101,8 @@ def append_log(rows: DataFrame, path: str) -> None:
 
     Spark's commit protocol makes the append atomic per job: a failed or
     retried task leaves no partial rows, unlike an unlocked file append."""
-    out = conform(rows).withColumn(PARTITION_COL, F.to_date("timestamp"))
+    order = F.col("id").cast("long") if "id" in rows.columns else F.unix_micros(F.current_timestamp())
+    out = conform(rows, order.alias("id")).withColumn(PARTITION_COL, F.to_date(utc_time("timestamp")))
     # rebalance by day: AQE sizes the write partitions -- small days share a
     # task, a hot day is split over several -- so a bulk append spanning many
     # days writes right-sized files instead of one per task and day
@@ -112,6 +117,8 @@ def export_log_csv(log: DataFrame, path: str) -> None:
         conform(log).write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         .csv(path)
     )

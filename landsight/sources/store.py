@@ -27,9 +27,14 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     """Write ``df`` to a fresh folder in the shared checkpoint folder and return
     a DataFrame reading it."""
     path = table_path(df, name)
-    writer = df.write.mode("errorifexists")
+    out = df
+    if partition_by:
+        # file sizes follow the data: small partitions share a writer, a large
+        # one is split over several
+        out = df.hint("rebalance", *partition_by)
+    writer = out.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    out = df.sparkSession.read.parquet(path)
-    return out.select(*df.columns)
+    # the given schema: a partition column keeps its type ("001" stays text)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -7,7 +7,7 @@ column expressions, the shapes the library works on:
 * ``observation``   raw all-text indicator rows from ``lineitem`` x ``supplier`` x ``nation``
 * ``analysis_log``  the risk log from ``events``
 * ``request``       coordinate requests from ``events`` (every event is a request)
-* ``reply``         raw model replies from ``documents`` (whole texts)
+* ``reply``         raw model replies around every whole text of ``documents``
 
 Every row of the source tables is used, so the work grows with the data.
 The same shapes are written as SQL in ``landsight.registry.oracle`` for the
@@ -20,39 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_MODEL_CONFIG, ModelConfig
-from ..session import default_parallelism, scan_splits
-
-
-# Unique keys of the driver's fact tables.  Hashing a unique key spreads rows
-# evenly whatever the skew of the other columns.
-FACT_KEYS = {
-    "lineitem": ["l_orderkey", "l_linenumber"],
-    "events": ["event_id"],
-    "documents": ["doc_id"],
-}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in FACT_KEYS:
-        df = spread_small_scan(df, FACT_KEYS[name])
-    return df
-
-
-def spread_small_scan(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread a scan over all cores when it has fewer splits than the cluster
-    runs at once.
-
-    A small file stored as one row group is read by one task, so the per-row
-    parsing after it would use one core.  Such an input (bounded: fewer splits
-    than cores) is hash-partitioned by its unique key, which costs one small
-    shuffle.  A large input already has at least as many splits as cores and
-    is returned unchanged -- no shuffle is added at scale.
-    """
-    target, splits = default_parallelism(df.sparkSession), scan_splits(df)
-    if target is None or splits is None or splits >= target:
-        return df
-    return df.repartition(target, *[F.col(k) for k in keys])
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _nation_code(nationkey) -> F.Column:
@@ -122,13 +93,25 @@ def observation(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG_ENTRIES_PER_KEY = 25
 
 
+# Locations repeat on a grid of this many steps; every further round over the
+# grid is moved north by its own fraction of a step, so keys stay distinct.
+GRID_STEPS = 612_000
+
+
 def _key_coordinates(key) -> list:
-    lat = ((key * 37) % 17000).cast("double") / 100.0 - 85.0
+    turn = F.floor(key / GRID_STEPS).cast("double")
+    lat = ((key * 37) % 17000).cast("double") / 100.0 - 85.0 + turn / (turn + 1.0) / 100.0
     lon = ((key * 91) % 36000).cast("double") / 100.0 - 180.0
     zoom = (F.lit(1) + key % 20).cast("int")
     return [lat.alias("latitude"), lon.alias("longitude"), zoom.alias("zoom")]
 
 
+def utc_instant(ts) -> F.Column:
+    """The test tables' timestamps have no zone; they are taken as UTC whatever
+    the session's zone is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
 def analysis_log(
     spark: SparkSession, sf_dir: str, config: ModelConfig = DEFAULT_MODEL_CONFIG
 ) -> DataFrame:
@@ -143,7 +126,7 @@ def analysis_log(
     )
     return ev.select(
         F.col("event_id").alias("id"),
-        F.col("ts").alias("timestamp"),
+        utc_instant(F.col("ts")).alias("timestamp"),
         *_key_coordinates(F.floor(F.col("event_id") / LOG_ENTRIES_PER_KEY)),
         F.concat(et, F.lit(" "), F.col("props")).alias("image_description"),
         F.lit(config.image_prompt.strip()).alias("image_prompt"),
@@ -180,19 +163,28 @@ def coordinate_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_text(text) -> F.Column:
+    """A text inside a JSON string: quotes and backslashes escaped, control
+    characters as spaces."""
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.regexp_replace(escaped, r"[\x00-\x1F]", " ")
+
+
 def reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model replies of eight kinds; kind 7 is a whole document text."""
+    """Raw model replies of eight kinds, each around a whole document text: as a
+    justification, inside a fence, after an object, or as plain text."""
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 8
+    text = F.col("text")
+    quoted = F.concat(F.lit('"'), json_text(text), F.lit('"'))
     raw = (
-        F.when(k == 0, F.concat(F.lit('{"danger": "y", "justification": "J'),
-                                F.col("doc_id").cast("string"), F.lit('"}')))
-        .when(k == 1, F.lit('```json\n{"danger": "N"}\n```'))
-        .when(k == 2, F.lit('{"danger": null, "justification": "x"}'))
-        .when(k == 3, F.lit('{"danger": "Y"} extra'))
-        .when(k == 4, F.concat(F.lit("Some concern about soil in "), F.col("lang")))
-        .when(k == 5, F.concat(F.lit("all calm in "), F.col("lang")))
-        .when(k == 6, F.lit('{"justification": "only"}'))
-        .otherwise(F.col("text"))
+        F.when(k == 0, F.concat(F.lit('{"danger": "y", "justification": '), quoted, F.lit("}")))
+        .when(k == 1, F.concat(F.lit('```json\n{"danger": "N", "justification": '), quoted, F.lit("}\n```")))
+        .when(k == 2, F.concat(F.lit('{"danger": null, "justification": '), quoted, F.lit("}")))
+        .when(k == 3, F.concat(F.lit('{"danger": "Y"} '), text))
+        .when(k == 4, F.concat(F.lit("Some concern about soil in "), text))
+        .when(k == 5, F.concat(F.lit("all calm in "), text))
+        .when(k == 6, F.concat(F.lit('{"justification": '), quoted, F.lit("}")))
+        .otherwise(text)
     )
     return d.select("doc_id", raw.alias("raw"))

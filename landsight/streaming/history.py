@@ -4,9 +4,8 @@ The log table is read as a stream of appended files.  Two reports:
 
 * running totals of the risk KPIs (``complete`` mode): the state is a handful
   of counters whatever the log size;
-* KPIs per analysis day (``append`` mode): an event-time window per day with a
-  watermark, so a day is emitted once, after no more late rows can change it,
-  and its state is then dropped.
+* KPIs per analysis day: the counts of every micro-batch are kept per day and
+  added up on reading, so late rows and the last day are always in the report.
 
 The definitions are the batch ones of ``operators.history``.
 """
@@ -15,16 +14,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.log import LOG_SCHEMA, PARTITION_COL
+from ..functions.text import utc_time
+from ..sources.log import STORED_SCHEMA
 
 
 def log_stream(spark: SparkSession, log_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The Parquet log as a stream (fixed schema, date partition column)."""
-    stored = T.StructType(LOG_SCHEMA.fields + [T.StructField(PARTITION_COL, T.DateType())])
-    reader = spark.readStream.schema(stored)
+    reader = spark.readStream.schema(STORED_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(log_path)
@@ -55,25 +53,37 @@ def running_risk_kpis(stream: DataFrame) -> DataFrame:
     return _with_rates(_counts(stream.groupBy()))
 
 
-def daily_risk_kpis(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """A9 + A10 per analysis day (UTC), emitted once the watermark passes the
-    day's end (use ``append`` output mode)."""
-    days = stream.withWatermark("timestamp", lateness).groupBy(F.window("timestamp", "1 day").alias("w"))
-    out = _counts(days).withColumn("day", F.to_date(F.col("w.start"))).drop("w")
-    return _with_rates(out, "day")
+def daily_counts(log: DataFrame) -> DataFrame:
+    """Counts per analysis day (UTC); they add up over parts of the log."""
+    return _counts(log.groupBy(F.to_date(utc_time("timestamp")).alias("day")))
+
+
+def daily_risk_kpis(log: DataFrame) -> DataFrame:
+    """A9 + A10 per analysis day (UTC)."""
+    return _with_rates(daily_counts(log), "day")
+
+
+def read_daily_risk_kpis(spark: SparkSession, out_path: str) -> DataFrame:
+    """The report that ``start_daily_risk_kpis`` keeps: every day seen so far,
+    with all its rows, however late they came."""
+    parts = spark.read.parquet(out_path)
+    sums = parts.groupBy("day").agg(*[F.sum(c).alias(c) for c in ("total_analyses", "at_risk", "showing_safe")])
+    return _with_rates(sums, "day")
 
 
 def start_daily_risk_kpis(
-    spark: SparkSession, log_path: str, out_path: str, checkpoint_location: str,
-    lateness: str = "1 day", available_now: bool = False,
+    spark: SparkSession, log_path: str, out_path: str, checkpoint_location: str, available_now: bool = False,
 ) -> StreamingQuery:
-    """Write closed days' KPIs to a Parquet folder as the log grows."""
+    """Keep each micro-batch's counts per day in a folder of its own (query and
+    batch), which a replayed batch overwrites.  No watermark and no state: a
+    late row is one more count of its day."""
+
+    def each_batch(batch: DataFrame, epoch: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        daily_counts(batch).coalesce(1).write.mode("overwrite").parquet(f"{out_path}/query={query}/epoch={epoch}")
+
     writer = (
-        daily_risk_kpis(log_stream(spark, log_path), lateness)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out_path)
-        .option("checkpointLocation", checkpoint_location)
+        log_stream(spark, log_path).writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint_location)
     )
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -52,24 +52,21 @@ def start_request_stream(
     available_now: bool = False,
     processing_time: str | None = None,
     model_parallelism: int | None = None,
+    fetch=None,
 ) -> StreamingQuery:
     """Start the incremental workflow; ``available_now`` drains what is there
     and stops (batch-like runs and tests)."""
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        log = read_log(batch.sparkSession, log_path)
+        log = read_log(batch.sparkSession, log_path, with_id=True)
         results, new_rows = process_requests(
-            batch, log, client_factory, image_root, config, model_parallelism=model_parallelism
+            batch, log, client_factory, image_root, config, model_parallelism=model_parallelism, fetch=fetch
         )
         append_log(new_rows, log_path)
-        # A replayed epoch rewrites only its own folder: no duplicate results.
-        (
-            results.withColumn("epoch", F.lit(epoch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch")
-            .parquet(results_path)
-        )
+        # A replayed epoch rewrites only its own folder; another query's epochs
+        # lie in a folder of that query.
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        results.write.mode("overwrite").parquet(f"{results_path}/query={query}/epoch={epoch_id}")
 
     writer = (
         request_stream(spark, requests_folder, fmt)

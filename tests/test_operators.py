@@ -13,30 +13,33 @@ from landsight.sources import testtables as T
 from conftest import SF_SMALL
 
 
-def test_merge_basic_left_join_and_filters_codes(spark):
-    world = spark.createDataFrame([("PRT", "g1"), ("ESP", "g2"), ("FRA", "g3")], "ISO_A3 string, geometry string")
-    df = spark.createDataFrame([(" PRT ", 10), ("ESP", 20), ("OWID_WRL", 999), ("US", 123)], "Code string, value int")
-    out = merge.merge_boundaries(world, df).toPandas().sort_values("ISO_A3")
-    assert sorted(out["ISO_A3"]) == ["ESP", "FRA", "PRT"]
-    assert len(out) == 3 and "Code" in out.columns and "value" in out.columns
-    got = dict(zip(out["ISO_A3"], out["value"]))
-    assert got["PRT"] == 10 and got["ESP"] == 20 and pd.isna(got["FRA"])
-
-
-@pytest.mark.parametrize(
-    "left,right,message",
-    [
-        ([("PRT",)], "Code", "world doesn't have 'ISO_A3'"),
-        (None, "country_code", "df doesn't have 'Code' (ISO-3)"),
-    ],
-)
-def test_merge_guards(spark, left, right, message):
-    world = (
-        spark.createDataFrame([("PRT",)], "country string") if left else spark.createDataFrame([("PRT",)], "ISO_A3 string")
+def test_merge_keeps_every_boundary_row(spark):
+    """Repeated boundary codes match each, ``-99`` never does, NULL and short
+    codes on either side match nothing, and several values of one code are
+    several rows."""
+    places = spark.createDataFrame(
+        [("AAA", "main"), ("AAA", "island"), ("-99", "disputed"), ("-99", "base"), (None, "sea"), ("BBB", "empty")],
+        "ISO_A3 string, place string",
     )
-    df = spark.createDataFrame([("PRT",)], f"{right} string")
-    with pytest.raises(ValueError, match=message.replace("(", r"\(").replace(")", r"\)")):
-        merge.merge_boundaries(world, df)
+    rows = spark.createDataFrame(
+        [("AAA", 1), ("\tAAA ", 2), (None, 3), ("", 4), ("OWID_XYZ", 5), ("aaa", 6), ("CCC", 7)], "Code string, value int"
+    )
+    out = merge.merge_boundaries(places, rows).collect()
+    assert sorted((r.place, r.value) for r in out if r.value) == [("island", 1), ("island", 2), ("main", 1), ("main", 2)]
+    assert sorted(r.place for r in out if r.value is None) == ["base", "disputed", "empty", "sea"]
+    assert merge.merge_boundaries(places.where("false"), rows).count() == 0
+    assert merge.merge_boundaries(places, rows.where("false")).count() == 6
+
+
+def test_merge_names_the_missing_column(spark):
+    ok_places, ok_rows = spark.createDataFrame([("A",)], "ISO_A3 string"), spark.createDataFrame([("A",)], "Code string")
+    for places, rows, missing in (
+        (ok_places.withColumnRenamed("ISO_A3", "iso"), ok_rows, "ISO_A3"),
+        (ok_places, ok_rows.withColumnRenamed("Code", "code3"), "Code"),
+    ):
+        with pytest.raises(ValueError) as failed:
+            merge.merge_boundaries(places, rows)
+        assert f"'{missing}'" in str(failed.value)
 
 
 def _merge_rows(df):
@@ -158,10 +161,42 @@ def test_metric_choice(spark):
         [("A", "X", "2020", "1.5", "true"), ("B", "Y", "2021", None, "false")],
         "Entity string, Code string, Year string, Metric string, Flag string",
     )
-    assert I.choose_metric_column(raw) == "Flag"
-    assert I.choose_metric_column(raw.drop("Flag")) == "Metric"
-    assert I.choose_metric_column(raw.select("Entity", "Year")) == "Year"
-    assert I.choose_metric_column(raw.select("Entity")) is None
+    def chosen(*cols):
+        return I.choose_metric_columns(raw.withColumn("d", F.lit("x")), cols, "d")["x"]
+
+    assert chosen("Entity", "Year", "Metric", "Flag") == "Flag"
+    assert chosen("Entity", "Year", "Metric") == "Metric"
+    assert chosen("Entity", "Year") == "Year"
+    assert chosen("Entity") is None
+    # booleans with a gap, or mixed with numbers, are no numbers
+    mixed = spark.createDataFrame(
+        [("p", "1", "true", "true"), ("p", "2", None, "3"), ("q", "x", "true", "1"), ("q", "y", "false", "2")], "d string, a string, b string, c string"
+    )
+    assert I.numeric_columns(mixed, ["a", "b", "c"], "d") == {"p": ["a"], "q": ["b", "c"]}
+
+
+def test_datasets_without_year_or_metric_stay(spark, tmp_path):
+    from landsight.plans.dashboard import Dashboard
+
+    (tmp_path / "dated.csv").write_text("Entity,Code,Year,V\nA,AAA,2020,1\nB,BBB,2021,2\n")
+    (tmp_path / "undated file.csv").write_text("Entity,Code,Share\nA,AAA,5\nB,BBB,7\n")
+    (tmp_path / "words.csv").write_text("Entity,Code,Note\nA,AAA,x\nB,BBB,y\n")
+    long = I.read_indicator_csvs(spark, [str(tmp_path)])
+    assert {r.dataset for r in long.select("dataset").distinct().collect()} == {"dated", "undated file", "words"}
+    places = spark.createDataFrame([("AAA", "Aland"), ("BBB", "Bland")], "ISO_A3 string, NAME string")
+    dash = Dashboard(long, places)
+    kpis = {(r.dataset, r.year): (r.countries, r.with_data, r.mean_value) for r in dash.kpis().collect()}
+    assert kpis == {
+        ("dated", 2020): (2, 1, 1.0), ("dated", 2021): (2, 1, 2.0), ("undated file", None): (2, 2, 6.0), ("words", None): (2, 0, None)
+    }
+    assert {r.dataset for r in dash.year_top_bottom().collect()} == {"dated", "undated file"}
+    profiled = {(r.dataset, r.column_name): r["count"] for r in dash.profile().collect()}
+    assert profiled[("words", "value")] == 0 and profiled[("words", "entity")] == 2
+    assert {r.dataset for r in dash.preview().collect()} == {"dated", "undated file"}
+    with pytest.raises(ValueError):
+        dash.latest_merged()
+    with pytest.raises(ValueError, match="no column"):
+        I.read_indicator_csvs(spark, [str(tmp_path)], metric="V")
 
 
 def test_risk_kpis_rounding_and_empty(spark):

@@ -44,19 +44,30 @@ def test_indicator_csv_scan_round_trip(spark, tmp_path):
     assert metrics == METRIC_NAMES
 
 
-def test_csv_headers_per_file_and_distributed_agree(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("Entity,Code,Year,Forest\nX,AAA,2000,1\n" + "Y,BBB,2001,2\n" * 50)
-    (tmp_path / "b.csv").write_text('Entity,Code,Year,"Share (%)"\nX,AAA,2000,1\n')
-    (tmp_path / "c.csv").write_text("")
-    paths = [str(tmp_path / n) for n in ("a.csv", "b.csv", "c.csv")]
-
-    def by_name(h):
-        return {k.rsplit("/", 1)[-1]: v for k, v in h.items()}
-
-    want = {"a.csv": ["Entity", "Code", "Year", "Forest"], "b.csv": ["Entity", "Code", "Year", "Share (%)"]}
-    assert by_name(indicators.csv_headers(spark, paths, per_file=True)) == want
-    assert by_name(indicators.csv_headers(spark, paths, per_file=False)) == want
-    assert by_name(indicators.csv_headers(spark, paths)) == want
+def test_csv_layouts_read_one_header_per_dataset(spark, tmp_path):
+    for name, header in (("dataset=a/xa 1.csv", "Entity,Code,Year,Forest"), ("dataset=a/xa2.csv", "Entity,Code,Year,Forest"),
+                         ("dataset=001/xb.csv", 'Entity,Code,Year,"Share (%)"'), ("plain+name.csv", "Entity,Code,Year,Forest"), ("empty.csv", "")):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(header and header + "\n\tX ,AAA\t,2000,1\n")
+    layouts = {h: sorted(f.rsplit("/", 1)[-1] for f in files) for h, files in indicators.csv_layouts(spark, [str(tmp_path / "*"), ]).items()}
+    assert layouts == {("Entity", "Code", "Year", "Forest"): ["plain+name.csv", "xa 1.csv", "xa2.csv"],
+                       ("Entity", "Code", "Year", "Share (%)"): ["xb.csv"]}
+    got = indicators.read_indicator_csvs(spark, [str(tmp_path / "*")]).collect()
+    assert sorted((r.dataset, r.metric, r.entity, r.code) for r in got) == [
+        ("001", "Share (%)", "\tX ", "AAA"), ("a", "Forest", "\tX ", "AAA"), ("a", "Forest", "\tX ", "AAA"), ("plain+name", "Forest", "\tX ", "AAA")]
+
+
+def test_large_csv_is_split(spark, tmp_path):
+    p = tmp_path / "big.csv"
+    p.write_text("Entity,Code,Year,V\n" + "Some place,AAA,2020,1.25\n" * 40_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        long = indicators.read_indicator_csvs(spark, [str(p)], metric="V")
+        assert long.rdd.getNumPartitions() > 3 and long.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_indicator_csv_metric_falls_back_like_pandas(spark, tmp_path):
@@ -150,7 +161,7 @@ def test_fetch_failure_is_reported(spark, tmp_path):
 def test_workflow_then_cache_hits(spark, tmp_path):
     log_path = str(tmp_path / "log")
     req = T.request(spark, SF_SMALL)
-    res = run_requests(req, log_path, StubModelClient, "/tiles").cache()
+    res = run_requests(req, log_path, StubModelClient, str(tmp_path / "tiles"), fetch=Q._echo_fetch).cache()
     n_keys = req.select("latitude", "longitude", "zoom").distinct().count()
     assert res.count() == req.count()
     assert res.where(F.col("source") == "model").count() == req.count()
@@ -159,21 +170,64 @@ def test_workflow_then_cache_hits(spark, tmp_path):
     assert {r.image_model for r in stored} == {"llava:7b"} and all(r.timestamp for r in stored)
     assert {r.danger for r in stored} <= {"Y", "N"}
     # second run: everything is answered from the log, nothing appended
-    res2 = run_requests(req, log_path, StubModelClient, "/tiles")
+    res2 = run_requests(req, log_path, StubModelClient, str(tmp_path / "tiles"), fetch=Q._echo_fetch)
     assert res2.where(F.col("source") == "cache").count() == req.count()
     assert L.read_log(spark, log_path).count() == n_keys
+    # tiles of hits and misses are there
+    assert res.where("tile_fetched").count() == req.count() and res2.where("tile_fetched").count() == req.count()
+    assert os.path.exists(res.first().image_path)
+
+
+def test_requests_without_a_whole_key_reach_nothing(spark, tmp_path):
+    log_path = str(tmp_path / "log")
+    nan = float("nan")
+    req = spark.createDataFrame([(1, None, 2.0, 3), (2, 1.0, nan, 3), (3, 1.0, 2.0, None), (4, 1.0, 2.0, 3)],
+                                "request_id long, latitude double, longitude double, zoom int")
+    for _ in range(2):
+        out = {r.request_id: r for r in run_requests(req, log_path, StubModelClient, str(tmp_path / "t"), fetch=Q._echo_fetch).collect()}
+        assert [out[i].error for i in (1, 2, 3, 4)] == ["coordinates or zoom missing"] * 3 + [None]
+        assert L.read_log(spark, log_path).count() == 1
+
+
+def test_fetch_to_a_uri_lands_or_fails(spark, tmp_path):
+    plan = spark.createDataFrame([(0, "u1", f"file://{tmp_path}/x/a.bin"), (1, "u2", f"file:{tmp_path}/x/b.bin"), (2, "u3", "nosuch://h/c.bin")],
+                                 fetch.PLAN_SCHEMA)
+    rows = {r.seq: r for r in fetch.run_fetch(plan, Q._echo_fetch).collect()}
+    assert (rows[0].bytes, rows[1].bytes, rows[2].bytes) == (2, 2, None) and rows[2].error
+    assert sorted(os.listdir(tmp_path / "x")) == ["a.bin", "b.bin"]
+    assert fetch.landed_files(spark, f"file://{tmp_path}/x").count() == 2
+    again = fetch.run_fetch(plan.where("seq < 2"), Q._echo_fetch, skip_landed=fetch.landed_files(spark, str(tmp_path / "x")))
+    assert again.count() == 0
+
+
+def test_log_csv_keeps_white_space(spark, tmp_path):
+    rows = spark.createDataFrame([("  lead\n trail  ", "Y")], "image_description string, danger string")
+    L.export_log_csv(rows, str(tmp_path / "csv"))
+    assert L.read_log_csv(spark, str(tmp_path / "csv")).first().image_description == "  lead\n trail  "
+
+
+def test_materialize_keeps_types(spark):
+    df = spark.createDataFrame([("001", 1), ("2", 2)], "dataset string, v int")
+    back = store.materialize(df, "types", ["dataset"])
+    assert back.schema["dataset"].dataType == df.schema["dataset"].dataType and {r.dataset for r in back.collect()} == {"001", "2"}
+
+
+def test_boundaries_parquet(spark, tmp_path):
+    b = spark.createDataFrame([("PRT", "Portugal"), ("-99", None)], "ISO_A3 string, ADMIN string")
+    b.write.parquet(str(tmp_path / "b"))
+    assert sorted(r.ISO_A3 for r in boundaries.read_boundaries_parquet(spark, str(tmp_path / "b")).collect()) == ["-99", "PRT"]
 
 
-def test_workflow_model_errors_are_rows(spark):
+def test_workflow_model_errors_are_rows(spark, tmp_path):
     class _Flaky(StubModelClient):  # local: shipped to the workers by value
         def assess(self, prompt, config):
-            name = prompt.rsplit("tile ", 1)[-1].strip()
+            name = prompt.rsplit("tile ", 1)[-1].split(" of ")[0]
             if int(name.split("_")[2]) % 2 == 0:  # tiles in even columns: the model is down
                 raise RuntimeError("model down")
             return "no visible change near " + name
 
     req = T.request(spark, SF_SMALL)
-    results, new_rows = process_requests(req, L.empty_log(spark), _Flaky, "/tiles")
+    results, new_rows = process_requests(req, L.empty_log(spark), _Flaky, str(tmp_path / "tiles"), fetch=Q._echo_fetch)
     errs = results.where(F.col("error").isNotNull())
     assert errs.count() > 0 and errs.where(F.col("source").isNotNull()).count() == 0
     assert results.where(F.col("source") == "model").count() > 0
@@ -199,7 +253,7 @@ def test_each_model_called_once_per_missing_key(spark, tmp_path):
             return super().assess(prompt, config)
 
     req = T.request(spark, SF_SMALL)
-    results, new_rows = process_requests(req, L.empty_log(spark), _Counting, "/tiles")
+    results, new_rows = process_requests(req, L.empty_log(spark), _Counting, str(tmp_path / "tiles"), fetch=Q._echo_fetch)
     results.collect()
     new_rows.collect()
     n_keys = req.select("latitude", "longitude", "zoom").distinct().count()
@@ -216,13 +270,19 @@ def test_streaming_requests(spark, tmp_path):
     req.where("request_id % 2 = 1").write.parquet(str(src / "batch2"))
     q = start_request_stream(
         spark, str(src) + "/*", str(tmp_path / "log"), str(tmp_path / "results"), str(tmp_path / "ckpt"),
-        StubModelClient, "/tiles", available_now=True,
+        StubModelClient, str(tmp_path / "tiles"), available_now=True, fetch=Q._echo_fetch,
     )
     q.awaitTermination(300)
     results = spark.read.parquet(str(tmp_path / "results"))
     assert results.count() == req.count()
     n_keys = req.select("latitude", "longitude", "zoom").distinct().count()
     assert L.read_log(spark, str(tmp_path / "log")).count() == n_keys
+    # a second query with its own checkpoint leaves the first one's results
+    start_request_stream(
+        spark, str(src) + "/*", str(tmp_path / "log"), str(tmp_path / "results"), str(tmp_path / "ckpt2"),
+        StubModelClient, str(tmp_path / "tiles"), available_now=True, fetch=Q._echo_fetch,
+    ).awaitTermination(300)
+    assert spark.read.parquet(str(tmp_path / "results")).count() == 2 * req.count()
 
 
 def test_materialize_round_trip(spark):
@@ -309,16 +369,15 @@ def test_streaming_history_reports(spark, tmp_path):
     q.awaitTermination(300)
     assert spark.table("running_kpis").collect()[0].asDict() == risk_kpis(batch_log).collect()[0].asDict()
 
+    # days far apart, then a late row of the first day: every row counts
     out = str(tmp_path / "daily")
-    q2 = SH.start_daily_risk_kpis(spark, log_path, out, str(tmp_path / "c2"), lateness="1 hour",
-                                  available_now=True)
-    q2.awaitTermination(300)
-    daily = {r.day: r for r in spark.read.parquet(out).collect()}
-    by_day = (batch_log.groupBy(F.to_date("timestamp").alias("day"))
-              .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("danger") == "Y").alias("y")).collect())
-    last_day = max(r.day for r in by_day)
-    expected = {r.day: (r.n, r.y) for r in by_day if r.day < last_day}
-    assert {d: (r.total_analyses, r.at_risk) for d, r in daily.items()} == expected
+    late = src.orderBy("timestamp").limit(1)
+    for more in (None, late):
+        if more is not None:
+            L.append_log(more, log_path)
+        SH.start_daily_risk_kpis(spark, log_path, out, str(tmp_path / "c2"), available_now=True).awaitTermination(300)
+        got = sorted(map(tuple, SH.read_daily_risk_kpis(spark, out).collect()))
+        assert got == sorted(map(tuple, SH.daily_risk_kpis(L.read_log(spark, log_path)).collect()))
 
 
 def test_csv_without_year_or_code(spark, tmp_path):
