@@ -10,13 +10,14 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from landsight.session import checkpoint_dir, get_session
 
     s = get_session(
         "local[4]",
         shuffle_partitions=4,
-        extra_conf={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"},
+        extra_conf={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
+                    "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
     )
     checkpoint_dir(s)
     yield s
