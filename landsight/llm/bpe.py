@@ -92,7 +92,7 @@ class Bpe:
 
 
 def bpe_of(source: Source) -> Bpe:
-    return process_cache("bpe", lambda: Bpe(source))
+    return process_cache("bpe_" + source.name, lambda: Bpe(source))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -111,11 +111,12 @@ def vocabulary(file: str) -> list[str]:
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with the column ``decoded``; every other column stays."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(load(path).file))  # one fixed vocabulary
+    source = load(path)
+    shared, name = encoded.sparkSession.sparkContext.broadcast(vocabulary(source.file)), source.name  # one fixed vocabulary
     base = encoded.drop("decoded")
 
     def run(batches):
-        strings = process_cache("bpe_strings", lambda: pa.array(shared.value, pa.string()))
+        strings = process_cache("bpe_strings_" + name, lambda: pa.array(shared.value, pa.string()))
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

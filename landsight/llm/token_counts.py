@@ -144,7 +144,7 @@ def count_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("edits").cast(EDITS).alias("edits"))
 
     def run(batches):
-        counter = process_cache("token_counter", lambda: Counter(library_encoder(shared.value)))
+        counter = process_cache("token_counter_" + shared.value.name, lambda: Counter(library_encoder(shared.value)))
         for batch in text_slices(batches):
             out = {"doc_id": batch.column("doc_id").to_pylist(), "n_tokens_before": [], "n_tokens": [], "n_edits": [], "words_encoded": [], "edited": []}
             texts = batch.column("text").to_pylist()

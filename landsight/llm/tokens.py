@@ -10,6 +10,7 @@ other, and a batch needs each distinct word once.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 import unicodedata
@@ -62,6 +63,7 @@ class Source:
 
     def __init__(self, file: str, pattern: str, odd: dict[int, str]):
         self.file, self.odd = file, odd
+        self.name = hashlib.sha1(file.encode()).hexdigest()  # what workers remember is kept by file
         self.pattern = re.compile(pattern)
         self.has_odd = re.compile("[" + _class(odd) + "]")
         spec = json.loads(file)
@@ -212,7 +214,7 @@ def library_encoder(source: Source) -> LibraryEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return process_cache("library_encoder", lambda: LibraryEncoder(source))
+    return process_cache("library_encoder_" + source.name, lambda: LibraryEncoder(source))
 
 
 def with_ids(docs: DataFrame, make_encoder, source: Source) -> DataFrame:
