@@ -45,6 +45,18 @@ def filter_latest(indicator: DataFrame, by: str = "dataset") -> DataFrame:
     )
 
 
+def latest_rows(indicator: DataFrame, by: str = "dataset") -> DataFrame:
+    """P6 with the latest years looked up first: they reach the plan as literals
+    (one pair per dataset of the catalogue), so a table stored by dataset and
+    year is read in those folders only."""
+    years = latest_year(indicator, by).collect()  # one row per dataset
+    wanted = F.lit(False)
+    for r in years:
+        same = (F.col(by) == F.lit(r[by])) & (F.col("year") == F.lit(r["latest_year"]))
+        wanted = wanted | (same & (F.col("year_number") == F.lit(float(r["latest_year"]))))
+    return indicator.where(wanted)
+
+
 def filter_year(indicator: DataFrame, year: int | None) -> DataFrame:
     """Rows whose coerced year equals ``year``; no-op when ``year`` is None."""
     if year is None:

@@ -51,7 +51,7 @@ class Dashboard:
         if lacking:
             raise ValueError(f"{Y.NO_YEARS_MESSAGE} ({lacking[0]['dataset']})")
         return M.merge_boundaries(
-            self.boundary, Y.filter_latest(self.indicator), code_col="code", group_cols=["dataset"]
+            self.boundary, Y.latest_rows(self.indicator), code_col="code", group_cols=["dataset"]
         )
 
     def selection_merged(self, dataset: str, year: int | None) -> DataFrame:

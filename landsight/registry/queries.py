@@ -34,7 +34,7 @@ def register(name: str):
 def indicator(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFrame:
     """The long indicator table over the observation adapter.
 
-    ``stored``: written once as Parquet partitioned by dataset (in the shared
+    ``stored``: written once as Parquet partitioned by dataset and year (in the shared
     checkpoint folder) and read back, as a pipeline keeps its long table; the
     derived columns are then stored values that filters push down to, and plans
     with several branches scan files instead of re-deriving from the raw rows.
@@ -42,7 +42,7 @@ def indicator(spark: SparkSession, sf_dir: str, stored: bool = True) -> DataFram
     from ..sources.store import materialize
 
     long = I.to_long(T.observation(spark, sf_dir), metric="value")
-    return materialize(long, "indicator", ["dataset"]) if stored else long
+    return materialize(long, "indicator", ["dataset", "year"]) if stored else long
 
 
 def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +108,8 @@ def q_available_years(spark, sf_dir):
 @register("s6_latest_merged")
 def q_latest_merged(spark, sf_dir):
     """Every dataset at its latest year, merged with the boundaries."""
-    latest_rows = Y.filter_latest(indicator(spark, sf_dir))
-    out = M.merge_boundaries(boundary(spark, sf_dir), latest_rows, code_col="code", group_cols=["dataset"])
+    rows = Y.latest_rows(indicator(spark, sf_dir))
+    out = M.merge_boundaries(boundary(spark, sf_dir), rows, code_col="code", group_cols=["dataset"])
     return nullable_ints_as_double(out, "year")
 
 
@@ -141,7 +141,7 @@ def selectable(spark, sf_dir) -> DataFrame:
 def latest_merged(spark, sf_dir) -> DataFrame:
     """Every dataset at its latest year, merged (groups: the datasets present)."""
     return M.merge_boundaries(
-        boundary(spark, sf_dir), Y.filter_latest(indicator(spark, sf_dir)), code_col="code",
+        boundary(spark, sf_dir), Y.latest_rows(indicator(spark, sf_dir)), code_col="code",
         group_cols=["dataset"],
     )
 

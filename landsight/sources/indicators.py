@@ -224,16 +224,16 @@ def metric_profile(raw: DataFrame) -> DataFrame:
 
 
 def write_indicator_table(indicator: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Ingest: store the long table as Parquet partitioned by dataset.
+    """Ingest: store the long table as Parquet partitioned by dataset and year.
 
     Built once (e.g. after ``read_indicator_csvs``), it is what every dashboard
-    plan should read: per-dataset work prunes to its folders, the typed columns
+    plan should read: work on a dataset or its latest year prunes to its folders, the typed columns
     take pushed-down filters, and no plan re-parses the raw text.  With
     ``spark.sql.sources.partitionOverwriteMode=dynamic``, ``mode="overwrite"``
-    replaces only the datasets present in ``indicator``."""
+    replaces only the datasets and years present in ``indicator``."""
     # rebalance by dataset: AQE splits a large dataset over several writers and
     # lets small ones share one, so file sizes follow the data, not the tasks
-    indicator.hint("rebalance", "dataset").write.mode(mode).partitionBy("dataset").parquet(path)
+    indicator.hint("rebalance", "dataset", "year").write.mode(mode).partitionBy("dataset", "year").parquet(path)
 
 
 LONG_SCHEMA = T.StructType(
@@ -250,6 +250,6 @@ LONG_SCHEMA = T.StructType(
 
 
 def read_indicator_table(spark: SparkSession, path: str) -> DataFrame:
-    """The stored long table (fixed schema, dataset partition column)."""
+    """The stored long table (fixed schema; dataset and year are partition columns)."""
     df = spark.read.schema(LONG_SCHEMA).parquet(path)
     return df.select("dataset", "metric", "entity", "code", "year_number", "year", "value")
