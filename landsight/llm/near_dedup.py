@@ -8,9 +8,10 @@ cannot complete a shared table key, so only shared half keys are combined.
 
 Documents with equal shingle sets are one class from the start.  In every
 bucket the members meet the bucket's smallest member; links are confirmed on
-the full sets and joined to components.  Members of one bucket that are then
-still in different components meet each other, so no link is lost to the
-shortcut and no bucket is expanded where its members are already connected.
+the full sets and joined to components.  Members of buckets that are then still
+in several components meet each other if they share one of their rarest
+shingles, which every linked pair does.  So no link is lost to the shortcut, and
+no bucket is expanded into its pairs.
 
 At similarity 0.8 a table-free miss has probability 2 * (1 - 0.8 ** ROWS) **
 HALVES, about 2e-5; it falls steeply above.
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -152,32 +153,41 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     )
     similar_size = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
 
-    # every member with the smallest member of its bucket
+    # every member meets the smallest member of its bucket
     least = tables.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = written(tables.join(least, "key"), "near-buckets")
     star = (
-        tables.join(least.select("key", "m"), "key")
-        .select(F.col("m.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("m.n_shingles").alias("nu"), F.col("n_shingles").alias("nv"))
+        buckets.select(F.col("m.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("m.n_shingles").alias("nu"), F.col("n_shingles").alias("nv"))
         .where((F.col("u") != F.col("v")) & similar_size)
         .distinct()
     )
     links = written(_links(star, sets, percent), "near-links")
     joined = components(links)
 
-    # members of one bucket that are still apart
-    placed = written(
-        tables.join(joined, tables["doc_id"] == joined["node"], "left").select(
-            "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
-        ),
-        "near-placed",
+    # Members of one bucket that are still apart meet each other if they share
+    # one of their rarest shingles.
+    placed = buckets.where("n > 2").join(joined, buckets["doc_id"] == joined["node"], "left").select(
+        "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi")
-    one = open_.select("key", F.col("doc_id").alias("u"), F.col("n_shingles").alias("nu"), F.col("component").alias("cu"))
-    two = open_.select("key", F.col("doc_id").alias("v"), F.col("n_shingles").alias("nv"), F.col("component").alias("cv"))
-    apart = one.join(two, "key").where((F.col("cu") < F.col("cv")) & similar_size).select("u", "v").distinct()
-    apart = apart.join(star.select("u", "v"), ["u", "v"], "left_anti").join(
-        star.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"
+    mixed = (
+        placed.groupBy("key")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("smallest"))
+        .where("lo < hi")
+        .select("key", "smallest")
     )
+    open_ = written(
+        placed.join(mixed, "key").groupBy("doc_id", "n_shingles", "component").agg(F.min("smallest").alias("smallest")), "near-open"
+    )
+    rare = written(_rarest(sets, open_, percent), "near-rare")
+    one, two = (
+        rare.select(
+            F.explode("rarest").alias("hash"), F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("component").alias("c" + x), F.col("rarest").alias("r" + x)
+        )
+        for x in "uv"
+    )
+    # a pair meets once, at the least of the shingles that bring it together
+    met = F.array_min(F.array_intersect("ru", "rv")) == F.col("hash")
+    apart = one.join(two, "hash").where((F.col("cu") < F.col("cv")) & similar_size & met).select("u", "v")
     more = written(_links(apart, sets, percent), "near-links")
     if more.limit(1).count():
         joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
@@ -191,6 +201,32 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     )
 
 
+def _rarest(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """For each of ``docs`` its rarest shingles, so many that two sets with a
+    link have one of them in common.
+
+    Sets of n and m shingles with similarity t share at least t / (1 + t) *
+    (n + m).  Whatever order all shingles are put in, a set that misses fewer
+    than k of its shingles in another one shares one of its first k with it; so
+    do two such sets with each other's first ones.  Rare shingles come first,
+    which keeps what is common to a large group out of the comparison."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, hashes in zip(batch.column("doc_id"), batch.column("hashes")):
+                h = np.frombuffer(hashes.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc.as_py()))], names=["hash", "doc_id"])
+
+    rows = sets.join(docs.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "hash long, doc_id long")
+    rows = written(rows, "near-shingles")
+    counts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "hash"))  # one set
+    placed = rows.join(counts, "hash").withColumn("place", place).join(docs, "doc_id")
+    least_shared = F.ceil(F.lit(percent) * (F.col("n_shingles") + F.col("smallest")) / F.lit(100 + percent))
+    first = placed.where((F.col("place") <= F.col("n_shingles") - least_shared + 1) & (F.col("df") > 1))
+    return first.groupBy("doc_id", "n_shingles", "component").agg(F.collect_list("hash").alias("rarest"))
+
+
 def _table_keys(firsts: DataFrame) -> DataFrame:
     """``key``, ``doc_id``, ``n_shingles`` of every table whose two half keys
     are both shared with another document."""
