@@ -15,6 +15,7 @@ alphabetically first wins; without any labelled training row every text is
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,11 @@ def _sum_batches(batches):
     )
 
 
+def _total(parts: pd.DataFrame) -> pd.DataFrame:
+    counts = sum(np.frombuffer(c, np.int64) for c in parts["counts"])
+    return pd.DataFrame({"lang": parts["lang"].iloc[:1], "n": [parts["n"].sum()], "counts": [counts.tobytes()]})
+
+
 class LanguageModel:
     def __init__(self, langs: list[str], log_probs: np.ndarray, priors: np.ndarray):
         self.langs, self.log_probs, self.priors = langs, log_probs, priors
@@ -110,16 +116,15 @@ def fit(docs: DataFrame, may_learn, train_docs: int = TRAIN_DOCS) -> LanguageMod
     share = 1 << 20
     threshold = share if total <= train_docs else max(1, share * train_docs // total)
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < threshold).select(F.col("lang").cast("string").alias("lang"), "text")
-    # the scan keeps its own parallelism; the sample is bounded, so are its partial counts
-    parts = sample.repartition(16).mapInArrow(_sum_batches, "lang string, n long, counts binary").collect()
-    langs = sorted({p["lang"] for p in parts})
-    counts = np.zeros((len(langs), BUCKETS))
-    docs_of = np.zeros(len(langs))
-    for p in parts:
-        counts[langs.index(p["lang"])] += np.frombuffer(p["counts"], np.int64)
-        docs_of[langs.index(p["lang"])] += p["n"]
-    smooth = counts + 0.1
-    return LanguageModel(langs, np.log(smooth / smooth.sum(1, keepdims=True)), np.log(docs_of / max(docs_of.sum(), 1)))
+    # the scan keeps its own parallelism; the sample is bounded, and one row per
+    # language comes back
+    parts = sample.repartition(16).mapInArrow(_sum_batches, "lang string, n long, counts binary")
+    rows = sorted(parts.groupBy("lang").applyInPandas(_total, "lang string, n long, counts binary").collect(), key=lambda r: r["lang"])
+    counts = np.array([np.frombuffer(r["counts"], np.int64) for r in rows], float).reshape(len(rows), BUCKETS) + 0.1
+    docs_of = np.array([r["n"] for r in rows], float)
+    return LanguageModel(
+        [r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), np.log(docs_of / max(docs_of.sum(), 1))
+    )
 
 
 def predict(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
