@@ -58,13 +58,19 @@ def clean_indicator_codes(
     return out.where(is_valid_code(F.col(code_col)))
 
 
-def boundary_per_group(boundary: DataFrame, groups: DataFrame) -> DataFrame:
+def boundary_per_group(boundary: DataFrame, groups: DataFrame, small_boundary: bool = True) -> DataFrame:
     """Every boundary row once per group row.
 
-    ``groups`` must be small (one row per map to draw, e.g. per dataset).  It is
-    gathered by an uncorrelated scalar subquery -- computed once, shipped with
-    the plan like a literal -- and unrolled with ``inline``; no join is planned.
+    The bounded side is gathered by an uncorrelated scalar subquery -- computed
+    once, shipped with the plan like a literal -- and unrolled for each row of
+    the other with ``inline``; no join is planned.  That side is the boundary
+    table (``small_boundary``: it has passed the size check), so any number of
+    groups stays distributed; a boundary beyond the check needs few groups (one
+    per map to draw).
     """
+    if small_boundary:
+        gathered = boundary.select(F.collect_list(F.struct(*boundary.columns))).scalar()
+        return groups.select("*", F.inline(gathered)).select(*boundary.columns, *groups.columns)
     gathered = groups.select(F.collect_list(F.struct(*groups.columns))).scalar()
     return boundary.select("*", F.inline(gathered))
 
@@ -105,9 +111,10 @@ def merge_boundaries(
     ind_cols = [c for c in ind.columns if c not in group_cols]
     out_cols = group_cols + boundary.columns + ind_cols
 
-    left = boundary_per_group(boundary, groups) if group_cols else boundary
+    small = fits_broadcast(boundary, max_broadcast_rows)
+    left = boundary_per_group(boundary, groups, small) if group_cols else boundary
 
-    b = F.broadcast(boundary) if fits_broadcast(boundary, max_broadcast_rows) else boundary
+    b = F.broadcast(boundary) if small else boundary
     matched = ind.join(b, ind[code_col] == b["ISO_A3"], "inner")
     matched = matched.select(*out_cols)
     present = keys.where(is_valid_code(F.col("__code")))

@@ -77,15 +77,6 @@ def available_years(indicator: DataFrame, by: str = "dataset") -> DataFrame:
     return years.withColumn("year_rank", F.row_number().over(w))
 
 
-def available_years_list(indicator: DataFrame, by: str = "dataset") -> DataFrame:
-    """A2 as one array per dataset, newest first (bounded by the number of years)."""
-    return (
-        available_years(indicator, by)
-        .groupBy(by)
-        .agg(F.sort_array(F.collect_list("year"), asc=False).alias("years"))
-    )
-
-
 def last_two_years(rows: DataFrame, by="dataset") -> DataFrame:
     """The two largest distinct coerced years per group (``prev_year``,
     ``last_year``); groups with fewer than two years are absent.  ``by`` is a

@@ -190,6 +190,8 @@ def test_datasets_without_year_or_metric_stay(spark, tmp_path):
         ("dated", 2020): (2, 1, 1.0), ("dated", 2021): (2, 1, 2.0), ("undated file", None): (2, 2, 6.0), ("words", None): (2, 0, None)
     }
     assert {r.dataset for r in dash.year_top_bottom().collect()} == {"dated", "undated file"}
+    assert sorted((r.ADMIN, r.value) for r in dash.selection_merged("dated", 2020).where("value > 0").collect()) == [("Aland", 1.0)]
+    assert dash.selection_merged("undated file", None).where("value IS NOT NULL").count() == 2
     profiled = {(r.dataset, r.column_name): r["count"] for r in dash.profile().collect()}
     assert profiled[("words", "value")] == 0 and profiled[("words", "entity")] == 2
     assert {r.dataset for r in dash.preview().collect()} == {"dated", "undated file"}

@@ -126,6 +126,8 @@ def test_tile_inventory(spark, tmp_path):
     assert sorted((r.file_name, r.z, r.x, r.y) for r in inv) == [
         ("esri_15_100_200.png", 15, 100, 200), ("esri_3_1_2.png", 3, 1, 2)]
     assert tiles.read_tile_inventory(spark, str(tmp_path / "none")).count() == 0
+    images = {r.file_name: bytes(r.content) for r in tiles.read_tile_images(spark, str(d)).collect()}
+    assert images == {n: b"\x89PNG fake" for n in ("esri_15_100_200.png", "esri_3_1_2.png")}
 
 
 def test_download_plan_order_and_directory(spark, tmp_path):
