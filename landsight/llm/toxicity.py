@@ -44,21 +44,31 @@ HOMOGLYPHS = {
     "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ɡ": "g", "ı": "i", "ⅼ": "l",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-IN_WORD = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_]{2})")
+DISGUISED = re.compile(r"(?<![^\W_])[^\W\d_]*+[0134578@$!][^\W_@$!]*+(?:[@$!]++[^\W_]*+)*")  # words with such a sign
+WORD = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_]{2})")
 WORD = re.compile(r"[^\W\d_]+")
 TO_LATIN = {ord(k): v for k, v in HOMOGLYPHS.items()}
 TO_LETTER = {ord(k): v for k, v in SUBSTITUTES.items()}
 
 
+def _undisguise(found: re.Match) -> str:
+    word = found[0].rstrip("!")
+    letters = sum(map(str.isalpha, word))
+    if letters < 2 or any(not c.isalpha() and c not in SUBSTITUTES for c in word):
+        return found[0]
+    return word.translate(TO_LETTER) + found[0][len(word) :]
+
+
 def fold(text: str) -> str:
-    """Lower case, compatibility forms and homoglyphs to plain letters, digits
-    and signs inside words to the letters they stand for."""
+    """Lower case, compatibility forms and homoglyphs to plain letters; digits
+    and signs to the letters they stand for, in words of two letters or more
+    and such signs only (exclamation marks at the end stay)."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
     if not text.isascii():
         text = text.translate(TO_LATIN)
-    return IN_WORD.sub(lambda m: m[0].translate(TO_LETTER), text)
+    return DISGUISED.sub(_undisguise, text)
 
 
 def _term_batches(batches):
