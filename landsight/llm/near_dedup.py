@@ -253,3 +253,21 @@ def drop_near_copies(docs: DataFrame, width: int = SHINGLE, percent: int = PERCE
 def op6_minhash_near_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), width=4)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM starts),
+sizes AS (SELECT w.doc_id, count(sh.doc_id) AS n FROM w LEFT JOIN sh ON w.doc_id = sh.doc_id GROUP BY w.doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, s.n AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM sizes s JOIN comp ON s.doc_id = comp.x
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE = {
     "op1_quality_rules": quality.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op6_minhash_near_dedup": near_dedup.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
