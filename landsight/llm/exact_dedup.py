@@ -7,8 +7,9 @@ positives join the snapshot's exact buckets, and the two texts are compared
 byte for byte.  A batch's new texts become the next snapshot.
 
 Defined results: a null text counts as empty; the row with the largest id of a
-group stays (of rows with the same id and text, all carry that id); an empty
-table gives an empty result; other columns of the input are ignored.
+group stays (of rows with the same id and text, all carry that id); rows without
+an id are grouped, but ``drop_copies`` cannot name them and leaves them out; an
+empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ HALVES, about 2e-5; it falls steeply above.
 
 Defined results: documents without words or text have an empty set and are
 linked with nothing; fewer words than a shingle count as one shingle; repeated
-rows of one id are judged each, and linked by that id; an empty table gives an
-empty result; other columns are ignored.
+rows of one id are judged each, and linked by that id; rows without an id are
+linked with nothing and left out by ``drop_near_copies``; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
