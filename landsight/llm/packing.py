@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import library_encoder, load, text_ids
+from .tokens import TOKEN_BYTES, library_encoder, load, text_ids
 from .util import keyed_texts, schema_with, table, text_slices, written
 
 WINDOW = 4096
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, closi
 
     def run(batches):
         encode = library_encoder(shared.value)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=TOKEN_BYTES):
             ids, sizes = text_ids(batch.column("text"), encode)
             out = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "ids": []}
             at = 0

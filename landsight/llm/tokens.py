@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame
 
 from .util import process_cache, text_slices, words_of
 
+# Text encoded at once: a distinct word is encoded once per slice, so larger
+# slices cost less; about 15 times this in memory.
+TOKEN_BYTES = 6 << 20
+
 # The contractions of the file's pre-token pattern.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
@@ -223,7 +227,7 @@ def with_ids(docs: DataFrame, make_encoder, source: Source) -> DataFrame:
 
     def run(batches):
         encode = make_encoder(shared.value)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=TOKEN_BYTES):
             ids, sizes = text_ids(batch.column("text"), encode)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["doc_id", "ids"])
