@@ -37,10 +37,12 @@ from .util import keyed_texts, mix64, string_bytes, table, text_slices, written
 
 MIN_BYTES = 100
 SEED_BYTES = 24
-COMPARE_BYTES = 4 << 20  # of runs that are compared at once
+ENTRY_BYTES = 2 << 20  # of text indexed at once: a position costs some 60 bytes for a while
+COMPARE_BYTES = 2 << 20  # of runs that are compared at once
 BATCHES = 3
 PLACE_BITS = 24  # of a position in the part of a text handled at once
 PART_BYTES = 8 << 20
+KNOWN = -(1 << 63)  # in place of a run's fingerprint: the run repeats one of its slice
 RUN_BITS = 7  # a run has fewer windows than 2 ** RUN_BITS
 
 
@@ -109,7 +111,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray, length: int):
 
 def _entries(length: int):
     def run(batches):
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=ENTRY_BYTES):
             data, offsets = string_bytes(batch.column("text"))
             ids = batch.column("doc_id")
             for part, ends, first_text, shift in _parts(data, offsets, length):
@@ -119,10 +121,23 @@ def _entries(length: int):
                 tags = np.fromiter(
                     (xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + count + length - 1).tolist())), np.uint64, len(keys)
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(tags.view(np.int64)), ids.take(pa.array(owner + first_text)), pa.array((start + shift) << RUN_BITS | count)],
-                    names=["key", "tag", "doc_id", "place"],
-                )
+                tags[tags == np.uint64(1 << 63)] = 0  # the mark below
+                doc = ids.take(pa.array(owner + first_text)).to_numpy(zero_copy_only=False).astype(np.int64)
+                place = (start + shift) << RUN_BITS | count
+                order = np.lexsort((place, doc, tags, keys))
+                keys, tags, doc, place = (x[order].astype(np.int64) if x.dtype != np.uint64 else x[order].view(np.int64) for x in (keys, tags, doc, place))
+                same = np.zeros(len(keys), bool)
+                same[1:] = (keys[1:] == keys[:-1]) & (tags[1:] == tags[:-1])
+                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
+                tie = same & (doc == doc[head]) & (place == place[head])  # a repeated row
+                # Repeats inside the slice are known already: they leave the
+                # key's group, so a passage that many documents share does not
+                # gather in one task.
+                tags[same] = KNOWN
+                spread = mix64(doc.view(np.uint64) ^ mix64(place.view(np.uint64))).view(np.int64)
+                keys = np.where(same, spread, keys)
+                keys, tags, doc, place = (x[~tie] for x in (keys, tags, doc, place))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tags), pa.array(doc), pa.array(place)], names=["key", "tag", "doc_id", "place"])
 
     return run
 
@@ -161,7 +176,9 @@ class SuffixIndex:
         ``sure`` (the run repeats an earlier one; else its windows must be
         compared).  ``keep`` adds the batch to the index for later ones."""
         array = self._store(batch.repartition(self.buckets, "key"))
-        rows = self.spark.table(array)
+        stored = self.spark.table(array)
+        known = stored.where(F.col("tag") == KNOWN).select("doc_id", "place", "key", F.lit(True).alias("sure"))
+        rows = stored.where(F.col("tag") != KNOWN)
         of_key = Window.partitionBy("key")
         # equal places of repeated rows share a rank
         nth = F.rank().over(Window.partitionBy("key", "tag").orderBy("doc_id", "place"))
@@ -184,7 +201,7 @@ class SuffixIndex:
             mixed = (F.col("l.lo") == F.col("l.hi")) & ((F.col("b.lo") != F.col("l.lo")) | (F.col("b.hi") != F.col("l.lo")))
             reports.append(again.where(mixed).select("l.doc_id", "l.place", "key", F.lit(False).alias("sure")))
         mixed = (F.least(*lo) != F.greatest(*hi)) if self.levels else F.col("lo") != F.col("hi")
-        found = scan.where(sure | mixed).select("doc_id", "place", "key", sure.alias("sure"))
+        found = scan.where(sure | mixed).select("doc_id", "place", "key", sure.alias("sure")).unionByName(known)
         for more in reports:
             found = found.unionByName(more)
         found = written(found, "suffix-matches")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -78,6 +79,17 @@ def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, sizes
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: workers are reused, and what one
+    operator has needed at its peak would stay with the next."""
+    pa.default_memory_pool().release_unused()
+    trim = process_cache("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))  # glibc only
+    if trim:
+        trim(0)
 
 
 def string_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
