@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import library_encoder, load, word_ids
-from .util import keyed_texts, process_cache, table, text_slices
+from .util import keyed_texts, process_cache, table, text_slices, words_of
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,15 +41,20 @@ class Counter:
     def __init__(self, encode):
         self.encode, self.known = encode, {}
 
-    def counts(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        new = list({w for w in words if w not in known})
+    def learn(self, words: list[str]) -> None:
+        """Encode the words not known yet, in one call."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        new = [w for w in words if w not in self.known]
         if new:
-            known.update(zip(new, word_ids(new, self.encode)[1].tolist()))
-        out = np.fromiter((known[w] for w in words), np.int64, len(words))
-        if len(known) > REMEMBERED:
-            self.known = dict(list(known.items())[len(known) // 2 :])
-        return out
+            self.known.update(zip(new, word_ids(new, self.encode)[1].tolist()))
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, words))
+        if None in found:
+            self.learn(list(dict.fromkeys(words)))
+            found = list(map(self.known.get, words))
+        return np.array(found, np.int64)
 
 
 class CountTree:
@@ -148,7 +153,7 @@ def count_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in text_slices(batches):
             out = {"doc_id": batch.column("doc_id").to_pylist(), "n_tokens_before": [], "n_tokens": [], "n_edits": [], "words_encoded": [], "edited": []}
             texts = batch.column("text").to_pylist()
-            counter.counts([w for t in texts for w in WORDS.findall(t)])  # all new words of the slice in one call
+            counter.learn(words_of(batch.column("text"))[0].unique().to_pylist())  # all new words of the slice in one call
             for text, edits in zip(texts, batch.column("edits").to_pylist()):
                 tree = CountTree(text, counter)
                 out["n_tokens_before"].append(tree.total)
