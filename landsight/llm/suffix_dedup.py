@@ -233,7 +233,7 @@ def _run_bytes(length: int):
 
     def run(batches):
         for batch in text_slices(batches):
-            key, doc, begin, data = [], [], [], []
+            key, doc, begin, data, large = [], [], [], [], []
             for d, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
                 raw = text.encode()
                 for m in found:
@@ -242,9 +242,10 @@ def _run_bytes(length: int):
                     doc.append(d)
                     begin.append(a)
                     data.append(raw[a : a + n + length - 1])
+                    large.append(m["large"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(data, pa.binary())],
-                names=["key", "doc_id", "begin", "data"],
+                [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int64()), pa.array(data, pa.binary()), pa.array(large, pa.bool_())],
+                names=["key", "doc_id", "begin", "data", "large"],
             )
 
     return run
@@ -285,28 +286,40 @@ def _ranges(d1, d2, doc, begin, end) -> pa.RecordBatch:
 
 
 def _compare(length: int):
-    """Runs in order of their key.  Keys are compared whole; a key with more
-    bytes than fit sends its windows on with their digests."""
+    """Runs in order of their key.  Keys are compared whole; the runs of a key
+    that is marked large, and those of a key with more bytes than fit, send
+    their windows on with their digests."""
 
     def spread(rows):
         pair, doc, start = _windows(rows, length)
         return _ranges(pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), doc, start, start + length)
 
     def run(batches):
-        held, size, large = [], 0, None  # large: the key whose first runs are gone already
+        earlier, held, size, held_size, large = [], [], 0, 0, False  # whole keys; the last key, of which all is sent on if it is large
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "doc_id", "begin", "data"))):
-                if held and row[0] != held[-1][0] and (size > COMPARE_BYTES or large is not None):
-                    yield _compared(held, length) if large is None else spread(held)
-                    held, size, large = [], 0, None
-                elif size > COMPARE_BYTES and row[0] == held[0][0]:
-                    large = row[0]
+            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "doc_id", "begin", "data", "large"))):
+                if held and row[0] != held[-1][0]:
+                    if large:
+                        yield spread(held)
+                    else:
+                        earlier += held
+                        size += held_size
+                    held, held_size, large = [], 0, False
+                    if size > COMPARE_BYTES:
+                        yield _compared(earlier, length)
+                        earlier, size = [], 0
+                elif held_size > COMPARE_BYTES:
                     yield spread(held)
-                    held, size = [], 0
+                    held, held_size, large = [], 0, True
                 held.append(row)
-                size += len(row[3])
-        if held:
-            yield _compared(held, length) if large is None else spread(held)
+                held_size += len(row[3])
+                large = large or row[4]
+        if held and large:
+            yield spread(held)
+        elif held:
+            earlier += held
+        if earlier:
+            yield _compared(earlier, length)
 
     return run
 
@@ -333,18 +346,26 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, batches: int = BATC
         F.shiftright("place", RUN_BITS).alias("begin"),
         (F.shiftright("place", RUN_BITS) + F.col("place").bitwiseAND((1 << RUN_BITS) - 1) + (length - 1)).alias("end"),
     )
-    runs = matches.where(~F.col("sure")).groupBy("doc_id").agg(F.collect_set(F.struct("key", "place")).alias("runs"))  # one text's runs
+    unsure = matches.where(~F.col("sure")).select("key", "doc_id", "place")
+    run_bytes = F.col("place").bitwiseAND((1 << RUN_BITS) - 1) + (length - 1)
+    hot = unsure.groupBy("key").agg(F.sum(run_bytes).alias("n")).where(F.col("n") > COMPARE_BYTES).select("key", F.lit(True).alias("large"))
+    # a key for each COMPARE_BYTES of runs at most; a hot key's runs stay where they are
+    marked = unsure.join(F.broadcast(written(hot, "suffix-large-keys")), "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    runs = marked.groupBy("doc_id").agg(F.collect_set(F.struct("key", "place", "large")).alias("runs"))  # one text's runs
+    # a large key's runs are dealt over all tasks: their windows meet by digest
+    dealt = F.when(F.col("large"), F.xxhash64("doc_id", "begin")).otherwise(F.col("key"))
     compared = (
         texts.join(runs, "doc_id")
         .select("doc_id", "text", "runs")
-        .mapInArrow(_run_bytes(length), "key long, doc_id long, begin long, data binary")
-        .repartition("key")
+        .mapInArrow(_run_bytes(length), "key long, doc_id long, begin long, data binary, large boolean")
+        .repartition(dealt)
         .sortWithinPartitions("key")
         .mapInArrow(_compare(length), "d1 long, d2 long, doc_id long, begin long, end long")
     )
     compared = written(compared, "suffix-windows")
-    nth = F.rank().over(Window.partitionBy("d1", "d2").orderBy("doc_id", "begin"))
-    spread = compared.where("d1 IS NOT NULL").withColumn("nth", nth).where("nth > 1")
+    windows = compared.where("d1 IS NOT NULL")
+    firsts = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    spread = windows.join(firsts, ["d1", "d2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")))
     names = ["doc_id", "begin", "end"]
     ranges = again.unionByName(compared.where("d1 IS NULL").select(*names)).unionByName(spread.select(*names))
     return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # one text's ranges

@@ -180,6 +180,39 @@ def test_a_key_with_more_runs_than_are_held(spark, monkeypatch):
     check_cut(docs)
 
 
+def test_a_hot_key_after_a_small_one(monkeypatch):
+    """A key beyond the bound goes on with digests, whatever is held before it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "COMPARE_BYTES", 2000)
+    most = []
+    windows = suffix_dedup._windows
+    monkeypatch.setattr(suffix_dedup, "_windows", lambda rows, length: most.append(sum(len(r[3]) for r in rows)) or windows(rows, length))
+    rows = [(1, 1, 0, b"a" * 120), (1, 2, 0, b"a" * 120), *((2, i, 7, b"b" * 119 + bytes([i])) for i in range(200)), (3, 4, 5, b"c" * 110), (3, 5, 5, b"c" * 110)]
+    for marked in (False, True):
+        most.clear()
+        names = ["key", "doc_id", "begin", "data", "large"]
+        columns = [pa.array(c) for c in zip(*((*r, marked and r[0] == 2) for r in rows))]
+        batch = pa.RecordBatch.from_arrays(columns, names=names)
+        out = [r for b in suffix_dedup._compare(100)([batch.slice(i, 50) for i in range(0, len(rows), 50)]) for r in b.to_pylist()]
+        hot = [r for r in out if r["d1"] is not None]
+        assert len(hot) == 200 * 21 and {r["doc_id"] for r in hot} == set(range(200))
+        # one letter holds one window again and again, also in its first document
+        rest = sorted((r["doc_id"], r["begin"], r["end"]) for r in out if r["d1"] is None)
+        assert rest == [(1, 1, 120), (2, 0, 120), (4, 6, 115), (5, 5, 115)]
+        if not marked:
+            assert max(most) <= 2000 + 240
+
+
+def test_a_line_before_another_text_in_most_documents(spark, monkeypatch):
+    """Large keys are marked before they are dealt, and their runs are not
+    dealt by the key alone."""
+    monkeypatch.setattr(suffix_dedup, "COMPARE_BYTES", 4000)
+    line = prose(8, 40)
+    rows = [(i, prose(100 + i, 9) + " " + (line + " " if i % 3 else "") + prose(300 + i, 40)) for i in range(90)]
+    check_cut(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_cut_on_an_empty_table_and_documents(odd_docs):
     assert suffix_dedup.remove_repeats(odd_docs.where("false")).count() == 0
     cut = suffix_dedup.cut_documents(odd_docs)
