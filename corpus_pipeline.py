@@ -20,11 +20,9 @@ MIN_CERTAINTY = 0.5
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and texts whose language is a guess, go."""
-    names = docs.columns
-    model = langid.fit(docs, F.lit(True))
-    judged = langid.predict(docs, model, "_language", "_certainty")
-    return judged.where((F.col("_language") != langid.UNKNOWN) & (F.col("_certainty") >= MIN_CERTAINTY)).select(*names)
+    """Texts without letters, and texts whose language is a guess, go.  Without
+    any labelled text no language is known: then only texts without letters go."""
+    return langid.with_known_language(docs, langid.fit(docs, F.lit(True)), MIN_CERTAINTY)
 
 
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,13 +96,21 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its posterior probability."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """``predict``'s two, the lead of the language over chance -- the mean
+        over the n-grams of how much likelier (log) it makes one than buckets
+        drawn evenly -- and whether the text has a letter."""
         buckets, rows, has = ngram_buckets(texts)
         if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), has
         scores = np.stack([p + np.bincount(rows, weights=lp[buckets], minlength=len(texts)) for p, lp in zip(self.priors, self.log_probs)])
         best = scores.argmax(0)
         post = 1 / np.exp(scores - scores.max(0)).sum(0)
-        return [self.langs[b] if h else UNKNOWN for b, h in zip(best, has)], np.where(has, post, 0.0)
+        grams = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
+        lead = (scores.max(0) - self.priors[best]) / grams + np.log(BUCKETS)
+        return [self.langs[b] if h else UNKNOWN for b, h in zip(best, has)], np.where(has, post, 0.0), np.where(has, lead, 0.0), has
 
 
 def crc_remainder(id_col: str, mod: int):
@@ -148,6 +156,23 @@ def predict(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred",
     return base.mapInArrow(run, schema)
 
 
+def with_known_language(docs: DataFrame, model: LanguageModel, certainty: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and whose language is no
+    guess: its probability reaches ``certainty``, and it makes the text's
+    n-grams likelier than chance does, however long the text is.  A model
+    without languages only rejects texts without letters."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_probs, model.priors))
+
+    def run(batches):
+        model = LanguageModel(*shared.value)
+        for batch in text_slices(batches, limit=SCORE_BYTES):
+            _, post, lead, has = model.judge([t or "" for t in batch.column("text").to_pylist()])
+            keep = has & (post >= certainty) & (lead > 0) if model.langs else has
+            yield pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_language_id(spark, sf_dir):
     from .util import table
 

@@ -7,7 +7,7 @@ from pathlib import Path
 import corpus_pipeline
 from landsight.llm import registry
 
-from .conftest import SF
+from .conftest import SF, prose
 
 ROOT = Path(corpus_pipeline.__file__).parent
 
@@ -36,6 +36,23 @@ def test_stages_take_odd_documents(spark, odd_docs):
         assert stage(spark, empty, SF).count() == 0, name
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, prose(1, 40), None), (2, " 12 -- ", None), (3, None, "en"), (4, "word", None), (None, prose(2, 40), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_stage(spark, docs, SF)
+    assert sorted(r.text for r in kept.collect()) == sorted([rows[0][1], "word", rows[4][1]])
+
+
+def test_language_stage_rejects_long_texts_of_no_known_language(spark):
+    """Probability alone is near 1 for any long text."""
+    other = " ".join(chr(0x4E00 + (k * k * 7919 + k * 31) % 20000) * (1 + k % 3) for k in range(600))
+    rows = [(i, prose(i, 200), "en") for i in range(20)]
+    rows += [(20 + i, " ".join(w[::-1] for w in prose(i, 200).split()), "xx") for i in range(20)]
+    docs = spark.createDataFrame([*rows, (99, other, None)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+
+
 def test_entry_without_the_subpackage():
     code = """
 import sys
