@@ -124,13 +124,16 @@ def pack(parts: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WIND
     total = parts.agg(F.sum("length")).first()[0] or 0  # one number
     shards = max(1, -(-total // (window * shard_windows)))
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(shards)))
+    # a missing id would turn the other ids of its shard into floats
+    dealt = dealt.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         where, offset = best_fit(pdf["length"].to_numpy(), window)
         return pdf.assign(sequence_id=(pdf["shard"].to_numpy() << 32) + where, offset=offset).drop(columns="shard")
 
-    return dealt.groupBy("shard").applyInPandas(run, schema_with(parts, sequence_id="long", offset="long"))
+    packed = dealt.groupBy("shard").applyInPandas(run, schema_with(dealt.drop("shard"), sequence_id="long", offset="long"))
+    return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -53,6 +53,42 @@ def test_language_stage_rejects_long_texts_of_no_known_language(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
 
 
+def test_rows_without_an_id_or_with_a_repeated_one(spark):
+    """Every stage's rows against plain Python: a row is an id and its text."""
+    a, b, c, d, e, f = (prose(60 + k, 60) for k in range(6))
+    near = d.split()
+    near[3] = "another"
+    near = " ".join(near)
+    rows = [
+        (1, a), (1, b), (2, c), (2, c), (3, d), (None, near), (None, e), (None, e), (4, e + " "), (None, a), (None, f),
+        (1 << 60 | 1, "one short text"), (7, c[:150] + " " + prose(90, 40)), (8, None), (8, ""),
+    ]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+
+    def of(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    def through(stage):
+        out = corpus_pipeline.written(stage(spark, docs, SF), "test-stage")
+        assert out.schema == docs.schema
+        return out
+
+    docs = through(corpus_pipeline.language_stage)
+    want = [r for r in rows if r[1]]
+    assert of(docs) == sorted(want, key=str)
+    docs = through(corpus_pipeline.exact_stage)
+    want = list(dict.fromkeys(r for r in want if r != (None, a)))
+    assert of(docs) == sorted(want, key=str)
+    docs = through(corpus_pipeline.near_stage)
+    want = [r for r in want if r not in ((None, near), (None, e))]
+    assert of(docs) == sorted(want, key=str)
+    docs = through(corpus_pipeline.passage_stage)
+    want = [(i, t[150:] if i == 7 else t) for i, t in want]
+    assert of(docs) == sorted(want, key=str)
+    packed = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    assert sorted((r.doc_id for r in packed), key=str) == sorted((i for i, _ in want), key=str)
+
+
 def test_entry_without_the_subpackage():
     code = """
 import sys
