@@ -77,8 +77,8 @@ def to_number(c) -> Column:
 
 def integral_year(year_number) -> Column:
     """Canonical integer year: only integral, finite, int-sized numbers."""
-    y = _col(year_number)
-    return F.when(y == F.floor(y), y.try_cast("int"))
+    y = _col(year_number)  # referenced twice: see ``to_number``
+    return F.when(y % 1 == 0, y.try_cast("int"))
 
 
 def truncated_year(year_number) -> Column:

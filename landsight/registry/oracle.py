@@ -614,6 +614,19 @@ FROM indicator
 """
 )
 
+ORACLE["s4_csv_records"] = _q(
+    f"""
+SELECT dataset,
+  CASE dataset WHEN 'annual_deforestation' THEN 'Deforestation (ha)'
+    WHEN 'share_degraded_land' THEN 'Degraded land, share' ELSE 'Protected' END AS metric,
+  CASE WHEN Code IS NULL OR Code = 'US' THEN Entity || chr(10) || '"' || dataset || '",' || chr(10) || chr(10) || 'end' ELSE Entity END AS entity,
+  {_strip('Code')} AS code, {_num('Year')} AS year_number, {_num('Year')} AS year, {_num('value')} AS value
+FROM observation
+WHERE value IS NULL OR value <> 'abc'
+"""
+)
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

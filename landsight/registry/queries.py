@@ -578,6 +578,26 @@ def q_csv_scan(spark, sf_dir):
     return nullable_ints_as_double(long.select("dataset", *LONG_COLS), "year")
 
 
+@register("s4_csv_records")
+def q_csv_records(spark, sf_dir):
+    """S4 where records have several lines: entities and notes with line feeds,
+    quotes and separators, in files of one dataset each; scanned back without
+    ``multiLine``, in as many tasks as the files have ranges."""
+    from ..sources.store import table_path
+
+    path = table_path(spark.range(0), "observation-records")
+    obs = T.observation(spark, sf_dir).where(F.col("value").isNull() | (F.col("value") != "abc"))
+    entity = F.when(F.col("Code").isNull() | (F.col("Code") == "US"), F.concat("Entity", F.lit('\n"'), "dataset", F.lit('",\n\nend'))).otherwise(F.col("Entity"))
+    note = F.concat(F.lit('"'), "Entity", F.lit('"\r\n'), F.coalesce("value", F.lit("-")))
+    for dataset, name in CSV_VALUE_COLUMNS.items():
+        rows = obs.where(F.col("dataset") == dataset)
+        rows.select(entity.alias("Entity"), "Code", "Year", F.col("value").alias(name), note.alias("note")).write.option("header", True).option(
+            "escape", '"'
+        ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/dataset={dataset}")
+    long = I.read_indicator_csvs(spark, [path])
+    return nullable_ints_as_double(long.select("dataset", *LONG_COLS), "year")
+
+
 @register("k1_log_append_read")
 def q_log_append_read(spark, sf_dir):
     """The log appended in two batches to a date-partitioned

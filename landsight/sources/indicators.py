@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import clean_code, integral_year, to_number
+from .csv_records import read_text_columns
 
 # Candidate country columns, in order of preference.
 COUNTRY_COLUMN_CANDIDATES = ["ADMIN", "Name", "NAME", "Entity", "Country", "ISO_A3"]
@@ -110,9 +111,9 @@ def csv_layouts(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ..
 def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str | None = None) -> DataFrame:
     """S4 + U3: every indicator CSV -> one long table, one scan per header layout.
 
-    Each layout is read with an explicit all-text schema (never inferred).
-    Records are lines, so a large file is split over many tasks.  The dataset
-    id comes from the file's path.  The metric column is the last
+    Each layout is read with an explicit all-text schema (never inferred), and
+    a large file is split over many tasks, also where quoted fields hold line
+    ends.  The dataset id comes from the file's path.  The metric column is the last
     numeric-looking column other than ``Year`` (P10), decided per dataset by
     one aggregate job per layout; ``metric`` names it instead, and a name that
     a layout lacks is an error.  A dataset without any numeric column keeps its
@@ -123,17 +124,7 @@ def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str |
         cols = list(header)
         if metric is not None and metric not in cols:
             raise ValueError(f"no column {metric!r} in {files[0]}")
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-        raw = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .csv(files)
-            .withColumn("__dataset", dataset_of_path(F.col("_metadata.file_path")))
-        )
+        raw = read_text_columns(spark, files, cols).withColumn("__dataset", dataset_of_path(F.col("__file"))).drop("__file")
         raw = null_na_tokens(raw, cols)
         if metric is not None:
             parts.append(to_long(raw, metric, dataset_col="__dataset"))
@@ -172,26 +163,19 @@ def numeric_columns(raw: DataFrame, cols: Sequence[str], by: str) -> dict[str, l
     """Per dataset, the columns that pandas would make numeric: every value a
     number (missing ones allowed), or every value a boolean and none missing.
     One aggregate job for all columns and datasets of a layout."""
-    aggs = []
-    for c in cols:
-        v = F.col(f"`{c}`")
-        truth = v.isin(TRUTH_TEXTS)
-        number = to_number(v).isNotNull() | F.lower(v).isin("nan", "inf", "-inf", "+inf")
-        aggs.append(
-            F.struct(
-                F.count_if(v.isNull()).alias("missing"),
-                F.count_if(truth).alias("truths"),
-                F.count_if(v.isNotNull() & ~truth & number).alias("numbers"),
-                F.count_if(v.isNotNull() & ~truth & ~number).alias("texts"),
-            ).alias(f"c{len(aggs)}")
-        )
-    out = {}
-    for row in raw.groupBy(by).agg(*aggs).collect():  # one row per dataset
-        kinds = [(c, row[f"c{i}"]) for i, c in enumerate(cols)]
-        out[row[by]] = [
-            c for c, k in kinds if not k["texts"] and (not k["truths"] or not (k["numbers"] or k["missing"]))
-        ]
-    return out
+    names = [f"c{i}" for i in range(len(cols))]
+    long = raw.select(F.col(by), *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)]).unpivot([by], names, "column", "v")
+    v = F.col("v")
+    number = to_number(v).isNotNull() | F.lower(v).isin("nan", "inf", "-inf", "+inf")
+    kind = F.when(v.isNull(), "missing").when(v.isin(TRUTH_TEXTS), "truth").when(number, "number").otherwise("text")
+    found: dict[str, dict[str, set]] = {}
+    # a few rows for each dataset and column
+    for row in long.select(by, "column", kind.alias("kind")).distinct().collect():
+        found.setdefault(row[by], {}).setdefault(row["column"], set()).add(row["kind"])
+    return {
+        dataset: [c for c, n in zip(cols, names) if "text" not in kinds[n] and ("truth" not in kinds[n] or kinds[n] == {"truth"})]
+        for dataset, kinds in found.items()
+    }
 
 
 def choose_metric_columns(raw: DataFrame, cols: Sequence[str], by: str) -> dict[str, str | None]:

@@ -8,11 +8,14 @@ interchange.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import utc_time
+from .csv_records import read_text_columns
 
 # The log's columns, in order.
 LOG_SCHEMA = T.StructType(
@@ -65,20 +68,17 @@ def read_log(spark: SparkSession, path: str, with_id: bool = False) -> DataFrame
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
     """S7 + S8: a CSV log (header, quoted fields with newlines); the timestamp is
     parsed with ``try_to_timestamp`` so ISO text with or without fractions both
-    load, and bad text becomes NULL.  Missing or empty input reads as no rows."""
-    text_schema = T.StructType([T.StructField(f, T.StringType()) for f in LOG_FIELDS])
+    load, and bad text becomes NULL.  Missing or empty input reads as no rows.
+    A file is split over tasks, whatever its fields hold."""
     try:
-        raw = (
-            spark.read.schema(text_schema)
-            .option("header", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .csv(path)
-        )
+        files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
     except Exception as e:  # noqa: BLE001
         if _missing(e):
             return empty_log(spark)
         raise
+    if not files:
+        return empty_log(spark)
+    raw = read_text_columns(spark, files, LOG_FIELDS)
     return raw.select(
         F.try_to_timestamp(F.col("timestamp")).cast("timestamp").alias("timestamp"),
         *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields[1:]],
