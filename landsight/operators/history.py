@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .cache import tiles_cached
+from .ranking import Ranked
 
 # Filter and sort choices of the History page.
 FILTERS = ("All", "At Risk", "Safe")
@@ -78,6 +79,12 @@ def sort_keys(log: DataFrame, choice: str = "Newest first", tie_col: str = "id")
     return [first, *[F.col(c).asc() for c in ties]]
 
 
+def ranked_log(log: DataFrame, choice: str = "Newest first", tie_col: str = "id") -> Ranked:
+    """O2 with places: the log stored in the page's order, for the place of each
+    record and for pages of it."""
+    return Ranked(log, sort_keys(log, choice, tie_col))
+
+
 def history_table(log: DataFrame, choice: str = "All", order: str = "Newest first") -> DataFrame:
     """The History table -- seven renamed display columns."""
     rows = sort_log(filter_risk(log, choice), order)

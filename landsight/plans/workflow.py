@@ -169,9 +169,13 @@ def process_requests(
     clock=None,
     model_parallelism: int | None = None,
     fetch=None,
+    first: DataFrame | None = None,
 ):
     """Returns ``(results, new_log_rows)``.
 
+    ``first`` gives the first stored results by key (the key columns and the
+    payload, one row a key); with it the log is not read and may be None.
+
     ``results``: every request with ``source`` (``cache`` or ``model``, NULL when
     the model failed), ``image_description``, ``danger``, ``justification``,
     ``error``, ``tile_file``, ``image_path`` and ``tile_fetched``.  A request
@@ -183,7 +187,8 @@ def process_requests(
     from ..sources.store import materialize
 
     keys = requests.where(whole_key(requests)).select(*KEY).distinct()
-    first = first_for_keys(log, keys, ("image_description", "danger", "text_description"))
+    payload = ("image_description", "danger", "text_description")
+    first = first_for_keys(log, keys, payload) if first is None else first.select(*KEY, *payload)
     # the lookup is written once: hits, misses and results derive from it
     looked = materialize(keys.join(first.withColumn("hit", F.lit(True)), KEY, "left"), "lookup")
     checkpoint_dir(requests.sparkSession)
@@ -222,16 +227,30 @@ def process_requests(
 
 def run_requests(requests: DataFrame, log_path: str, client_factory: ClientFactory, image_root: str,
                  config: ModelConfig = DEFAULT_MODEL_CONFIG, model_parallelism: int | None = None,
-                 fetch=None) -> DataFrame:
-    """W1 + K1: process a batch against the stored log and append the new rows."""
+                 fetch=None, first_results: str | None = None) -> DataFrame:
+    """W1 + K1: process a batch against the stored log and append the new rows.
+
+    With ``first_results``, the path of a key table over the log, only the
+    buckets of the requested keys are read instead of the log, and the new rows
+    are merged into it after the append."""
+    from ..sources.first_results import merge_first_results, read_first_results
     from ..sources.log import append_log, read_log
 
     spark = requests.sparkSession
+    log = first = None
+    if first_results is None:
+        log = read_log(spark, log_path, with_id=True)
+    else:
+        first = read_first_results(spark, first_results, requests)
     results, new_rows = process_requests(
-        requests, read_log(spark, log_path, with_id=True), client_factory, image_root, config,
-        model_parallelism=model_parallelism, fetch=fetch,
+        requests, log, client_factory, image_root, config, model_parallelism=model_parallelism, fetch=fetch, first=first
     )
-    append_log(new_rows, log_path)
+    if first_results is not None:
+        new_rows = new_rows.withColumn("id", F.unix_micros("timestamp")).checkpoint(eager=True)
+        append_log(new_rows, log_path)
+        merge_first_results(new_rows, first_results)
+    else:
+        append_log(new_rows, log_path)
     return results
 
 

@@ -732,9 +732,11 @@ FROM events
 
 ORACLE["o2_ranked_history"] = """
 SELECT event_id AS id,
-       row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id) AS newest_in_day,
-       row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS oldest_in_day
+       row_number() OVER (ORDER BY ts DESC NULLS LAST, event_id) AS newest_place,
+       row_number() OVER (ORDER BY ts ASC NULLS LAST, event_id) AS oldest_place
 FROM events
 """.strip()
 
+ORACLE["a9_replayed_risk_stream"] = ORACLE["a9_daily_risk_kpis"]
+
 ORACLE["p11_country_means"] = ORACLE["a6_country_mean"]

@@ -357,6 +357,30 @@ def q_daily_risk_stream(spark, sf_dir):
     return read_daily_risk_kpis(spark, f"{root}/daily").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@register("a9_replayed_risk_stream")
+def q_replayed_risk_stream(spark, sf_dir):
+    """A9, A10 incremental, counted more than once: the log comes in two parts, a
+    second query with a checkpoint of its own counts it again, late rows follow,
+    and the counts are compacted in between.  Each log file counts once."""
+    from ..sources import log as L
+    from ..sources.store import table_path
+    from ..streaming import history as H
+
+    root = table_path(spark.range(0), "replayed-risk-stream")
+    src = T.analysis_log(spark, sf_dir)
+
+    def run(checkpoint):
+        H.start_daily_risk_kpis(spark, f"{root}/log", f"{root}/daily", f"{root}/{checkpoint}", available_now=True).awaitTermination()
+
+    L.append_log(src.where(F.col("id") % 3 != 0), f"{root}/log")
+    run("one")
+    run("two")
+    H.compact_daily_counts(spark, f"{root}/daily")
+    L.append_log(src.where(F.col("id") % 3 == 0), f"{root}/log")
+    run("one")
+    return H.read_daily_risk_kpis(spark, f"{root}/daily").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @register("d1_history_table")
 def q_history_table(spark, sf_dir):
     """The History table, all records, newest first."""
@@ -472,17 +496,13 @@ def q_prompts(spark, sf_dir):
 
 @register("o2_ranked_history")
 def q_ranked_history(spark, sf_dir):
-    """O2: the place of every record in the History page's two orders."""
-    from pyspark.sql import Window
-
-    from ..operators.history import sort_keys
+    """O2: the place of every record of the whole log in the History page's two
+    orders."""
+    from ..operators.history import ranked_log
 
-    log = T.analysis_log(spark, sf_dir)
-    orders = {"newest": "Newest first", "oldest": "Oldest first"}
-    by_day = {
-        k: F.row_number().over(Window.partitionBy("day").orderBy(*sort_keys(log, v))).cast("long").alias(f"{k}_in_day") for k, v in orders.items()
-    }
-    return log.withColumn("day", F.to_date("timestamp")).select("id", *by_day.values())
+    log = T.analysis_log(spark, sf_dir).select("id", "timestamp")
+    newest = ranked_log(log, "Newest first").with_place("newest_place")
+    return ranked_log(newest, "Oldest first").with_place("oldest_place").select("id", "newest_place", "oldest_place")
 
 
 @register("p11_country_means")
@@ -499,35 +519,37 @@ def q_country_column(spark, sf_dir):
 
 @register("j2_stored_lookup")
 def q_stored_lookup(spark, sf_dir):
-    """The lookup on a log written and read by the library; all entries
-    share one timestamp, so the order of storage decides."""
-    from ..operators.cache import lookup_requests
-    from ..sources import log as L
+    """The lookup on the stored key table, of which only the buckets
+    of the requested keys are read.  The log comes in two batches, the later ids
+    first; all entries share one timestamp, so the order of storage decides."""
+    from ..sources import first_results as R
     from ..sources.store import table_path
 
-    path = table_path(spark.range(0), "log")
+    path = table_path(spark.range(0), "first-results")
     src = T.analysis_log(spark, sf_dir).withColumn("timestamp", T.utc_instant(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
-    L.append_log(src, path)
-    return lookup_requests(T.request(spark, sf_dir), L.read_log(spark, path, with_id=True))
+    for rest in (1, 0):
+        R.merge_first_results(src.where(F.col("id") % 2 == rest), path)
+    return R.lookup_first_results(T.request(spark, sf_dir), path)
 
 
 @register("w1_request_stream")
 def q_request_stream(spark, sf_dir):
     """W1 incremental: every request lands as files in a folder; the streaming
-    query (``foreachBatch``, ``availableNow``) answers them against the stored
-    log, appends the new log rows and writes the per-request results, which are
-    read back.  Same answers as the batch workflow."""
+    query, whose state holds the first result of every location, answers them in
+    several micro-batches and appends the new log rows; the results are read
+    back.  Same answers as the batch workflow."""
     from ..plans.workflow import StubModelClient
     from ..sources import log as L
     from ..sources.store import table_path
     from ..streaming.requests import start_request_stream
 
     root = table_path(spark.range(0), "request-stream")
-    T.request(spark, sf_dir).write.parquet(f"{root}/requests")
+    # a later micro-batch would call a location of an earlier one cached
+    T.request(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("latitude", "longitude", "zoom"), F.lit(3))).repartition("part").write.partitionBy("part").parquet(f"{root}/requests")
     L.append_log(T.analysis_log(spark, sf_dir), f"{root}/log")
     query = start_request_stream(
-        spark, f"{root}/requests", f"{root}/log", f"{root}/results", f"{root}/checkpoint",
-        StubModelClient, f"{root}/tiles", available_now=True, fetch=_echo_fetch,
+        spark, f"{root}/requests/part=*", f"{root}/log", f"{root}/results", f"{root}/checkpoint",
+        StubModelClient, f"{root}/tiles", available_now=True, fetch=_echo_fetch, max_files_per_trigger=1,
     )
     query.awaitTermination()
     return spark.read.parquet(f"{root}/results").drop("query", "epoch", "image_path")
