@@ -7,11 +7,15 @@ need only twice ``HALVES`` half keys.  A half key that no other document has
 cannot complete a shared table key, so only shared half keys are combined.
 
 Documents with equal shingle sets are one class from the start.  In every
-bucket the members meet the bucket's smallest member; links are confirmed on
-the full sets and joined to components.  Members of buckets that are then still
-in several components meet each other if they share one of their rarest
-shingles, which every linked pair does.  So no link is lost to the shortcut, and
-no bucket is expanded into its pairs.
+bucket the members meet the bucket's smallest member, its pivot; links are
+confirmed on the full sets and joined to components.  The members of a pivot
+that are then still in several components are compared by what they differ in
+from the pivot: two members differ from each other in what only one of them
+differs in, so those that differ much from the pivot can only be linked if they
+share many of their differences.  Of the pairs that share one, those whose
+places among the rarest differences leave too few to share are dropped, and the
+rest is confirmed.  No link inside a bucket is lost to the shortcut, and copies
+that differ each in its own way are not compared in pairs.
 
 At similarity 0.8 a table-free miss has probability 2 * (1 - 0.8 ** ROWS) **
 HALVES, about 2e-5; it falls steeply above.
@@ -39,6 +43,7 @@ SHINGLE = 5
 PERCENT = 80
 ROWS = 3  # minhashes in a half key
 HALVES = 16  # half keys in each of the two collections
+SHARED = 2  # rare differences that two members of a pivot must share, if they need as many: more confirm fewer pairs, but meet more
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,40 +161,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     # every member meets the smallest member of its bucket
     least = tables.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = written(tables.join(least, "key"), "near-buckets")
-    star = (
-        buckets.select(F.col("m.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("m.n_shingles").alias("nu"), F.col("n_shingles").alias("nv"))
-        .where((F.col("u") != F.col("v")) & similar_size)
-        .distinct()
+    groups = tables.join(least, "key").select(
+        F.col("m.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("m.n_shingles").alias("nu"), F.col("n_shingles").alias("nv")
     )
-    links = written(_links(star, sets, percent), "near-links")
+    groups = written(groups.where("u <> v").distinct(), "near-groups")
+    links = written(_links(groups.where(similar_size), sets, percent), "near-links")
     joined = components(links)
 
-    # Members of one bucket that are still apart meet each other if they share
-    # one of their rarest shingles.
-    placed = buckets.where("n > 2").join(joined, buckets["doc_id"] == joined["node"], "left").select(
-        "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
-    )
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("smallest"))
-        .where("lo < hi")
-        .select("key", "smallest")
-    )
-    open_ = written(
-        placed.join(mixed, "key").groupBy("doc_id", "n_shingles", "component").agg(F.min("smallest").alias("smallest")), "near-open"
-    )
-    rare = written(_rarest(sets, open_, percent), "near-rare")
-    one, two = (
-        rare.select(
-            F.explode("rarest").alias("hash"), F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("component").alias("c" + x), F.col("rarest").alias("r" + x)
-        )
-        for x in "uv"
-    )
-    # a pair meets once, at the least of the shingles that bring it together
-    met = F.array_min(F.array_intersect("ru", "rv")) == F.col("hash")
-    apart = one.join(two, "hash").where((F.col("cu") < F.col("cv")) & similar_size & met).select("u", "v")
-    more = written(_links(apart, sets, percent), "near-links")
+    more = written(_links(_apart(groups, joined, sets, percent), sets, percent), "near-links")
     if more.limit(1).count():
         joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
@@ -202,30 +181,77 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     )
 
 
-def _rarest(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """For each of ``docs`` its rarest shingles, so many that two sets with a
-    link have one of them in common.
+def _differences(batches):
+    """Sets of a pivot and a member -> the shingles that only one of them has."""
+    for batch in batches:
+        found = []
+        for a, b in zip(batch.column("a"), batch.column("b")):
+            x, y = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64)
+            found.append(np.setxor1d(x, y, assume_unique=True))
+        at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+        flat = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("pivot", "doc_id", "n", "component")), pa.ListArray.from_arrays(at, flat)],
+            names=["pivot", "doc_id", "n", "component", "differing"],
+        )
 
-    Sets of n and m shingles with similarity t share at least t / (1 + t) *
-    (n + m).  Whatever order all shingles are put in, a set that misses fewer
-    than k of its shingles in another one shares one of its first k with it; so
-    do two such sets with each other's first ones.  Rare shingles come first,
-    which keeps what is common to a large group out of the comparison."""
 
-    def run(batches):
-        for batch in batches:
-            for doc, hashes in zip(batch.column("doc_id"), batch.column("hashes")):
-                h = np.frombuffer(hashes.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc.as_py()))], names=["hash", "doc_id"])
-
-    rows = sets.join(docs.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "hash long, doc_id long")
-    rows = written(rows, "near-shingles")
-    counts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "hash"))  # one set
-    placed = rows.join(counts, "hash").withColumn("place", place).join(docs, "doc_id")
-    least_shared = F.ceil(F.lit(percent) * (F.col("n_shingles") + F.col("smallest")) / F.lit(100 + percent))
-    first = placed.where((F.col("place") <= F.col("n_shingles") - least_shared + 1) & (F.col("df") > 1))
-    return first.groupBy("doc_id", "n_shingles", "component").agg(F.collect_list("hash").alias("rarest"))
+def _apart(groups: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of one pivot's members that are in different components and
+    that nothing below shows to be no link.
+
+    With similarity t, sets of n and m shingles have a link if they differ in at
+    most (1 - t) / (1 + t) * (n + m) shingles.  Let D and E be what they differ
+    in from the pivot; then they differ in |D| + |E| - 2 |D and E|.  With the
+    excess e = (1 + t) |D| - (1 - t) n of each (times 100 here), a link needs
+    (e + f) / 2 / (1 + t) shared differences.
+
+    Pairs that need none have excesses of zero or less together, and so has each
+    of the two with the member of least excess: they meet that one.  Others share
+    a difference; put in one order, rarest first, the first one they share is
+    at places i and j, and no more than 1 + min(|D| - i, |E| - j) are shared."""
+    members = groups.select(F.col("u").alias("pivot"), F.col("v").alias("doc_id"), F.col("nv").alias("n")).unionByName(
+        groups.select(F.col("u").alias("pivot"), F.col("u").alias("doc_id"), F.col("nu").alias("n")).distinct()
+    )
+    placed = members.join(joined, members["doc_id"] == joined["node"], "left").select(
+        "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
+    )
+    mixed = placed.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot")
+    open_ = placed.join(mixed, "pivot")
+    a = sets.select(F.col("doc_id").alias("pivot"), F.col("hashes").alias("a"))
+    b = sets.select("doc_id", F.col("hashes").alias("b"))
+    both = open_.join(a, "pivot").join(b, "doc_id").select("pivot", "doc_id", "n", "component", "a", "b")
+    found = both.mapInArrow(_differences, "pivot long, doc_id long, n long, component long, differing array<long>")
+    size = F.size("differing").cast("long")
+    found = found.withColumns({"size": size, "excess": (100 + percent) * size - (100 - percent) * F.col("n")})
+    found = written(found, "near-differences")
+
+    lowest = found.groupBy("pivot").agg(F.min(F.struct("excess", "doc_id", "component")).alias("low"))
+    to_lowest = found.join(lowest, "pivot").where((F.col("excess") + F.col("low.excess") <= 0) & (F.col("component") != F.col("low.component")))
+    none_shared = to_lowest.select(F.least("doc_id", "low.doc_id").alias("u"), F.greatest("doc_id", "low.doc_id").alias("v"))
+
+    def needed(excess):
+        return F.greatest(F.lit(1), F.ceil(excess / F.lit(2 * (100 + percent))))
+
+    # only members outside the component that holds most of them look for others
+    most = found.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("pivot").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
+    looking = found.join(most, "pivot").withColumn("looks", F.col("component") != F.col("most"))
+    rows = looking.select("pivot", "doc_id", "component", "size", "excess", "looks", F.explode("differing").alias("hash"))
+    counts = rows.groupBy("pivot", "hash").agg(F.count(F.lit(1)).alias("df"), F.min("excess").alias("least"))
+    place = F.row_number().over(Window.partitionBy("pivot", "doc_id").orderBy("df", "hash"))  # one set
+    rows = rows.join(counts, ["pivot", "hash"]).withColumn("place", place)
+    # places from which not even the member of least excess can be reached go
+    reach = SHARED + F.col("size") - F.col("place") >= needed(F.col("excess") + F.col("least"))
+    first = rows.where((F.col("df") > 1) & reach)
+    first = written(first.select("pivot", "hash", "doc_id", "component", "size", "excess", "place", "looks"), "near-first")
+    one, two = (first.select("pivot", "hash", "looks", *(F.col(c).alias(c + x) for c in ("doc_id", "component", "size", "excess", "place"))) for x in "uv")
+    can_share = SHARED + F.least(F.col("sizeu") - F.col("placeu"), F.col("sizev") - F.col("placev"))
+    meets = one.where("looks").drop("looks").join(two.drop("looks"), ["pivot", "hash"]).where(
+        (F.col("componentu") != F.col("componentv")) & (can_share >= needed(F.col("excessu") + F.col("excessv")))
+    )
+    met = meets.groupBy("pivot", "doc_idu", "doc_idv").agg(F.count(F.lit(1)).alias("n"), F.first(needed(F.col("excessu") + F.col("excessv"))).alias("needed"))
+    pairs = met.where(F.col("n") >= F.least(F.col("needed"), F.lit(SHARED))).select(F.least("doc_idu", "doc_idv").alias("u"), F.greatest("doc_idu", "doc_idv").alias("v"))
+    return pairs.unionByName(none_shared).distinct()
 
 
 def _table_keys(firsts: DataFrame) -> DataFrame:

@@ -232,3 +232,71 @@ def test_levels_merge_geometrically(spark):
     finally:
         index.close()
     assert not index.tables
+
+
+def near_group(n, edits, words=220, seed=9):
+    """Copies of one text with ``edits`` words changed each, at places of its own."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{int(x)}" for x in rng.integers(0, 5000, words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for k in rng.choice(words, edits, replace=False):
+            text[k] = f"x{i}y{int(k)}"
+        out.append((i, " ".join(text)))
+    return out
+
+
+def test_confirmed_pairs_grow_with_the_members(spark, monkeypatch):
+    """Copies that differ each in its own way, most of them too much for a link: a
+    member meets a pivot in each of its tables at most, and hardly any other."""
+    seen = []
+    real = near_dedup._links
+
+    def links(pairs, sets, percent):
+        seen[-1].append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "_links", links)
+    for n in (150, 300, 600):
+        docs = spark.createDataFrame(near_group(n, 5), "doc_id long, text string")
+        seen.append([])
+        near_dedup.near_duplicates(docs, 5).count()
+    for n, (to_pivots, others) in zip((150, 300, 600), seen):
+        assert others <= 0.05 * n * (n - 1) / 2 and to_pivots <= near_dedup.HALVES**2 * n
+    assert seen[2][0] < 4 * seen[1][0], seen  # not with the square
+
+
+def test_links_between_members_that_fail_the_pivot(spark):
+    """The smallest member is far from all; the others form chains by small steps,
+    some of which have no difference from it in common."""
+    rng = np.random.default_rng(4)
+    base = near_group(1, 0)[0][1].split()
+    rows = [(0, " ".join("p" + w if i % 11 == 0 else w for i, w in enumerate(base)))]
+    text = list(base)
+    for i in range(1, 60):
+        for k in rng.choice(len(text), 2, replace=False):
+            text[k] = f"c{i}z{int(k)}"
+        rows.append((i, " ".join(text)))
+        if i % 20 == 0:
+            text = list(base)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 5).collect()}
+
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    parent = {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = {k: min(a, b) if p in (a, b) else p for k, p in parent.items()}
+    assert found == parent
+
+
+def test_components_of_odd_edges(spark):
+    schema = "u long, v long, key string"
+    none = spark.createDataFrame([], schema)
+    assert components.components(none).count() == 0
+    edges = [(5, 3, "a"), (3, 5, "b"), (3, 3, "c"), (None, 4, "d"), (9, None, "e"), (8, 7, "f"), (7, 6, "g"), (6, 5, "h")] + [(i, i + 1, "l") for i in range(100, 160)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, schema)).collect()}
+    assert got == {5: 3, 6: 3, 7: 3, 8: 3} | {i: 100 for i in range(101, 161)}
