@@ -21,28 +21,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import TOKEN_BYTES, library_encoder, load, text_ids
-from .util import keyed_texts, schema_with, table, text_slices, written
+from .tokens import TOKEN_BYTES, Source, WordMemory, library_encoder, load, text_ids
+from .util import keyed_texts, process_cache, schema_with, table, text_slices, written
 
 WINDOW = 4096
 CLOSING_ID = 2
 # Windows in one shard: large enough that the few windows left open cost little.
 SHARD_WINDOWS = 1024
 
-PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PLACE = "_place"  # of a piece in its slice of texts: deals out pieces that are equal in all else
+PIECE_SCHEMA = f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long, {PLACE} long"
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, closing: int = CLOSING_ID, keep_ids: bool = True) -> DataFrame:
     """Full windows and remainders of every document, with a checksum of their
     ids and, unless ``keep_ids`` is off, the ids themselves."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load(path))  # of fixed size
+    shared = spark.sparkContext.broadcast(load(path).plain())  # of fixed size
 
     def run(batches):
-        encode = library_encoder(shared.value)
+        source = Source(*shared.value)
+        encode = library_encoder(source)
+        memory = process_cache("word_memory_" + source.name, WordMemory)
         for batch in text_slices(batches, limit=TOKEN_BYTES):
-            ids, sizes = text_ids(batch.column("text"), encode)
-            out = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "ids": []}
+            ids, sizes = text_ids(batch.column("text"), encode, memory)
+            out = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], PLACE: [], "ids": []}
             at = 0
             for doc, n in zip(batch.column("doc_id").to_pylist(), sizes):
                 mine = np.append(ids[at : at + n], closing).astype("<u4")
@@ -54,6 +57,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, closi
                     out["length"].append(len(part))
                     out["ids_crc32"].append(zlib.crc32(part.tobytes()))
                     out["doc_tokens"].append(len(mine))
+                    out[PLACE].append(len(out[PLACE]))
                     out["ids"].append(part.astype(np.int32))
             cols = [pa.array(v, pa.int64()) for k, v in out.items() if k != "ids"]
             names = [k for k in out if k != "ids"]
@@ -123,7 +127,8 @@ def pack(parts: DataFrame, window: int = WINDOW, shard_windows: int = SHARD_WIND
     """``parts`` with ``sequence_id`` (shard in the upper half) and ``offset``."""
     total = parts.agg(F.sum("length")).first()[0] or 0  # one number
     shards = max(1, -(-total // (window * shard_windows)))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(shards)))
+    key = [c for c in ("doc_id", "start", "doc_tokens", "ids_crc32", PLACE) if c in parts.columns]
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards))).drop(PLACE)
     # a missing id would turn the other ids of its shard into floats
     dealt = dealt.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import library_encoder, load, word_ids
+from .tokens import Source, library_encoder, load, word_ids
 from .util import keyed_texts, process_cache, table, text_slices, words_of
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -145,11 +145,12 @@ def count_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
     """For ``docs`` with a column ``edits`` (start, stop, insert; see
     ``attach_edits``): tokens before and after the edits, words encoded again,
     and the edited text."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(load(path).plain())  # of fixed size
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("edits").cast(EDITS).alias("edits"))
 
     def run(batches):
-        counter = process_cache("token_counter_" + shared.value.name, lambda: Counter(library_encoder(shared.value)))
+        source = Source(*shared.value)
+        counter = process_cache("token_counter_" + source.name, lambda: Counter(library_encoder(source)))
         for batch in text_slices(batches):
             out = {"doc_id": batch.column("doc_id").to_pylist(), "n_tokens_before": [], "n_tokens": [], "n_edits": [], "words_encoded": [], "edited": []}
             texts = batch.column("text").to_pylist()

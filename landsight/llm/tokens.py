@@ -17,6 +17,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .util import process_cache, text_slices, words_of
@@ -73,8 +74,10 @@ class Source:
         spec = json.loads(file)
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
 
-    def __reduce__(self):
-        return Source, (self.file, self.pattern.pattern, self.odd)
+    def plain(self) -> tuple[str, str, dict[int, str]]:
+        """What ``Source(*plain)`` is made of again in a worker: a broadcast names
+        classes by their module, which executors need not have."""
+        return self.file, self.pattern.pattern, self.odd
 
     def lower(self, text: str) -> str:
         """Lower case character by character, as the library has it."""
@@ -173,13 +176,39 @@ def word_ids(words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
     return ids, total[ends[1:]] - total[ends[:-1]]
 
 
-def text_ids(texts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+REMEMBERED_WORDS = 150_000
+
+
+class WordMemory:
+    """Ids of the words of earlier slices, ``REMEMBERED_WORDS`` at most (and one
+    slice's): a word is encoded once for several slices and tasks."""
+
+    def __init__(self):
+        self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words -> ids of many words, and each word's start and number."""
+        words = words.cast(pa.large_string())
+        at = pc.index_in(words, self.words)
+        new = words.filter(at.is_null())
+        ids, sizes = word_ids(new.to_pylist(), encode)
+        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        all_ids, all_sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        starts = np.cumsum(all_sizes) - all_sizes
+        if len(all_sizes) <= REMEMBERED_WORDS:
+            self.words, self.ids, self.sizes = pa.concat_arrays([self.words, new]), all_ids, all_sizes
+        else:  # the newest stay
+            self.words, self.ids, self.sizes = new, ids, sizes
+        return all_ids, starts[place], all_sizes[place]
+
+
+def text_ids(texts: pa.Array, encode, memory: WordMemory | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and their number per text."""
     words, rows = words_of(texts)
     coded = words.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    ids, sizes = word_ids(coded.dictionary.to_pylist(), encode)
-    starts = np.cumsum(sizes) - sizes
+    ids, starts, sizes = (memory or WordMemory())(coded.dictionary, encode)
     per_word = sizes[codes]
     out = ids[ragged(starts[codes], per_word)].astype(np.int32)
     return out, np.bincount(rows, weights=per_word, minlength=len(texts)).astype(np.int64)
@@ -223,10 +252,10 @@ def library_encoder(source: Source) -> LibraryEncoder:
 
 def with_ids(docs: DataFrame, make_encoder, source: Source) -> DataFrame:
     """``doc_id`` and ``ids`` of ``docs`` (``doc_id``, ``text`` without nulls)."""
-    shared = docs.sparkSession.sparkContext.broadcast(source)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(source.plain())  # of fixed size
 
     def run(batches):
-        encode = make_encoder(shared.value)
+        encode = make_encoder(Source(*shared.value))
         for batch in text_slices(batches, limit=TOKEN_BYTES):
             ids, sizes = text_ids(batch.column("text"), encode)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

@@ -106,3 +106,31 @@ assert not [q for q in e.queries() if q.startswith("op") or q == "pipeline"] and
 def test_every_operator_is_registered():
     numbers = sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES)
     assert numbers == list(range(1, 11)) and set(registry.ORACLE) <= set(registry.QUERIES)
+
+
+def test_workers_need_no_package(tmp_path):
+    """The operators that broadcast a tokenizer, in a process whose workers cannot
+    import the package: it comes from a folder only the driver's path holds."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.append({str(repo)!r})\n"
+        "from landsight.session import get_session\n"
+        "from landsight.llm.registry import QUERIES\n"
+        "spark = get_session('local[2]', shuffle_partitions=2)\n"
+        "def there(_):\n"
+        "    import importlib.util\n"
+        "    return [importlib.util.find_spec('landsight') is not None]\n"
+        "assert not any(spark.sparkContext.parallelize([0], 1).mapPartitions(there).collect())\n"
+        f"for name in sorted(QUERIES):\n    print(name, QUERIES[name](spark, {SF!r}).count())\n"
+    )
+    env = {k: v for k, v in __import__("os").environ.items() if k not in ("PYTHONPATH",)}
+    path = [p for p in __import__("os").environ.get("PYTHONPATH", "").split(":") if p and Path(p).resolve() != repo]
+    run = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env | {"PYTHONPATH": ":".join(path)}, capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-3000:]
+    assert len(run.stdout.split("\n")) == 14
