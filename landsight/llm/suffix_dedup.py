@@ -43,7 +43,14 @@ BATCHES = 3
 PLACE_BITS = 24  # of a position in the part of a text handled at once
 PART_BYTES = 8 << 20
 KNOWN = -(1 << 63)  # in place of a run's fingerprint: the run repeats one of its slice
-RUN_BITS = 7  # a run has fewer windows than 2 ** RUN_BITS
+
+
+def run_bits(length: int) -> int:
+    """Bits of a run's number of windows.  All of a run's windows hold its
+    sampled string, so there are ``length - SEED_BYTES + 1`` at most."""
+    if length < SEED_BYTES:
+        raise ValueError(f"repeats of fewer than {SEED_BYTES} bytes are not found (length {length})")
+    return (length - SEED_BYTES + 1).bit_length()
 
 
 def _seed_keys(data: np.ndarray) -> np.ndarray:
@@ -110,6 +117,8 @@ def _parts(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _entries(length: int):
+    bits = run_bits(length)
+
     def run(batches):
         for batch in text_slices(batches, limit=ENTRY_BYTES):
             data, offsets = string_bytes(batch.column("text"))
@@ -123,7 +132,7 @@ def _entries(length: int):
                 )
                 tags[tags == np.uint64(1 << 63)] = 0  # the mark below
                 doc = ids.take(pa.array(owner + first_text)).to_numpy(zero_copy_only=False).astype(np.int64)
-                place = (start + shift) << RUN_BITS | count
+                place = (start + shift) << bits | count
                 order = np.lexsort((place, doc, tags, keys))
                 keys, tags, doc, place = (x[order].astype(np.int64) if x.dtype != np.uint64 else x[order].view(np.int64) for x in (keys, tags, doc, place))
                 same = np.zeros(len(keys), bool)
@@ -230,6 +239,7 @@ class SuffixIndex:
 
 def _run_bytes(length: int):
     """The bytes of each text's runs that must be compared."""
+    bits = run_bits(length)
 
     def run(batches):
         for batch in text_slices(batches):
@@ -237,7 +247,7 @@ def _run_bytes(length: int):
             for d, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
                 raw = text.encode()
                 for m in found:
-                    a, n = m["place"] >> RUN_BITS, m["place"] & (1 << RUN_BITS) - 1
+                    a, n = m["place"] >> bits, m["place"] & (1 << bits) - 1
                     key.append(m["key"])
                     doc.append(d)
                     begin.append(a)
@@ -326,7 +336,9 @@ def _compare(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, batches: int = BATCHES) -> DataFrame:
     """``doc_id`` and ``spans``: the byte ranges of each text that also start
-    earlier, as strings of ``length`` bytes (ranges may overlap)."""
+    earlier, as strings of ``length`` bytes (ranges may overlap).  ``length`` is
+    at least ``SEED_BYTES``; a shorter one is an error."""
+    bits = run_bits(length)
     spark = docs.sparkSession
     texts = keyed_texts(docs).where(F.col("doc_id").isNotNull())
     cuts = texts.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []  # a few ids
@@ -343,11 +355,11 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, batches: int = BATC
         index.close()
     again = matches.where("sure").select(
         "doc_id",
-        F.shiftright("place", RUN_BITS).alias("begin"),
-        (F.shiftright("place", RUN_BITS) + F.col("place").bitwiseAND((1 << RUN_BITS) - 1) + (length - 1)).alias("end"),
+        F.shiftright("place", bits).alias("begin"),
+        (F.shiftright("place", bits) + F.col("place").bitwiseAND((1 << bits) - 1) + (length - 1)).alias("end"),
     )
     unsure = matches.where(~F.col("sure")).select("key", "doc_id", "place")
-    run_bytes = F.col("place").bitwiseAND((1 << RUN_BITS) - 1) + (length - 1)
+    run_bytes = F.col("place").bitwiseAND((1 << bits) - 1) + (length - 1)
     hot = unsure.groupBy("key").agg(F.sum(run_bytes).alias("n")).where(F.col("n") > COMPARE_BYTES).select("key", F.lit(True).alias("large"))
     # a key for each COMPARE_BYTES of runs at most; a hot key's runs stay where they are
     marked = unsure.join(F.broadcast(written(hot, "suffix-large-keys")), "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -213,6 +214,19 @@ def test_a_line_before_another_text_in_most_documents(spark, monkeypatch):
     check_cut(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_other_lengths(spark):
+    """Runs of more windows than a byte counts; too short a length is an error."""
+    passage, rng = prose(70, 260), np.random.default_rng(3)
+    rows = [(i, prose(71 + i, 12) + " " + passage[int(a) : int(a) + 120 + 260 * (i % 6)] + " " + prose(90 + i, 12)) for i, a in enumerate(rng.integers(0, 300, 24))]
+    rows += [(50, "ab" * 900), (51, "x" * 1300), (52, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (24, 64, 150, 200, 1000):
+        check_cut(docs, length)
+    for length in (0, 20, 23):
+        with pytest.raises(ValueError, match="24 bytes"):
+            suffix_dedup.remove_repeats(docs, length)
+
+
 def test_cut_on_an_empty_table_and_documents(odd_docs):
     assert suffix_dedup.remove_repeats(odd_docs.where("false")).count() == 0
     cut = suffix_dedup.cut_documents(odd_docs)
