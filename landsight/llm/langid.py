@@ -24,9 +24,9 @@ from .util import mix64, process_cache, schema_with, text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-# The model is fitted on a sample of about this many labelled documents, taken
-# by a hash of the id; all documents are scored.
-TRAIN_DOCS = 8000
+# The model is fitted on a sample of about this many labelled documents of each
+# language, taken by a hash of the id; all documents are scored.
+TRAIN_DOCS = 2000
 UNKNOWN = "und"
 HELD_OUT = 1  # remainder of crc32(id) mod 3 that is never learned from
 # Characters handled at once while scoring: bounds the worker's memory.
@@ -118,18 +118,25 @@ def crc_remainder(id_col: str, mod: int):
 
 
 def fit(docs: DataFrame, may_learn, train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """Fit on about ``train_docs`` labelled documents for which ``may_learn`` holds."""
-    labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = labelled.select("doc_id").count()
+    """Fit on about ``train_docs`` documents of each language, labelled ones for
+    which ``may_learn`` holds.  A language with fewer is learned from all of them,
+    however large the table is; the priors count all labelled documents."""
+    labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    total = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
     share = 1 << 20
-    threshold = share if total <= train_docs else max(1, share * train_docs // total)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < threshold).select(F.col("lang").cast("string").alias("lang"), "text")
+    thresholds = [(k, max(1, share * train_docs // n)) for k, n in sorted(total.items()) if n > train_docs]
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(share))
+    if thresholds:
+        limit = F.create_map(*[F.lit(x) for pair in thresholds for x in pair])
+        sample = labelled.where(part < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(share))).select("lang", "text")
+    else:
+        sample = labelled.select("lang", "text")
     # the scan keeps its own parallelism; the sample is bounded, and one row per
     # language comes back
     parts = sample.repartition(16).mapInArrow(_sum_batches, "lang string, n long, counts binary")
     rows = sorted(parts.groupBy("lang").applyInPandas(_total, "lang string, n long, counts binary").collect(), key=lambda r: r["lang"])
     counts = np.array([np.frombuffer(r["counts"], np.int64) for r in rows], float).reshape(len(rows), BUCKETS) + 0.1
-    docs_of = np.array([r["n"] for r in rows], float)
+    docs_of = np.array([total[r["lang"]] for r in rows], float)
     return LanguageModel(
         [r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), np.log(docs_of / max(docs_of.sum(), 1))
     )
