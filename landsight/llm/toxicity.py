@@ -30,9 +30,9 @@ from .langid import crc_remainder
 from .util import keyed_texts, text_slices, written
 
 HELD_OUT = 2  # remainder of crc32(id) mod 4 that is never learned from
-TRAIN_DOCS = 8000  # about so many labelled documents, taken by a hash of the id
-MAX_TERMS = 5000  # the lexicon's size bound: it is broadcast
-MAX_EXCEPTIONS = 5000
+# About so many labelled documents, taken by a hash of the id.  The lexicon and
+# its exceptions are words of these texts, so their size is bounded too.
+TRAIN_DOCS = 8000
 MIN_DOCS = 3  # toxic documents that must hold a term
 MIN_ODDS = 8.0  # a term is that much likelier in toxic documents
 THRESHOLD = 0.3
@@ -45,7 +45,6 @@ HOMOGLYPHS = {
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 DISGUISED = re.compile(r"(?<![^\W_])[^\W\d_]*+[0134578@$!][^\W_@$!]*+(?:[@$!]++[^\W_]*+)*")  # words with such a sign
-WORD = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_]{2})")
 WORD = re.compile(r"[^\W\d_]+")
 TO_LATIN = {ord(k): v for k, v in HOMOGLYPHS.items()}
 TO_LETTER = {ord(k): v for k, v in SUBSTITUTES.items()}
@@ -159,8 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn, train_docs: int = TRAIN_D
         .where((F.col("d1") >= MIN_DOCS) & (odds >= MIN_ODDS))
         .select("term", F.log(odds).alias("w"), "d1")
         .orderBy(F.desc(F.col("d1") * F.col("w")), "term")
-        .limit(MAX_TERMS)
-        .collect()
+        .collect()  # words that MIN_DOCS texts of the bounded sample share
     )
     lexicon = {r["term"]: r["w"] for r in terms}
     exceptions = _exceptions(sample, lexicon)
@@ -207,8 +205,7 @@ def _exceptions(sample: DataFrame, lexicon: dict[str, float]) -> list[str]:
         .agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0"))
         .where((F.col("d1") == 0) & (F.col("d0") >= MIN_DOCS))
         .orderBy(F.desc("d0"), "phrase")
-        .limit(MAX_EXCEPTIONS)
-        .collect()
+        .collect()  # phrases that MIN_DOCS texts of the bounded sample share
     )
     return [r["phrase"] for r in found]
 
