@@ -110,7 +110,7 @@ def rule_counts(docs: DataFrame, host_col: str = "source") -> DataFrame:
 
 def host_rates(judged: DataFrame) -> DataFrame:
     """One row per host: documents, failures, and the failure rate shrunk by a
-    Beta prior whose mean and strength match the hosts' rates (moments)."""
+    Beta prior fitted to all hosts (see ``beta_prior``)."""
     hosts = written(
         judged.groupBy("host").agg(
             F.count(F.lit(1)).alias("host_docs"),
@@ -118,22 +118,32 @@ def host_rates(judged: DataFrame) -> DataFrame:
         ),
         "quality-hosts",
     )
-    rate = F.col("host_failed") / F.col("host_docs")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # one row
-    alpha, beta = beta_prior(moments["m"], moments["v"])
+    n, f = F.col("host_docs").cast("double"), F.col("host_failed").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ffn")).first()  # one row
+    alpha, beta = beta_prior(*sums)
     return hosts.withColumn(
         "host_rate", (F.col("host_failed") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta))
     )
 
 
-def beta_prior(mean: float | None, var: float | None) -> tuple[float, float]:
-    """Alpha and beta of the Beta distribution with these moments.  Where no
-    spread is measured (one host, equal rates, rates of 0 and 1 only) the
-    strength is one document."""
-    if mean is None:
+def beta_prior(hosts: int, docs: float | None, failed: float | None, docs2: float | None, rates2: float | None) -> tuple[float, float]:
+    """Alpha and beta of the beta-binomial distribution with the hosts' moments,
+    hosts weighted by their documents: ``docs2`` sums the squared documents of the hosts,
+    ``rates2`` the squared failures over documents.
+
+    The spread of the rates that single documents make by chance (the binomial
+    part) is taken off, so a table of many small hosts has the prior of their
+    true rates.  The strength lies between one document (rates of 0 and 1 only, or no spread
+    to measure: one host, equal outcomes) and all documents (no more spread than chance makes).
+    """
+    if not hosts:
         return 0.5, 0.5
-    strength = mean * (1 - mean) / var - 1 if var else 1.0
-    strength = strength if strength > 0 else 1.0
+    mean = failed / docs
+    free = docs - docs2 / docs - (hosts - 1)  # 0 where each host has one document
+    strength = 1.0
+    if 0 < failed < docs and free > 0:
+        spread = (rates2 - failed * mean) / (mean * (1 - mean)) - (hosts - 1)
+        strength = min(max(free / spread - 1, 1.0), docs) if spread > 0 else docs
     return mean * strength, (1 - mean) * strength
 
 
@@ -175,8 +185,9 @@ base AS (
   FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN marked ON w.doc_id = marked.doc_id),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
 hosts AS (SELECT host, count(*) AS n, CAST(sum(CAST(base_failed AS BIGINT)) AS DOUBLE) AS f FROM judged GROUP BY host),
-mom AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
-str AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 1.0 END AS k FROM mom),
+mom AS (SELECT CAST(count(*) AS DOUBLE) AS h, CAST(sum(n) AS DOUBLE) AS d, sum(f) AS f, CAST(sum(n * n) AS DOUBLE) AS nn, sum(f * f / n) AS ffn FROM hosts),
+part AS (SELECT f / d AS m, d, f, d - nn / d - (h - 1) AS free, CASE WHEN f > 0 AND f < d THEN (ffn - f * f / d) / (f / d * (1 - f / d)) - (h - 1) END AS spread FROM mom),
+str AS (SELECT m, CASE WHEN f > 0 AND f < d AND free > 0 THEN CASE WHEN spread > 0 THEN least(greatest(free / spread - 1, 1.0), d) ELSE d END ELSE 1.0 END AS k FROM part),
 rates AS (SELECT host, (f + m * k) / (n + k) AS host_rate FROM hosts, str)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND host_rate <= 0.5 AS kept, round(host_rate, 9) AS host_rate
