@@ -6,6 +6,11 @@ of every subtree.  An edit is found by descending on characters; only the
 touched stretch, widened to the white space around it (the boundary context),
 is encoded again, and the sums on the path to the root are updated.
 
+``build_trees`` counts every document once and returns its text with the
+tree's leaves: a table to be stored.  ``edit_trees`` applies a batch of edits to
+stored trees and returns such a table again, for the next batch: the inner sums
+are added up from the leaves, and no untouched word is split or encoded.
+
 Edits are applied in order; positions are code points of the text as it is by
 then, cut to its length.
 
@@ -21,15 +26,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import Source, library_encoder, load, word_ids
-from .util import keyed_texts, process_cache, table, text_slices, words_of
+from .util import keyed_texts, process_cache, string_bytes, table, text_slices, words_of, written
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS = 64
+LARGE_BLOCK = 64 * BLOCK_WORDS  # characters
 REMEMBERED = 300_000  # words whose count a worker remembers
 
 EDITS = "array<struct<start:long,stop:long,insert:string>>"
@@ -57,30 +64,68 @@ class Counter:
         return np.array(found, np.int64)
 
 
+def leaves_of(texts: pa.Array, counter: Counter) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Code points and tokens of every block of each text.  A block holds
+    ``BLOCK_WORDS`` words and begins with one (the first with the text)."""
+    n = len(texts)
+    flat, rows = words_of(texts)
+    coded = flat.dictionary_encode()
+    tokens = counter.counts(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    data, offsets = string_bytes(texts)
+    solid = ~np.isin(data, np.frombuffer(SPACE.encode(), np.uint8))
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    inside = offsets[:-1][np.diff(offsets) > 0]
+    begins[inside] = solid[inside]  # a text's first byte follows no other
+    starts = np.flatnonzero(begins)  # the words' first bytes, in the order of ``flat``
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before a byte
+    sums = np.concatenate([[0], np.cumsum(tokens)])
+    first = np.searchsorted(rows, np.arange(n + 1))  # a text's first word
+    out = []
+    for i in range(n):
+        cut = np.arange(first[i] + BLOCK_WORDS, first[i + 1], BLOCK_WORDS)
+        at = np.concatenate([[offsets[i]], starts[cut], [offsets[i + 1]]])
+        out.append((np.diff(chars[at]), np.diff(sums[np.concatenate([[first[i]], cut, [first[i + 1]]])])))
+    return out
+
+
 class CountTree:
     """Blocks of text in order, with a segment tree of their sizes and counts.
 
     Block borders lie at white space, so the tokens of a block do not depend on
-    its neighbours.
+    its neighbours.  ``leaves`` are the sizes and counts of its blocks, as
+    stored; without them the text is counted.
     """
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, leaves: tuple | None = None):
         self.counter = counter
         self.encoded_words = 0
-        spans = [m.span() for m in WORDS.finditer(text)]
-        counts = counter.counts([text[a:b] for a, b in spans])
-        cuts = [spans[i][0] for i in range(BLOCK_WORDS, len(spans), BLOCK_WORDS)]
-        self.blocks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        sums = [int(counts[i : i + BLOCK_WORDS].sum()) for i in range(0, max(len(spans), 1), BLOCK_WORDS)]
+        sizes, sums = leaves or leaves_of(pa.array([text]), counter)[0]
+        ends = np.cumsum(sizes).tolist() or [0]
+        self.blocks = [text[a:b] for a, b in zip([0, *ends], ends)]
         self.leaves = 1 << max(0, (len(self.blocks) - 1).bit_length())
         self.chars = [0] * (2 * self.leaves)
         self.tokens = [0] * (2 * self.leaves)
-        for i, (b, s) in enumerate(zip(self.blocks, sums)):
-            self.chars[self.leaves + i], self.tokens[self.leaves + i] = len(b), s
+        for i, (n, s) in enumerate(zip(sizes, sums)):
+            self.chars[self.leaves + i], self.tokens[self.leaves + i] = int(n), int(s)
         for i in range(self.leaves - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    def stored(self) -> tuple[list[int], list[int]]:
+        """The leaves, to be stored: empty blocks go, and a block that edits
+        have made much larger than the others is cut anew."""
+        sizes, sums = [], []
+        for i, block in enumerate(self.blocks):
+            if len(block) > LARGE_BLOCK:
+                n, s = leaves_of(pa.array([block]), self.counter)[0]
+                sizes += n.tolist()
+                sums += s.tolist()
+            elif block:
+                sizes.append(len(block))
+                sums.append(self.tokens[self.leaves + i])
+        return sizes, sums
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -141,22 +186,90 @@ class CountTree:
         return "".join(self.blocks)
 
 
+TREES = "doc_id long, text string, block_chars array<long>, block_tokens array<long>"
+COUNTED = "n_tokens_before long, n_tokens long, n_edits long, words_encoded long"
+
+
+def _lists(parts: list) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)))
+
+
+def _worker_counter(plain: tuple) -> Counter:
+    source = Source(*plain)
+    return process_cache("token_counter_" + source.name, lambda: Counter(library_encoder(source)))
+
+
+def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The tree of every document: ``doc_id``, ``text``, and its leaves
+    ``block_chars`` and ``block_tokens``."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(path).plain())  # of fixed size
+
+    def run(batches):
+        counter = _worker_counter(shared.value)
+        for batch in text_slices(batches):
+            leaves = leaves_of(batch.column("text"), counter)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text"), _lists([n for n, _ in leaves]), _lists([s for _, s in leaves])],
+                names=["doc_id", "text", "block_chars", "block_tokens"],
+            )
+
+    return keyed_texts(docs).mapInArrow(run, TREES)
+
+
+def edit_trees(trees: DataFrame, path: str | None = None) -> DataFrame:
+    """``trees`` (as ``build_trees`` or this function made them, with a column
+    ``edits``; see ``attach_edits``) after their edits, with tokens before and
+    after, the number of edits, and the words that were encoded again."""
+    shared = trees.sparkSession.sparkContext.broadcast(load(path).plain())  # of fixed size
+    ready = trees.select("doc_id", "text", "block_chars", "block_tokens", F.col("edits").cast(EDITS).alias("edits"))
+    names = ["doc_id", "text", "block_chars", "block_tokens", "n_tokens_before", "n_tokens", "n_edits", "words_encoded"]
+
+    def run(batches):
+        counter = _worker_counter(shared.value)
+        for batch in text_slices(batches):
+            out = {k: [] for k in names}
+            out["doc_id"] = batch.column("doc_id").to_pylist()
+            # a list column's values and where each row's begin
+            sizes, sums = batch.column("block_chars"), batch.column("block_tokens")
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(sizes).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            sizes, sums = (c.flatten().to_numpy(zero_copy_only=False) for c in (sizes, sums))
+            for i, (text, edits) in enumerate(zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist())):
+                leaves = sizes[ends[i] : ends[i + 1]], sums[ends[i] : ends[i + 1]]
+                before, encoded = int(leaves[1].sum()), 0
+                total = before
+                if edits:
+                    tree = CountTree(text, counter, leaves)
+                    for e in edits:
+                        tree.edit(e["start"] or 0, e["stop"] or 0, e["insert"] or "")
+                    text, leaves, total, encoded = tree.text(), tree.stored(), tree.total, tree.encoded_words
+                for k, v in zip(names[1:], (text, *leaves, before, total, len(edits or []), encoded)):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(out["doc_id"], pa.int64()), pa.array(out["text"], pa.string()), _lists(out["block_chars"]), _lists(out["block_tokens"]),
+                    *(pa.array(out[k], pa.int64()) for k in names[4:]),
+                ],
+                names=names,
+            )
+
+    return ready.mapInArrow(run, f"{TREES}, {COUNTED}")
+
+
 def count_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
     """For ``docs`` with a column ``edits`` (start, stop, insert; see
     ``attach_edits``): tokens before and after the edits, words encoded again,
-    and the edited text."""
+    and the edited text.  The trees are built and not kept."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path).plain())  # of fixed size
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("edits").cast(EDITS).alias("edits"))
 
     def run(batches):
-        source = Source(*shared.value)
-        counter = process_cache("token_counter_" + source.name, lambda: Counter(library_encoder(source)))
+        counter = _worker_counter(shared.value)
         for batch in text_slices(batches):
             out = {"doc_id": batch.column("doc_id").to_pylist(), "n_tokens_before": [], "n_tokens": [], "n_edits": [], "words_encoded": [], "edited": []}
-            texts = batch.column("text").to_pylist()
-            counter.learn(words_of(batch.column("text"))[0].unique().to_pylist())  # all new words of the slice in one call
-            for text, edits in zip(texts, batch.column("edits").to_pylist()):
-                tree = CountTree(text, counter)
+            leaves = leaves_of(batch.column("text"), counter)
+            for text, edits, mine in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), leaves):
+                tree = CountTree(text, counter, mine)
                 out["n_tokens_before"].append(tree.total)
                 for e in edits or []:
                     tree.edit(e["start"] or 0, e["stop"] or 0, e["insert"] or "")
@@ -169,16 +282,18 @@ def count_edits(docs: DataFrame, path: str | None = None) -> DataFrame:
                 pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in ("n_tokens_before", "n_tokens", "n_edits", "words_encoded")), ("edited", pa.string())]),
             )
 
-    return ready.mapInArrow(run, "doc_id long, n_tokens_before long, n_tokens long, n_edits long, words_encoded long, edited string")
+    return ready.mapInArrow(run, f"doc_id long, {COUNTED}, edited string")
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with each document's edits (``doc_id``, ``seq``, ``start``,
-    ``stop``, ``insert``) in order of ``seq`` as the column ``edits``."""
+    """``docs`` (or trees) with each document's edits (``doc_id``, ``seq``,
+    ``start``, ``stop``, ``insert``) in order of ``seq`` as the column ``edits``."""
     ordered = F.sort_array(F.collect_list(F.struct("seq", "start", "stop", "insert")))
     by_doc = edits.groupBy("doc_id").agg(ordered.alias("_edits"))  # one document's edits
     listed = F.transform("_edits", lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["insert"].alias("insert")))
-    return keyed_texts(docs).join(by_doc, "doc_id", "left").select("doc_id", "text", listed.alias("edits"))
+    leaves = ["block_chars", "block_tokens"] if {"block_chars", "block_tokens"} <= set(docs.columns) else []
+    texts = docs.select("doc_id", "text", *leaves) if leaves else keyed_texts(docs)
+    return texts.join(by_doc, "doc_id", "left").select("doc_id", "text", *leaves, listed.alias("edits"))
 
 
 def revision(docs: DataFrame) -> DataFrame:
@@ -198,9 +313,11 @@ def revision(docs: DataFrame) -> DataFrame:
         edit(place + 7, place + 7, F.lit(" ")),
         edit(size, size, F.concat(F.lit("revised "), F.col("doc_id").cast("string"))),
     )
-    return docs.select("doc_id", "text", edits.alias("edits"))
+    return docs.withColumn("edits", edits)
 
 
 def op4_token_counts(spark, sf_dir):
-    counted = count_edits(revision(table(spark, sf_dir, "documents")))
-    return counted.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "words_encoded", F.sha2("edited", 256).alias("edited_sha256"))
+    # every document is counted once; the revision starts from the stored trees
+    trees = written(build_trees(table(spark, sf_dir, "documents")), "token-trees")
+    counted = edit_trees(revision(trees))
+    return counted.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "words_encoded", F.sha2("text", 256).alias("edited_sha256"))

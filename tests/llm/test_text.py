@@ -43,6 +43,10 @@ def brute_rules(text):
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(marked)
 
 
+def host_moments(hosts):
+    return len(hosts), sum(n for n, _ in hosts), sum(f for _, f in hosts), sum(n * n for n, _ in hosts), sum(f * f / n for n, f in hosts)
+
+
 def test_rules_and_hosts(spark, odd_docs):
     for docs in (odd_docs, spark.read.parquet(f"{SF}/documents.parquet")):
         want = collections.Counter()
@@ -52,8 +56,7 @@ def test_rules_and_hosts(spark, odd_docs):
             failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
             hosts[r.source or ""].append(failed)
             want[(r.doc_id, *counts, failed, r.source or "")] += 1
-        rates = [sum(f) / len(f) for f in hosts.values()]
-        alpha, beta = quality.beta_prior(np.mean(rates), np.var(rates))
+        alpha, beta = quality.beta_prior(*host_moments([(len(f), sum(f)) for f in hosts.values()]))
         shrunk = {h: (sum(f) + alpha) / (len(f) + alpha + beta) for h, f in hosts.items()}
         got = quality.judge_hosts(docs).collect()
         names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host")
@@ -74,9 +77,21 @@ def test_a_bad_host_takes_its_good_documents_down_only_with_evidence(spark):
 
 
 def test_beta_prior():
-    assert quality.beta_prior(None, None) == (0.5, 0.5)
-    assert sum(quality.beta_prior(0.2, 0.0)) == 1.0
-    assert quality.beta_prior(0.5, 0.05) == pytest.approx((2.0, 2.0))
+    assert quality.beta_prior(0, None, None, None, None) == (0.5, 0.5)
+    for hosts in ([(10, 2)], [(1, 0), (1, 1)], [(4, 0), (9, 0)], [(50, 50), (50, 0)]):  # nothing measured, or 0 and 1 only
+        assert sum(quality.beta_prior(*host_moments(hosts))) == 1.0
+    assert quality.beta_prior(*host_moments([(10, 2)] * 5)) == pytest.approx((10.0, 40.0))  # no spread at all
+
+
+def test_beta_prior_of_many_small_hosts():
+    """The rates of hosts with few documents spread by chance; the prior is that
+    of their true rates, whatever the number of documents."""
+    rng = np.random.default_rng(8)
+    for low, high in ((1, 4), (5, 40), (1, 400)):
+        n = rng.integers(low, high, 40_000)
+        f = rng.binomial(n, rng.beta(6, 14, len(n)))
+        alpha, beta = quality.beta_prior(*host_moments(list(zip(n.tolist(), f.tolist()))))
+        assert alpha == pytest.approx(6, rel=0.25) and beta == pytest.approx(14, rel=0.25)
 
 
 # ---- tokens ----------------------------------------------------------------------------
@@ -196,6 +211,65 @@ def test_edited_counts_of_a_table(spark, odd_docs, library):
     assert all(r.n_tokens == count(r.edited) and r.n_edits == 4 for r in revised)
 
 
+def test_leaves_of_texts_laid_end_to_end():
+    import pyarrow as pa
+
+    counter = token_counts.Counter(tokens.LibraryEncoder(tokens.load()))
+    some = ["", " é ", "ab", "cd", prose(1, 64), prose(2, 65) + "\n", "  " + prose(3, 200), "中文 " * 300, " ", "a\x1cb \u2003 c"]
+    for text, (chars, sums) in zip(some, token_counts.leaves_of(pa.array(some), counter)):
+        spans = [m.span() for m in token_counts.WORDS.finditer(text)]
+        cuts = [0, *(a for a, _ in spans[64::64]), len(text)]
+        assert chars.tolist() == [b - a for a, b in zip(cuts, cuts[1:])]
+        words = [text[a:b] for a, b in spans]
+        assert sums.tolist() == [int(counter.counts(words[k : k + 64]).sum()) for k in range(0, max(len(words), 1), 64)]
+
+
+def test_later_edits_start_from_stored_trees(spark, odd_docs, library, monkeypatch):
+    """Three rounds, each from the table the last one left: counts as of a full
+    encoding, and only the touched words reach the encoder."""
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    trees = token_counts.build_trees(odd_docs)
+    plain = {i: t for i, t in texts(odd_docs)}
+    assert {(r.doc_id, r.text, sum(r.block_tokens), sum(r.block_chars)) for r in trees.collect()} == {(i, t, count(t), len(t)) for i, t in plain.items()}
+    rounds = [
+        [(4, 2, 0, 0, "second "), (4, 1, 5, 60, None), (6, 1, 100, 100, "x"), (1, 1, 0, 9, "born"), (77, 1, 0, 0, "no such document")],
+        [(6, 1, 5000, 5000, " " + prose(77, 3000) + " "), (1, 1, 4, 4, " again"), (5, 1, 0, 10**9, "")],
+        [(6, 1, 9000, 9004, "ed it"), (5, 1, 0, 0, "back"), (4, 1, 10**6, 0, " end"), (9, 1, 2, 3, "ﬁΣ")],
+    ]
+    for k, some in enumerate(rounds):
+        edits = spark.createDataFrame(some, "doc_id long, seq int, start long, stop long, insert string")
+        before = plain
+        plain = dict(plain)
+        for i, _, a, b, new in sorted(some, key=lambda e: e[:2]):
+            if i in plain:
+                t = plain[i]
+                a, b = min(a, len(t)), min(max(a, b), len(t))
+                plain[i] = t[:a] + (new or "") + t[b:]
+        path = f"{token_counts.written.__globals__['fresh_path'](spark, 'test-trees')}"
+        token_counts.edit_trees(token_counts.attach_edits(trees, edits)).write.parquet(path)
+        trees = spark.read.parquet(path)
+        for r in trees.collect():
+            assert r.text == plain[r.doc_id] and (r.n_tokens_before, r.n_tokens) == (count(before[r.doc_id]), count(r.text)), (k, r.doc_id)
+            assert sum(r.block_tokens) == r.n_tokens and sum(r.block_chars) == len(r.text) and max(r.block_chars, default=0) <= token_counts.LARGE_BLOCK
+            touched = sum(len((new or "").split()) + 2 for i, _, _, _, new in some if i == r.doc_id)
+            assert r.words_encoded <= touched
+    assert token_counts.edit_trees(token_counts.revision(trees.where("false"))).count() == 0
+
+
+def test_a_stored_tree_is_not_counted_again():
+    """Of 5,000 words in the store, the encoder sees the edited ones only."""
+    import pyarrow as pa
+
+    encoder = tokens.LibraryEncoder(tokens.load())
+    text = prose(4, 5000)
+    leaves = token_counts.leaves_of(pa.array([text]), token_counts.Counter(encoder))[0]
+    fresh = token_counts.Counter(encoder)
+    tree = token_counts.CountTree(text, fresh, leaves)
+    tree.edit(9000, 9000, "new words here")
+    tree.stored()
+    assert len(fresh.known) <= 6
+
+
 # ---- archives --------------------------------------------------------------------------
 
 
@@ -272,6 +346,47 @@ def test_language_of_held_out_documents(spark, odd_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_beside_a_common_one(spark):
+    """The sample is bounded for each language: one with few documents keeps all."""
+    rows = [(i, prose(i, 12), "en") for i in range(3000)] + [(5000 + i, " ".join(w[::-1] for w in prose(i, 12).split()), "xx") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), train_docs=50)
+    assert model.langs == ["en", "xx"] and np.exp(model.priors) == pytest.approx([3000 / 3004, 4 / 3004])
+    hit = langid.predict(docs, model).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert hit > 0.99
+
+
+def test_naive_bayes_equals_a_plain_one(spark):
+    """Counts, log-probabilities and posteriors by loops over the n-grams."""
+    import math
+
+    rows = [(i, (prose(i, 9) if i % 3 else prose(i, 9)[::-1]) + " É1!", "en" if i % 3 else "xx") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+
+    def grams(text):
+        chars = re.sub(r"[\W\d_]+", " ", text.lower())
+        for n in langid.ORDERS:
+            for k in range(len(chars) - n + 1):
+                if n > 1 or chars[k] != " ":
+                    code = 0
+                    for c in chars[k : k + n]:
+                        code = (code * 0x110001 + (0 if c == " " else ord(c)) + 1) % 2**64
+                    yield int(langid.mix64(np.array([code + (n << 56)], np.uint64) if code + (n << 56) < 2**64 else np.array([(code + (n << 56)) % 2**64], np.uint64))[0]) % langid.BUCKETS
+
+    counts = {k: collections.Counter() for k in ("en", "xx")}
+    for _, t, k in rows:
+        counts[k].update(grams(t))
+    size = {k: sum(c.values()) + 0.1 * langid.BUCKETS for k, c in counts.items()}
+    priors = {"en": 20 / 30, "xx": 10 / 30}
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, t, _ in rows:
+        logs = {k: math.log(priors[k]) + sum(math.log((counts[k][g] + 0.1) / size[k]) for g in grams(t)) for k in counts}
+        best = max(sorted(logs), key=logs.get)
+        assert got[i].lang_pred == best
+        assert got[i].score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+
+
 def test_language_counts_equal_a_plain_count():
     text = ["Ab, c!", "", "12", "ßé"]
     buckets, rows, has = langid.ngram_buckets(text)
