@@ -7,11 +7,15 @@ assemble log rows (K2) -- and return one result per request.
 
 The models are injected: ``client_factory()`` returns an object with
 ``describe(image_path, config) -> str`` and ``assess(prompt, config) -> str``
-(the raw reply).  It is called once per task, so each Python worker builds one
-client; requests are deduplicated by key first, and ``model_parallelism``
-sets how many clients run at once.  A failing call becomes an error text on
-its row (that key is not logged and is retried on the next run) instead of
-failing the job.
+(the raw reply), either of which may be a coroutine function.  A client that
+also has ``batch_describe(image_paths, config)`` or ``batch_assess(prompts,
+config)``, which return a list of texts (or an exception in a text's place), is
+given lists.  A ``CallPolicy`` bounds the calls of a task: calls at once (a client
+each; one by default), values in a batch, time-out, attempts and pauses.
+Requests are deduplicated by key first, and ``model_parallelism`` sets how many
+tasks call at once.  A call that keeps failing becomes an error text on its row
+(that key is not logged and is retried on the next run) instead of failing
+the job.
 
 The model output is materialised once with ``DataFrame.checkpoint()`` into the
 session's shared checkpoint folder: the result frame and the log append both
@@ -21,6 +25,7 @@ batch back to the models.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,6 +39,7 @@ from ..functions.text import assessment_prompt
 from ..functions.tiles import tile_file_name, tile_xyz
 from ..functions.verdict import parse_verdict
 from ..operators.cache import KEY, first_for_keys
+from ..operators.calls import CallPolicy, Calls
 from ..session import checkpoint_dir, default_parallelism
 
 ClientFactory = Callable[[], object]
@@ -44,50 +50,74 @@ def _with_text_column(df: DataFrame, name: str) -> T.StructType:
     return T.StructType(fields + [T.StructField(name, T.StringType()), T.StructField(name + "_error", T.StringType())])
 
 
-def _map_model(df: DataFrame, in_col: str, out_col: str, call: Callable, client_factory: ClientFactory) -> DataFrame:
+def _map_model(df: DataFrame, in_col: str, out_col: str, method: str, config: ModelConfig, client_factory: ClientFactory, policy: CallPolicy) -> DataFrame:
+    """``out_col`` and its error: the answer of the client's ``method``, or of its
+    ``batch_`` form, to each value of ``in_col``."""
     schema = _with_text_column(df, out_col)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = None
-        for pdf in batches:
-            if client is None:
-                client = client_factory()
-            outs, errs = [], []
-            for value in pdf[in_col]:
-                if value is None or (isinstance(value, float) and value != value):
-                    # no input (an earlier step failed): no call, no new error
-                    outs.append(None)
-                    errs.append(None)
-                    continue
-                try:
-                    outs.append(call(client, value))
-                    errs.append(None)
-                except Exception as e:  # noqa: BLE001 -- one bad call must not fail the job
-                    outs.append(None)
-                    errs.append(f"{type(e).__name__}: {e}")
-            pdf = pdf.assign(**{out_col: outs, out_col + "_error": errs})
-            yield pdf[names]
+        calls = None
+        try:
+            for pdf in batches:
+                # without input (an earlier step failed) there is no call and no new error
+                given = [i for i, v in enumerate(pdf[in_col]) if not (v is None or (isinstance(v, float) and v != v))]
+                outs, errs = [None] * len(pdf), [None] * len(pdf)
+
+                def done(place, answer, error):
+                    outs[given[place]] = answer
+                    errs[given[place]] = None if error is None else f"{type(error).__name__}: {error}"
+
+                if given:
+                    calls = calls or _model_calls(method, config, client_factory, policy)
+                    calls.run(pdf[in_col].iloc[given], done)
+                pdf = pdf.assign(**{out_col: outs, out_col + "_error": errs})
+                yield pdf[names]
+        finally:
+            if calls is not None:
+                calls.__exit__()
 
     return df.mapInPandas(run, schema)
 
 
+def _model_calls(method: str, config: ModelConfig, client_factory: ClientFactory, policy: CallPolicy) -> Calls:
+    first = client_factory()
+    batched = hasattr(first, "batch_" + method)
+    name = "batch_" + method if batched else method
+    ready = [first]  # the one that was looked at is used first
+
+    def make():
+        return ready.pop() if ready else client_factory()
+
+    if inspect.iscoroutinefunction(getattr(first, name)):
+
+        async def call(client, value):
+            return await getattr(client, name)(value, config)
+    else:
+
+        def call(client, value):
+            return getattr(client, name)(value, config)
+
+    return Calls(make, call, policy, batched)
+
+
 def describe_images(
     df: DataFrame, client_factory: ClientFactory, config: ModelConfig = DEFAULT_MODEL_CONFIG,
-    path_col: str = "image_path",
+    path_col: str = "image_path", policy: CallPolicy = CallPolicy(),
 ) -> DataFrame:
     """M1: ``image_description`` (stripped) for each row's image."""
-    out = _map_model(df, path_col, "image_description", lambda c, p: c.describe(p, config), client_factory)
+    out = _map_model(df, path_col, "image_description", "describe", config, client_factory, policy)
     return out.withColumn("image_description", strip_text("image_description"))
 
 
 def assess_descriptions(
     df: DataFrame, client_factory: ClientFactory, config: ModelConfig = DEFAULT_MODEL_CONFIG,
+    policy: CallPolicy = CallPolicy(),
 ) -> DataFrame:
     """M2 + F18 + F22: prompt built natively, raw reply from the text model,
     verdict parsed natively into ``danger`` and ``justification``."""
     prompted = df.withColumn("__prompt", assessment_prompt(config.text_prompt, F.col("image_description")))
-    replied = _map_model(prompted, "__prompt", "raw_reply", lambda c, p: c.assess(p, config), client_factory)
+    replied = _map_model(prompted, "__prompt", "raw_reply", "assess", config, client_factory, policy)
     v = parse_verdict("raw_reply")
     return replied.drop("__prompt").withColumns({"danger": v["danger"], "justification": v["justification"]})
 
@@ -117,9 +147,10 @@ def analyse_keys(
     image_root: str,
     config: ModelConfig = DEFAULT_MODEL_CONFIG,
     model_parallelism: int | None = None,
+    policy: CallPolicy = CallPolicy(),
 ) -> DataFrame:
     """Tile, describe and assess every distinct key (each model called at
-    most once per key)."""
+    most once per key, further attempts apart)."""
     work = keys.withColumn("tile_file", tile_file_name(tile_xyz("latitude", "longitude", "zoom")))
     work = work.withColumn("image_path", F.concat(F.lit(image_root.rstrip("/") + "/"), F.col("tile_file")))
     # Each row is an expensive external call but only a few bytes, so AQE would
@@ -133,7 +164,7 @@ def analyse_keys(
     work = work.repartition(n)
     # One linear pass: a row whose description failed has no prompt, so the
     # text model skips it -- each model is called at most once per key.
-    return assess_descriptions(describe_images(work, client_factory, config), client_factory, config)
+    return assess_descriptions(describe_images(work, client_factory, config, policy=policy), client_factory, config, policy)
 
 
 def whole_key(df: DataFrame):
@@ -146,7 +177,7 @@ def whole_key(df: DataFrame):
     return ok
 
 
-def fetch_tiles(keys: DataFrame, image_root: str, fetch) -> DataFrame:
+def fetch_tiles(keys: DataFrame, image_root: str, fetch, policy: CallPolicy = CallPolicy()) -> DataFrame:
     """S9 for the workflow: fetch the tiles of ``keys`` that are not landed yet;
     returns the ``tile_file`` names that are there afterwards."""
     from ..operators.cache import tile_work_list
@@ -155,7 +186,7 @@ def fetch_tiles(keys: DataFrame, image_root: str, fetch) -> DataFrame:
 
     spark = keys.sparkSession
     landed = read_tile_inventory(spark, image_root).select("file_name")
-    results = run_fetch(tile_fetch_plan(tile_work_list(keys, landed), image_root), fetch).checkpoint(eager=True)
+    results = run_fetch(tile_fetch_plan(tile_work_list(keys, landed), image_root), fetch, policy=policy).checkpoint(eager=True)
     new = results.where(F.col("error").isNull()).select(F.regexp_extract("target_path", r"[^/]+$", 0).alias("file_name"))
     return landed.unionByName(new).select(F.col("file_name").alias("tile_file")).distinct()
 
@@ -170,6 +201,7 @@ def process_requests(
     model_parallelism: int | None = None,
     fetch=None,
     first: DataFrame | None = None,
+    policy: CallPolicy = CallPolicy(),
 ):
     """Returns ``(results, new_log_rows)``.
 
@@ -192,9 +224,9 @@ def process_requests(
     # the lookup is written once: hits, misses and results derive from it
     looked = materialize(keys.join(first.withColumn("hit", F.lit(True)), KEY, "left"), "lookup")
     checkpoint_dir(requests.sparkSession)
-    tiles = fetch_tiles(looked, image_root, fetch) if fetch is not None else None
+    tiles = fetch_tiles(looked, image_root, fetch, policy) if fetch is not None else None
     misses = looked.where("hit IS NULL").select(*KEY)
-    analysed = analyse_keys(misses, client_factory, image_root, config, model_parallelism).checkpoint(eager=True)
+    analysed = analyse_keys(misses, client_factory, image_root, config, model_parallelism, policy).checkpoint(eager=True)
     good = analysed.where(F.col("danger").isNotNull() & F.col("raw_reply_error").isNull())
     new_rows = log_rows(good, config, clock)
 
@@ -227,7 +259,7 @@ def process_requests(
 
 def run_requests(requests: DataFrame, log_path: str, client_factory: ClientFactory, image_root: str,
                  config: ModelConfig = DEFAULT_MODEL_CONFIG, model_parallelism: int | None = None,
-                 fetch=None, first_results: str | None = None) -> DataFrame:
+                 fetch=None, first_results: str | None = None, policy: CallPolicy = CallPolicy()) -> DataFrame:
     """W1 + K1: process a batch against the stored log and append the new rows.
 
     With ``first_results``, the path of a key table over the log, only the
@@ -243,7 +275,7 @@ def run_requests(requests: DataFrame, log_path: str, client_factory: ClientFacto
     else:
         first = read_first_results(spark, first_results, requests)
     results, new_rows = process_requests(
-        requests, log, client_factory, image_root, config, model_parallelism=model_parallelism, fetch=fetch, first=first
+        requests, log, client_factory, image_root, config, model_parallelism=model_parallelism, fetch=fetch, first=first, policy=policy
     )
     if first_results is not None:
         new_rows = new_rows.withColumn("id", F.unix_micros("timestamp")).checkpoint(eager=True)
@@ -273,3 +305,31 @@ class StubModelClient:
         if int(size) % 2 == 0:
             return '```json\n{"danger": "Y", "justification": "eroded banks near ' + name + '"}\n```'
         return "no visible change near " + name
+
+
+class BatchStubModelClient(StubModelClient):
+    """The stub with batch calls, as a busy server answers them: of a batch's
+    values, every third finds the server busy at its first attempt."""
+
+    def __init__(self):
+        self.refused = set()
+
+    def _each(self, values, config: ModelConfig, one) -> list:
+        out = []
+        for k, value in enumerate(values):
+            if k % 3 == 0 and len(values) > 1 and value not in self.refused:
+                self.refused.add(value)
+                out.append(ConnectionError("busy"))
+                continue
+            self.refused.discard(value)
+            try:
+                out.append(one(value, config))
+            except Exception as e:  # noqa: BLE001 -- an answer of its own
+                out.append(e)
+        return out
+
+    def batch_describe(self, image_paths: list[str], config: ModelConfig) -> list:
+        return self._each(image_paths, config, self.describe)
+
+    def batch_assess(self, prompts: list[str], config: ModelConfig) -> list:
+        return self._each(prompts, config, self.assess)

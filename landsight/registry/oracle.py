@@ -709,6 +709,7 @@ FROM s
 
 # The streaming workflow gives the batch workflow's answers.
 ORACLE["w1_request_stream"] = ORACLE["w1_process_requests"]
+ORACLE["w1_batched_requests"] = ORACLE["w1_process_requests"]
 
 # The streaming report holds every day, late rows included.
 ORACLE["a9_daily_risk_stream"] = ORACLE["a9_daily_risk_kpis"]

@@ -466,6 +466,20 @@ def q_process_requests(spark, sf_dir):
     return results.drop("image_path")
 
 
+@register("w1_batched_requests")
+def q_batched_requests(spark, sf_dir):
+    """The same answers by batch calls, several at once, to models
+    that are busy for a third of each batch at first."""
+    from ..operators.calls import CallPolicy
+    from ..plans.workflow import BatchStubModelClient, process_requests
+
+    results, _ = process_requests(
+        T.request(spark, sf_dir), T.analysis_log(spark, sf_dir), BatchStubModelClient, _tile_folder(spark), fetch=_echo_fetch,
+        policy=CallPolicy(concurrency=2, batch_size=8, pause=0.01),
+    )
+    return results.drop("image_path")
+
+
 def _tile_folder(spark) -> str:
     from ..sources.store import table_path
 

@@ -6,7 +6,9 @@ are fetched by an injected ``fetch(url) -> bytes`` inside ``mapInPandas`` (one
 call per row, spread over ``parallelism`` tasks), written to a temporary name
 and renamed into place (K4), so a retried task never leaves a half file.  Each
 row reports its byte count or its error; ``fetch_all`` fails when any error
-remains, after all rows were tried.
+remains, after all rows were tried.  A ``CallPolicy`` gives a call its time-out,
+further attempts at what may pass, and the calls at once in a task; a file is
+written only by the attempt that answered in time.
 
 ``target_path`` is a path or a URI (``file:``, ``s3://``, ``gs://``, ``hdfs://``:
 what pyarrow's file systems reach) on storage that every executor shares; a
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import BOUNDARY_FILE, BOUNDARY_URL, DATASETS, INDICATOR_URL_FORMAT
+from ..operators.calls import CallPolicy, Calls
 
 FetchFn = Callable[[str], bytes]
 
@@ -109,7 +112,7 @@ def _write_atomically(path: str, data: bytes) -> None:
 
 
 def run_fetch(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
-              skip_landed: DataFrame | None = None) -> DataFrame:
+              skip_landed: DataFrame | None = None, policy: CallPolicy = CallPolicy()) -> DataFrame:
     """Fetch every plan row (minus ``skip_landed`` target paths); returns the
     plan with ``bytes`` written and ``error`` (NULL on success)."""
     if skip_landed is not None:
@@ -128,18 +131,21 @@ def run_fetch(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
     names = [f.name for f in RESULT_SCHEMA.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes, errors = [], []
-            for url, target in zip(pdf["url"], pdf["target_path"]):
-                try:
-                    data = fetch(url)
-                    _write_atomically(target, data)
-                    sizes.append(len(data))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 -- reported per row
-                    sizes.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(bytes=pd.array(sizes, dtype="Int64"), error=errors)[names]
+        with Calls(lambda: None, lambda _, url: fetch(url), policy) as calls:
+            for pdf in batches:
+                sizes, errors, targets = [None] * len(pdf), [None] * len(pdf), list(pdf["target_path"])
+
+                def landed(place, data, error):
+                    try:
+                        if error is not None:
+                            raise error
+                        _write_atomically(targets[place], data)
+                        sizes[place] = len(data)
+                    except Exception as e:  # noqa: BLE001 -- reported per row
+                        errors[place] = f"{type(e).__name__}: {e}"
+
+                calls.run(pdf["url"], landed)
+                yield pdf.assign(bytes=pd.array(sizes, dtype="Int64"), error=errors)[names]
 
     return plan.mapInPandas(run, RESULT_SCHEMA)
 
@@ -153,14 +159,14 @@ class FetchError(RuntimeError):
 
 
 def fetch_all(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
-              skip_landed: DataFrame | None = None) -> DataFrame:
+              skip_landed: DataFrame | None = None, policy: CallPolicy = CallPolicy()) -> DataFrame:
     """Run the plan once; if any fetch failed, raise ``FetchError`` that names
     some of the failed URLs and holds the whole result table.  The results are
     checkpointed into the shared folder, so nothing is fetched twice."""
     from ..session import checkpoint_dir
 
     checkpoint_dir(plan.sparkSession)
-    results = run_fetch(plan, fetch, parallelism, skip_landed).checkpoint(eager=True)
+    results = run_fetch(plan, fetch, parallelism, skip_landed, policy).checkpoint(eager=True)
     failed = results.where(F.col("error").isNotNull()).limit(10).collect()
     if failed:
         raise FetchError("fetch failed: " + "; ".join(f"{r.url}: {r.error}" for r in failed), results)
