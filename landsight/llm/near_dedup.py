@@ -217,27 +217,32 @@ def _apart(groups: DataFrame, joined: DataFrame, sets: DataFrame, percent: int)
         "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
     )
     mixed = placed.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot")
-    open_ = placed.join(mixed, "pivot")
-    a = sets.select(F.col("doc_id").alias("pivot"), F.col("hashes").alias("a"))
+    # the pivots' sets hold only open ones: the members meet them once
+    a = sets.select(F.col("doc_id").alias("pivot"), F.col("hashes").alias("a")).join(mixed, "pivot")
     b = sets.select("doc_id", F.col("hashes").alias("b"))
-    both = open_.join(a, "pivot").join(b, "doc_id").select("pivot", "doc_id", "n", "component", "a", "b")
+    both = placed.join(a, "pivot").join(b, "doc_id").select("pivot", "doc_id", "n", "component", "a", "b")
     found = both.mapInArrow(_differences, "pivot long, doc_id long, n long, component long, differing array<long>")
     size = F.size("differing").cast("long")
     found = found.withColumns({"size": size, "excess": (100 + percent) * size - (100 - percent) * F.col("n")})
     found = written(found, "near-differences")
 
-    lowest = found.groupBy("pivot").agg(F.min(F.struct("excess", "doc_id", "component")).alias("low"))
-    to_lowest = found.join(lowest, "pivot").where((F.col("excess") + F.col("low.excess") <= 0) & (F.col("component") != F.col("low.component")))
+    # of each pivot: the member of least excess, and the component that holds most members
+    held = found.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("excess", "doc_id")).alias("low"))
+    of_pivot = held.groupBy("pivot").agg(
+        F.max_by("component", F.struct("n", "component")).alias("most"), F.min(F.struct("low.excess", "low.doc_id", "component")).alias("low")
+    )
+    of_pivot = written(of_pivot, "near-pivots")
+    to_lowest = found.join(of_pivot, "pivot").where((F.col("excess") + F.col("low.excess") <= 0) & (F.col("component") != F.col("low.component")))
     none_shared = to_lowest.select(F.least("doc_id", "low.doc_id").alias("u"), F.greatest("doc_id", "low.doc_id").alias("v"))
 
     def needed(excess):
         return F.greatest(F.lit(1), F.ceil(excess / F.lit(2 * (100 + percent))))
 
     # only members outside the component that holds most of them look for others
-    most = found.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("pivot").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
-    looking = found.join(most, "pivot").withColumn("looks", F.col("component") != F.col("most"))
+    looking = found.join(of_pivot.select("pivot", "most"), "pivot").withColumn("looks", F.col("component") != F.col("most"))
     rows = looking.select("pivot", "doc_id", "component", "size", "excess", "looks", F.explode("differing").alias("hash"))
-    counts = rows.groupBy("pivot", "hash").agg(F.count(F.lit(1)).alias("df"), F.min("excess").alias("least"))
+    differing = found.select("pivot", "excess", F.explode("differing").alias("hash"))
+    counts = differing.groupBy("pivot", "hash").agg(F.count(F.lit(1)).alias("df"), F.min("excess").alias("least"))
     place = F.row_number().over(Window.partitionBy("pivot", "doc_id").orderBy("df", "hash"))  # one set
     rows = rows.join(counts, ["pivot", "hash"]).withColumn("place", place)
     # places from which not even the member of least excess can be reached go
