@@ -3,15 +3,17 @@
 A file is read in byte ranges (Spark's own splits), as lines.  Whether a line
 starts inside a quoted field depends on all quotes before it, so:
 
-1. every range is read once and reduced to where it ends -- outside or inside a
-   quoted field -- for either way it can start;
-2. those steps are chained over the ranges of a file (a window over one row a
-   range), which tells how each range really starts;
-3. records are cut out of every range; what a range holds of a record that
-   began earlier, or does not end in it, is put together by file and place.
-
-Files without a record of several lines are told apart in the first step, so
-Spark's own CSV scan can read them.
+1. the lines of every range are stored as chunks of text, each with where it
+   ends -- outside or inside a quoted field -- for either way it can start.
+   How Spark splits a file depends on the other files of a scan and on the
+   cores there are, so nothing is carried from one scan to another by ranges;
+2. those steps are chained over the chunks of a file (a window over one row a
+   chunk), which tells how each chunk really starts;
+3. records are cut out of every chunk, once; what a chunk holds of a record
+   that began earlier, or does not end in it, is put together by file and place.
+
+Files without a record of several lines are told apart before, so Spark's own
+CSV scan can read them.
 
 A quote opens a field only at its start, ``""`` inside is one quote, and what
 follows a closing quote up to the separator is text -- as in pandas and Python's
@@ -24,18 +26,24 @@ field is an error.
 from __future__ import annotations
 
 import csv
+import io
 import re
 import sys
+from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
+from itertools import chain
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.broadcast import maybe_broadcast
+from ..session import checkpoint_dir
 
 
 def path_of(uri: str) -> str:
@@ -44,46 +52,26 @@ def path_of(uri: str) -> str:
 
 
 FLUSH_CHARACTERS = 4 << 20  # of records parsed at once
+CHUNK_BYTES = 1 << 20  # of lines in one row, unless a line is longer
+MARK = "\x01"  # a line after the last: a record of its own unless a field is open
+
+
+def _ends(text: str, sep: str, inside: bool) -> tuple[bool, bool]:
+    """Whether lines that start inside (or outside) a quoted field end inside
+    one, and whether a record of theirs has several lines."""
+    if '"' not in text:
+        return inside, inside
+    csv.field_size_limit(sys.maxsize)
+    lines = io.StringIO(('"' if inside else "") + text + "\n", newline="")
+    reader = csv.reader(chain(lines, [MARK]), delimiter=sep)
+    count, last = deque(enumerate(reader, 1), maxlen=1)[0]
+    return last != [MARK], count < reader.line_num
 
 
 def line_steps(sep: str):
     """``step(line, inside)``: whether a line that starts inside (or outside) a
     quoted field ends inside one."""
-    s = re.escape(sep)
-    closed = rf'[^"]*(?:""[^"]*)*"(?!")[^{s}]*(?:{s}|$)'
-    rest = re.compile(closed)
-    field = re.compile(rf'(?:"{closed}|(?!")[^{s}]*(?:{s}|$))')
-
-    def step(line: str, inside: bool) -> bool:
-        if '"' not in line:
-            return inside
-        at = 0
-        if inside:
-            found = rest.match(line)
-            if not found:
-                return True
-            at = found.end()
-        while at < len(line):
-            found = field.match(line, at)
-            if not found:
-                return True
-            at = found.end()
-        return False
-
-    return step
-
-
-def _pieces(line: str) -> Iterator[tuple[str, str]]:
-    """A line (which ended with a line feed) at its carriage returns too."""
-    if "\r" not in line:
-        yield line, "\n"
-        return
-    *parts, last = line.split("\r")
-    for part in parts[:-1]:
-        yield part, "\r"
-    yield parts[-1], "\r" if last else "\r\n"
-    if last:
-        yield last, "\n"
+    return lambda line, inside: _ends(line, sep, inside)[0]
 
 
 def _spans(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, int, pa.Array]]:
@@ -97,10 +85,13 @@ def _spans(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, int, pa.Ar
         yield files.dictionary[codes[lo]].as_py(), int(starts[lo]), batch.column(column).slice(lo, hi - lo)
 
 
+def _text(lines: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py()
+
+
 def _ranges(sep: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines -> per range: its ends for both starts, and whether a line inside
     it ends within a record."""
-    step = line_steps(sep)
     names = ["file", "start", "from_outside", "from_inside", "torn"]
     place, ends, torn = None, [False, True], False
 
@@ -113,10 +104,12 @@ def _ranges(sep: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 if place is not None:
                     yield row()
                 place, ends, torn = (file, start), [False, True], False
-            for line in lines.drop_null().to_pylist():
-                for piece, _ in _pieces(line):
-                    ends = [step(piece, e) for e in ends]
-                    torn = torn or ends[0]
+            lines = lines.drop_null()
+            if len(lines):
+                text = _text(lines)
+                steps = [_ends(text, sep, inside) for inside in (False, True)]
+                torn = torn or steps[ends[0]][1]
+                ends = [steps[e][0] for e in ends]
     if place is not None:
         yield row()
 
@@ -136,19 +129,25 @@ def range_starts(spark: SparkSession, files: Sequence[str], sep: str = ",") -> D
     # only lines with quotes travel to Python
     quoted = lines.select("file", "start", F.when(F.contains("line", F.lit('"')), F.col("line")).alias("quoted"))
     ranges = quoted.mapInArrow(partial(_ranges, sep), "file string, start long, from_outside boolean, from_inside boolean, torn boolean")
+    ranges = _started(ranges, "start")
+    ends = F.when(F.col("inside"), F.col("from_inside")).otherwise(F.col("from_outside"))
+    return ranges.select("file", "start", "inside", ends.alias("ends_inside"), (F.col("torn") | F.col("inside")).alias("torn"))
+
+
+def _started(ranges: DataFrame, *order: str) -> DataFrame:
+    """The ranges of files (or chunks, in their ``order``) with whether they
+    start ``inside`` a quoted field."""
     # a range that ends the same way however it starts fixes what follows; one
     # that turns outside into inside and back is a change of parity
     turns = F.col("from_outside") & ~F.col("from_inside")
-    by_file = Window.partitionBy("file").orderBy("start")
+    by_file = Window.partitionBy("file").orderBy(*order)
     so_far, before = by_file.rowsBetween(Window.unboundedPreceding, 0), by_file.rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("turns", F.sum(turns.cast("int")).over(so_far))
     fixed = F.when(F.col("from_outside") == F.col("from_inside"), F.struct(F.col("from_outside").cast("int").alias("state"), "turns"))
     last = F.last(fixed, ignorenulls=True).over(before)
     turned = F.coalesce(F.max("turns").over(before), F.lit(0)) - F.coalesce(last["turns"], F.lit(0))
     inside = (F.coalesce(last["state"], F.lit(0)) + turned) % 2 == 1
-    ranges = ranges.select("file", "start", inside.alias("inside"), "from_outside", "from_inside", "torn")
-    ends = F.when(F.col("inside"), F.col("from_inside")).otherwise(F.col("from_outside"))
-    return ranges.select("file", "start", "inside", ends.alias("ends_inside"), (F.col("torn") | F.col("inside")).alias("torn"))
+    return ranges.withColumn("inside", inside).drop("turns")
 
 
 def torn_ranges(spark: SparkSession, files: Sequence[str], sep: str = ",") -> dict[str, list[int]]:
@@ -168,33 +167,42 @@ def torn_ranges(spark: SparkSession, files: Sequence[str], sep: str = ",") -> di
     return {r["file"]: r["inside"] for r in found}
 
 
-def _cut(step, inside: dict[str, list[int]], batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """Lines -> (file, start of the range, part, text): ``whole`` records, the
-    ``head`` of a range that belongs to an earlier record, and the ``tail`` that
-    a later range ends."""
-    place, state, part, held = None, False, "whole", []
-
-    def ended():
-        if held:
-            yield (*place, "head" if part == "head" else "tail", "".join(held))
-
+def _chunks(sep: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines -> chunks of a range: their text and their ends for both starts."""
+    names = ["file", "start", "chunk", "text", "from_outside", "from_inside"]
+    place, number = None, 0
     for batch in batches:
         for file, start, lines in _spans(batch, "line"):
             if (file, start) != place:
-                yield from ended()
-                place, held = (file, start), []
-                state = start in inside.get(file, ())
-                part = "head" if state else "whole"
-            for line in lines.to_pylist():
-                for piece, end in _pieces(line):
-                    state = step(piece, state)
-                    held.append(piece)
-                    if state:
-                        held.append(end)
-                        continue
-                    yield (*place, part, "".join(held))
-                    held, part = [], "whole"
-    yield from ended()
+                place, number = (file, start), 0
+            sizes = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(sizes // CHUNK_BYTES)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(lines)]):
+                text = _text(lines.slice(lo, hi - lo))
+                row = (file, start, number, text + "\n", *(_ends(text, sep, inside)[0] for inside in (False, True)))
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=names)
+                number += 1
+
+
+def _cut(text: str, sep: str, inside: bool, ends_inside: bool) -> tuple[str | None, list[list], str | None]:
+    """A chunk -> the end of a record that began earlier, the fields of its whole
+    records, and the start of one that goes on."""
+    lines = list(io.StringIO(text, newline=""))
+    head = tail = None
+    if inside:
+        reader = csv.reader(chain(['"' + lines[0]], lines[1:]), delimiter=sep)
+        next(reader)
+        head, lines = "".join(lines[: reader.line_num]), lines[reader.line_num :]
+    reader = csv.reader(lines, delimiter=sep, quoting=csv.QUOTE_NOTNULL)
+    records, begin = [], 0
+    for fields in reader:
+        end = reader.line_num
+        if ends_inside and end == len(lines):
+            tail = "".join(lines[begin:])
+        elif len(fields) > 1 or "".join(lines[begin:end]).strip(" \t\r\n"):
+            records.append(fields)
+        begin = end
+    return head, records, tail
 
 
 def _is_header(fields: list, names: Sequence[str]) -> bool:
@@ -202,90 +210,86 @@ def _is_header(fields: list, names: Sequence[str]) -> bool:
     return len(fields) == len(names) and all(n in (f, f"{f or ''}{i}", f"_c{i}" if not f else f) for i, (f, n) in enumerate(zip(fields, names)))
 
 
-def _parsed(names: Sequence[str], sep: str, records: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-    """(file, record, may be a header) -> text columns."""
+def _check_header(file: str, fields: list, names: Sequence[str]) -> None:
+    if not _is_header(fields, names):
+        raise ValueError(f"{unquote(file)} has the columns {[f or '' for f in fields]}, not {list(names)}")
+
+
+def _columns(records: list[list], width: int) -> list[pa.Array]:
+    full = [r if len(r) == width else (r + [None] * width)[:width] for r in records]
+    return [pa.array(c, pa.string()) for c in (zip(*full) if full else [[]] * width)]
+
+
+def _cut_chunks(names, sep, schema, batches):
+    """Chunks -> whole records as text columns, and parts of others as text."""
     csv.field_size_limit(sys.maxsize)
     width = len(names)
 
-    def batch(files, texts):
-        rows = csv.reader(texts, delimiter=sep, quoting=csv.QUOTE_NOTNULL)
-        full = [(r + [None] * width)[:width] for r in rows]
-        columns = list(zip(*full)) if full else [[]] * width
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(files, pa.string())], names=[f"c{i}" for i in range(width)] + ["file"])
-
-    files, texts, size = [], [], 0
-    for file, text, first in records:
-        if first:
-            fields = next(csv.reader([text.removeprefix("﻿")], delimiter=sep))
-            if not _is_header(fields, names):
-                raise ValueError(f"{unquote(file)} has the columns {fields}, not {list(names)}")
-            continue
-        files.append(file)
-        texts.append(text)
-        size += len(text)
-        if size >= FLUSH_CHARACTERS:
-            yield batch(files, texts)
-            files, texts, size = [], [], 0
-    if texts:
-        yield batch(files, texts)
-
-
-def _whole_records(names, sep, inside, batches):
-    def whole():
-        seen = None  # the file whose header has been read
-        for file, start, part, text in _cut(line_steps(sep), inside, batches):
-            if part == "whole" and text.strip(" \t"):
-                first = start == 0 and file != seen
-                if start == 0:
-                    seen = file
-                yield file, text, first
-
-    yield from _parsed(names, sep, whole())
-
-
-def _torn_parts(sep, inside, batches):
-    found: list[tuple] = []
-    columns = ["file", "start", "part", "text"]
-
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=columns)
-
-    for row in _cut(line_steps(sep), inside, batches):
-        if row[2] != "whole":
-            found.append(row)
-            if len(found) >= 1000:
-                yield batch()
-                found = []
-    if found:
-        yield batch()
+    def rows(n, columns, file, start, chunk, parts):
+        last = [pa.array(c, t) for c, t in zip(zip(*parts), (pa.string(), pa.bool_(), pa.string()))] if parts else [pa.nulls(n, t) for t in (pa.string(), pa.bool_(), pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, pa.repeat(file, n), pa.repeat(pa.scalar(start, pa.int64()), n), pa.repeat(pa.scalar(chunk, pa.int64()), n), *last], names=schema)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            text, first = row["text"], row["start"] == 0 and row["chunk"] == 0
+            place = row["file"], row["start"], row["chunk"]
+            head, records, tail = _cut(text.removeprefix("\ufeff") if first else text, sep, row["inside"], row["ends_inside"])
+            if first and records:
+                _check_header(row["file"], records.pop(0), names)
+                first = False
+            if records:
+                yield rows(len(records), _columns(records, width), *place, None)
+            parts = [(p, first, t) for p, t in (("head", head), ("tail", tail)) if t is not None]
+            if parts:
+                yield rows(len(parts), [pa.nulls(len(parts), pa.string())] * width, *place, parts)
 
 
 def _joined_records(names, sep, batches):
-    def joined():
-        for b in batches:
-            for file, text in zip(b.column("file").to_pylist(), b.column("text").to_pylist()):
-                yield file, text, False
-
-    yield from _parsed(names, sep, joined())
-
-
-def read_csv_records(spark: SparkSession, inside: dict[str, list[int]], names: Sequence[str], sep: str = ",") -> DataFrame:
-    """All text columns ``names`` and ``__file`` of the files of ``torn_ranges``,
-    read in the same byte ranges.  Each file has a header line."""
-    lines = _lines(spark, [path_of(f) for f in inside])
-    schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(names))), T.StructField("file", T.StringType())])
-    begun = {f: starts for f, starts in inside.items() if starts}
-    out = lines.mapInArrow(partial(_whole_records, names, sep, {f: set(s) for f, s in begun.items()}), schema)
-    if begun:
-        # only files with a record over a border of ranges have parts to join
-        some = _lines(spark, [path_of(f) for f in begun])
-        parts = some.mapInArrow(partial(_torn_parts, sep, {f: set(s) for f, s in begun.items()}), "file string, start long, part string, text string")
-        in_file = Window.partitionBy("file").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, 0)
-        owned = parts.withColumn("owner", F.last(F.when(F.col("part") == "tail", F.col("start")), ignorenulls=True).over(in_file))
-        pieces = F.transform(F.array_sort(F.collect_list(F.struct("start", F.col("part") == "head", "text"))), lambda p: p["text"])
-        # the pieces of one record
-        whole = owned.groupBy("file", "owner").agg(F.array_join(pieces, "").alias("text"))
-        out = out.unionByName(whole.select("file", "text").mapInArrow(partial(_joined_records, names, sep), schema))
+    """The texts of records, one each -> text columns."""
+    csv.field_size_limit(sys.maxsize)
+
+    def batch(files, records):
+        return pa.RecordBatch.from_arrays([*_columns(records, len(names)), pa.array(files, pa.string())], names=[f"c{i}" for i in range(len(names))] + ["file"])
+
+    files, records, size = [], [], 0
+    for b in batches:
+        for row in b.to_pylist():
+            (fields,) = csv.reader([row["text"]], delimiter=sep, quoting=csv.QUOTE_NOTNULL)
+            if row["first"]:
+                _check_header(row["file"], fields, names)
+                continue
+            files.append(row["file"])
+            records.append(fields)
+            size += len(row["text"])
+            if size >= FLUSH_CHARACTERS:
+                yield batch(files, records)
+                files, records, size = [], [], 0
+    if records:
+        yield batch(files, records)
+
+
+def read_csv_records(spark: SparkSession, files: Iterable[str], names: Sequence[str], sep: str = ",") -> DataFrame:
+    """All text columns ``names`` and ``__file`` of the files of ``torn_ranges``.
+    Each file has a header line.  The records are cut once and stored."""
+    checkpoint_dir(spark)
+    lines = _lines(spark, [path_of(f) for f in files])
+    chunks = lines.mapInArrow(partial(_chunks, sep), "file string, start long, chunk long, text string, from_outside boolean, from_inside boolean").checkpoint()
+    ends = F.when(F.col("inside"), F.col("from_inside")).otherwise(F.col("from_outside"))
+    place = ["file", "start", "chunk"]
+    # one short row a chunk
+    starts = _started(chunks.drop("text"), "start", "chunk").select(*place, "inside", ends.alias("ends_inside")).checkpoint()
+    started = chunks.select(*place, "text").join(maybe_broadcast(starts), place)
+    columns = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("file", T.StringType())]
+    schema = T.StructType(columns + [T.StructField("start", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("part", T.StringType()), T.StructField("first", T.BooleanType()), T.StructField("text", T.StringType())])
+    found = started.mapInArrow(partial(_cut_chunks, list(names), sep, schema.fieldNames()), schema).checkpoint()
+    out = found.where("part IS NULL").select(*[c.name for c in columns])
+    in_file = Window.partitionBy("file").orderBy("start", "chunk", "part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = found.where("part IS NOT NULL").select(*place, "part", "first", "text")
+    owned = parts.withColumn("owner", F.last(F.when(F.col("part") == "tail", F.struct("start", "chunk")), ignorenulls=True).over(in_file))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("start", "chunk", "text"))), lambda p: p["text"])
+    # the pieces of one record
+    whole = owned.groupBy("file", "owner").agg(F.array_join(pieces, "").alias("text"), F.max(F.col("first") & (F.col("part") == "tail")).alias("first"))
+    out = out.unionByName(whole.select("file", "text", "first").mapInArrow(partial(_joined_records, list(names), sep), T.StructType(columns)))
     return out.toDF(*names, "__file")
 
 

@@ -112,3 +112,30 @@ def test_a_large_log_with_long_texts_is_read_by_many_tasks(spark, tmp_path):
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, src.collect()))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_of_a_scan_are_split_by_all_of_them(spark, tmp_path):
+    """A record over a border in one file only: the ranges of a scan of that file
+    are not those of the scan of all."""
+    rows = [[f"a{i}", f'say "{i}" ' + "x" * 200 + "\nend"] for i in range(120)]
+    for name, records in (("one", rows), ("two", [["b", "x\ny"]] + [["c", "z" * 60]] * 900)):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            csv.writer(f).writerows([["Entity", "Note"], *records])
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        files = [str(tmp_path / f"{n}.csv") for n in ("one", "two")]
+        torn = torn_ranges(spark, files)
+        assert sorted(map(bool, torn.values())) == [False, True]
+        got = [tuple(r)[:-1] for r in read_csv_records(spark, torn, ["Entity", "Note"]).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert sorted(got) == sorted(map(tuple, rows + [["b", "x\ny"]] + [["c", "z" * 60]] * 900))
+
+
+def test_a_header_over_two_chunks(spark, tmp_path):
+    names = ["Entity", "Note\nof a\nrow"]
+    with open(tmp_path / "x.csv", "w", newline="") as f:
+        csv.writer(f).writerows([names, ["a", "b\nc"], ["d", "e"]])
+    _, got, _ = whole(spark, str(tmp_path / "x.csv"), names, 12)
+    assert sorted(got) == [("a", "b\nc"), ("d", "e")]
