@@ -79,6 +79,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+# Tasks of calls (models, fetches) for each task slot: a task then holds a small
+# share of a long list, and a lost one costs little.
+CALL_TASKS_PER_SLOT = 4
+
+
+def call_tasks(spark: SparkSession) -> int:
+    """Over how many tasks calls are spread; as many run at once as there are slots."""
+    slots = default_parallelism(spark) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return CALL_TASKS_PER_SLOT * slots
+
+
 def default_parallelism(spark: SparkSession) -> int | None:
     try:
         return spark.sparkContext.defaultParallelism

@@ -102,9 +102,13 @@ def file_system(path: str):
 def _write_atomically(path: str, data: bytes) -> None:
     system, where = file_system(path)
     folder, _, name = where.rpartition("/")
-    system.create_dir(folder, recursive=True)
     hidden = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(hidden) as out:
+    try:
+        out = system.open_output_stream(hidden)
+    except FileNotFoundError:
+        system.create_dir(folder, recursive=True)
+        out = system.open_output_stream(hidden)
+    with out:
         out.write(data)
     system.move(hidden, where)
     if system.get_file_info(where).size != len(data):
@@ -121,13 +125,9 @@ def run_fetch(plan: DataFrame, fetch: FetchFn, parallelism: int | None = None,
     plan = plan.select(*[f.name for f in PLAN_SCHEMA.fields])
     # one row = one download but a few bytes: AQE would pack a work list into
     # very few tasks, so it is spread round-robin over a set number of tasks
-    # (default: the session's parallelism)
-    from ..session import default_parallelism
+    from ..session import call_tasks
 
-    n = parallelism or default_parallelism(plan.sparkSession) or int(
-        plan.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    )
-    plan = plan.repartition(n)
+    plan = plan.repartition(parallelism or call_tasks(plan.sparkSession))
     names = [f.name for f in RESULT_SCHEMA.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
