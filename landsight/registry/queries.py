@@ -594,6 +594,13 @@ def q_default_selection(spark, sf_dir):
 # ---- sources and sinks, round trips through the shared folder ------------------------------
 
 
+def _stored_observation(spark, sf_dir) -> DataFrame:
+    """The observations, joined once for the files of every dataset."""
+    from ..sources.store import materialize
+
+    return materialize(T.observation(spark, sf_dir), "observation", ["dataset"])
+
+
 @register("s4_csv_scan")
 def q_csv_scan(spark, sf_dir):
     """The observations written as CSV -- one folder per dataset,
@@ -602,7 +609,7 @@ def q_csv_scan(spark, sf_dir):
     from ..sources.store import table_path
 
     path = table_path(spark.range(0), "observation-csv")
-    obs = T.observation(spark, sf_dir)
+    obs = _stored_observation(spark, sf_dir)
     # "abc" would make the value column text; it goes into the note here
     number = F.when(F.col("value") != "abc", F.col("value"))
     for dataset, name in CSV_VALUE_COLUMNS.items():
@@ -622,7 +629,7 @@ def q_csv_records(spark, sf_dir):
     from ..sources.store import table_path
 
     path = table_path(spark.range(0), "observation-records")
-    obs = T.observation(spark, sf_dir).where(F.col("value").isNull() | (F.col("value") != "abc"))
+    obs = _stored_observation(spark, sf_dir).where(F.col("value").isNull() | (F.col("value") != "abc"))
     entity = F.when(F.col("Code").isNull() | (F.col("Code") == "US"), F.concat("Entity", F.lit('\n"'), "dataset", F.lit('",\n\nend'))).otherwise(F.col("Entity"))
     note = F.concat(F.lit('"'), "Entity", F.lit('"\r\n'), F.coalesce("value", F.lit("-")))
     for dataset, name in CSV_VALUE_COLUMNS.items():

@@ -104,12 +104,10 @@ def _ranges(sep: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 if place is not None:
                     yield row()
                 place, ends, torn = (file, start), [False, True], False
-            lines = lines.drop_null()
-            if len(lines):
-                text = _text(lines)
-                steps = [_ends(text, sep, inside) for inside in (False, True)]
-                torn = torn or steps[ends[0]][1]
-                ends = [steps[e][0] for e in ends]
+            text = _text(lines)
+            steps = [_ends(text, sep, inside) for inside in (False, True)]
+            torn = torn or steps[ends[0]][1]
+            ends = [steps[e][0] for e in ends]
     if place is not None:
         yield row()
 
@@ -122,12 +120,12 @@ def _lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
 
 
 def range_starts(spark: SparkSession, files: Sequence[str], sep: str = ",") -> DataFrame:
-    """One row a byte range: ``file``, ``start``, whether it starts ``inside`` a
+    """One row a byte range that holds a quote: ``file``, ``start``, whether it starts ``inside`` a
     quoted field, whether it ``ends_inside``, and whether it is ``torn`` (a
     record has several lines)."""
     lines = _lines(spark, files)
-    # only lines with quotes travel to Python
-    quoted = lines.select("file", "start", F.when(F.contains("line", F.lit('"')), F.col("line")).alias("quoted"))
+    # a line without quotes ends as it starts, so only the others travel to Python
+    quoted = lines.where(F.contains("line", F.lit('"'))).withColumnRenamed("line", "quoted")
     ranges = quoted.mapInArrow(partial(_ranges, sep), "file string, start long, from_outside boolean, from_inside boolean, torn boolean")
     ranges = _started(ranges, "start")
     ends = F.when(F.col("inside"), F.col("from_inside")).otherwise(F.col("from_outside"))
@@ -152,7 +150,7 @@ def _started(ranges: DataFrame, *order: str) -> DataFrame:
 
 def torn_ranges(spark: SparkSession, files: Sequence[str], sep: str = ",") -> dict[str, list[int]]:
     """Files with a record of several lines -> the starts of their ranges that
-    begin inside a quoted field.  At most one number a range reaches the driver,
+    begin inside a quoted field and hold a quote.  At most one number a range reaches the driver,
     which has listed those ranges before."""
     ranges = range_starts(spark, files, sep)
     by_file = ranges.groupBy("file").agg(

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,7 +89,10 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 def _dataset_of(uri: str) -> str:
     """The dataset a file belongs to: its ``dataset=...`` folder, else its name
     without ``.csv``."""
-    path = unquote(uri)
+    return _dataset_of_path(unquote(uri))
+
+
+def _dataset_of_path(path: str) -> str:
     folder = re.search(r"(?:^|/)dataset=([^/]*)/", path)
     return folder[1] if folder else re.sub(r"\.csv$", "", path.rsplit("/", 1)[-1])
 
@@ -124,8 +128,12 @@ def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str |
         cols = list(header)
         if metric is not None and metric not in cols:
             raise ValueError(f"no column {metric!r} in {files[0]}")
-        raw = read_text_columns(spark, files, cols).withColumn("__dataset", dataset_of_path(F.col("__file"))).drop("__file")
-        raw = null_na_tokens(raw, cols)
+        # read by dataset, so that no row's path is taken apart
+        by_dataset: dict[str, list[str]] = {}
+        for f in files:
+            by_dataset.setdefault(_dataset_of_path(f), []).append(f)
+        read = [read_text_columns(spark, fs, cols).drop("__file").withColumn("__dataset", F.lit(d)) for d, fs in by_dataset.items()]
+        raw = null_na_tokens(reduce(DataFrame.unionByName, read), cols)
         if metric is not None:
             parts.append(to_long(raw, metric, dataset_col="__dataset"))
             continue
@@ -146,15 +154,6 @@ def read_indicator_csvs(spark: SparkSession, paths: Sequence[str], metric: str |
     return out
 
 
-def dataset_of_path(path) -> F.Column:
-    """``_dataset_of`` as a column expression over a file URI."""
-    # a plus sign is itself in a path, not a space
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    folder = F.regexp_extract(plain, r"(?:^|/)dataset=([^/]*)/", 1)
-    name = F.regexp_replace(F.element_at(F.split(plain, "/"), -1), r"\.csv$", "")
-    return F.when(folder != "", folder).otherwise(name)
-
-
 # The texts pandas' CSV reader takes as booleans.
 TRUTH_TEXTS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 
