@@ -97,12 +97,12 @@ def _look_up(key, batches, state):
     before, first = held is not None, held[1:] if held and held[0] else None
     requests = []
     for rows in batches:
-        for r in rows.itertuples(index=False):
-            if r.request_ids is not None:
-                requests.append(r.request_ids)
+        for ids, micros, id, *payload in zip(*(rows[c].tolist() for c in ("request_ids", "micros", "id", *PAYLOAD))):
+            if ids is not None:
+                requests.append(ids)
                 continue
-            micros = None if pd.isna(r.micros) else int(r.micros)
-            entry = (micros is None, micros, None if pd.isna(r.id) else int(r.id), *(_none(getattr(r, c)) for c in PAYLOAD))
+            micros = None if pd.isna(micros) else int(micros)
+            entry = (micros is None, micros, None if pd.isna(id) else int(id), *map(_none, payload))
             # the earliest, no timestamp last, then the least id
             if first is None or (entry[0], entry[1] or 0, entry[2] or 0) < (first[0], first[1] or 0, first[2] or 0):
                 first = entry
