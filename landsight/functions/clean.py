@@ -55,8 +55,10 @@ def is_valid_code(code) -> Column:
 
 
 # The number grammar pandas accepts -- optional sign, digits with an
-# optional decimal point, optional exponent, or inf / infinity / nan (any case).
-NUMBER_PATTERN = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
+# optional decimal point, optional exponent, or inf / infinity / nan (any case),
+# with white space around it.
+_SPACE = "[" + "".join(f"\\u{c:04x}" for c in WHITESPACE_CODE_POINTS) + "]*+"
+NUMBER_PATTERN = rf"(?i)\A{_SPACE}([+-]?(?:(?:\d++\.?+\d*+|\.\d++)(?:e[+-]?\d++)?+|infinity|inf|nan)){_SPACE}\z"
 
 
 def to_number(c) -> Column:
@@ -66,13 +68,13 @@ def to_number(c) -> Column:
     separators and the Java-only forms Spark's cast would take (``5d``, ``1.5f``,
     hex floats).  NaN is missing, as in pandas (``nanvl``).
 
-    The input is referenced only twice: the optimizer inlines this expression
+    The input is referenced once: the optimizer inlines this expression
     wherever a derived column is used (filters pushed below projections
-    included), so every extra reference multiplies the per-row cost.
+    included), so every extra reference multiplies the per-row cost and the
+    size of the generated code.
     """
-    text = strip_text(c)
-    parsed = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    return F.nanvl(parsed, F.lit(None).cast("double"))
+    number = F.regexp_extract(_col(c).cast("string"), NUMBER_PATTERN, 1)  # empty, so NULL, if it is none
+    return F.nanvl(number.try_cast("double"), F.lit(None).cast("double"))
 
 
 def integral_year(year_number) -> Column:

@@ -113,21 +113,20 @@ def top_bottom(
 
     Ties keep the alphabetically first countries (the series index is sorted by
     country).  ``side`` is ``top`` or ``bottom``; ``rank`` 1 is the most extreme;
-    a row on both sides (a small group) appears once per side.  Each side is a
-    ``row_number() <= k`` window, which Spark runs as a per-task group limit
-    before the shuffle, so no group -- however large -- is gathered in one
-    task; the series itself is computed once and read by both sides.
+    a row on both sides (a small group) appears once per side.  Every row of the
+    series is taken once for each side and ranked there: one ``row_number() <= k``
+    window, which Spark runs as a per-task group limit before the shuffle, so no
+    group -- however large -- is gathered in one task.  The series has one
+    reader, so what it is derived from is scanned once.
     """
     by = list(by)
-    v, c = F.col(value_col), F.col(country_col)
-    s = series.where(v.isNotNull())
-
-    def side(name: str, order) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(order, c.asc())
-        ranked = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        return ranked.select(*series.columns, F.lit(name).alias("side"), "rank")
-
-    return side("top", v.desc()).unionByName(side("bottom", v.asc()))
+    v, top = F.col(value_col), F.col("__side") == "top"
+    s = series.where(v.isNotNull()).withColumn("__side", F.explode(F.array(F.lit("top"), F.lit("bottom"))))
+    # one of the two values is NULL in all rows of a side
+    order = [F.when(top, v).desc(), F.when(~top, v).asc(), F.col(country_col).asc()]
+    w = Window.partitionBy(*by, "__side").orderBy(*order)
+    ranked = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(*series.columns, F.col("__side").alias("side"), "rank")
 
 
 def bar_labels(ranked: DataFrame, value_col: str = "value") -> DataFrame:

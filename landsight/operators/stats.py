@@ -98,11 +98,14 @@ def country_means(
     value_col: str = "value",
 ) -> DataFrame:
     """Mean value per country within each group; NULL countries and values
-    are dropped first (``dropna`` then ``groupby().mean()``)."""
+    are dropped first (``dropna`` then ``groupby().mean()``).  The aggregates skip
+    NULL values, and groups of nothing else go after them: a filter on the value
+    would be moved to the scan and derive it a second time there."""
     return (
-        rows.where(F.col(country_col).isNotNull() & F.col(value_col).isNotNull())
+        rows.where(F.col(country_col).isNotNull())
         .groupBy(*group_cols, country_col)
         .agg(F.avg(value_col).alias("mean_value"), F.count(value_col).alias("n_values"))
+        .where("n_values > 0")
     )
 
 

@@ -103,6 +103,21 @@ def test_top_bottom_ties_and_order(spark):
     assert bot == ["a", "b", "c"]
 
 
+def test_top_bottom_of_values_that_are_no_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("d", "a", nan), ("d", "b", inf), ("d", "c", -inf), ("d", "e", 1.0), ("d", "f", None), (None, "g", 2.0), ("d", None, 1.0)]
+    out = insights.top_bottom(spark.createDataFrame(rows, "dataset string, ADMIN string, value double"), ["dataset"], k=2)
+    assert out.columns == ["dataset", "ADMIN", "value", "side", "rank"]
+    got = sorted((r.dataset or "", r.side, r["rank"], r.ADMIN) for r in out.collect())
+    assert got == [("", "bottom", 1, "g"), ("", "top", 1, "g"), ("d", "bottom", 1, "c"), ("d", "bottom", 2, None), ("d", "top", 1, "a"), ("d", "top", 2, "b")]
+
+
+def test_top_bottom_scans_the_observations_once(spark):
+    """Both sides are ranked from one series, and a value is parsed in one place."""
+    plan = Q.q_top_bottom(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "l_extendedprice" in line for line in plan.splitlines()) == 1
+
+
 def test_insight_series_falls_back_to_means(spark):
     rows = spark.createDataFrame(
         [("d1", "m", "A", 2019.0, 1.0), ("d1", "m", "A", 2020.0, 4.0), ("d1", "m", "B", 2020.0, 7.0),
