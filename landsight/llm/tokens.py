@@ -176,15 +176,17 @@ def word_ids(words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
     return ids, total[ends[1:]] - total[ends[:-1]]
 
 
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 400_000  # about 20 MB
 
 
 class WordMemory:
-    """Ids of the words of earlier slices, ``REMEMBERED_WORDS`` at most (and one
-    slice's): a word is encoded once for several slices and tasks."""
+    """Ids of the words of earlier slices, ``REMEMBERED_WORDS`` at most: a word
+    is encoded once for several slices and tasks.  When it is full, a quarter is
+    left free again; the words that were met last stay."""
 
     def __init__(self):
         self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met, self.calls = np.zeros(0, np.int64), 0
 
     def __call__(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words -> ids of many words, and each word's start and number."""
@@ -196,10 +198,16 @@ class WordMemory:
         place[place < 0] = len(self.words) + np.arange(len(new))
         all_ids, all_sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
         starts = np.cumsum(all_sizes) - all_sizes
-        if len(all_sizes) <= REMEMBERED_WORDS:
-            self.words, self.ids, self.sizes = pa.concat_arrays([self.words, new]), all_ids, all_sizes
-        else:  # the newest stay
-            self.words, self.ids, self.sizes = new, ids, sizes
+        self.calls += 1
+        met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        met[place] = self.calls
+        all_words = pa.concat_arrays([self.words, new])
+        if len(all_words) <= REMEMBERED_WORDS:
+            self.words, self.ids, self.sizes, self.met = all_words, all_ids, all_sizes, met
+        else:
+            stay = np.sort(np.argsort(-met, kind="stable")[: REMEMBERED_WORDS * 3 // 4])
+            self.words, self.sizes, self.met = all_words.take(pa.array(stay)), all_sizes[stay], met[stay]
+            self.ids = all_ids[ragged(starts[stay], self.sizes)]
         return all_ids, starts[place], all_sizes[place]
 
 
@@ -237,10 +245,16 @@ class LibraryEncoder:
     def __call__(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not flat:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lines = [" ".join(flat[i : i + 2000]) for i in range(0, len(flat), 2000)]
+        # words that differ in case or punctuation share pre-tokens: each is encoded once
+        coded = pa.array(flat, pa.large_string()).dictionary_encode()
+        each = coded.dictionary.to_pylist()
+        lines = [" ".join(each[i : i + 2000]) for i in range(0, len(each), 2000)]
         ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
         ends = np.flatnonzero(self.is_end[ids])
-        return ids, np.diff(np.concatenate([[-1], ends]))
+        sizes = np.diff(np.concatenate([[-1], ends]))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[codes]
+        return ids[ragged((ends + 1 - sizes)[codes], counts)], counts
 
 
 def library_encoder(source: Source) -> LibraryEncoder:

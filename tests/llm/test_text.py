@@ -128,6 +128,44 @@ def test_both_encoders_agree_on_every_kind_of_character(library):
         assert [list(ids[e - n : e]) for e, n in zip(ends, sizes)] == want
 
 
+def test_words_that_come_back_are_encoded_once(monkeypatch):
+    """Words met in every slice stay remembered when the memory is full."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "REMEMBERED_WORDS", 40)
+    seen = []
+
+    class Encoder(tokens.LibraryEncoder):
+        def __call__(self, flat):
+            seen.extend(flat)
+            return super().__call__(flat)
+
+    encode, memory = Encoder(tokens.load()), tokens.WordMemory()
+    common = [f"w{chr(97 + k)}x" for k in range(20)]
+    for turn in range(12):
+        texts = pa.array([" ".join(common), " ".join("z" * (2 + turn) + chr(97 + k) for k in range(15))])
+        ids, sizes = tokens.text_ids(texts, encode, memory)
+        alone = tokens.text_ids(texts, tokens.LibraryEncoder(tokens.load()))
+        assert list(ids) == list(alone[0]) and list(sizes) == list(alone[1])
+        assert len(memory.words) <= 40
+    assert len(seen) == 20 + 12 * 15
+
+
+def test_equal_pre_tokens_are_encoded_once():
+    encode = tokens.LibraryEncoder(tokens.load())
+    real, lines = encode.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, batch, **kw):
+            lines.extend(batch)
+            return real.encode_batch_fast(batch, **kw)
+
+    want = encode(["stone"])[0].tolist() + encode(["river"])[0].tolist() + encode(["stone"])[0].tolist()
+    encode.tokenizer = Spy()
+    assert encode(["stone", "river", "stone"])[0].tolist() == want
+    assert " ".join(lines).split() == ["stone", "river"]
+
+
 def test_packing(spark, odd_docs, library):
     for docs in (odd_docs, spark.read.parquet(f"{SF}/documents.parquet")):
         whole = {}
