@@ -8,14 +8,15 @@ cannot complete a shared table key, so only shared half keys are combined.
 
 Documents with equal shingle sets are one class from the start.  In every
 bucket the members meet the bucket's smallest member, its pivot; links are
-confirmed on the full sets and joined to components.  The members of a pivot
-that are then still in several components are compared by what they differ in
-from the pivot: two members differ from each other in what only one of them
-differs in, so those that differ much from the pivot can only be linked if they
-share many of their differences.  Of the pairs that share one, those whose
-places among the rarest differences leave too few to share are dropped, and the
-rest is confirmed.  No link inside a bucket is lost to the shortcut, and copies
-that differ each in its own way are not compared in pairs.
+confirmed on the full sets and joined to components.  Pivots of one component
+and all their members are a group.  Members of a group that are then still in
+several components are compared by what they differ in from the group's usual
+shingles: two members differ from each other in what only one of them differs
+in, so those that differ much from the usual can only be linked if they share
+many of their differences.  Of the pairs that share one, those whose places
+among the rarest differences leave too few to share are dropped, and the rest is
+confirmed.  No link inside a bucket is lost to the shortcut, and copies that
+differ each in its own way are not compared in pairs.
 
 At similarity 0.8 a table-free miss has probability 2 * (1 - 0.8 ** ROWS) **
 HALVES, about 2e-5; it falls steeply above.
@@ -43,7 +44,7 @@ SHINGLE = 5
 PERCENT = 80
 ROWS = 3  # minhashes in a half key
 HALVES = 16  # half keys in each of the two collections
-SHARED = 2  # rare differences that two members of a pivot must share, if they need as many: more confirm fewer pairs, but meet more
+SHARED = 2  # rare differences that two members of a group must share, if they need as many: more confirm fewer pairs, but meet more
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +182,24 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     )
 
 
+def _shingles(batches):
+    """Sets of members -> their shingles."""
+    for batch in batches:
+        data = batch.column("b")
+        sizes = pc.binary_length(data).to_numpy(zero_copy_only=False) // 8
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        flat = np.concatenate([*(np.frombuffer(b.as_buffer(), np.int64) for b in data), np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), pa.ListArray.from_arrays(at, pa.array(flat))], names=["pivot", "shingles"])
+
+
 def _differences(batches):
-    """Sets of a pivot and a member -> the shingles that only one of them has."""
+    """Usual shingles of a group and the set of a member -> the shingles that
+    only one of them has."""
     for batch in batches:
         found = []
-        for a, b in zip(batch.column("a"), batch.column("b")):
-            x, y = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64)
-            found.append(np.setxor1d(x, y, assume_unique=True))
+        for a, b in zip(batch.column("usual"), batch.column("b")):
+            x = a.values.to_numpy() if a.is_valid else np.zeros(0, np.int64)
+            found.append(np.setxor1d(x, np.frombuffer(b.as_buffer(), np.int64), assume_unique=True))
         at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         flat = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
         yield pa.RecordBatch.from_arrays(
@@ -197,12 +209,17 @@ def _differences(batches):
 
 
 def _apart(groups: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one pivot's members that are in different components and
+    """Pairs (u, v) that share a pivot's bucket, are in different components and
     that nothing below shows to be no link.
 
+    Pivots of one component are one group, so that members who share many pivots
+    are compared once.  The members are compared by what they differ in from the
+    group's usual shingles, those of more than half of its members: no other set
+    leaves fewer differences in all.
+
     With similarity t, sets of n and m shingles have a link if they differ in at
     most (1 - t) / (1 + t) * (n + m) shingles.  Let D and E be what they differ
-    in from the pivot; then they differ in |D| + |E| - 2 |D and E|.  With the
+    in from the usual ones; then they differ in |D| + |E| - 2 |D and E|.  With the
     excess e = (1 + t) |D| - (1 - t) n of each (times 100 here), a link needs
     (e + f) / 2 / (1 + t) shared differences.
 
@@ -210,17 +227,26 @@ def _apart(groups: DataFrame, joined: DataFrame, sets: DataFrame, percent: int)
     of the two with the member of least excess: they meet that one.  Others share
     a difference; put in one order, rarest first, the first one they share is
     at places i and j, and no more than 1 + min(|D| - i, |E| - j) are shared."""
-    members = groups.select(F.col("u").alias("pivot"), F.col("v").alias("doc_id"), F.col("nv").alias("n")).unionByName(
-        groups.select(F.col("u").alias("pivot"), F.col("u").alias("doc_id"), F.col("nu").alias("n")).distinct()
+    members = groups.select(F.col("u").alias("first"), F.col("v").alias("doc_id")).unionByName(
+        groups.select(F.col("u").alias("first"), F.col("u").alias("doc_id")).distinct()
     )
-    placed = members.join(joined, members["doc_id"] == joined["node"], "left").select(
-        "pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
+    of_first = joined.select(F.col("node").alias("first"), F.col("component").alias("of_first"))
+    of_doc = joined.select(F.col("node").alias("doc_id"), "component")
+    placed = members.join(of_first, "first", "left").join(of_doc, "doc_id", "left").select(
+        F.coalesce("of_first", "first").alias("pivot"), "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
-    mixed = placed.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot")
-    # the pivots' sets hold only open ones: the members meet them once
-    a = sets.select(F.col("doc_id").alias("pivot"), F.col("hashes").alias("a")).join(mixed, "pivot")
+    placed = placed.distinct()
+    mixed = placed.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
+    mixed = mixed.where("lo < hi").select("pivot", "members")
+    placed = written(placed.join(mixed, "pivot"), "near-members")
     b = sets.select("doc_id", F.col("hashes").alias("b"))
-    both = placed.join(a, "pivot").join(b, "doc_id").select("pivot", "doc_id", "n", "component", "a", "b")
+    held = placed.join(b, "doc_id").select("pivot", "doc_id", (F.octet_length("b") / 8).cast("long").alias("n"), "component", "b")
+    counted = held.select("pivot", "b").mapInArrow(_shingles, "pivot long, shingles array<long>").select("pivot", F.explode("shingles").alias("hash"))
+    counted = counted.groupBy("pivot", "hash").agg(F.count(F.lit(1)).alias("times"))
+    # at most twice as many as a member has on average
+    usual = counted.join(placed.select("pivot", "members").distinct(), "pivot").where(2 * F.col("times") > F.col("members"))
+    usual = written(usual.groupBy("pivot").agg(F.collect_list("hash").alias("usual")), "near-usual")
+    both = held.join(usual, "pivot", "left").select("pivot", "doc_id", "n", "component", "usual", "b")
     found = both.mapInArrow(_differences, "pivot long, doc_id long, n long, component long, differing array<long>")
     size = F.size("differing").cast("long")
     found = found.withColumns({"size": size, "excess": (100 + percent) * size - (100 - percent) * F.col("n")})
@@ -251,8 +277,12 @@ def _apart(groups: DataFrame, joined: DataFrame, sets: DataFrame, percent: int)
     first = written(first.select("pivot", "hash", "doc_id", "component", "size", "excess", "place", "looks"), "near-first")
     one, two = (first.select("pivot", "hash", "looks", *(F.col(c).alias(c + x) for c in ("doc_id", "component", "size", "excess", "place"))) for x in "uv")
     can_share = SHARED + F.least(F.col("sizeu") - F.col("placeu"), F.col("sizev") - F.col("placev"))
-    meets = one.where("looks").drop("looks").join(two.drop("looks"), ["pivot", "hash"]).where(
-        (F.col("componentu") != F.col("componentv")) & (can_share >= needed(F.col("excessu") + F.col("excessv")))
+    # of two that both look, the smaller one does
+    one, two = one.where("looks").drop("looks"), two.withColumnRenamed("looks", "looksv")
+    meets = one.join(two, ["pivot", "hash"]).where(
+        (~F.col("looksv") | (F.col("doc_idu") < F.col("doc_idv")))
+        & (F.col("componentu") != F.col("componentv"))
+        & (can_share >= needed(F.col("excessu") + F.col("excessv")))
     )
     met = meets.groupBy("pivot", "doc_idu", "doc_idv").agg(F.count(F.lit(1)).alias("n"), F.first(needed(F.col("excessu") + F.col("excessv"))).alias("needed"))
     pairs = met.where(F.col("n") >= F.least(F.col("needed"), F.lit(SHARED))).select(F.least("doc_idu", "doc_idv").alias("u"), F.greatest("doc_idu", "doc_idv").alias("v"))

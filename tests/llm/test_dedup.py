@@ -281,6 +281,25 @@ def test_confirmed_pairs_grow_with_the_members(spark, monkeypatch):
     assert seen[2][0] < 4 * seen[1][0], seen  # not with the square
 
 
+def test_members_of_many_pivots_are_compared_once(spark, monkeypatch):
+    """Copies at many distances from each other share many pivots: they are set
+    against the usual shingles of the pivots' component, once."""
+    rows = {}
+    real = near_dedup.written
+
+    def written(df, name):
+        out = real(df, name)
+        if name in ("near-differences", "near-first"):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", written)
+    docs = [(10 * i + e, text) for e in range(1, 9) for i, text in near_group(60, e)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5)
+    assert out.count() == len(docs)
+    assert rows["near-differences"] <= 10 * len(docs) and rows["near-first"] <= 100 * len(docs), rows
+
+
 def test_links_between_members_that_fail_the_pivot(spark):
     """The smallest member is far from all; the others form chains by small steps,
     some of which have no difference from it in common."""
