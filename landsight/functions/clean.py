@@ -56,9 +56,9 @@ def is_valid_code(code) -> Column:
 
 # The number grammar pandas accepts -- optional sign, digits with an
 # optional decimal point, optional exponent, or inf / infinity / nan (any case),
-# with white space around it.
+# with white space around it; any other text matches without the group.
 _SPACE = "[" + "".join(f"\\u{c:04x}" for c in WHITESPACE_CODE_POINTS) + "]*+"
-NUMBER_PATTERN = rf"(?i)\A{_SPACE}([+-]?(?:(?:\d++\.?+\d*+|\.\d++)(?:e[+-]?\d++)?+|infinity|inf|nan)){_SPACE}\z"
+NUMBER_PATTERN = rf"(?is)\A(?:{_SPACE}([+-]?(?:(?:\d++\.?+\d*+|\.\d++)(?:e[+-]?\d++)?+|infinity|inf|nan)){_SPACE}\z|.*+)"
 
 
 def to_number(c) -> Column:
@@ -73,7 +73,7 @@ def to_number(c) -> Column:
     included), so every extra reference multiplies the per-row cost and the
     size of the generated code.
     """
-    number = F.regexp_extract(_col(c).cast("string"), NUMBER_PATTERN, 1)  # empty, so NULL, if it is none
+    number = F.regexp_replace(_col(c).cast("string"), NUMBER_PATTERN, "$1")  # empty, so NULL, if it is none
     return F.nanvl(number.try_cast("double"), F.lit(None).cast("double"))
 
 
