@@ -40,7 +40,7 @@ from ..functions.tiles import tile_file_name, tile_xyz
 from ..functions.verdict import parse_verdict
 from ..operators.cache import KEY, first_for_keys
 from ..operators.calls import CallPolicy, Calls
-from ..session import call_tasks, checkpoint_dir
+from ..session import call_tasks, checkpoint_dir, default_parallelism
 
 ClientFactory = Callable[[], object]
 
@@ -157,7 +157,8 @@ def analyse_keys(
     # coalesce the key shuffle into very few tasks.  A round-robin repartition
     # to a set number is kept as given (a hash repartition on the keys would be
     # dropped as redundant after the distinct).
-    work = work.repartition(model_parallelism or call_tasks(keys.sparkSession))
+    spark = keys.sparkSession
+    work = work.repartition(model_parallelism or default_parallelism(spark) or int(spark.conf.get("spark.sql.shuffle.partitions")))
     # One linear pass: a row whose description failed has no prompt, so the
     # text model skips it -- each model is called at most once per key.
     return assess_descriptions(describe_images(work, client_factory, config, policy=policy), client_factory, config, policy)
@@ -222,6 +223,7 @@ def process_requests(
     checkpoint_dir(requests.sparkSession)
     tiles = fetch_tiles(looked, image_root, fetch, policy) if fetch is not None else None
     misses = looked.where("hit IS NULL").select(*KEY)
+    model_parallelism = model_parallelism or call_tasks(requests.sparkSession)
     analysed = analyse_keys(misses, client_factory, image_root, config, model_parallelism, policy).checkpoint(eager=True)
     good = analysed.where(F.col("danger").isNotNull() & F.col("raw_reply_error").isNull())
     new_rows = log_rows(good, config, clock)
