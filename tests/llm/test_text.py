@@ -308,6 +308,56 @@ def test_a_stored_tree_is_not_counted_again():
     assert len(fresh.known) <= 6
 
 
+class CountedCalls:
+    """An encoder that notes what each of its calls was given."""
+
+    def __init__(self):
+        self.encode = tokens.LibraryEncoder(tokens.load())
+        self.source, self.calls = self.encode.source, []
+
+    def __call__(self, flat):
+        self.calls.append(flat)
+        return self.encode(flat)
+
+
+def test_the_words_of_many_edits_are_encoded_in_one_call(library, monkeypatch):
+    import pyarrow as pa
+
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(5)
+    some = [prose(k, 40 * k) for k in range(20)] + ["é " * 300, "x" * 500]
+    edits = [[(rng.randint(0, 3000), rng.randint(0, 3000), f"new{i} w{k}ord ") for k in range(6)] for i in range(len(some))]
+    edits[3] = None
+    for waiting in (token_counts.WAITING, 50):
+        monkeypatch.setattr(token_counts, "WAITING", waiting)
+        encoder = CountedCalls()
+        leaves = [token_counts.leaves_of(pa.array([t]), token_counts.Counter(encoder.encode))[0] for t in some]
+        trees = token_counts.edited(some, leaves, edits, token_counts.Counter(encoder))
+        if waiting > 50:
+            assert len(encoder.calls) == 1
+        for text, mine, tree in zip(some, edits, trees):
+            for a, b, new in mine or ():
+                a = min(a, len(text))
+                text = text[:a] + new + text[min(max(a, b), len(text)) :]
+            assert tree.text() == text and tree.total == count(text)
+            # counts that waited came to the blocks where their words are now
+            at = 0
+            for size, n in zip(*tree.stored()):
+                assert n == count(text[at : at + size])
+                at += size
+            assert at == len(text)
+
+
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    encoder = CountedCalls()
+    counter = token_counts.Counter(encoder)
+    some = ["river", "stonefield", "riverstone", "clouds", "amberly", "norths"]
+    first = counter.counts(some[:5])
+    assert counter.counts([some[5], *some[:5]]).tolist()[1:] == first.tolist()
+    assert encoder.calls == [some[:5], some[5:]]
+
+
 # ---- archives --------------------------------------------------------------------------
 
 
